@@ -29,6 +29,8 @@ def with_views(body: str) -> str:
     if not chosen:
         return body
     head = ", ".join(f"{n} as ({VIEWS[n]})" for n in chosen)
+    if body.lstrip().startswith("with "):
+        return f"with {head}, {body.lstrip()[5:]}"
     return f"with {head} {body}"
 
 
