@@ -12,4 +12,6 @@ from . import (  # noqa: F401
     timetable_cases,
     trajectory_cases,
 )
-from .registry import ORACLES, QUERIES  # noqa: F401
+from .registry import ORACLES, QUERIES, assemble  # noqa: F401
+
+assemble()

@@ -12,6 +12,7 @@ from .sql_views import VIEWS
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+PLAIN: dict[str, str] = {}
 
 
 def with_views(body: str) -> str:
@@ -34,6 +35,12 @@ def with_views(body: str) -> str:
     return f"with {head} {body}"
 
 
+def assemble() -> None:
+    """Complete the statements once every module has declared its views."""
+    for name, sql in PLAIN.items():
+        ORACLES[name] = with_views(sql)
+
+
 def case(name: str, sql: str | None = None):
     """Register a query; ``sql`` is the statement it must agree with."""
 
@@ -47,7 +54,7 @@ def case(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            PLAIN[name] = sql
         return run
 
     return wrap

@@ -107,7 +107,7 @@ def _(spark, d):
 
 
 @case("j07_lonlat_at_distance", f"""
-select trip_id, datetime, {rs('px', 1)} as x, {rs('py', 1)} as y from (
+select trip_id, datetime, {rs('px', 0)} as x, {rs('py', 0)} as y from (
  select t.trip_id, t.t as datetime, s.x0 + least(1e0, (greatest(t.dist, 0) - s.cum) / s.len) * (s.x1 - s.x0) as px,
   s.y0 + least(1e0, (greatest(t.dist, 0) - s.cum) / s.len) * (s.y1 - s.y0) as py
  from v_traj t join v_trips using (trip_id) join v_polyseg s using (shape_id)
@@ -115,7 +115,7 @@ select trip_id, datetime, {rs('px', 1)} as x, {rs('py', 1)} as y from (
 def _(spark, d):
     traj = fx.trajectories(spark, d).join(fx.trips(spark, d).select("trip_id", "shape_id"), "trip_id")
     out = shapes.with_xy(shapes.lonlat_at_distance(traj, _segments(spark, d)))
-    return rounded(out.select("trip_id", "datetime", "x", "y"), 1)
+    return rounded(out.select("trip_id", "datetime", "x", "y"), 0)
 
 
 _CANON = """

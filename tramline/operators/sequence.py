@@ -85,7 +85,7 @@ def cumulative_by_value(
     bounds = value_bounds(df.select(F.col(value).cast("double").alias(value)), value)
     bucket = F.size(F.filter("_bounds", lambda b: b < F.col(value)))
     cut = (
-        per_value.crossJoin(F.broadcast(bounds))  # one-row side
+        per_value.withColumn("_bounds", bounds.scalar())
         .withColumn("_bucket", (-bucket if descending else bucket))
         .drop("_bounds")
     )

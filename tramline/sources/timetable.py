@@ -89,13 +89,11 @@ def active_services(calendar: DataFrame, calendar_dates: DataFrame, dates: DataF
     ymd = F.date_format("service_date", "yyyyMMdd")
     day = F.lower(F.date_format("service_date", "EEEE"))
     week = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
-    flags = F.create_map(*[x for d in week for x in (F.lit(d), F.col(d))])
     dated = dates.select("service_date").distinct().withColumns({"ymd": ymd, "day": day})
-    # the dates asked for are a handful; the condition is a range, so that side is the small one
+    weekly = calendar.unpivot(["service_id", "start_date", "end_date"], week, "day", "runs").filter("runs = 1")
     regular = (
-        calendar.withColumn("flags", flags)
-        .join(dated, (F.col("start_date") <= F.col("ymd")) & (F.col("end_date") >= F.col("ymd")))
-        .filter(F.element_at("flags", F.col("day")) == 1)
+        weekly.join(dated, "day")
+        .filter((F.col("start_date") <= F.col("ymd")) & (F.col("end_date") >= F.col("ymd")))
         .select("service_date", "service_id")
     )
     exceptions = calendar_dates.join(dated, F.col("date") == F.col("ymd")).select("service_date", "service_id", "exception_type")
@@ -181,7 +179,8 @@ def scheduled_headway(starts: DataFrame, services: DataFrame | None, dates: Data
     one day's trips of one route and direction.
     """
     if services is None:
-        day = starts.crossJoin(F.broadcast(dates.select("service_date").distinct()))  # asked-for dates
+        asked = dates.select(F.collect_set("service_date").alias("d")).scalar()
+        day = starts.withColumn("service_date", F.explode(asked))
     else:
         day = starts.join(services, "service_id")
     w = Window.partitionBy("service_date", "route_id", "direction_id").orderBy("start_s", "trip_id")
