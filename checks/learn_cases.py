@@ -1 +1,395 @@
+"""Scoring maths with SQL twins; training, calibration and live scoring run on the examples."""
 
+from pyspark.sql import functions as F
+
+from tramline.operators import buses, detect, examples as ex, fleet, learn, scoring as sc
+from tramline.plans import forecasting as fc
+from tramline.session import materialise, shared_dir
+from tramline.sources import store
+
+from . import fixtures as fx
+from .example_cases import H, L, _examples
+from .registry import case, r, rounded, rs
+from .sql_views import VIEWS
+
+_SL = "service_date, route_id, direction_id"
+
+VIEWS["v_score"] = """
+select event_id as example_id, o.h, case when (event_id + o.h) % 11 <> 0 then (event_type = 'error')::int::double end as y,
+ 6e-1 * (((event_id * 7919 + o.h * 104729) % 1000) / 1000e0) + case when event_type = 'error' then 35e-2 else 0e0 end as p, event_id % 1440 as t_ref_min
+from events, (select unnest(generate_series(1, 5)) as h) o"""
+
+
+def scores(spark, d):
+    """One probability per event and horizon; errors are the positives."""
+    ev = fx.table(spark, d, "events").withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    err = F.col("event_type") == "error"
+    return ev.select(
+        F.col("event_id").alias("example_id"), "h",
+        F.when((F.col("event_id") + F.col("h")) % 11 != 0, err.cast("double")).alias("y"),
+        (0.6 * (F.expr("(event_id * 7919 + h * 104729) % 1000") / F.lit(1000.0)) + F.when(err, 0.35).otherwise(0.0)).alias("p"),
+        (F.col("event_id") % 1440).alias("t_ref_min"))
+
+
+def _wide(spark, d):
+    s = scores(spark, d)
+    g = s.groupBy("example_id").agg(F.array_sort(F.collect_list(F.struct("h", "p"))).alias("a"))
+    return g.select("example_id", F.transform("a", lambda x: x["p"]).alias("probs"))
+
+
+def _thr():
+    return F.array(*[F.lit(x) for x in (0.5, 0.55, 0.6, 0.65, 0.7)])
+
+
+VIEWS["v_thr"] = "select h, 45e-2 + 5e-2 * h as threshold from (select unnest(generate_series(1, 5)) as h)"
+VIEWS["v_wide"] = "select example_id, max(p) as mx, arg_min(h, -p * 1000 + h * 1e-9) as mh, min(case when p >= threshold then h end) as fa from v_score join v_thr using (h) group by 1"
+
+
+def thresholds(spark, d):
+    t = scores(spark, d).select("h").distinct()
+    return t.withColumn("threshold", F.lit(0.45) + F.lit(0.05) * F.col("h"))
+
+
+@case("m05_pick_threshold", f"""
+select h, arg_max(t, f * 1e6 - t) as threshold, {rs('max(f)', 5)} as metric from (
+ select h, i, t, case when pr + rc <= 0 then 0 else 5 * pr * rc / (4 * pr + rc) end as f from (
+  select h, i, 1e-2 + (i - 1) * 1e-2 as t, tp / (tp + fp) as pr, tp / greatest(1, pos) as rc from (
+   select s.h, g.i, count(*) filter (where p >= 1e-2 + (g.i - 1) * 1e-2 and y = 1) as tp, count(*) filter (where p >= 1e-2 + (g.i - 1) * 1e-2 and y = 0) as fp, count(*) filter (where y = 1) as pos
+   from v_score s cross join (select unnest(generate_series(1, 98)) as i) g where y is not null group by 1, 2) where tp + fp > 0)) group by h""")
+def _(spark, d):
+    out = sc.pick_threshold(scores(spark, d), "f2")
+    return rounded(out.withColumn("metric", r("metric", 5)), skip=("metric", "threshold"))
+
+
+@case("m05_pick_threshold_precision", f"""
+select h, coalesce(arg_max(t, rc * 1e6 - t), 99e-2) as threshold, {rs('coalesce(max(rc), 0)', 5)} as metric from (select distinct h from v_score) left join (
+ select h, 1e-2 + (i - 1) * 1e-2 as t, tp / (tp + fp) as pr, tp / greatest(1, pos) as rc from (
+   select s.h, g.i, count(*) filter (where p >= 1e-2 + (g.i - 1) * 1e-2 and y = 1) as tp, count(*) filter (where p >= 1e-2 + (g.i - 1) * 1e-2 and y = 0) as fp, count(*) filter (where y = 1) as pos
+   from v_score s cross join (select unnest(generate_series(1, 98)) as i) g where y is not null group by 1, 2) where tp + fp > 0 and tp / (tp + fp) >= 6e-1) using (h) group by h""")
+def _(spark, d):
+    out = sc.pick_threshold(scores(spark, d), "precision@0.60")
+    return rounded(out.withColumn("metric", r("metric", 5)), skip=("metric", "threshold"))
+
+
+VIEWS["v_met"] = """
+select h, n, pos_rate, threshold, tp / greatest(1, tp + fp) as precision, tp / greatest(1, tp + fn) as recall, 100e0 * (tp + fp) / n as alerts_per_100, brier from (
+ select h, count(*) as n, avg(y) as pos_rate, any_value(threshold) as threshold, count(*) filter (where p >= threshold and y = 1) as tp, count(*) filter (where p >= threshold and y = 0) as fp,
+  count(*) filter (where p < threshold and y = 1) as fn, avg((p - y) * (p - y)) as brier from v_score join v_thr using (h) where y is not null group by h)"""
+
+
+@case("m13_score_metrics", f"""select h, n, {', '.join(f'{rs(c, 5)} as {c}' for c in ('pos_rate', 'threshold', 'precision', 'recall', 'alerts_per_100', 'brier'))},
+ {rs('case when precision + recall <= 0 then 0 else 5 * precision * recall / (4 * precision + recall) end', 5)} as f2 from v_met""")
+def _(spark, d):
+    return rounded(sc.score_metrics(scores(spark, d), thresholds(spark, d)), 5)
+
+
+VIEWS["v_cum"] = """
+select *, sum(tp) over w as ct, sum(n) over w as cn, sum(tp) over (partition by h) as pos from (
+ select h, p, count(*) as n, count(*) filter (where y = 1) as tp from v_score where y is not null group by 1, 2) window w as (partition by h order by p desc)"""
+
+
+@case("m14_average_precision", f"select h, {rs('sum(tp / pos * (ct / cn))', 5)} as pr_auc from v_cum group by h")
+def _(spark, d):
+    return rounded(sc.average_precision(scores(spark, d)), 5)
+
+
+@case("m15_recall_at_precision", f"""select h, {', '.join(f"{rs(f'max(case when ct / cn >= {t}e-2 then ct / pos end)', 5)} as recall_at_{t}" for t in (20, 30, 40, 50, 60))} from v_cum group by h""")
+def _(spark, d):
+    return rounded(sc.recall_at_precision(scores(spark, d)), 5)
+
+
+@case("m16_reliability_bins", f"""select b.b as bin, coalesce(n, 0) as n, mean_pred, obs_rate, {rs('b.b / 10')} as bin_lo, {rs('(b.b + 1) / 10')} as bin_hi
+from (select unnest(generate_series(0, 9)) as b) b left join (select least(9, floor(p * 10))::bigint as b, count(*) as n, {rs('avg(p)')} as mean_pred, {rs('avg(y)')} as obs_rate from v_score where y is not null group by 1) x on x.b = b.b""")
+def _(spark, d):
+    return rounded(sc.reliability_bins(scores(spark, d)))
+
+
+@case("m08_collapse_probability", f"""select example_id, {rs('max(p)')} as p_max, {rs('max(case when h = 5 then p end)')} as p_last, {rs('avg(p)')} as p_mean from v_score group by 1""")
+def _(spark, d):
+    w = _wide(spark, d)
+    return rounded(w.select("example_id", *[sc.collapse_probability(F.col("probs"), m).alias(f"p_{m}") for m in ("max", "last", "mean")]))
+
+
+@case("m09_alert_summary", f"""select example_id, fa is not null as any_alert, fa - 1 as first_alert_step, {rs('mx')} as max_prob, mh - 1 as max_prob_step from v_wide""")
+def _(spark, d):
+    out = sc.alert_summary(_wide(spark, d), _thr())
+    return rounded(out.select("example_id", "any_alert", "first_alert_step", "max_prob", "max_prob_step"))
+
+
+@case("m17_alerts_per_bus_hour", f"select {rs('avg((fa is not null)::int) * 60')} as alerts_per_bus_hour from v_wide")
+def _(spark, d):
+    return rounded(sc.alerts_per_bus_hour(_wide(spark, d), _thr()))
+
+
+@case("m10_useful_horizon", """select id, case when event_type = 'error' then 30 else greatest(3, least(30, floor(15e-1 * (greatest(0, 15000 - dist_m) / greatest(value / 10, 1)) / 60)))::bigint end as useful,
+ least(10, case when event_type = 'error' then 30 else greatest(3, least(30, floor(15e-1 * (greatest(0, 15000 - dist_m) / greatest(value / 10, 1)) / 60)))::bigint end) as capped from v_ping""")
+def _(spark, d):
+    p = fx.pings(spark, d)
+    speed = F.when(F.col("event_type") != "error", F.col("value") / 10)
+    f = lambda cap: sc.useful_horizon(F.col("dist_m"), F.lit(15000.0), speed, 60, 30, cap)
+    return rounded(p.select("id", f(None).alias("useful"), f(10).alias("capped")))
+
+
+@case("m18_period_breakdown", f"""
+select period, {rs('avg(tp / greatest(1, tp + fp))', 5)} as mean_precision, {rs('avg(tp / greatest(1, tp + fn))', 5)} as mean_recall, sum(n)::bigint as labels from (
+ select case when t_ref_min >= 420 and t_ref_min < 570 then 'am_peak' when t_ref_min >= 570 and t_ref_min < 900 then 'midday' when t_ref_min >= 900 and t_ref_min < 1110 then 'pm_peak'
+  when t_ref_min >= 1110 and t_ref_min < 1380 then 'evening' else 'other' end as period, h, count(*) as n, count(*) filter (where p >= threshold and y = 1) as tp,
+  count(*) filter (where p >= threshold and y = 0) as fp, count(*) filter (where p < threshold and y = 1) as fn from v_score join v_thr using (h) where y is not null group by 1, 2) group by 1""")
+def _(spark, d):
+    return rounded(sc.period_breakdown(scores(spark, d), thresholds(spark, d)), 5)
+
+
+_F2 = "case when precision + recall <= 0 then 0 else 5 * precision * recall / (4 * precision + recall) end"
+
+
+@case("m19_headline_rollup", f"""select {rs('avg(precision)', 5)} as mean_precision, {rs('avg(recall)', 5)} as mean_recall, {rs('avg(a)', 5)} as mean_pr_auc, {rs('avg(brier)', 5)} as mean_brier,
+ {rs(f'coalesce(avg(case when h * 120 / 60e0 >= 5 and h * 120 / 60e0 <= 30 then {_F2} end), 0)', 5)} as mean_f2_5_30
+from v_met join (select h, sum(tp / pos * (ct / cn)) as a from v_cum group by h) using (h)""")
+def _(spark, d):
+    s = scores(spark, d)
+    m = sc.score_metrics(s, thresholds(spark, d)).join(sc.average_precision(s), "h")
+    return rounded(sc.headline_rollup(m, 120), 5)
+
+
+@case("s19_write_report_tables", "select bin::bigint as bin, count(*) as n from (select least(9, floor(p * 10))::bigint as bin from v_score where y is not null) group by 1")
+def _(spark, d):
+    folder = shared_dir(spark, "report")
+    s = scores(spark, d)
+    store.write_report_tables(sc.score_metrics(s, thresholds(spark, d)), sc.reliability_bins(s), folder)
+    back = spark.read.option("header", True).schema("bin bigint, n bigint").option("enforceSchema", False).csv(f"{folder}/reliability")
+    return back.filter("n > 0").select("bin", "n")
+
+
+def _models(spark, d):
+    s = scores(spark, d).drop("t_ref_min")
+    kinds = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(a).alias("a")) for m, a in (("a", 1.0), ("b", 0.7), ("c", 0.4))]))
+    return s.select("*", kinds.alias("k")).select("k.model", "example_id", "h", (F.col("p") * F.col("k.a")).alias("p"), "y")
+
+
+@case("m20_ensemble_mean_median", f"select example_id, h, {rs('(p + p * 7e-1 + p * 4e-1) / 3')} as ens_mean, {rs('p * 7e-1')} as ens_median, y from v_score")
+def _(spark, d):
+    return rounded(sc.ensemble_mean_median(_models(spark, d)))
+
+
+def _halves(df):
+    return df.filter("example_id % 2 = 0"), df.filter("example_id % 2 = 1")
+
+
+@case("m21_ensemble_stack")
+def _(spark, d):
+    m = materialise(_models(spark, d), "models")
+    # validation and test are the two halves of the events
+    val, test = _halves(m)
+    return rounded(learn.ensemble_stack(val, test, ["a", "b", "c"], 2))
+
+
+@case("m22_model_compare")
+def _(spark, d):
+    m = materialise(_models(spark, d).filter("h <= 2 and model <> 'c'"), "models")
+    val, test = _halves(m)
+    return rounded(learn.model_compare(val, test, 2, 300))
+
+
+@case("m06_isotonic_calibration")
+def _(spark, d):
+    s = materialise(scores(spark, d), "scores")
+    return rounded(learn.apply_isotonic(s, learn.fit_isotonic(s, 5)).select("example_id", "h", "p", "p_cal"))
+
+
+@case("m23_horizon_remap", f"select example_id, o.o as h, {rs('p')} as p from v_score s join (select unnest(generate_series(1, 8)) as o) o on s.h = least(5, greatest(1, floor(o.o * 30 / 20))) ")
+def _(spark, d):
+    out = _wide(spark, d).select("example_id", F.posexplode(sc.horizon_remap(F.col("probs"), 20, 30, 8)).alias("h", "p"))
+    return rounded(out.withColumn("h", F.col("h") + 1))
+
+
+@case("a43_spearman", f"""select count(*) as n, {rs('corr(rx, ry)', 5)} as spearman from (
+ select rank() over (order by x) + (count(*) over (partition by x) - 1) / 2e0 as rx, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2e0 as ry
+ from (select floor(dist_m / 10) * 10 as x, value as y from v_ping) where x < 9000)""")
+def _(spark, d):
+    p = fx.pings(spark, d).select((F.floor(F.col("dist_m") / 10) * 10.0).alias("x"), F.col("value").alias("y"))
+    return rounded(sc.spearman(p, "x", "y", 9000.0), 5)
+
+
+@case("l04_top_risk", f"select example_id, {rs('mx')} as max_prob from v_wide order by mx desc, example_id limit 20")
+def _(spark, d):
+    return rounded(fleet.top_risk(_wide(spark, d), 20).select("example_id", "max_prob"))
+
+
+@case("a41_channel_drift", f"""select h - 1 as feature_idx, {rs('avg(p)')} as mean, {rs('stddev_pop(p)')} as std, {rs('quantile_cont(floor(p / 1e-2 + 5e-1) * 1e-2, 0.01)')} as p01, {rs('quantile_cont(floor(p / 1e-2 + 5e-1) * 1e-2, 0.99)')} as p99 from v_score group by 1""")
+def _(spark, d):
+    return rounded(sc.channel_drift(_wide(spark, d), "probs"))
+
+
+@case("m27_realised_precision", f"""select h, n, {', '.join(f'{rs(c, 5)} as {c}' for c in ('precision', 'recall'))} from v_met""")
+def _(spark, d):
+    s = scores(spark, d)
+    g = s.groupBy("example_id").agg(F.array_sort(F.collect_list(F.struct("h", "y"))).alias("a"))
+    labels = g.select("example_id", F.transform("a", lambda x: x["y"]).alias("labels"))
+    out = sc.realised_precision(_wide(spark, d), labels, thresholds(spark, d), ["example_id"])
+    return rounded(out.select("h", "n", "precision", "recall"), 5)
+
+
+@case("s16_append_score_log", "select example_id, 16 as hash_length from (select distinct example_id from v_score)")
+def _(spark, d):
+    folder = shared_dir(spark, "scorelog")
+    w = _wide(spark, d).withColumns({"service_date": F.lit("2024-01-01"), "feature_hash": store.feature_hash(F.col("probs"))})
+    first, second = _halves(w)
+    store.append_score_log(first, folder)
+    store.append_score_log(second, folder)
+    back = spark.read.schema("example_id bigint, feature_hash string, service_date string").json(folder)
+    return back.select("example_id", F.length("feature_hash").cast("bigint").alias("hash_length"))
+
+
+# --- features of the examples ---------------------------------------------------------------
+
+_W = "v_ref r join v_chain h on h.service_date = r.service_date and h.route_id = r.route_id and h.direction_id = r.direction_id and h.bus_index = r.bus_index and h.k between r.k - 4 and r.k"
+
+
+@case("a40_feature_scaler", f"""select {rs('avg(v)')} as speed_mean, {rs('stddev_pop(v)')} as speed_std, (select {rs('avg(g)')} from (select unnest([h.gap, h.d1g, h.d2g]) as g from {_W})) as gap_mean,
+ (select {rs('stddev_pop(g)')} from (select unnest([h.gap, h.d1g, h.d2g]) as g from {_W})) as gap_std from (select unnest([h.speed, h.d1v, h.d2v]) as v from {_W})""")
+def _(spark, d):
+    return rounded(sc.feature_scaler(_examples(spark, d)[1]))
+
+
+_SC = f"""(select avg(v) as sm, stddev_pop(v) as ss from (select unnest([h.speed, h.d1v, h.d2v]) as v from {_W})) s, (select avg(g) as gm, stddev_pop(g) as gs from (select unnest([h.gap, h.d1g, h.d2g]) as g from {_W})) q"""
+
+
+@case("m01_scale_window", f"""select x.*, {rs('(sp - sm) / ss')} as v, {rs('(gp - gm) / gs')} as g from (
+ select r.service_date, r.route_id, r.direction_id, r.bus_index, r.k, h.k - r.k + 4 as tick, h.speed as sp, h.gap as gp from {_W}) x, {_SC}""".replace("select x.*", "select x.service_date, x.route_id, x.direction_id, x.bus_index, x.k, x.tick"))
+def _(spark, d):
+    pts, e = _examples(spark, d)
+    x = sc.scale_window(e, sc.feature_scaler(e)).select(*buses.SLICE, "bus_id", "k", F.posexplode("window").alias("tick", "x"))
+    return rounded(buses.number_buses(x, pts).select(*buses.SLICE, "bus_index", "k", "tick", F.col("x")[0].alias("v"), F.col("x")[1].alias("g")))
+
+
+@case("m02_flatten_features", f"select r.service_date, r.route_id, r.direction_id, r.bus_index, r.k, (h.k - r.k + 4) * 12 + 1 as idx, {rs('h.gap')} as v from {_W}")
+def _(spark, d):
+    pts, e = _examples(spark, d)
+    x = e.select(*buses.SLICE, "bus_id", "k", F.posexplode(sc.flat_features(F.col("window"), F.col("extras"))).alias("idx", "v")).filter("idx % 12 = 1")
+    return rounded(buses.number_buses(x, pts).select(*buses.SLICE, "bus_index", "k", "idx", "v"))
+
+
+@case("m12_physics_baseline", f"""
+select service_date, route_id, direction_id, bus_index, k, h, {rs('case when (ahead > 400 and closing < -1e-1) or gap >= 19800 then 0 else 1 / (1 + exp(-(100 - ahead) / 50)) end')} as p from (
+ select *, greatest(0, gap - closing * h * 60) as ahead from (select r.service_date, r.route_id, r.direction_id, r.bus_index, r.k, r.gap, o.h, (b.gap - r.gap) / 180e0 as closing
+ from v_ref r join v_chain b on b.service_date = r.service_date and b.route_id = r.route_id and b.direction_id = r.direction_id and b.bus_index = r.bus_index and b.k = r.k - 3, (select unnest(generate_series(1, 5)) as h) o))""")
+def _(spark, d):
+    pts, e = _examples(spark, d)
+    x = e.select(*buses.SLICE, "bus_id", "k", F.posexplode(sc.physics_baseline(F.col("window"), H)).alias("h", "p"))
+    return rounded(buses.number_buses(x, pts).select(*buses.SLICE, "bus_index", "k", (F.col("h") + 1).alias("h"), "p"))
+
+
+# --- live slices ------------------------------------------------------------------------------
+
+VIEWS["v_tref"] = f"select {_SL}, min(t) + 905 as t_ref from v_bus group by all"
+VIEWS["v_near"] = f"""
+select service_date, route_id, direction_id, bus_index, t_ref, j.j, arg_min(dist, abs(t - (t_ref - 60 * j.j)) * 1000000000::hugeint * 100 + t) as dist
+from v_bus join v_tref using ({_SL}), (select unnest(generate_series(0, 4)) as j) j where abs(t - (t_ref - 60 * j.j)) <= 120 group by all"""
+VIEWS["v_live"] = f"""
+select b.service_date, b.route_id, b.direction_id, b.bus_index, b.t_ref, age, ref_stop, coalesce(n, 0) as n, coalesce(lead, false) as has_lead from (
+ select service_date, route_id, direction_id, bus_index, t_ref, t_ref - max(case when t <= t_ref then t end) as age,
+  arg_min(stop_index, case when abs(t - t_ref) <= 30 then abs(t - t_ref) * 1000000000::hugeint * 100 + t end) as ref_stop from v_bus join v_tref using ({_SL}) group by all) b
+left join (select service_date, route_id, direction_id, bus_index, count(*) as n, bool_or(exists (select 1 from v_near o where o.service_date = a.service_date and o.route_id = a.route_id
+  and o.direction_id = a.direction_id and o.j = a.j and o.dist > a.dist)) as lead from v_near a group by all) using ({_SL}, bus_index)"""
+
+
+def _refs(points):
+    return points.groupBy(*buses.SLICE).agg((F.min(F.unix_seconds("datetime")) + 905).alias("t_ref"))
+
+
+@case("w32_freshness_and_eligibility", """select service_date, route_id, direction_id, bus_index, case when age is null or age > 90 then 'stale' when ref_stop is null then 'no_ref_sample'
+ when round_even(ref_stop, 0) < 2 or round_even(ref_stop, 0) >= 29 then 'edge_band' when n < 5 then 'missing_history' when not has_lead then 'no_leader' end as reason from v_live""")
+def _(spark, d):
+    pts = fx.bus_points(spark, d)
+    out = fc.eligibility(pts, _refs(pts), L)
+    return rounded(buses.number_buses(out, pts).select(*buses.SLICE, "bus_index", "reason"))
+
+
+@case("m26_forecast_time_scan")
+def _(spark, d):
+    pts = fx.bus_points(spark, d)
+    mid = pts.select(*buses.SLICE).distinct().withColumn("midnight", F.unix_seconds(F.to_utc_timestamp(F.col("service_date").cast("timestamp"), "America/Toronto")))
+    return rounded(fc.forecast_time_scan(pts, mid, L, every_min=30, first_min=0, last_min=1440))
+
+
+_SMALL = dict(trees=3, depth=2, min_leaf=5)
+
+
+def _split(spark, d):
+    e = materialise(_examples(spark, d)[1].select("example_id", "window", "extras", F.slice("labels", 1, 3).alias("labels"), "t_ref_min"), "examples")
+    lot = F.pmod(F.xxhash64("example_id"), F.lit(10))
+    return e.filter(lot < 7), e.filter(lot >= 7)
+
+
+@case("m03_train_horizon")
+def _(spark, d):
+    train, val = _split(spark, d)
+    s = sc.feature_scaler(train)
+    rows = materialise(fc.with_features(train, s).select("example_id", "features", "labels"), "train")
+    model = learn.train_horizons(rows, None, 2, **_SMALL)
+    return rounded(learn.predict_horizons(fc.with_features(val, s), model).select("example_id", F.col("probs")[0].alias("p1"), F.col("probs")[1].alias("p2")))
+
+
+@case("m04_train_bag")
+def _(spark, d):
+    train, val = _split(spark, d)
+    s = sc.feature_scaler(train)
+    rows = materialise(fc.with_features(train, s).select("example_id", "features", "labels"), "train")
+    bags = learn.train_bag(rows, None, 1, bags=2, **_SMALL)
+    return rounded(learn.predict_bag(fc.with_features(val, s), bags).select("example_id", F.col("probs")[0].alias("p1")))
+
+
+@case("m07_predict_horizons", "select count(*) as examples, 1e0 as constant_p from v_ref")
+def _(spark, d):
+    """A model list of constants: every example gets each horizon's constant."""
+    e = _examples(spark, d)[1].withColumn("features", sc.flat_features(F.col("window")))
+    out = learn.predict_horizons(e, learn.HorizonModels([None, None], [0.25, 1.0]))
+    return out.agg(F.count("*").alias("examples"), F.max(F.col("probs")[1]).alias("constant_p"))
+
+
+@case("c05_train_calibrate_evaluate")
+def _(spark, d):
+    train, val = _split(spark, d)
+    model = fc.train_calibrate(train, val, 2, L, bags=2, **_SMALL)
+    return rounded(fc.evaluate(fc.score(val, model), model))
+
+
+def _forecaster(spark, d):
+    train, val = _split(spark, d)
+    return fc.train_calibrate(train, val, 2, L, bags=1, **_SMALL)
+
+
+@case("m11_score_slice", """select service_date, route_id, direction_id, bus_index, not (age is null or age > 90 or ref_stop is null or round_even(ref_stop, 0) < 2 or round_even(ref_stop, 0) >= 29 or n < 5 or not has_lead) as eligible from v_live""")
+def _(spark, d):
+    pts = materialise(fx.bus_points(spark, d), "points")
+    out = fc.score_slices(pts, _refs(pts), _forecaster(spark, d))
+    return rounded(buses.number_buses(out, pts).select(*buses.SLICE, "bus_index", "eligible"))
+
+
+@case("c06_score_slices")
+def _(spark, d):
+    pts = materialise(fx.bus_points(spark, d), "points")
+    model = _forecaster(spark, d)
+    scored = materialise(fc.score_slices(pts, _refs(pts), model), "scored")
+    folder = shared_dir(spark, "scorelog")
+    store.append_score_log(scored.filter("eligible").select("service_date", "bus_id", "t_ref", "probs", "per_horizon",
+                                                            store.feature_hash(F.col("features")).alias("feature_hash")), folder)
+    return rounded(fc.horizon_summary(scored, model))
+
+
+@case("m24_permutation_importance")
+def _(spark, d):
+    train, val = _split(spark, d)
+    s = sc.feature_scaler(train)
+    rows = materialise(fc.with_features(train, s, rich=False).select("example_id", "features", "labels"), "train")
+    vrows = materialise(fc.with_features(val, s, rich=False).select("example_id", "features", F.slice("labels", 1, 1).alias("labels")), "val")
+    model = learn.train_horizons(rows, None, 1, **_SMALL)
+    return rounded(learn.permutation_importance(vrows, model, ex.CHANNELS[2]))
+
+
+@case("m25_gain_importance")
+def _(spark, d):
+    train, _ = _split(spark, d)
+    rows = materialise(fc.with_features(train, sc.feature_scaler(train)).select("example_id", "features", "labels"), "train")
+    model = learn.train_horizons(rows, None, 1, **_SMALL)
+    return rounded(learn.gain_importance(spark, [model], (*ex.CHANNELS[2], *ex.CONTEXT[4]), L))

@@ -342,8 +342,11 @@ def window_pairs_correlation(examples: DataFrame, channel_names: tuple[str, ...]
     counts as zero). All moments are sums in one aggregate per tick."""
     n = len(channel_names)
     rows = examples.select(F.posexplode(F.zip_with("window", "extras", lambda a, b: F.concat(a, b))).alias("tick", "x"))
-    aggs = [F.corr(F.col("x")[i], F.col("x")[j]).alias(f"c{i}_{j}") for i in range(n) for j in range(i + 1, n)]
-    per_tick = rows.groupBy("tick").agg(*aggs)
+    chan = rows.select("tick", *[F.col("x")[i].alias(f"x{i}") for i in range(n)])
+    moments = [F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i in range(n) for j in range(i + 1, n)]
+    spread = [F.stddev_pop(f"x{i}").alias(f"s{i}") for i in range(n)]
+    per_tick = chan.groupBy("tick").agg(*moments, *spread).select(
+        *[F.try_divide(F.col(f"c{i}_{j}"), F.col(f"s{i}") * F.col(f"s{j}")).alias(f"c{i}_{j}") for i in range(n) for j in range(i + 1, n)])
     zeroed = per_tick.select(*[F.coalesce(F.nanvl(f"c{i}_{j}", F.lit(0.0)), F.lit(0.0)).alias(f"c{i}_{j}")
                                for i in range(n) for j in range(i + 1, n)])
     mean = zeroed.agg(*[F.avg(c).alias(c) for c in zeroed.columns])
