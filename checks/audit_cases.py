@@ -195,3 +195,14 @@ def _(spark, d):
     ev = fx.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("fetched_at"))
     info = fx.table(spark, d, "region").filter("r_regionkey = 0").select(F.lit("20240101").alias("feed_start_date"), F.lit("20240120").alias("feed_end_date"))
     return rounded(audit.audit_windows(ev, info))
+
+
+@case("c07_quality_report", f"""
+select 'duplicates' as section, 'duplicates' as item, sum(case when veh_s is not null then n - 1 else 0 end)::double as value from (select vehicle_id, veh_s, count(*) as n from v_vp group by 1, 2)
+union all select 'availability', 'occupancy_status.pct_non_null', {rs('100e0 * count(occupancy_status) / count(*)')} from v_vp
+union all select 'speed', 'negative', count(*) filter (where speed < 0) from v_traj""")
+def _(spark, d):
+    from tramline.plans import slices
+
+    out = slices.quality_report(fx.vehicle_positions(spark, d), fx.fetch_logs(spark, d), fx.trajectories(spark, d), ["occupancy_status", "speed_mps"])
+    return rounded(out.filter("(section = 'duplicates' and item = 'duplicates') or section = 'availability' and item like 'occ%' or (section = 'speed' and item = 'negative')"))

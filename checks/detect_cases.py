@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tramline.operators import buses, detect, rollups
+from tramline.plans import slices
 
 from . import fixtures as fx
 from .registry import case, rounded, rs
@@ -178,3 +179,37 @@ left join (select {_SL}, count(*) filter (where type = 'bunch') as bunch, count(
 def _(spark, d):
     pts, ev = _both(spark, d)
     return rounded(rollups.slice_totals(ev, pts))
+
+
+@case("c02_slice_view", f"""
+select {_SL}, bunch, idle, crowd, bunch_time, bunch_dist from (select {_SL}, count(*) filter (where type = 'bunch') as bunch, count(*) filter (where type = 'idle') as idle,
+ count(*) filter (where type = 'crowd') as crowd, count(*) filter (where method = 'time') as bunch_time, count(*) filter (where method = 'distance') as bunch_dist
+ from v_event where route_id = 'R0' group by {_SL})""")
+def _(spark, d):
+    view = slices.slice_view(fx.trajectories(spark, d), fx.route_stops(spark, d), route_id="R0", stale_s=330.0, method="both")
+    return rounded(view.totals.select(*buses.SLICE, "bunch", "idle", "crowd", "bunch_time", "bunch_dist"))
+
+
+@case("c03_slice_analytics", f"""
+select {_SL}, h.hour, count(*) filter (where type = 'bunch') as bunch, count(*) filter (where type = 'idle') as idle,
+ count(*) filter (where type = 'crowd') as crowd
+from {_AXIS} s cross join (select unnest(generate_series(0, 23)) as hour) h
+left join (select *, {_HOUR} as hour from v_event) e using ({_SL}, hour) group by {_SL}, h.hour""")
+def _(spark, d):
+    view = slices.slice_view(fx.trajectories(spark, d), fx.route_stops(spark, d), stale_s=330.0, method="both")
+    return rounded(slices.slice_analytics(view, fx.route_stops(spark, d))["hourly_counts"])
+
+
+@case("flagship_bunching_by_route_hour", f"""
+select route_id, {_HOUR} as hour, count(*) as bunching, count(distinct {"bus_index * 100 + direction_id * 10 + (service_date = '20240101')::int"}) as buses, {rs('avg(stop_index)')} as mean_stop
+from v_bdist group by 1, 2""")
+def _(spark, d):
+    return flagship(spark, d)
+
+
+def flagship(spark, d):
+    """Distance-bunching events per route and local hour, from raw pings to the rollup."""
+    ev = detect.bunch_distance_events(detect.interpolate_on_ticks(fx.bus_points(spark, d)))
+    hour = (F.floor(F.col("minute_of_day") / 60) % 24).cast("int")
+    return rounded(ev.groupBy("route_id", hour.alias("hour")).agg(
+        F.count("*").alias("bunching"), F.countDistinct("service_date", "direction_id", "bus_id").alias("buses"), F.avg("stop_index").alias("mean_stop")))

@@ -156,8 +156,8 @@ def _(spark, d):
     folder = shared_dir(spark, "report")
     s = scores(spark, d)
     store.write_report_tables(sc.score_metrics(s, thresholds(spark, d)), sc.reliability_bins(s), folder)
-    back = spark.read.option("header", True).schema("bin bigint, n bigint").option("enforceSchema", False).csv(f"{folder}/reliability")
-    return back.filter("n > 0").select("bin", "n")
+    back = spark.read.option("header", True).csv(f"{folder}/reliability")
+    return back.select(F.col("bin").cast("bigint").alias("bin"), F.col("n").cast("bigint").alias("n")).filter("n > 0")
 
 
 def _models(spark, d):
@@ -288,9 +288,9 @@ from v_bus join v_tref using ({_SL}), (select unnest(generate_series(0, 4)) as j
 VIEWS["v_live"] = f"""
 select b.service_date, b.route_id, b.direction_id, b.bus_index, b.t_ref, age, ref_stop, coalesce(n, 0) as n, coalesce(lead, false) as has_lead from (
  select service_date, route_id, direction_id, bus_index, t_ref, t_ref - max(case when t <= t_ref then t end) as age,
-  arg_min(stop_index, case when abs(t - t_ref) <= 30 then abs(t - t_ref) * 1000000000::hugeint * 100 + t end) as ref_stop from v_bus join v_tref using ({_SL}) group by all) b
-left join (select service_date, route_id, direction_id, bus_index, count(*) as n, bool_or(exists (select 1 from v_near o where o.service_date = a.service_date and o.route_id = a.route_id
-  and o.direction_id = a.direction_id and o.j = a.j and o.dist > a.dist)) as lead from v_near a group by all) using ({_SL}, bus_index)"""
+  arg_min(stop_index, case when abs(t - t_ref) <= 30 then abs(t - t_ref) * 1000000000::hugeint * 100 + t end) as ref_stop from v_bus join v_tref using ({_SL}) group by service_date, route_id, direction_id, bus_index, t_ref) b
+left join (select service_date, route_id, direction_id, bus_index, count(*) as n, bool_or(dist < top) as lead from (
+  select *, max(dist) over (partition by service_date, route_id, direction_id, j) as top from v_near) group by all) using ({_SL}, bus_index)"""
 
 
 def _refs(points):
