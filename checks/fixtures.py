@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.operators import buses, trajectory
+from tramline.session import materialise
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -126,7 +127,8 @@ def trajectories(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bus_points(spark: SparkSession, d: str) -> DataFrame:
-    return buses.group_into_buses(trajectories(spark, d), route_stops(spark, d), stale_s=330.0)
+    grouped = buses.group_into_buses(trajectories(spark, d), route_stops(spark, d), stale_s=330.0)
+    return materialise(grouped, "points")  # several operators read it more than once
 
 
 def fetch_logs(spark: SparkSession, d: str) -> DataFrame:

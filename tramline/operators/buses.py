@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..defaults import DEFAULTS
-from .lookup import interval_hit, interval_index
+from .lookup import interval_lookup
 
 SLICE = ["service_date", "route_id", "direction_id"]
 RUN = [*SLICE, "trip_id", "start_date", "vehicle_id"]
@@ -24,32 +24,20 @@ def distance_to_stop_index(traj: DataFrame, route_stops: DataFrame) -> DataFrame
     keys = ["route_id", "direction_id"]
     w = Window.partitionBy(*keys).orderBy("stop_idx")  # one stop list
     spans = route_stops.select(
-        *keys,
-        "stop_idx",
-        F.col("distance_m").alias("lo"),
-        F.lead("distance_m").over(w).alias("hi"),
-        F.min("distance_m").over(Window.partitionBy(*keys)).alias("first_m"),
-        F.max("distance_m").over(Window.partitionBy(*keys)).alias("last_m"),
-        F.count("*").over(Window.partitionBy(*keys)).alias("num_stops"),
+        *keys, "stop_idx", F.col("distance_m").alias("lo"), F.lead("distance_m").over(w).alias("hi")
     ).filter("hi > lo")
-    width = 500.0
-    index = interval_index(spans, keys, ["stop_idx", "first_m", "last_m", "num_stops"], width)
-    index = index.withColumn("_route", F.col("_cells")[0][0])
+    ends = route_stops.groupBy(*keys).agg(
+        F.min("distance_m").alias("_first"), F.max("distance_m").alias("_last"), F.count("*").alias("num_stops")
+    )
+    found = interval_lookup(traj, spans, keys, "travel_distance_m", ["stop_idx"], width=500.0).join(ends, keys, "left")
     d = F.col("travel_distance_m")
-    hit = interval_hit(d, width)
-    inside = F.col("_hit.stop_idx") + (d - F.col("_hit.lo")) / (F.col("_hit.hi") - F.col("_hit.lo"))
+    inside = F.col("stop_idx") + (d - F.col("lo")) / (F.col("hi") - F.col("lo"))
     stop = (
-        F.when(d <= F.col("_route.first_m"), F.lit(0.0))
-        .when(d >= F.col("_route.last_m"), (F.col("_route.num_stops") - 1).cast("double"))
+        F.when(d <= F.col("_first"), F.lit(0.0))
+        .when(d >= F.col("_last"), (F.col("num_stops") - 1).cast("double"))
         .otherwise(inside)
     )
-    return (
-        traj.join(index, keys, "left")
-        .withColumn("_hit", hit)
-        .withColumn("stop_index", stop)
-        .withColumn("num_stops", F.col("_route.num_stops"))
-        .drop("_hit", "_route", "_cells", "_first_cell")
-    )
+    return found.withColumn("stop_index", stop).drop("lo", "hi", "stop_idx", "_first", "_last")
 
 
 def segment_vehicle_points(

@@ -138,28 +138,29 @@ def passage_headway(chain: DataFrame, step_s: int = DEFAULTS.step_s) -> DataFram
     running ``last`` values. Null where the leader's track does not span the distance.
     """
     by_time = Window.partitionBy(*BUS).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    track = chain.select(
-        *SLICE, F.col("bus_id").alias("on_bus"),
-        F.max("dist_m").over(by_time).alias("d"), "k", F.lit(0).alias("ask"), F.lit(None).cast("string").alias("asker"),
-        F.count("*").over(Window.partitionBy(*BUS)).alias("n"),
+    rows = chain.withColumns(
+        {"_cm": F.max("dist_m").over(by_time), "_n": F.count("*").over(Window.partitionBy(*BUS))}
     )
-    asked = chain.filter("leader_id is not null").select(
-        *SLICE, F.col("leader_id").alias("on_bus"), F.col("dist_m").alias("d"), "k", F.lit(1).alias("ask"),
-        F.col("bus_id").alias("asker"), F.lit(None).cast("bigint").alias("n"),
-    )
-    line = track.unionByName(asked)
-    point = F.when(F.col("ask") == 0, F.struct("d", "k", "n"))
-    keys = [*SLICE, "on_bus"]
-    up = Window.partitionBy(*keys).orderBy("d", F.desc("ask"), "k").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*keys).orderBy(F.desc("d"), "ask", F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    # every row goes out twice: as a point of its own track, and as a question to its leader
+    none = F.lit(None)
+    row = F.struct(*[F.col(c) for c in chain.columns])
+    track = F.struct(F.col("bus_id").alias("on_bus"), F.col("_cm").alias("d"), F.lit(0).alias("ask"),
+                     F.struct(F.col("_cm").alias("d"), F.col("k").alias("k"), F.col("_n").alias("n")).alias("point"), F.when(F.lit(False), row).alias("row"))
+    ask = F.struct(F.coalesce("leader_id", "bus_id").alias("on_bus"), F.col("dist_m").alias("d"), F.lit(1).alias("ask"),
+                   none.cast("struct<d: double, k: bigint, n: bigint>").alias("point"), row.alias("row"))
+    line = rows.select(*SLICE, "k", F.explode(F.array(track, ask)).alias("z")).select(
+        *[F.col(c).alias(f"_{c}") for c in SLICE], F.col("k").alias("_k"), "z.*")
+    keys = [f"_{c}" for c in SLICE] + ["on_bus"]
+    up = Window.partitionBy(*keys).orderBy("d", F.desc("ask"), "_k").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*keys).orderBy(F.desc("d"), "ask", F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
     placed = line.withColumns(
-        {"below": F.last(point, ignorenulls=True).over(up), "above": F.last(point, ignorenulls=True).over(down)}
-    ).filter("ask = 1 and above.n >= 2")
+        {"below": F.last("point", ignorenulls=True).over(up), "above": F.last("point", ignorenulls=True).over(down)}
+    ).filter("ask = 1")
     t = F.when(F.col("below").isNull(), F.when(F.col("above.d") == F.col("d"), F.col("above.k").cast("double"))).otherwise(
         F.col("below.k") + (F.col("d") - F.col("below.d")) / (F.col("above.d") - F.col("below.d")) * (F.col("above.k") - F.col("below.k"))
     )
-    answers = placed.select(*SLICE, F.col("asker").alias("bus_id"), "k", ((F.col("k") - t) * step_s).alias("headway_s"))
-    return chain.join(answers, [*BUS, "k"], "left")
+    known = F.col("row.leader_id").isNotNull() & (F.col("above.n") >= 2)
+    return placed.select("row.*", F.when(known, (F.col("_k") - t) * step_s).alias("headway_s"))
 
 
 # Channel names of the history window and of the context layouts.

@@ -16,7 +16,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lookup import interval_hit, interval_index
+from .lookup import interval_lookup
 from .scoring import average_precision, pick_threshold, to_long
 
 
@@ -160,19 +160,17 @@ def apply_isotonic(scores: DataFrame, breakpoints: DataFrame, width: float = 0.0
     """Piecewise-linear calibration, clipped at the ends: a lookup of the interval around each
     score among its horizon's breakpoints."""
     w = Window.partitionBy("h").orderBy("x")
-    whole = Window.partitionBy("h")
     spans = breakpoints.select(
-        "h", F.col("x").alias("lo"), F.coalesce(F.lead("x").over(w), F.col("x") + 1e-9).alias("hi"), F.col("y").alias("y0"),
-        F.coalesce(F.lead("y").over(w), F.col("y")).alias("y1"),
-        F.min("x").over(whole).alias("x_min"), F.max("x").over(whole).alias("x_max"),
-        F.min_by("y", "x").over(whole).alias("y_min"), F.max_by("y", "x").over(whole).alias("y_max"),
+        "h", F.col("x").alias("lo"), F.lead("x").over(w).alias("hi"), F.col("y").alias("y0"), F.lead("y").over(w).alias("y1")
+    ).filter("hi > lo")
+    ends = breakpoints.groupBy("h").agg(
+        F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min_by("y", "x").alias("_y0"), F.max_by("y", "x").alias("_y1")
     )
-    index = interval_index(spans, ["h"], ["y0", "y1", "x_min", "x_max", "y_min", "y_max"], width).withColumn("_any", F.col("_cells")[0][0])
     p = F.col("p")
-    j = scores.join(index, "h", "left").withColumn("_hit", interval_hit(p, width))
-    inner = F.col("_hit.y0") + (p - F.col("_hit.lo")) / (F.col("_hit.hi") - F.col("_hit.lo")) * (F.col("_hit.y1") - F.col("_hit.y0"))
-    cal = (F.when(p <= F.col("_any.x_min"), F.col("_any.y_min")).when(p >= F.col("_any.x_max"), F.col("_any.y_max")).otherwise(inner))
-    return j.withColumn("p_cal", F.coalesce(cal, p)).drop("_cells", "_first_cell", "_hit", "_any")
+    j = interval_lookup(scores, spans, ["h"], "p", ["y0", "y1"], width).join(ends, "h", "left")
+    inner = F.col("y0") + (p - F.col("lo")) / (F.col("hi") - F.col("lo")) * (F.col("y1") - F.col("y0"))
+    cal = F.when(p <= F.col("_x0"), F.col("_y0")).when(p >= F.col("_x1"), F.col("_y1")).otherwise(inner)
+    return j.withColumn("p_cal", F.coalesce(cal, p)).select(*scores.columns, "p_cal")
 
 
 # --- stacking and comparison --------------------------------------------------------------

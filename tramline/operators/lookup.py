@@ -1,4 +1,4 @@
-"""Point-in-interval lookup without a range join."""
+"""Point-in-interval lookup as an equi-join."""
 
 from __future__ import annotations
 
@@ -8,40 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def interval_index(
-    intervals: DataFrame, keys: Sequence[str], payload: Sequence[str], width: float
-) -> DataFrame:
-    """One row per key: its intervals ``[lo, hi)`` filed under dense cells of ``width``.
-
-    ``_cells[i]`` holds the few intervals that touch cell ``_first_cell + i``. The row grows
-    with one route's stops or one polyline's segments, never with the points looked up.
-    """
-    cells = (
-        intervals.withColumn(
-            "_cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width)))
-        )
-        .groupBy(*keys)
-        .agg(
-            F.min("_cell").alias("_first_cell"),
-            F.max("_cell").alias("_last_cell"),
-            F.array_sort(F.collect_list(F.struct("_cell", "lo", "hi", *payload))).alias("_all"),
-        )
-    )
-    filed = F.transform(
-        F.sequence("_first_cell", "_last_cell"),
-        lambda c: F.filter("_all", lambda s: s["_cell"] == c),
-    )
-    return cells.select(*keys, "_first_cell", filed.alias("_cells"))
-
-
-def interval_hit(position, width: float):
-    """The interval of ``interval_index`` that holds ``position`` (greatest ``lo`` on overlap),
-    by direct indexing of its cell; null outside."""
-    cell = F.get("_cells", (F.floor(position / width) - F.col("_first_cell")).cast("int"))
-    inside = F.filter(cell, lambda s: (s["lo"] <= position) & (position < s["hi"]))
-    return F.try_element_at(inside, F.lit(-1))
-
-
 def interval_lookup(
     points: DataFrame,
     intervals: DataFrame,
@@ -50,6 +16,22 @@ def interval_lookup(
     payload: Sequence[str],
     width: float,
 ) -> DataFrame:
-    """Left lookup on the key; result column ``_hit``. One output row per point."""
-    joined = points.join(interval_index(intervals, keys, payload, width), list(keys), "left")
-    return joined.withColumn("_hit", interval_hit(F.col(position), width)).drop("_first_cell", "_cells")
+    """Left lookup of the interval ``[lo, hi)`` of the same key that holds ``position``.
+
+    Intervals of a key must not overlap. Each is listed under the cells of ``width`` it
+    touches; a point joins its own cell, with the exact bounds as the rest of the join
+    condition, so at most one row matches. A hash join inside generated code, no range join.
+    Adds ``lo``, ``hi`` and the payload, null outside every interval.
+    """
+    cells = intervals.select(
+        *keys, "lo", "hi", *payload,
+        F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))).alias("_cell"),
+    ).alias("cells")
+    located = points.withColumn("_cell", F.floor(F.col(position) / width)).alias("points")
+    on = (F.col("points._cell") == F.col("cells._cell")) & (F.col(f"points.{position}") >= F.col("cells.lo")) & (
+        F.col(f"points.{position}") < F.col("cells.hi"))
+    for k in keys:
+        on = on & (F.col(f"points.{k}") == F.col(f"cells.{k}"))
+    return located.join(cells, on, "left").select(
+        *[F.col(f"points.{c}") for c in points.columns], *[F.col(f"cells.{c}") for c in ("lo", "hi", *payload)]
+    )

@@ -82,8 +82,9 @@ def cumulative_by_value(
     """
     names = list(sums)
     per_value = df.groupBy(*keys, value).agg(*[F.sum(sums[n]).alias(n) for n in names])
-    bounds = value_bounds(df.select(F.col(value).cast("double").alias(value)), value)
-    bucket = F.size(F.filter("_bounds", lambda b: b < F.col(value)))
+    bounds = value_bounds(per_value.select(F.col(value).cast("double").alias(value)), value)
+    # never null, so that no null test on it is pushed below the aggregate
+    bucket = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(value))), F.lit(0))
     cut = (
         per_value.withColumn("_bounds", bounds.scalar())
         .withColumn("_bucket", (-bucket if descending else bucket))

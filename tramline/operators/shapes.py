@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..defaults import DEFAULTS
 from ..functions import geo
-from .lookup import interval_hit, interval_index
+from .lookup import interval_lookup
 
 SEGMENT = ["seg_no", "x0", "y0", "x1", "y1", "cum_m", "len_m"]
 
@@ -164,33 +164,24 @@ def distance_of_foot(points: DataFrame, segments: DataFrame, shape_id: str) -> D
 
 def lonlat_at_distance(traj: DataFrame, segments: DataFrame, width_m: float = 250.0) -> DataFrame:
     """Position at a distance along the row's polyline, clamped to its ends."""
-    w = Window.partitionBy("shape_id")
-    spans = segments.withColumns(
-        {
-            "lo": F.col("cum_m"),
-            "hi": F.col("cum_m") + F.col("len_m"),
-            "end_x": F.max_by("x1", "seg_no").over(w),
-            "end_y": F.max_by("y1", "seg_no").over(w),
-            "total_m": F.sum("len_m").over(w),
-        }
-    ).filter("len_m > 0")
-    index = interval_index(spans, ["shape_id"], ["x0", "y0", "x1", "y1", "len_m", "end_x", "end_y", "total_m"], width_m)
-    index = index.withColumn("_line", F.col("_cells")[0][0])
-    at = F.greatest(F.lit(0.0), F.col("travel_distance_m"))
-    found = traj.join(index, "shape_id", "left").withColumn("_hit", interval_hit(at, width_m))
-    frac = (at - F.col("_hit.lo")) / F.col("_hit.len_m")
-    beyond = at >= F.col("_line.total_m")
-    x = F.when(beyond, F.col("_line.end_x")).otherwise(
-        F.col("_hit.x0") + frac * (F.col("_hit.x1") - F.col("_hit.x0"))
+    spans = segments.filter("len_m > 0").select(
+        "shape_id", "x0", "y0", "x1", "y1", "len_m", F.col("cum_m").alias("lo"), (F.col("cum_m") + F.col("len_m")).alias("hi")
     )
-    y = F.when(beyond, F.col("_line.end_y")).otherwise(
-        F.col("_hit.y0") + frac * (F.col("_hit.y1") - F.col("_hit.y0"))
+    ends = segments.groupBy("shape_id").agg(
+        F.max_by("x1", "seg_no").alias("_end_x"), F.max_by("y1", "seg_no").alias("_end_y"), F.sum("len_m").alias("_total")
     )
+    at = F.greatest(F.lit(0.0), F.col("travel_distance_m"))
+    placed = interval_lookup(traj.withColumn("_at", at), spans, ["shape_id"], "_at", ["x0", "y0", "x1", "y1", "len_m"], width_m)
+    found = placed.join(ends, "shape_id", "left")
+    frac = (F.col("_at") - F.col("lo")) / F.col("len_m")
+    beyond = F.col("_at") >= F.col("_total")
+    x = F.when(beyond | frac.isNull(), F.col("_end_x")).otherwise(F.col("x0") + frac * (F.col("x1") - F.col("x0")))
+    y = F.when(beyond | frac.isNull(), F.col("_end_y")).otherwise(F.col("y0") + frac * (F.col("y1") - F.col("y0")))
     lon, lat = geo.utm_lonlat(F.col("_x"), F.col("_y"))
     return (
         found.withColumns({"_x": x, "_y": y})
         .withColumns({"longitude": lon, "latitude": lat})
-        .drop("_hit", "_line", "_cells", "_first_cell", "_x", "_y")
+        .select(*traj.columns, "longitude", "latitude")
     )
 
 
