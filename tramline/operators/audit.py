@@ -42,8 +42,8 @@ def filter_drop_rates(keyed: DataFrame, trips: DataFrame, segments: DataFrame,
         "projected",
         "dropped_off_route",
         tele.alias("dropped_teleport"),
-        (100 * F.col("dropped_off_route") / F.col("projected")).alias("off_route_pct"),
-        (100 * tele / F.col("projected")).alias("teleport_pct"),
+        F.try_divide(100 * F.col("dropped_off_route"), F.col("projected")).alias("off_route_pct"),
+        F.try_divide(100 * tele, F.col("projected")).alias("teleport_pct"),
     )
 
 

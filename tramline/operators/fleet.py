@@ -127,7 +127,7 @@ def spatial_outliers(vp: DataFrame, box: tuple[float, float, float, float]) -> D
         F.count("*").alias("rows"),
         F.count_if(missing).alias("missing"),
         F.count_if(out).alias("outliers"),
-        (100 * F.count_if(out) / F.count_if(~missing)).alias("outlier_pct"),
+        F.try_divide(100 * F.count_if(out), F.count_if(~missing)).alias("outlier_pct"),
     )
 
 

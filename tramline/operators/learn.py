@@ -236,13 +236,15 @@ def model_compare(val: DataFrame, test: DataFrame, horizon: int, step_s: int = 6
 # --- importance ---------------------------------------------------------------------------
 
 
-def permuted_channel(examples: DataFrame, channel: int, n_channels: int, seed: int = 2026, lanes: int = 64) -> DataFrame:
+def permuted_channel(examples: DataFrame, channel: int, n_channels: int, seed: int = 2026, lane_rows: int = 5000) -> DataFrame:
     """Examples with one channel (all its ticks) taken from another row.
 
     Rows fall into random lanes and take the channel of the next row in a random order of
-    their lane: a random pairing without one global sort. Raise ``lanes`` with the table.
+    their lane: a random pairing without one global sort. The number of lanes follows the row
+    count, so a lane stays near ``lane_rows`` rows.
     """
-    lane = F.pmod(F.xxhash64(F.lit(seed), F.lit(channel), "example_id"), F.lit(lanes))
+    lanes = F.greatest(F.lit(1), F.floor(examples.agg(F.count("*")).scalar() / lane_rows))
+    lane = F.pmod(F.xxhash64(F.lit(seed), F.lit(channel), "example_id"), lanes)
     mixed = F.xxhash64(F.lit(seed + 1), F.lit(channel), "example_id")
     w = Window.partitionBy("_lane").orderBy("_mix", "example_id")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

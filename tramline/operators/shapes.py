@@ -324,7 +324,7 @@ def shape_length_check(segments: DataFrame) -> DataFrame:
     hav = geo.haversine_m(F.col("shape_pt_lon"), F.col("shape_pt_lat"), F.col("next_lon"), F.col("next_lat"))
     return segments.groupBy("shape_id").agg(
         F.sum("len_m").alias("planar_m"), F.sum(hav).alias("haversine_m")
-    ).withColumn("abs_error", F.abs(F.col("planar_m") / F.col("haversine_m") - 1))
+    ).withColumn("abs_error", F.abs(F.try_divide("planar_m", "haversine_m") - 1))
 
 
 def stop_order_check(route_stops: DataFrame, probes: int = 200) -> DataFrame:

@@ -38,18 +38,17 @@ def write_trajectories_replace(rows: DataFrame, path: str, keys: DataFrame | Non
     spark = rows.sparkSession
     inst = ["trip_id", "start_date"]
     replaced = (keys if keys is not None else rows).select(*inst).distinct()
+    emptied: list = []
     if table_exists(spark, path):
         old = spark.read.parquet(path)
         hit = old.join(replaced, inst, "left_semi").select("service_date")
         dates = hit.union(rows.select("service_date")).distinct()
         kept = old.join(dates, "service_date", "left_semi").join(replaced, inst, "left_anti")
-        # dates whose rows all go away keep an empty partition through a marker-free rewrite
-        merged = kept.unionByName(rows.select(*old.columns))
-        emptied = dates.join(merged.select("service_date").distinct(), "service_date", "left_anti")
-        _drop_partitions(spark, path, emptied)
+        staged = materialise(kept.unionByName(rows.select(*old.columns)), "staged")
+        left = staged.select("service_date").distinct()
+        emptied = [r[0] for r in dates.join(left, "service_date", "left_anti").collect()]  # a few dates
     else:
-        merged = rows
-    staged = materialise(merged, "staged")
+        staged = materialise(rows, "staged")
     (
         _even(staged, "service_date")
         .write.mode("overwrite")
@@ -57,14 +56,17 @@ def write_trajectories_replace(rows: DataFrame, path: str, keys: DataFrame | Non
         .partitionBy("service_date")
         .parquet(path)
     )
+    _drop_partitions(spark, path, emptied)
 
 
-def _drop_partitions(spark: SparkSession, path: str, dates: DataFrame) -> None:
-    """Remove partitions that a replacement leaves without rows (a handful of dates)."""
+def _drop_partitions(spark: SparkSession, path: str, dates: list) -> None:
+    """Remove partitions that a replacement leaves without rows (an overwrite cannot)."""
     jvm = spark._jvm
-    for row in dates.toLocalIterator():
-        p = jvm.org.apache.hadoop.fs.Path(f"{path}/service_date={row[0]}")
+    for day in dates:
+        p = jvm.org.apache.hadoop.fs.Path(f"{path}/service_date={day}")
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if dates:
+        spark.catalog.refreshByPath(path)
 
 
 def append_run(spark: SparkSession, path: str, run_id: str, status: str, at: Column | None = None,
