@@ -141,19 +141,22 @@ def _(spark, d):
     return rounded(spark.read.parquet(path).groupBy("trip_id", "start_date").agg(F.count("*").alias("rows"), F.sum("travel_distance_m").alias("dist")), 1)
 
 
-@case("s12_run_ledger", """select run_id, started_at, finished_at, status, rows_written, error_message from (
- select 'a' as run_id, 1000 as started_at, 1060 as finished_at, 'ok' as status, count(*) as rows_written, null::varchar as error_message from events
- union all select 'b', 2000, 2005, 'failed', null, 'boom' union all select 'c', 3000, null, 'running', null, null)""")
+@case("s12_run_ledger", """select o_orderkey::varchar as run_id, t as started_at, case when o_orderstatus <> 'O' then t + o_custkey % 600 end as finished_at,
+ case o_orderstatus when 'O' then 'running' when 'P' then 'failed' else 'ok' end as status, case when o_orderstatus = 'F' then o_custkey end as rows_written,
+ case when o_orderstatus = 'P' then o_orderpriority end as error_message from (select *, epoch_us(o_orderdate) // 1000000 as t from orders)""")
 def _(spark, d):
+    """Orders as runs: every run starts, finished ones end, partial ones fail."""
     path = shared_dir(spark, "ledger")
-    n = fx.table(spark, d, "events").count()
-    at = lambda s: F.timestamp_seconds(F.lit(s))
-    store.append_run(spark, path, "a", "running", at(1000), config={"resolution": "10"})
-    store.append_run(spark, path, "a", "ok", at(1060), rows_written=n)
-    store.append_run(spark, path, "b", "running", at(2000))
-    store.append_run(spark, path, "b", "failed", at(2005), error="boom")
-    store.append_run(spark, path, "c", "running", at(3000))
-    return rounded(store.run_ledger(spark.read.parquet(path)))
+    o = fx.table(spark, d, "orders").withColumn("t", F.unix_seconds(F.col("o_orderdate").cast("timestamp")))
+    store.append_run(spark, path, "first", "running", config={"resolution": "10"})
+    begun = F.struct(F.lit("running").alias("status"), F.timestamp_seconds("t").alias("at"), F.lit(None).cast("bigint").alias("rows_written"), F.lit(None).cast("string").alias("error_message"))
+    ended = F.struct(
+        F.when(F.col("o_orderstatus") == "P", "failed").otherwise("ok").alias("status"), F.timestamp_seconds(F.expr("t + o_custkey % 600")).alias("at"),
+        F.when(F.col("o_orderstatus") == "F", F.col("o_custkey")).alias("rows_written"), F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority")).alias("error_message"))
+    steps = F.when(F.col("o_orderstatus") == "O", F.array(begun)).otherwise(F.array(begun, ended))
+    log = o.select(F.col("o_orderkey").cast("string").alias("run_id"), F.explode(steps).alias("s")).select("run_id", "s.*")
+    log.withColumn("config", F.lit(None).cast("map<string,string>")).write.mode("append").parquet(path)
+    return rounded(store.run_ledger(spark.read.parquet(path)).filter("run_id <> 'first'"))
 
 
 @case("s13_export_day_csv", "select route_id, service_date, case when route_id = 'R0' then -1 else direction_id end as direction_id, count(*) as rows from v_traj group by 1, 2, 3")

@@ -19,11 +19,11 @@ from .sql_views import VIEWS
 PARTS = 3
 
 
-def land(df, name):
+def land(df, name, parts=PARTS):
     """Write a frame as a few files and read them back as a stream, one file per trigger."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.repartition(PARTS).write.parquet(path)
+    df.repartition(parts).write.parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -57,7 +57,7 @@ def _(spark, d):
     vp = materialise(fx.vehicle_positions(spark, d), "vp")
     trips, shape_points = materialise(fx.trips(spark, d), "trips"), materialise(fx.shape_points(spark, d), "shapes")
     path = shared_dir(spark, "trajectories")
-    _run(jobs.incremental_refresh(land(vp, "vp"), lambda: vp, trips, shape_points, path, shared_dir(spark, "cp")))
+    _run(jobs.incremental_refresh(land(vp, "vp", 2), lambda: vp, trips, shape_points, path, shared_dir(spark, "cp")))
     return rounded(spark.read.parquet(path).groupBy("trip_id", "start_date").agg(F.count("*").alias("rows"), F.min("datetime").alias("first_t"), F.max("datetime").alias("last_t")))
 
 
@@ -137,7 +137,7 @@ def _(spark, d):
     model = _forecaster(spark, d)
     path = shared_dir(spark, "scored")
     read = lambda refs: pts.join(refs.select(*buses.SLICE), buses.SLICE, "left_semi")
-    _run(jobs.score_stream(land(pts.select(*buses.SLICE, "datetime"), "points"), read, model, path, shared_dir(spark, "cp")))
+    _run(jobs.score_stream(land(pts.select(*buses.SLICE, "datetime"), "points", 2), read, model, path, shared_dir(spark, "cp")))
     out = spark.read.parquet(path)
     return rounded(out.groupBy(*buses.SLICE).agg(F.count("*").alias("scored_rows"), F.count_if("eligible").alias("eligible")))
 

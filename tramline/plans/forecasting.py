@@ -70,7 +70,7 @@ def train_calibrate(train: DataFrame, val: DataFrame, horizon: int, length: int,
 
 def score(examples: DataFrame, model: Forecaster) -> DataFrame:
     """Calibrated probability vector per example."""
-    scored = learn.predict_bag(with_features(examples, model.scaler), model.bags)
+    scored = materialise(learn.predict_bag(with_features(examples, model.scaler), model.bags), "predicted")
     long = scored.select("example_id", F.posexplode("probs").alias("_h", "p")).withColumn("h", F.col("_h") + 1)
     cal = learn.apply_isotonic(long, model.breakpoints).groupBy("example_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("h", "p_cal"))), lambda x: x["p_cal"]).alias("cal"))  # H entries
@@ -142,7 +142,7 @@ def score_slices(points: DataFrame, refs: DataFrame, model: Forecaster, freshnes
                  cap_minutes: int | None = None) -> DataFrame:
     """One row per bus and reference time of all slices: eligibility, truncated probabilities
     and alert state (null where not eligible)."""
-    state = eligibility(points, refs, model.length, model.step_s, freshness_s, edge)
+    state = materialise(eligibility(points, refs, model.length, model.step_s, freshness_s, edge), "state")
     if "shape_length_m" in points.columns:
         lengths = points.groupBy(*buses.SLICE).agg(F.max("shape_length_m").alias("shape_length_m"))
         state = state.join(lengths, buses.SLICE)
