@@ -150,3 +150,11 @@ def test_replace_is_idempotent_and_clears_emptied_instances(spark):
         store.write_trajectories_replace(new, path, keys)
         got = sorted((r["trip_id"], r["travel_distance_m"]) for r in spark.read.parquet(path).collect())
         assert got == [("A", 9.0), ("B", 2.0)]
+
+
+def test_echo_of_an_old_instance_is_not_part_of_it(spark):
+    rows = [("T", "20260115", "2026-01-15 12:00:00"), ("T", "20260115", "2026-01-14 22:59:59"), ("T", "20260115", "2026-01-14 23:00:00"),
+            ("T", "20260115", "2026-01-16 10:59:59"), ("T", "20260115", "2026-01-16 11:00:00"), ("T", "bad", "2026-03-01 00:00:00")]
+    df = spark.createDataFrame(rows, "trip_id string, start_date string, f string").withColumn("fetched_at", F.to_timestamp("f"))
+    got = sorted(r["f"] for r in tr.within_fetch_slack(df).collect())
+    assert got == ["2026-01-14 23:00:00", "2026-01-15 12:00:00", "2026-01-16 10:59:59", "2026-03-01 00:00:00"]

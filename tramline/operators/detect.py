@@ -134,7 +134,8 @@ def interpolate_on_ticks(
                        F.col("stop_index").alias("s"))).over(w).alias("a"),
         F.count("*").over(Window.partitionBy(*BUS)).alias("n"),
     ).filter("n >= 2")
-    start = pair.groupBy(*SLICE).agg(F.min("tb").alias("t_min"))
+    per_bus = points.groupBy(*BUS).agg(F.min(F.unix_micros("datetime")).alias("t"), F.count("*").alias("n"))
+    start = per_bus.filter("n >= 2").groupBy(*SLICE).agg(F.min("t").alias("t_min"))
     step = int(round(tick_s * 1_000_000))
     timed = pair.join(start, SLICE)
     lo = F.when(F.col("a").isNull(), F.ceil((F.col("tb") - F.col("t_min")) / step)).otherwise(

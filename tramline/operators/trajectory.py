@@ -37,6 +37,17 @@ def with_instance(vp: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
     )
 
 
+def within_fetch_slack(keyed: DataFrame, slack_hours: int = DEFAULTS.fetch_slack_hours, zone: str = LOCAL_ZONE) -> DataFrame:
+    """Rows fetched between the slack before an instance's service day and the slack after it.
+    Later echoes of the same trip id and date are not part of the run. Rows with a date that is
+    no date pass here and are dropped with their instance later."""
+    midnight = F.to_utc_timestamp(F.try_to_timestamp("start_date", F.lit("yyyyMMdd")), zone)
+    next_day = F.to_utc_timestamp(F.try_to_timestamp("start_date", F.lit("yyyyMMdd")) + F.make_dt_interval(F.lit(1)), zone)
+    slack = F.make_dt_interval(F.lit(0), F.lit(slack_hours))
+    inside = (F.col("fetched_at") >= midnight - slack) & (F.col("fetched_at") < next_day + slack)
+    return keyed.filter(F.coalesce(inside, F.lit(True)))
+
+
 def drop_null_positions(vp: DataFrame) -> DataFrame:
     return vp.dropna(subset=["latitude", "longitude"])
 
@@ -78,10 +89,14 @@ def resolve_trip_kind(pings: DataFrame, trips: DataFrame) -> DataFrame:
     return instance_routes(pings).join(static, "trip_id", "left").withColumn("kind", kind)
 
 
-def route_mismatch_guard(pings: DataFrame, trips: DataFrame) -> DataFrame:
-    """Drop instances whose timetable route contradicts the realtime one. Only the list of
-    contradicting instances (after aggregation) is joined back."""
-    bad = resolve_trip_kind(pings, trips).filter("kind = 'mismatch'").select(*INSTANCE)
+def route_mismatch_guard(pings: DataFrame, trips: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Drop instances whose timetable route contradicts the realtime one.
+
+    Only the aggregated list of contradicting instances is joined back. ``seen`` gives the raw
+    pings the realtime route is read from, so that ``pings`` may already be deduplicated: the
+    join then moves one row per timestamp, never the raw copies of a hot instance.
+    """
+    bad = resolve_trip_kind(pings if seen is None else seen, trips).filter("kind = 'mismatch'").select(*INSTANCE)
     return pings.join(bad, INSTANCE, "left_anti")
 
 

@@ -10,6 +10,10 @@ from ..operators import fleet, shapes
 from ..operators import trajectory as tr
 
 
+PING = ["id", "trip_id", "start_date", "feed_start_date", "start_time", "route_id", "direction_id", "vehicle_id", "datetime",
+        "latitude", "longitude", "occupancy_status"]
+
+
 def project_instances(
     vp: DataFrame,
     trips: DataFrame,
@@ -18,10 +22,10 @@ def project_instances(
     per_vehicle: bool = False,
 ) -> DataFrame:
     """Guarded, deduplicated pings with shape, start offset and distance along the shape."""
-    keyed = tr.with_instance(vp)
-    guarded = tr.route_mismatch_guard(keyed, trips)
-    unique = tr.dedup_instance_times(tr.drop_null_positions(guarded), per_vehicle)
-    placed = tr.with_start_offset(tr.attach_static_trip(unique, trips)).withColumn(
+    keyed = tr.within_fetch_slack(tr.with_instance(vp)).select(*PING)  # the grouped maximum carries whole rows: keep them narrow
+    unique = tr.dedup_instance_times(tr.drop_null_positions(keyed), per_vehicle)
+    guarded = tr.route_mismatch_guard(unique, trips, seen=keyed)
+    placed = tr.with_start_offset(tr.attach_static_trip(guarded, trips)).withColumn(
         "service_date", F.try_to_date(F.col("start_date"), "yyyyMMdd")
     )
     return shapes.nearest_on_shape(placed.filter("service_date is not null and shape_id is not null"), segments, max_orth_m)

@@ -16,6 +16,7 @@ from ..functions import times
 from ..operators import scoring
 from ..operators import trajectory as tr
 from ..plans import forecasting, trajectories
+from ..session import materialise
 from ..sources import feeds, store
 
 # Seconds between polls of each feed.
@@ -73,8 +74,17 @@ def cold_start_cutoff(now: Column, interval_s: int) -> Column:
 
 
 def refresh_batch(batch: DataFrame, history: DataFrame, trips: DataFrame, shape_points: DataFrame, path: str, **options) -> None:
-    """Recompute the whole of every instance the batch touches and replace its stored rows."""
-    keys = changed_instances(batch)
+    """Recompute the whole of every instance the batch touches and replace its stored rows.
+
+    The history is first cut to the fetch window of the touched service dates, two literals
+    that prune its partitions.
+    """
+    keys = materialise(changed_instances(batch), "keys")
+    day = F.try_to_date(F.col("start_date"), "yyyyMMdd")
+    first, last, odd = keys.agg(F.min(day), F.max(day), F.count_if(day.isNull())).first()
+    if first is not None and odd == 0:
+        lo, hi = times.fetch_window(first)[0], times.fetch_window(last)[1]
+        history = history.filter((F.col("fetched_at") >= lo) & (F.col("fetched_at") < hi))
     keyed = tr.with_instance(history).join(keys, ["trip_id", "start_date"], "left_semi")
     rows = keyed.withColumn("start_date", F.col("feed_start_date")).select(*history.columns)
     built = trajectories.build_trajectories(rows, trips, shape_points, **options)
