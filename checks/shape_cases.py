@@ -149,7 +149,12 @@ def _(spark, d):
     return rounded(out.select("route_id", "direction_id", "shape_id", "stop_id", "stop_idx", "distance_m"), 2)
 
 
-@case("w04_monotone_stop_distances")
+@case("w04_monotone_stop_distances", f"""
+with proj as (select s.shape_id, p.k, arg_min(s.cum + {foot()} * s.len, {orth()} * 1e6 + s.seg_no * 1e-7) as d from v_stop p, v_polyseg s group by 1, 2),
+total as (select shape_id, sum(len) as l from v_polyseg group by 1),
+ahead as (select shape_id, k, max(d) over (partition by shape_id order by k) as d from proj)
+select shape_id, k, {rs('d', 1)} as distance_m from ahead union all
+select shape_id, 61 - k, {rs('case when k = 30 then d else 2 * l - d end', 1)} from ahead join total using (shape_id)""")
 def _(spark, d):
     """Out-and-back line per shape: the stops of the way back must not snap to the way out."""
     pts = fx.shape_points(spark, d)
@@ -160,7 +165,7 @@ def _(spark, d):
         "o", F.expr("case when p = 0 then 0 else 100 end + cast(substr(stop_id, 2) as int) * case when p = 0 then 1 else -1 end"))
     lists = visits.groupBy("shape_id").agg(F.array_sort(F.collect_list(F.struct("o", "x", "y"))).alias("stops"))
     out = shapes.monotone_stop_distances(lists, segs)
-    return rounded(out.select("shape_id", F.posexplode("distances").alias("k", "distance_m")), 2)
+    return rounded(out.select("shape_id", F.posexplode("distances").alias("k", "distance_m")), 1)
 
 
 @case("a35_shape_variants", f"""

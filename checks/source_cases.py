@@ -11,7 +11,7 @@ from tramline.sources import feeds, store
 
 from . import fixtures as fx
 from .registry import case, r, rounded, rs
-from .shape_cases import _segments, foot, orth
+from .shape_cases import _segments, foot, orth, utm_sql
 from .sql_views import VIEWS
 
 
@@ -313,6 +313,26 @@ def _(spark, d):
     return _scan(spark, d).select("route_folder", "route_date", "trip_folder", "id")
 
 
-@case("c08_clean_scraped_trips")
+_LX, _LY = utm_sql("longitude", "latitude")
+VIEWS["v_scr"] = f"""
+select *, {_LX} as x, {_LY} as y from (select route_id, trip_id, 1704110400 + (vt_s - 1704067200) % 3600 as t, -79.38e0 + (value - 50e0) / 80400e0 as longitude,
+ 43.65e0 + (case when dist_m > 4000 then 8000 - dist_m else dist_m end) / 111132e0 as latitude, id from v_ping)"""
+VIEWS["v_scrfoot"] = f"""
+select id, route_id, trip_id, t, s.x0 + {foot()} * (s.x1 - s.x0) as x, s.y0 + {foot()} * (s.y1 - s.y0) as y from v_scr p, v_polyseg s where {orth()} <= 200
+qualify row_number() over (partition by id order by {orth()}, shape_id, seg_no) = 1"""
+VIEWS["v_scrdist"] = f"""
+select route_id, trip_id, t, min(d) as d from (select p.id, p.route_id, p.trip_id, p.t, arg_min(s.cum + {foot()} * s.len, {orth()} * 1e6 + s.seg_no * 1e-7) as d
+ from v_scrfoot p, v_polyseg s where s.shape_id = 'S0' group by 1, 2, 3, 4) group by 1, 2, 3"""
+VIEWS["v_scr1"] = "select *, lead(d) over w as nx, case when lead(d) over w >= d then 1 else -1 end as s1 from v_scrdist window w as (partition by route_id, trip_id order by t)"
+VIEWS["v_scr2"] = "select *, case when nx = d then lag(s1) over w else s1 end as s2 from v_scr1 window w as (partition by route_id, trip_id order by t)"
+VIEWS["v_scr3"] = "select *, case when nx is null then lag(s2) over w else s2 end as step from v_scr2 window w as (partition by route_id, trip_id order by t)"
+VIEWS["v_scr4"] = "select *, nx is not null and nx <> d and step is distinct from lead(step) over w as chg from v_scr3 window w as (partition by route_id, trip_id order by t)"
+VIEWS["v_scr5"] = """select *, case when c is null or t <= c then 1 else 2 end as part from (select *, min(case when chg then t end) over (partition by route_id, trip_id) as c from v_scr4)"""
+VIEWS["v_scr6"] = """select *, lead(t) over w as t2, lead(d) over w as d2 from v_scr5 window w as (partition by route_id, trip_id, part order by t)"""
+VIEWS["v_scr7"] = """select *, d + (g - t)::double * ((d2 - d) / (t2 - t)) as gd from (select *, unnest(generate_series(((t + 9) // 10) * 10, t2 - 1, 10)) as g from v_scr6 where t2 is not null)"""
+
+
+@case("c08_clean_scraped_trips", f"""select route_id as route, trip_id as trip_folder, part, g as datetime, {rs('round_even(gd * 100, 0)::double / 100', 1)} as travel_distance_m, {rs('round_even((d2 - d) / (t2 - t) * 100, 0)::double / 100', 1)} as moving_speed_m_s from v_scr7""")
 def _(spark, d):
-    return rounded(scraped_plan.clean_trips(_scan(spark, d), _segments(spark, d), "S0", 200.0), 1)
+    out = scraped_plan.clean_trips(_scan(spark, d), _segments(spark, d), "S0", 200.0)
+    return rounded(out.select("route", "trip_folder", "part", "datetime", "travel_distance_m", "moving_speed_m_s"), 1)

@@ -1,6 +1,6 @@
 """Run registered queries on Spark beside their SQL on DuckDB and report differences.
 
-usage: python tools/compare.py [sf] [name-prefix ...]
+usage: python tools/compare.py [sf or folder] [name-prefix ...]
 """
 
 import math
@@ -57,7 +57,7 @@ def compare(name, got_cols, got, con):
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     prefixes = sys.argv[2:]
-    d = f"/root/testdata/sf{sf}"
+    d = sf if "/" in sf else f"/root/testdata/sf{sf}"
     spark = local_session(8)
     spark.sparkContext.setLogLevel("OFF")
     con = duckdb.connect()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import values
 from ..operators import fleet, scraped, shapes
 from ..operators import trajectory as tr
+from ..operators.sequence import earliest_by
 
 
 def clean_trips(raw: DataFrame, segments: DataFrame, shape_id: str, corridor_m: float = 100.0,
@@ -25,7 +26,8 @@ def clean_trips(raw: DataFrame, segments: DataFrame, shape_id: str, corridor_m:
         }
     )
     dated = fleet.time_of_day_filter(placed.filter("datetime is not null"), "datetime", start, end)
-    unique = dated.dropDuplicates([*scraped.TRIP, "datetime"])
+    # one row per second of a trip file; the choice among repeats does not depend on row order
+    unique = earliest_by(dated, [*scraped.TRIP, "datetime"], ["travel_distance_m", "distance", "time_offset"])
     parts = scraped.split_at_first_reversal(scraped.direction_step(unique))
     # the resampler works per instance: a trip file's part is one
     keyed = parts.withColumns(
