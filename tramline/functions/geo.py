@@ -72,14 +72,17 @@ def foot_fraction(px: Column, py: Column, seg) -> Column:
     return F.when(len2 > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot / len2))).otherwise(F.lit(0.0))
 
 
-def project_on_segment(px: Column, py: Column, seg) -> Column:
+def project_on_segment(px: Column, py: Column, seg, f: Column | None = None) -> Column:
     """``struct(orth_m, seg_no, along_m)`` of a point against one segment struct; the field
-    order makes ``min`` pick the nearest segment, the first one on ties."""
-    f = foot_fraction(px, py, seg)
-    fx, fy = seg["x0"] + f * (seg["x1"] - seg["x0"]), seg["y0"] + f * (seg["y1"] - seg["y0"])
-    orth = F.sqrt((px - fx) * (px - fx) + (py - fy) * (py - fy))
+    order makes ``min`` pick the nearest segment, the first one on ties. ``f`` may be given
+    where ``foot_fraction`` is already known."""
+    if f is None:
+        f = foot_fraction(px, py, seg)
+    ex = px - seg["x0"] - f * (seg["x1"] - seg["x0"])
+    ey = py - seg["y0"] - f * (seg["y1"] - seg["y0"])
+    # to the micrometre, so that overlapping legs tie and the first one wins
     return F.struct(
-        orth.alias("orth_m"),
+        (F.rint(F.sqrt(ex * ex + ey * ey) * 1e6) / 1e6).alias("orth_m"),
         seg["seg_no"].alias("seg_no"),
         (seg["cum_m"] + f * seg["len_m"]).alias("along_m"),
     )

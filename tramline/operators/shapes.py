@@ -80,7 +80,17 @@ def segment_cells(segments: DataFrame, reach_m: float, keys: Sequence[str] = ("s
 
 
 def _best(px: Column, py: Column, segs: str) -> Column:
-    return F.array_min(F.transform(segs, lambda s: geo.project_on_segment(px, py, s)))
+    """Nearest of an array of segments; the foot fraction is computed once per segment."""
+    with_f = F.transform(segs, lambda s: F.struct(s.alias("s"), geo.foot_fraction(px, py, s).alias("f")))
+    return F.array_min(F.transform(with_f, lambda z: geo.project_on_segment(px, py, z["s"], z["f"])))
+
+
+def _placed(joined: DataFrame) -> DataFrame:
+    """Distance along and off the line from ``segs``. Unnesting a one-entry array keeps the
+    optimizer from copying the search into every filter and column that uses its result."""
+    hit = F.inline(F.array(_best(F.col("x"), F.col("y"), "segs"))).alias("orthogonal_distance_m", "_seg_no", "travel_distance_m")
+    keep = [c for c in joined.columns if c not in ("segs", "cx", "cy", "x", "y")]
+    return joined.select(*keep, hit).drop("_seg_no")
 
 
 def nearest_on_shape(
@@ -95,25 +105,13 @@ def nearest_on_shape(
     cells = segment_cells(segments, max_orth_m)
     size = float(max_orth_m)
     located = with_xy(points).withColumns({"cx": _cell(F.col("x"), size), "cy": _cell(F.col("y"), size)})
-    hit = located.join(cells, ["shape_id", "cx", "cy"]).withColumn(
-        "_hit", _best(F.col("x"), F.col("y"), "segs")
-    )
-    return (
-        hit.filter(F.col("_hit.orth_m") <= max_orth_m)
-        .withColumns(
-            {"travel_distance_m": F.col("_hit.along_m"), "orthogonal_distance_m": F.col("_hit.orth_m")}
-        )
-        .drop("_hit", "segs", "cx", "cy", "x", "y")
-    )
+    return _placed(located.join(cells, ["shape_id", "cx", "cy"])).filter(F.col("orthogonal_distance_m") <= max_orth_m)
 
 
 def nearest_on_shape_unpruned(points: DataFrame, segments: DataFrame) -> DataFrame:
     """As ``nearest_on_shape`` at any distance, for audits: each point scans its own polyline."""
     whole = segments.groupBy("shape_id").agg(F.collect_list(F.struct(*SEGMENT)).alias("segs"))
-    hit = with_xy(points).join(whole, "shape_id").withColumn("_hit", _best(F.col("x"), F.col("y"), "segs"))
-    return hit.withColumns(
-        {"travel_distance_m": F.col("_hit.along_m"), "orthogonal_distance_m": F.col("_hit.orth_m")}
-    ).drop("_hit", "segs", "x", "y")
+    return _placed(with_xy(points).join(whole, "shape_id"))
 
 
 def nearest_among_shapes(points: DataFrame, segments: DataFrame, within_m: float) -> DataFrame:
