@@ -160,7 +160,8 @@ def _(spark, d):
     pts = fx.shape_points(spark, d)
     back = pts.withColumn("shape_pt_sequence", 31 - F.col("shape_pt_sequence"))
     segs = shapes.shape_segments(pts.unionByName(back))
-    stops = shapes.with_xy(fx.stops(spark, d), "stop_lon", "stop_lat").crossJoin(F.broadcast(pts.select("shape_id").distinct()))
+    used = pts.select(F.collect_set("shape_id")).scalar()
+    stops = shapes.with_xy(fx.stops(spark, d), "stop_lon", "stop_lat").withColumn("shape_id", F.explode(used))
     visits = stops.withColumn("p", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
         "o", F.expr("case when p = 0 then 0 else 100 end + cast(substr(stop_id, 2) as int) * case when p = 0 then 1 else -1 end"))
     lists = visits.groupBy("shape_id").agg(F.array_sort(F.collect_list(F.struct("o", "x", "y"))).alias("stops"))
