@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, shared_dir
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +22,14 @@ def held_out(doc_id: str, modulus: int):
     return F.coalesce(crc_part(doc_id, modulus) == 2, F.lit(False))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Written once to the shared folder: cuts lineage and survives lost executors."""
-    return materialise(df, f"llm-{name}")
+    if codec is None:
+        return materialise(df, f"llm-{name}")
+    spark = df.sparkSession
+    path = shared_dir(spark, f"llm-{name}")
+    df.write.option("compression", codec).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

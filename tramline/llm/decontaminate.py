@@ -63,7 +63,7 @@ def lsh_keys(words: np.ndarray, length: np.ndarray) -> np.ndarray:
     for walk in range(WALKS):
         out = cgk(words, length, walk, 2 * words.shape[1])
         for draw in range(DRAWS):
-            key = mix(length.astype(np.uint64), np.uint64(walk * DRAWS + draw))
+            key = mix(length.astype(np.uint64) << np.uint64(16), np.uint64(walk * DRAWS + draw))
             for spot in spots[walk, draw]:
                 key = mix(key, out[line, (spot * 2 * length).astype(np.int64)])
             keys[:, walk * DRAWS + draw] = key

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, near_dup, repetition, sharding
-from .common import documents
+from . import decontaminate, language, licenses, line_dedup, mixing, near_dup, repetition, sharding, toxicity, trie_lm
+from .common import documents, held_out
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +133,31 @@ select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, coalesce(m.root
 from documents d left join n using (doc_id) left join m using (doc_id)""")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicate_components(documents(spark, sf_dir), size=4, percent=80)
+
+
+@query("op2_ppm_language")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    named = language.identify(docs, language.fit(docs, modulus=4))
+    return named.select("doc_id", held_out("doc_id", 4).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+@query("op4_cgk_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), similarity_pct=80)
+
+
+@query("op10_toxicity_chain")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@query("op9_elias_fano_lm")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_lm.trie_scores(documents(spark, sf_dir), modulus=7)
+
+
+@query("op3_license_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
