@@ -80,12 +80,12 @@ s as (select *, spot * {SHARDS} // total as shard from p)
 select doc_id, cast(strlen(text) + 16 as bigint) as size, text_crc32, 'rows' as law, cast(shard as int) as shard,
   cast(spot - (shard * total + {SHARDS - 1}) // {SHARDS} as bigint) as slot, cast(null as int) as grown_shard from s join sums using (doc_id)""")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.coalesce(F.col("row.text"), F.lit("")).cast("binary")
-    narrow = documents(spark, sf_dir).select("doc_id", "source", "text")
-    placed = sharding.interleaved_shards(narrow, SHARDS)
-    return placed.select(
-        F.col("row.doc_id").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    narrow = documents(spark, sf_dir).select(
+        "doc_id", "source", (F.octet_length(F.coalesce(F.col("text"), F.lit("")).cast("binary")) + 16).cast("long").alias("size"),
+        sharding.text_checksum().alias("text_crc32"))
+    placed = sharding.interleaved_shards(narrow, SHARDS, checksum=F.col("text_crc32"))
+    return placed.select("row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
 
 
 @query("op6_line_dedup", rf"""

@@ -14,7 +14,7 @@ any other: the law fixes counts, so a large group of copies is spread, not kept
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPREAD = 4096  # fraction buckets
@@ -25,16 +25,21 @@ def seeded_digest(seed: str, *parts):
     return F.md5(F.concat_ws(":", F.lit(seed), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]).cast("binary"))
 
 
-def interleaved_shards(docs: DataFrame, shards: int, seed: str = "shards", stratum: str = "source", digits: int = 3) -> DataFrame:
+def text_checksum(text: str = "text"):
+    return F.crc32(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
+
+
+def interleaved_shards(docs: DataFrame, shards: int, seed: str = "shards", stratum: str = "source", digits: int = 3,
+                       checksum: Column | None = None) -> DataFrame:
     """``row`` (the input row as a struct), ``shard`` and ``slot`` (gapless from 0 within the shard).
 
-    ``digits`` hex digits of the digest make the buckets of a stratum (16 ** digits).
+    ``digits`` hex digits of the digest make the buckets of a stratum (16 ** digits); ``checksum`` (of the text, unless
+    given) orders rows of one ``doc_id``.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
         F.struct("*").alias("row"),
         F.concat(F.when(F.col(stratum).isNull(), "n").otherwise("v"), F.coalesce(F.col(stratum).cast("string"), F.lit(""))).alias("stratum"),
-        seeded_digest(seed, F.col("doc_id")).alias("digest"), F.crc32(text.cast("binary")).alias("crc"),
+        seeded_digest(seed, F.col("doc_id")).alias("digest"), (text_checksum() if checksum is None else checksum).alias("crc"),
     ).withColumn("bucket", F.substring("digest", 1, digits))
     tie = ["digest", "crc"]
 
