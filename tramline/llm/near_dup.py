@@ -2,7 +2,7 @@
 
 A document's set of word shingles is cut into ``REGISTERS`` parts by the top bits of a 64-bit fingerprint; each part
 keeps the leading-zero count and ten mantissa bits of its smallest fingerprint (two bytes).  Four neighbouring
-registers make a band; documents that agree on a band are candidates.  A candidate pair passes on when its
+registers, empty ones filled from full ones, make a band; documents that agree on a band are candidates.  A candidate pair passes on when its
 collision-corrected Jaccard estimate is within six standard deviations of the threshold, and is then confirmed on
 full sets.
 
@@ -34,7 +34,7 @@ REGISTERS, BAND = 128, 4
 BANDS = REGISTERS // BAND
 MANTISSA_BITS = 10
 SMALL = 16
-TILE = (128, 512)
+TILE = (512, 512)
 _REST_BITS = 64 - REGISTERS.bit_length() + 1
 
 
@@ -80,6 +80,23 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return np.where(some, ((zeros + np.uint64(1)) << np.uint64(MANTISSA_BITS)) | mantissa, np.uint64(0)).astype(np.uint16)
 
 
+def filled_up(regs: np.ndarray) -> np.ndarray:
+    """The registers with every empty one copied from a full one, tried in an order of its own that all rows share.
+
+    So a band of a short text rests on four values like any other, not on the one shingle that fell into it.
+    """
+    out = regs.copy()
+    part = np.arange(REGISTERS, dtype=np.uint64)
+    rows = np.flatnonzero((regs > 0).any(1) & (regs == 0).any(1))
+    for turn in range(64 * REGISTERS):
+        if not len(rows):
+            break
+        source = regs[rows][:, (mix(part, np.uint64(turn + 1)) >> np.uint64(57)).astype(np.int64)]
+        out[rows] = np.where(out[rows] == 0, source, out[rows])
+        rows = rows[(out[rows] == 0).any(1)]
+    return out
+
+
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(Jaccard estimate less expected chance matches, registers it rests on), row by row of two register arrays."""
     filled = ((a > 0) | (b > 0)).sum(1)
@@ -89,13 +106,19 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return (same - np.minimum(by_chance, same)) / np.maximum(filled, 1), filled
 
 
-SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, full array<long>"
+
+
+def _fours(regs: np.ndarray) -> pa.ListArray:
+    longs = np.ascontiguousarray(regs).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, longs.size + 1, BANDS, dtype=np.int32)), pa.array(longs.ravel()))
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """One row per document: set size, a 128-bit fingerprint of the set, and the registers as 32 longs of four."""
+    """One row per document: set size, a 128-bit fingerprint of the set, and the registers as 32 longs of four
+    (as they are, and filled up)."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()),
-                        ("bands", pa.list_(pa.int64()))])
+                        ("bands", pa.list_(pa.int64())), ("full", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -104,9 +127,8 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             second = np.uint64(0x51ED270B9F8B1D35)
             a = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
             b = np.array([mix(s, second).sum(dtype=np.uint64) for s in sets], np.uint64)
-            words = np.ascontiguousarray(regs).view(np.int64)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, words.size + 1, BANDS, dtype=np.int32)), pa.array(words.ravel()))
-            yield batch_of(schema, [part.column("doc_id"), np.array([len(s) for s in sets], np.int64), a.view(np.int64), b.view(np.int64), bands])
+            yield batch_of(schema, [part.column("doc_id"), np.array([len(s) for s in sets], np.int64), a.view(np.int64), b.view(np.int64),
+                                    _fours(regs), _fours(filled_up(regs))])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, SIGNED)
 
@@ -167,12 +189,12 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, percent: int = 80)
     signed = stored(signatures(docs, size), "signed")
     same = ["set_a", "set_b", "n_shingles"]
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    member = full.join(classes.drop("bands"), same).select("doc_id", "rep")
+    classes = stored(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("full").alias("full")), "classes")
+    member = full.join(classes.drop("bands", "full"), same).select("doc_id", "rep")
     lowest = member.groupBy("doc_id").agg(F.min("rep").alias("low"))
     reps = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "bands")
     bands = (
-        reps.select("doc_id", F.posexplode("bands").alias("band", "four")).where("four <> 0")
+        classes.select(F.col("rep").alias("doc_id"), F.posexplode("full").alias("band", "four"))
         .select("doc_id", F.xxhash64("band", "four").alias("key"))
     )
     sized = bands.groupBy("key").agg(F.count("*").alias("n"), F.min_by("doc_id", F.xxhash64("doc_id", "key")).alias("hub")).where("n > 1")
@@ -193,7 +215,7 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, percent: int = 80)
         found = stored(components(links), "components")
 
     return (
-        signed.join(classes.drop("bands"), same, "left")
+        signed.join(classes.drop("bands", "full"), same, "left")
         .join(found, F.col("rep") == F.col("node"), "left")
         .select("doc_id", "n_shingles", F.when(F.col("rep").isNotNull() & F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
                 .otherwise(F.col("doc_id")).alias("component_id"))
