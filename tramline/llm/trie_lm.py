@@ -31,7 +31,7 @@ from .common import held_out, stored
 from .words import Texts, batch_of, mix, slices
 
 END = np.uint64(0x45A1D9C3B7F06E82)
-SHARD_ITEMS = 1 << 20
+SHARD_ITEMS = 1 << 19
 SPLIT = 16
 ALPHA = 0.5
 _NORM_STEP, _NORM_LOW = 1 / 2048, -14.0
@@ -39,14 +39,25 @@ _GAIN_STEP = 1 / 4096
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Byte planes: the high bytes of small numbers become runs that Spark's codecs shrink."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    """Byte planes, compressed: the high bytes of small numbers are runs of zeros."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return len(values).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
 
 
 def unpack(data: bytes, kind) -> np.ndarray:
     kind = np.dtype(kind)
-    planes = np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data[8:], n * kind.itemsize), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind).ravel()
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Ascending uint64 values by their gaps."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
 
 
 class EliasFano:
@@ -159,7 +170,7 @@ def _chunks(docs: DataFrame, modulus: int) -> DataFrame:
             train = ~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             n_train = int(np.diff(bounds)[train].sum())
             yield batch_of(schema, [[(part_id << 32) + seq], pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), [pack(train.astype(np.uint8))],
-                                    [pack(bounds.astype(np.int64))], [pack(vocab)], [pack(tokens.astype(np.uint32))], [len(vocab)], [n_train]])
+                                    [pack(bounds.astype(np.int64))], [pack_sorted(vocab)], [pack(tokens.astype(np.uint32))], [len(vocab)], [n_train]])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out("doc_id", modulus).alias("held_out")).mapInArrow(
         cut, "chunk long, ids array<long>, train binary, bounds binary, vocab binary, tokens binary, n_vocab long, n_train long")
@@ -177,14 +188,14 @@ def _unigram_counts(chunks: DataFrame, shards: int) -> DataFrame:
     def ask(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                vocab = unpack(r["vocab"], np.uint64)
+                vocab = unpack_sorted(r["vocab"])
                 counts = _counted(unpack(r["bounds"], np.int64), unpack(r["train"], np.uint8), unpack(r["tokens"], np.uint32), len(vocab))
                 cut = np.searchsorted(_range_of(vocab, shards), np.arange(shards + 1))
-                yield batch_of(schema, [list(range(shards)), [r["chunk"]] * shards, [pack(vocab[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)],
+                yield batch_of(schema, [list(range(shards)), [r["chunk"]] * shards, [pack_sorted(vocab[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)],
                                         [pack(counts[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]])
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
-        keys = [unpack(x, np.uint64) for x in group["keys"]]
+        keys = [unpack_sorted(x) for x in group["keys"]]
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, np.concatenate([unpack(x, np.uint32) for x in group["counts"]]), len(distinct)).astype(np.int64)
         parts = np.split(total[at], np.cumsum([len(k) for k in keys])[:-1])
@@ -219,7 +230,7 @@ def trie_scores(docs: DataFrame, modulus: int = 7, alpha: float = ALPHA, shard_i
                 yield from rows_of(r)
 
     def rows_of(r):
-        vocab, tokens = unpack(r["vocab"], np.uint64), unpack(r["tokens"], np.uint32).astype(np.int64)
+        vocab, tokens = unpack_sorted(r["vocab"]), unpack(r["tokens"], np.uint32).astype(np.int64)
         bounds, train = unpack(r["bounds"], np.int64), unpack(r["train"], np.uint8)
         c = np.concatenate([unpack(x["counts"], np.int64) for x in r["known"]])
         log_p1 = np.log10((c + 1) / (n + v + 1))
@@ -251,13 +262,13 @@ def trie_scores(docs: DataFrame, modulus: int = 7, alpha: float = ALPHA, shard_i
         ends = np.concatenate(([0], np.cumsum(many[at])))
         for s in np.flatnonzero(np.diff(cut)):
             x = at[cut[s]: cut[s + 1]]
-            yield batch_of(schema, [[int(s)], [r["chunk"]], [pack(key[x])], [pack(many[x].astype(np.uint32))], [pack(counted[x].astype(np.uint32))], [pack(norm[x])],
+            yield batch_of(schema, [[int(s)], [r["chunk"]], [pack_sorted(key[x])], [pack(many[x].astype(np.uint32))], [pack(counted[x].astype(np.uint32))], [pack(norm[x])],
                                     [pack(doc[spread[ends[cut[s]]: ends[cut[s + 1]]]])]])
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
         if group["shard"].iloc[0] < 0:
             return pd.DataFrame({"chunk": group["chunk"], "kind": 0, "a": group["keys"], "b": group["many"], "c": group["counts"], "d": group["norms"]})
-        keys = [unpack(x, np.uint64) for x in group["keys"]]
+        keys = [unpack_sorted(x) for x in group["keys"]]
         counted = np.concatenate([unpack(x, np.uint32) for x in group["counts"]])
         flat = np.concatenate(keys)
         taught = counted > 0
