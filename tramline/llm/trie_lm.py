@@ -34,7 +34,7 @@ END = np.uint64(0x45A1D9C3B7F06E82)
 SHARD_ITEMS = 1 << 19
 SPLIT = 16
 ALPHA = 0.5
-_NORM_STEP, _NORM_LOW = 1 / 2048, -14.0
+_NORM_STEP, _NORM_LOW = 1 / 256, -14.0
 _GAIN_STEP = 1 / 4096
 
 
@@ -150,9 +150,9 @@ class Trie:
 
 
 def _chunks(docs: DataFrame, modulus: int) -> DataFrame:
-    """One row per slice: documents, training flags, vocabulary fingerprints (sorted) and tokens as vocabulary numbers."""
-    names = ["chunk", "ids", "train", "bounds", "vocab", "tokens", "n_vocab", "n_train"]
-    schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), *[(n, pa.binary()) for n in names[2:6]], ("n_vocab", pa.int64()), ("n_train", pa.int64())])
+    """One row per slice: documents, training flags, vocabulary fingerprints (sorted), their uses, and tokens by rank of use."""
+    names = ["chunk", "ids", "train", "bounds", "vocab", "often", "ranks", "n_vocab", "n_train"]
+    schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), *[(n, pa.binary()) for n in names[2:7]], ("n_vocab", pa.int64()), ("n_train", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part_id = TaskContext.get().partitionId()
@@ -166,14 +166,26 @@ def _chunks(docs: DataFrame, modulus: int) -> DataFrame:
             last[bounds[1:] - 1] = True
             hashed[last] = END
             hashed[~last] = texts.hashes(starts, ends)
-            vocab, tokens = np.unique(hashed, return_inverse=True)
+            vocab, tokens, often = np.unique(hashed, return_inverse=True, return_counts=True)
+            rank = np.empty(len(vocab), np.uint32)
+            rank[_by_use(often)] = np.arange(len(vocab))
             train = ~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             n_train = int(np.diff(bounds)[train].sum())
             yield batch_of(schema, [[(part_id << 32) + seq], pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), [pack(train.astype(np.uint8))],
-                                    [pack(bounds.astype(np.int64))], [pack_sorted(vocab)], [pack(tokens.astype(np.uint32))], [len(vocab)], [n_train]])
+                                    [pack(bounds.astype(np.int64))], [pack_sorted(vocab)], [pack(often.astype(np.uint32))], [pack(rank[tokens])], [len(vocab)], [n_train]])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out("doc_id", modulus).alias("held_out")).mapInArrow(
-        cut, "chunk long, ids array<long>, train binary, bounds binary, vocab binary, tokens binary, n_vocab long, n_train long")
+        cut, "chunk long, ids array<long>, train binary, bounds binary, vocab binary, often binary, ranks binary, n_vocab long, n_train long")
+
+
+def _by_use(often):
+    """Vocabulary numbers, most used first: frequent words get small numbers."""
+    return np.argsort(-often.astype(np.int64), kind="stable")
+
+
+def _tokens(r) -> np.ndarray:
+    """A chunk's tokens as vocabulary numbers."""
+    return _by_use(unpack(r["often"], np.uint32))[unpack(r["ranks"], np.uint32)]
 
 
 def _counted(bounds, train, tokens, width):
@@ -189,7 +201,7 @@ def _unigram_counts(chunks: DataFrame, shards: int) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 vocab = unpack_sorted(r["vocab"])
-                counts = _counted(unpack(r["bounds"], np.int64), unpack(r["train"], np.uint8), unpack(r["tokens"], np.uint32), len(vocab))
+                counts = _counted(unpack(r["bounds"], np.int64), unpack(r["train"], np.uint8), _tokens(r), len(vocab))
                 cut = np.searchsorted(_range_of(vocab, shards), np.arange(shards + 1))
                 yield batch_of(schema, [list(range(shards)), [r["chunk"]] * shards, [pack_sorted(vocab[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)],
                                         [pack(counts[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]])
@@ -202,7 +214,7 @@ def _unigram_counts(chunks: DataFrame, shards: int) -> DataFrame:
         seen = [int((total > 0).sum())] + [0] * (len(group) - 1)
         return pd.DataFrame({"chunk": group["chunk"], "shard": group["shard"], "counts": [pack(p) for p in parts], "seen": seen})
 
-    asked = chunks.select("chunk", "train", "bounds", "vocab", "tokens").mapInArrow(ask, "shard int, chunk long, keys binary, counts binary")
+    asked = chunks.select("chunk", "train", "bounds", "vocab", "often", "ranks").mapInArrow(ask, "shard int, chunk long, keys binary, counts binary")
     return asked.groupBy("shard").applyInPandas(answer, "chunk long, shard int, counts binary, seen long")
 
 
@@ -230,7 +242,7 @@ def trie_scores(docs: DataFrame, modulus: int = 7, alpha: float = ALPHA, shard_i
                 yield from rows_of(r)
 
     def rows_of(r):
-        vocab, tokens = unpack_sorted(r["vocab"]), unpack(r["tokens"], np.uint32).astype(np.int64)
+        vocab, tokens = unpack_sorted(r["vocab"]), _tokens(r)
         bounds, train = unpack(r["bounds"], np.int64), unpack(r["train"], np.uint8)
         c = np.concatenate([unpack(x["counts"], np.int64) for x in r["known"]])
         log_p1 = np.log10((c + 1) / (n + v + 1))
@@ -285,7 +297,7 @@ def trie_scores(docs: DataFrame, modulus: int = 7, alpha: float = ALPHA, shard_i
             out.append((pack(some.astype(np.uint32)), pack(total[some])))
         return pd.DataFrame({"chunk": group["chunk"], "kind": 1, "a": [a for a, _ in out], "b": [b for _, b in out], "c": None, "d": None})
 
-    asked = chunks.select("chunk", "train", "bounds", "vocab", "tokens").join(known, "chunk").mapInArrow(
+    asked = chunks.select("chunk", "train", "bounds", "vocab", "often", "ranks").join(known, "chunk").mapInArrow(
         ask, "shard int, chunk long, keys binary, many binary, counts binary, norms binary, docs binary")
     answers = asked.groupBy("shard").applyInPandas(answer, "chunk long, kind int, a binary, b binary, c binary, d binary")
 
