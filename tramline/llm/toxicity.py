@@ -30,7 +30,7 @@ CATEGORIES = {
     "personal": ("idiot", "moron", "loser", "clown", "scum"),
     "contempt": ("stupid", "pathetic", "worthless", "trash", "disgusting"),
 }
-PENALTY = 1.0
+PENALTY = 0.1
 
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
