@@ -30,19 +30,19 @@ _LATEST = "select * from v_vp {where} qualify row_number() over (partition by {k
 
 
 @case("f01_vehicle_history", f"""select id, fetched_s as fetched_at from v_vp where vehicle_id = 'V7'
- and fetched_s >= {T0 + 300} and fetched_s < {T0 + 1200} order by fetched_s desc, id desc limit 5000""")
+ and fetched_s >= {T0 + 300} and fetched_s < {T0 + 1200} order by fetched_s desc, id desc""")
 def _(spark, d):
     return rounded(fleet.vehicle_history(fx.vehicle_positions(spark, d), "V7", at(T0 + 300), at(T0 + 1200)).select("id", "fetched_at"))
 
 
 @case("f02_replay_window", f"""select id, fetched_s as fetched_at from v_vp where fetched_s >= {T0} and fetched_s < {T0 + 7200}
- order by fetched_s, id limit 5000""")
+ order by fetched_s, id""")
 def _(spark, d):
     return rounded(fleet.replay_window(fx.vehicle_positions(spark, d), at(T0), at(T0 + 7200)).select("id", "fetched_at"))
 
 
 @case("f03_snapshots_window", """select id, t as fetched_at from v_log where feed_name = 'feed1' and us between
- 1704067200000000 and 1704067200000000 + 864000000000 order by us, id limit 5000""")
+ 1704067200000000 and 1704067200000000 + 864000000000 order by us, id""")
 def _(spark, d):
     out = fleet.snapshots_window(fx.fetch_logs(spark, d), "feed1", at(1704067200), at(1704067200 + 864000))
     return rounded(out.select("id", "fetched_at"))
@@ -136,7 +136,7 @@ def _(spark, d):
     return rounded(fleet.latest_per_key(vp, since=at(T0)))
 
 
-@case("w06_latest_on_route", f"select vehicle_id, id from ({_LATEST.format(key='vehicle_id', where=chr(39).join(['where route_id = ', 'R0', '']))}) order by fetched_s desc, id desc limit 5000")
+@case("w06_latest_on_route", f"select vehicle_id, id from ({_LATEST.format(key='vehicle_id', where=chr(39).join(['where route_id = ', 'R0', '']))}) order by fetched_s desc, id desc")
 def _(spark, d):
     vp = fx.vehicle_positions(spark, d).select("vehicle_id", "id", "fetched_at", "route_id")
     return fleet.newest_first(fleet.latest_per_key(vp, route_id="R0")).select("vehicle_id", "id")
@@ -151,18 +151,18 @@ def _(spark, d):
 @case("l01_page_cap", "select id from v_vp order by fetched_s desc, id desc limit 5000")
 def _(spark, d):
     vp = fx.vehicle_positions(spark, d)
-    return fleet.page_cap(vp.orderBy(F.desc("fetched_at"), F.desc("id")), 9999).select("id")
+    return fleet.page_cap(vp.orderBy(F.desc("fetched_at"), F.desc("id")), 9999, cap=5000).select("id")
 
 
 @case("l02_recent_fetches", "select id from v_log where feed_name = 'feed2' order by us desc, id desc limit 50")
 def _(spark, d):
-    return fleet.recent_fetches(fx.fetch_logs(spark, d), "feed2").select("id")
+    return fleet.recent_fetches(fx.fetch_logs(spark, d), "feed2", 50).select("id")
 
 
 @case("l03_top_routes", f"""select route_id, count(*) as vehicles from ({_LATEST.format(key='vehicle_id', where='')})
  group by 1 order by 2 desc, 1 limit 15""")
 def _(spark, d):
-    return fleet.top_routes(fleet.latest_per_key(fx.vehicle_positions(spark, d).select("vehicle_id", "route_id", "fetched_at", "id")))
+    return fleet.top_routes(fleet.latest_per_key(fx.vehicle_positions(spark, d).select("vehicle_id", "route_id", "fetched_at", "id")), 15)
 
 
 _NOW = 1704067200 + 29 * 86400
@@ -209,13 +209,13 @@ def _(spark, d):
     return rounded(out, skip=tuple(box))
 
 
-@case("a03_active_routes", f"select route_id, max(fetched_s) as last_seen from v_vp where fetched_s >= {T0 + 900} group by 1 order by 2 desc, 1 limit 500")
+@case("a03_active_routes", f"select route_id, max(fetched_s) as last_seen from v_vp where fetched_s >= {T0 + 900} group by 1 order by 2 desc, 1")
 def _(spark, d):
     return rounded(fleet.active_routes(fx.vehicle_positions(spark, d), at(T0 + 900)))
 
 
 @case("a04_fleet_by_route", f"""select route_id, count(*) as active_vehicles, {rs('avg(speed_mps) * 3.6e0')} as avg_speed_kph, max(fetched_s) as latest_seen
- from ({_LATEST.format(key='vehicle_id', where=f'where fetched_s > {T0}')}) group by 1 order by 2 desc, 1 limit 20""")
+ from ({_LATEST.format(key='vehicle_id', where=f'where fetched_s > {T0}')}) group by 1 order by 2 desc, 1""")
 def _(spark, d):
     return rounded(fleet.fleet_by_route(fx.vehicle_positions(spark, d), at(T0)))
 
@@ -250,7 +250,7 @@ def _(spark, d):
 @case("a09_trip_instance_summary", f"""
 select trip_id, start_date, service_date, max(route_id) as route_id, max(direction_id) as direction_id, max(vehicle_id) as vehicle_id,
  min(t) as first_datetime, max(t) as last_datetime, count(*) as point_count, {rs('max(dist)')} as travel_distance_m
-from v_traj where service_date = '20240101' group by 1, 2, 3 order by max(t) desc, trip_id, start_date limit 500""")
+from v_traj where service_date = '20240101' group by 1, 2, 3 order by max(t) desc, trip_id, start_date""")
 def _(spark, d):
     return rounded(fleet.trip_instance_summary(fx.trajectories(spark, d), F.to_date(F.lit("2024-01-01"))))
 
@@ -273,12 +273,12 @@ def _(spark, d):
     return rounded(out.withColumn("service_dates", dates))
 
 
-@case("a12_service_dates", "select distinct service_date from v_traj order by 1 desc limit 365")
+@case("a12_service_dates", "select distinct service_date from v_traj order by 1 desc")
 def _(spark, d):
     return rounded(fleet.service_dates(fx.trajectories(spark, d)))
 
 
-@case("a13_routes_on_date", "select distinct route_id from v_traj where service_date = '20240101' order by 1 limit 500")
+@case("a13_routes_on_date", "select distinct route_id from v_traj where service_date = '20240101' order by 1")
 def _(spark, d):
     return fleet.routes_on_date(fx.trajectories(spark, d), F.to_date(F.lit("2024-01-01")))
 

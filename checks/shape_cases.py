@@ -95,10 +95,10 @@ def _(spark, d):
 
 
 @case("j05_nearest_among_shapes", f"""
-select id, {rs('min(o)', 2)} as shortest_distance_m from (select p.id, {orth()} as o from v_xy p, v_polyseg s) group by id having min(o) <= 300""")
+select id, {rs('min(o)', 2)} as shortest_distance_m from (select p.id, {orth()} as o from v_xy p, v_polyseg s) group by id""")
 def _(spark, d):
-    out = shapes.nearest_among_shapes(fx.vehicle_positions(spark, d), _segments(spark, d), 300.0)
-    return rounded(out.filter("shortest_distance_m is not null").select("id", "shortest_distance_m"), 2)
+    out = shapes.nearest_of_network(fx.vehicle_positions(spark, d), _segments(spark, d), 20.0)
+    return rounded(out.select("id", "shortest_distance_m"), 2)
 
 
 @case("j06_point_in_buffer", f"select id from (select p.id, {orth()} as o from v_xy p, v_polyseg s) group by id having min(o) <= 50")

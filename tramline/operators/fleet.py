@@ -15,13 +15,12 @@ from pyspark.sql import functions as F
 from ..functions import geo, times, values
 from .sequence import latest_by
 
-MAX_PAGE = 5000
 
-
-def page_cap(df: DataFrame, limit: int | None = None, cap: int = MAX_PAGE) -> DataFrame:
-    """Result page: the requested size, never above the cap. Call after ``orderBy`` so the
-    plan is one top-k."""
-    return df.limit(min(limit if limit is not None else cap, cap))
+def page_cap(df: DataFrame, limit: int | None = None, cap: int | None = None) -> DataFrame:
+    """Result page: the smaller of the requested size and the cap; all rows where neither is
+    given. Call after ``orderBy`` so the plan is one top-k."""
+    sizes = [n for n in (limit, cap) if n is not None]
+    return df.limit(min(sizes)) if sizes else df
 
 
 # --- filters and lookups ---------------------------------------------------------------
@@ -191,9 +190,9 @@ def feed_status(logs: DataFrame, now: Column, feed: str | None = None) -> DataFr
     )
 
 
-def recent_fetches(logs: DataFrame, feed: str, limit: int = 50) -> DataFrame:
+def recent_fetches(logs: DataFrame, feed: str, limit: int | None = None) -> DataFrame:
     rows = logs.filter(F.col("feed_name") == feed)
-    return rows.orderBy(F.desc("fetched_at"), F.desc("id")).limit(limit)
+    return page_cap(rows.orderBy(F.desc("fetched_at"), F.desc("id")), limit)
 
 
 def route_metrics(vp: DataFrame, since: Column, route_id: str | None = None) -> DataFrame:
@@ -243,13 +242,13 @@ def route_metrics(vp: DataFrame, since: Column, route_id: str | None = None) ->
     )
 
 
-def active_routes(vp: DataFrame, since: Column, limit: int = 500) -> DataFrame:
+def active_routes(vp: DataFrame, since: Column, limit: int | None = None) -> DataFrame:
     rows = vp.filter(F.col("route_id").isNotNull() & (F.col("fetched_at") >= since))
     seen = rows.groupBy("route_id").agg(F.max("fetched_at").alias("last_seen"))
-    return seen.orderBy(F.desc("last_seen"), "route_id").limit(limit)
+    return page_cap(seen.orderBy(F.desc("last_seen"), "route_id"), limit)
 
 
-def fleet_by_route(vp: DataFrame, since: Column, limit: int = 20) -> DataFrame:
+def fleet_by_route(vp: DataFrame, since: Column, limit: int | None = None) -> DataFrame:
     latest = latest_per_key(
         vp.filter(F.col("fetched_at") > since).select("vehicle_id", "route_id", "speed_mps", "fetched_at", "id")
     )
@@ -258,10 +257,10 @@ def fleet_by_route(vp: DataFrame, since: Column, limit: int = 20) -> DataFrame:
         (F.avg("speed_mps") * 3.6).alias("avg_speed_kph"),
         F.max("fetched_at").alias("latest_seen"),
     )
-    return per.orderBy(F.desc("active_vehicles"), "route_id").limit(limit)
+    return page_cap(per.orderBy(F.desc("active_vehicles"), "route_id"), limit)
 
 
-def top_routes(latest: DataFrame, k: int = 15) -> DataFrame:
+def top_routes(latest: DataFrame, k: int) -> DataFrame:
     per = latest.filter("route_id is not null").groupBy("route_id").agg(F.count("*").alias("vehicles"))
     return per.orderBy(F.desc("vehicles"), "route_id").limit(k)
 
@@ -302,7 +301,7 @@ def fleet_snapshot_summary(latest: DataFrame, now: Column) -> DataFrame:
 
 
 def trip_instance_summary(
-    traj: DataFrame, service_date: Column | None = None, route_id: str | None = None, limit: int = 500
+    traj: DataFrame, service_date: Column | None = None, route_id: str | None = None, limit: int | None = None
 ) -> DataFrame:
     """Per instance: the maximum of each identity column, time span, points and distance."""
     rows = traj
@@ -318,7 +317,7 @@ def trip_instance_summary(
         F.count("*").alias("point_count"),
         F.coalesce(F.max("travel_distance_m"), F.lit(0.0)).alias("travel_distance_m"),
     )
-    return per.orderBy(F.desc("last_datetime"), "trip_id", "start_date").limit(limit)
+    return page_cap(per.orderBy(F.desc("last_datetime"), "trip_id", "start_date"), limit)
 
 
 def trip_detail_summary(traj: DataFrame) -> DataFrame:
@@ -350,13 +349,13 @@ def route_catalog(traj: DataFrame) -> DataFrame:
     )
 
 
-def service_dates(traj: DataFrame, limit: int = 365) -> DataFrame:
-    return traj.select("service_date").distinct().orderBy(F.desc("service_date")).limit(limit)
+def service_dates(traj: DataFrame, limit: int | None = None) -> DataFrame:
+    return page_cap(traj.select("service_date").distinct().orderBy(F.desc("service_date")), limit)
 
 
-def routes_on_date(traj: DataFrame, service_date: Column, limit: int = 500) -> DataFrame:
+def routes_on_date(traj: DataFrame, service_date: Column, limit: int | None = None) -> DataFrame:
     rows = traj.filter((F.col("service_date") == service_date) & F.col("route_id").isNotNull())
-    return rows.select("route_id").distinct().orderBy("route_id").limit(limit)
+    return page_cap(rows.select("route_id").distinct().orderBy("route_id"), limit)
 
 
 def richest_slice(traj: DataFrame, route_id: str | None = None, dates: tuple[Column, Column] | None = None) -> DataFrame:

@@ -102,12 +102,14 @@ def bootstrap_weight(example_id: str, bag: int, seed: int) -> F.Column:
     """Poisson(1) copies of a row for one bag: the streaming form of drawing rows with
     replacement. Depends only on the id, so it is the same on every retry."""
     u = F.pmod(F.xxhash64(F.lit(seed), F.lit(bag), F.col(example_id)), F.lit(1 << 52)) / float(1 << 52)
-    out, cum, term = F.lit(8.0), 0.0, 0.36787944117144233  # exp(-1)
+    cum, term, k = 0.0, 0.36787944117144233, 0  # exp(-1)
     steps = []
-    for k in range(8):
+    while term > 2.0**-53:  # the draws' own resolution
         cum += term
         steps.append((cum, float(k)))
-        term /= k + 1
+        k += 1
+        term /= k
+    out = F.lit(float(k))
     for limit, k in reversed(steps):
         out = F.when(u < limit, k).otherwise(out)
     return out
@@ -236,38 +238,37 @@ def model_compare(val: DataFrame, test: DataFrame, horizon: int, step_s: int = 6
 # --- importance ---------------------------------------------------------------------------
 
 
-def permuted_channel(examples: DataFrame, channel: int, n_channels: int, seed: int = 2026, lane_rows: int = 5000) -> DataFrame:
+def permuted_channel(examples: DataFrame, channel: int, n_channels: int, seed: int = 2026, buckets: int = 1024) -> DataFrame:
     """Examples with one channel (all its ticks) taken from another row.
 
-    Rows fall into random lanes and take the channel of the next row in a random order of
-    their lane: a random pairing without one global sort. The number of lanes follows the row
-    count, so a lane stays near ``lane_rows`` rows.
+    All rows stand in one random order and each takes the channel of the next; the last takes the first's. The order
+    is cut into buckets by its hash, and a bucket's last row finds its successor among the buckets' first rows.
     """
-    lanes = F.greatest(F.lit(1), F.floor(examples.agg(F.count("*")).scalar() / lane_rows))
-    lane = F.pmod(F.xxhash64(F.lit(seed), F.lit(channel), "example_id"), lanes)
-    mixed = F.xxhash64(F.lit(seed + 1), F.lit(channel), "example_id")
-    w = Window.partitionBy("_lane").orderBy("_mix", "example_id")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    other = F.coalesce(F.lead("features").over(w), F.first("features").over(whole))
-    rows = examples.withColumns({"_lane": lane, "_mix": mixed}).withColumn("_other", other)
+    mix = F.xxhash64(F.lit(seed), F.lit(channel), "example_id")
+    rows = examples.withColumns({"_mix": mix, "_bucket": F.pmod(mix, F.lit(buckets))})
+    heads = rows.groupBy("_bucket").agg(F.min_by("features", F.struct("_mix", "example_id")).alias("_head"))
+    order = Window.orderBy("_bucket")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = heads.select("_bucket", F.coalesce(F.lead("_head").over(order), F.first("_head").over(whole)).alias("_after"))
+    w = Window.partitionBy("_bucket").orderBy("_mix", "example_id")
+    rows = rows.withColumn("_next", F.lead("features").over(w)).join(heads, "_bucket").withColumn("_other", F.coalesce("_next", "_after"))
     swapped = F.transform(F.arrays_zip(F.col("features").alias("a"), F.col("_other").alias("b")),
                           lambda z, i: F.when(i % n_channels == channel, z["b"]).otherwise(z["a"]))
-    return rows.withColumn("features", swapped).drop("_lane", "_mix", "_other")
+    return rows.withColumn("features", swapped).drop("_bucket", "_mix", "_next", "_after", "_other")
 
 
-def permutation_importance(val: DataFrame, fitted: HorizonModels, channel_names: Sequence[str], sample: int | None = None, seed: int = 2026) -> DataFrame:
+def permutation_importance(val: DataFrame, fitted: HorizonModels, channel_names: Sequence[str], seed: int = 2026) -> DataFrame:
     """Drop of the mean area over horizons when a channel is shuffled across rows."""
-    rows = val if sample is None else val.orderBy(F.xxhash64(F.lit(seed), "example_id")).limit(sample)
     n = len(channel_names)
 
     def area(df: DataFrame, name: str) -> DataFrame:
         long = to_long(predict_horizons(df, fitted), keep=("example_id",)).withColumn("channel", F.lit(name))
         return average_precision(long, ("channel", "h")).filter("pr_auc > 0").groupBy("channel").agg(F.avg("pr_auc").alias("area"))
 
-    base = area(rows, "").select(F.col("area").alias("base"))
+    base = area(val, "").select(F.col("area").alias("base"))
     shuffled = None
     for i, name in enumerate(channel_names):
-        part = area(permuted_channel(rows, i, n, seed), name)
+        part = area(permuted_channel(val, i, n, seed), name)
         shuffled = part if shuffled is None else shuffled.unionByName(part)
     return shuffled.withColumn("importance", base.scalar() - F.col("area")).select("channel", "importance")
 

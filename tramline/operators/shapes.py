@@ -15,14 +15,17 @@ from pyspark.sql import functions as F
 
 from ..defaults import DEFAULTS
 from ..functions import geo
+from ..session import materialise
 from .lookup import interval_lookup
 
 SEGMENT = ["seg_no", "x0", "y0", "x1", "y1", "cum_m", "len_m"]
 
 
 def with_xy(df: DataFrame, lon: str = "longitude", lat: str = "latitude") -> DataFrame:
+    """``df`` with its map position. The generator is a boundary: the optimizer does not copy the
+    series into every later use of ``x`` and ``y``."""
     x, y = geo.utm_xy(F.col(lon), F.col(lat))
-    return df.withColumns({"x": x, "y": y})
+    return df.drop("x", "y").select("*", F.inline(F.array(F.struct(x.alias("x"), y.alias("y")))))
 
 
 def shape_segments(shape_points: DataFrame) -> DataFrame:
@@ -116,7 +119,8 @@ def nearest_on_shape_unpruned(points: DataFrame, segments: DataFrame) -> DataFra
 
 def nearest_among_shapes(points: DataFrame, segments: DataFrame, within_m: float) -> DataFrame:
     """Nearest polyline of the network within a corridor: ``nearest_shape_id``, its distance
-    and the foot point. Ties go to the lower shape id. Points outside every corridor get null."""
+    and the foot point. Ties go to the lower shape id. Points outside every corridor get null; see
+    ``nearest_of_network`` for an answer at any distance."""
     cells = segment_cells(segments, within_m, keys=())
     size = float(within_m)
     located = with_xy(points).withColumns({"cx": _cell(F.col("x"), size), "cy": _cell(F.col("y"), size)})
@@ -142,6 +146,24 @@ def nearest_among_shapes(points: DataFrame, segments: DataFrame, within_m: float
     ).drop("_hit", "segs", "cx", "cy", "x", "y")
 
 
+def nearest_of_network(points: DataFrame, segments: DataFrame, start_m: float = 300.0, grow: float = 8.0) -> DataFrame:
+    """Nearest polyline at any distance: corridors grow around the points that have no answer yet.
+
+    Few points are far from every line, so the wide corridors, whose cells list much of the network, meet few
+    rows. Points without a position, or a network without lines, get null.
+    """
+    rest, reach, found = points, start_m, None
+    while True:
+        near = materialise(nearest_among_shapes(rest, segments, reach), "nearest")
+        rest = near.filter("shortest_distance_m is null").select(*points.columns)
+        last = reach > 5e7 or rest.isEmpty()  # beyond any two places on earth
+        part = near if last else near.filter("shortest_distance_m is not null")
+        found = part if found is None else found.unionByName(part)
+        if last:
+            return found
+        reach *= grow
+
+
 def within_corridor(points: DataFrame, segments: DataFrame, radius_m: float) -> DataFrame:
     """Points inside the buffer of any polyline."""
     near = nearest_among_shapes(points, segments, radius_m)

@@ -41,12 +41,16 @@ def write_trajectories_replace(rows: DataFrame, path: str, keys: DataFrame | Non
     emptied: list = []
     if table_exists(spark, path):
         old = spark.read.parquet(path)
-        hit = old.join(replaced, inst, "left_semi").select("service_date")
-        dates = hit.union(rows.select("service_date")).distinct()
-        kept = old.join(dates, "service_date", "left_semi").join(replaced, inst, "left_anti")
+        # an instance's rows lie in the partition of its start date: only those dates are read
+        days = F.to_date("start_date", "yyyyMMdd")
+        dates = replaced.select(days.alias("service_date")).union(rows.select("service_date")).distinct()
+        touched = [r[0] for r in dates.collect()]  # calendar days
+        day = F.col("service_date")
+        pruned = old.filter(day.isin([d for d in touched if d is not None]) | (day.isNull() if None in touched else F.lit(False)))
+        kept = pruned.join(replaced, inst, "left_anti")
         staged = materialise(kept.unionByName(rows.select(*old.columns)), "staged")
         left = staged.select("service_date").distinct()
-        emptied = [r[0] for r in dates.join(left, "service_date", "left_anti").collect()]  # a few dates
+        emptied = [r[0] for r in dates.join(left, dates.service_date.eqNullSafe(left.service_date), "left_anti").collect()]  # a few dates
     else:
         staged = materialise(rows, "staged")
     (
@@ -63,7 +67,7 @@ def _drop_partitions(spark: SparkSession, path: str, dates: list) -> None:
     """Remove partitions that a replacement leaves without rows (an overwrite cannot)."""
     jvm = spark._jvm
     for day in dates:
-        p = jvm.org.apache.hadoop.fs.Path(f"{path}/service_date={day}")
+        p = jvm.org.apache.hadoop.fs.Path(f"{path}/service_date={day or '__HIVE_DEFAULT_PARTITION__'}")
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
     if dates:
         spark.catalog.refreshByPath(path)
