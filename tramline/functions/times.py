@@ -47,11 +47,6 @@ def local_minute(ts: Column, zone: str = LOCAL_ZONE) -> Column:
     return F.hour(local) * 60 + F.minute(local) + F.second(local) / 60.0
 
 
-def local_minute_of_epoch(seconds: Column, zone: str = LOCAL_ZONE) -> Column:
-    """As ``local_minute`` for (possibly fractional) epoch seconds."""
-    return local_minute(F.timestamp_seconds(F.floor(seconds)), zone)
-
-
 def whole_seconds_between(later: Column, earlier: Column) -> Column:
     micros = F.unix_micros(later) - F.unix_micros(earlier)
     return (micros / 1_000_000).cast("int")

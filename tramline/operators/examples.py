@@ -276,9 +276,13 @@ def horizon_labels(
             close.alias("y"), F.col("fwd_gap_m").alias("g"), F.coalesce(F.col("_held"), close).alias("p"), F.col("headway_s").alias("h"))).alias("e"))
     rows = chain.withColumn("_held", held).withColumn("_fut", F.collect_list(entry).over(ahead))
     offset = lambda x: x["k"] - F.col("k")
-    usable = F.col("_fut") if on_hole == "skip" else F.filter("_fut", lambda x, i: offset(x) == i + 1)
-    at = lambda f: F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda h: F.get(
-        F.transform(F.filter("_use", lambda x: offset(x) == h), lambda x: x["e"][f]), F.lit(0)))
+    ticks = F.sequence(F.lit(1).cast("long"), F.lit(horizon).cast("long"))
+    if on_hole == "skip":
+        usable = F.map_from_entries(F.transform("_fut", lambda x: F.struct(offset(x).cast("long"), x["e"])))
+        at = lambda f: F.transform(ticks, lambda h: F.try_element_at("_use", h)[f])
+    else:  # what is left is an unbroken run from +1: the entry of +h stands at h - 1
+        usable = F.filter("_fut", lambda x, i: offset(x) == i + 1)
+        at = lambda f: F.transform(ticks, lambda h: F.get("_use", (h - 1).cast("int"))["e"][f])
     return rows.withColumn("_use", usable).withColumns(
         {"labels": at("y"), "label_gaps": at("g"), "labels_persist": at("p"), "labels_headway_s": at("h")}
     ).drop("_fut", "_use", "_held")

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo, times, values
+from ..functions import geo, times
 from .sequence import latest_by
 
 
@@ -393,18 +393,3 @@ def consecutive_dup_rate(snapshots: DataFrame, chunk_s: int = 3600) -> DataFrame
 def top_risk(scored: DataFrame, k: int) -> DataFrame:
     """The k buses with the highest probability over their horizons, full vector kept."""
     return scored.withColumn("max_prob", F.array_max("probs")).orderBy(F.desc("max_prob"), "example_id").limit(k)
-
-
-def speed_table(latest: DataFrame, now: Column) -> DataFrame:
-    """Fleet table: whole-second age and rounded km/h per vehicle."""
-    return latest.select(
-        "vehicle_id",
-        times.age_seconds(F.col("fetched_at"), now).alias("age_seconds"),
-        values.speed_kph(F.col("speed_mps")).alias("speed_kph"),
-    )
-
-
-def rank_desc(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
-    """Top k per small group (pruned before the shuffle by the window group limit)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -16,6 +16,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 from .lookup import interval_lookup
 from .scoring import average_precision, pick_threshold, to_long
 
@@ -146,6 +148,7 @@ def fit_isotonic(scores: DataFrame, horizon: int, grid: float = 1e-4) -> DataFra
     spark = scores.sparkSession
     pooled = scores.filter("y is not null").groupBy("h", (F.rint(F.col("p") / grid) * grid).alias("x")).agg(
         F.avg("y").alias("y"), F.count("*").cast("double").alias("w"))
+    pooled = materialise(pooled, "pooled")  # read once per horizon
     both = {r["h"] for r in pooled.groupBy("h").agg(F.max("y").alias("hi"), F.min("y").alias("lo"), F.avg("y").alias("m"))
             .filter("hi > 0 and lo < 1 and m > 0 and m < 1").select("h").collect()}  # one row per horizon
     rows = []

@@ -112,19 +112,3 @@ def cumulative_by_value(
             *[(F.col(f"_in_{n}") + F.col(f"_before_{n}")).alias(f"cum_{n}") for n in names],
         )
     )
-
-
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], step: float
-) -> DataFrame:
-    """Interpolated quantiles per key of a measure recorded to a fixed ``step``.
-
-    The aggregate keeps one counter per distinct value; recording to ``step`` bounds those
-    counters by range / step, however many rows a key has.
-    """
-    names = list(probs)
-    q = F.floor(F.col(value) / step + 0.5) * step
-    picked = df.groupBy(*keys).agg(
-        F.percentile(q, F.array(*[F.lit(probs[n]) for n in names])).alias("_q")
-    )
-    return picked.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])

@@ -88,14 +88,6 @@ def evaluate(scored: DataFrame, model: Forecaster) -> DataFrame:
     return scoring.score_metrics(long, model.thresholds).join(scoring.average_precision(long), "h", "left").fillna(0.0, ["pr_auc"])
 
 
-def to_model_units(points: DataFrame, scale) -> DataFrame:
-    """Bus points in the distance units of an older model: distances, speeds and the shape
-    length all take the factor (``values.mercator_scale`` of a latitude); stop indexes are
-    ratios and stay. Scale gaps back with ``values.descale_gap``."""
-    cols = [c for c in ("travel_distance_m", "moving_speed_m_s", "shape_length_m") if c in points.columns]
-    return points.withColumns({c: F.col(c) * scale for c in cols})
-
-
 # --- live slices --------------------------------------------------------------------------
 
 

@@ -173,7 +173,3 @@ def drift_stream(feature_stream: DataFrame, path: str, checkpoint: str, column:
         scoring.channel_drift(df, column).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return _start(feature_stream, write, checkpoint)
-
-
-def refresh_dates(now: Column) -> Column:
-    return times.tick_service_dates(now)
