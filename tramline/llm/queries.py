@@ -63,8 +63,8 @@ SHARDS = 40
 CRC_SQL = """
 steps as (select list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k:
     case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, n)) as t),
-sums as (select doc_id, xor(list_reduce(list_transform(range(strlen(coalesce(text, ''))), lambda i:
-    cast('0x' || hx[2 * i + 1:2 * i + 2] as bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) as text_crc32
+sums as (select doc_id, xor(list_reduce(list_transform(regexp_extract_all(hx, '..'), lambda x:
+    cast('0x' || x as bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) as text_crc32
     from (select doc_id, text, hex(coalesce(text, '')) as hx from documents), steps)"""
 
 
@@ -111,7 +111,44 @@ def domain_of():
     return F.element_at(F.array(*[F.lit(x) for x in DOMAINS]), (F.crc32(F.col("source").cast("binary")) % 4 + 1).cast("int"))
 
 
-@query("op7_source_mix")
+def _fill_sql(name: str, below: str, path: str, level: str, parents: str) -> str:
+    """CTEs that share the budgets of ``parents`` among the next level's children."""
+    keys = f"{path}{', ' if path else ''}{level}"
+    over = f"partition by {path}" if path else ""
+    join = f"join {parents} p using ({path})" if path else f"cross join {parents} p"
+    turn = f"({over} order by cap / w, {level} rows between unbounded preceding and 1 preceding)"
+    return f"""
+{name}_n as (select {keys}, any_value(p.budget) as budget, sum(cap) as cap, max(w_{level}) as w from {below} {join} group by {keys}),
+{name}_l as (select *, (budget - coalesce(sum(cap) over {turn}, 0)) / (sum(w) over ({over}) - coalesce(sum(w) over {turn}, 0)) as lv from {name}_n),
+{name}_m as (select *, max(lv) filter (cap / w > lv) over ({over}) as mark from {name}_l),
+{name} as (select {keys}, cast(case when cap / w <= lv then cap else least(cap, floor(w * mark)) end as bigint) as budget from {name}_m)"""
+
+
+MIX_SQL = rf"""
+with steps as (select list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k:
+    case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, n)) as t),
+src as (select source, list_extract(['web', 'code', 'books', 'news'], 1 + xor(list_reduce(list_transform(range(strlen(source)), lambda i:
+    cast('0x' || hex(source)[2 * i + 1:2 * i + 2] as bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 4) as dom
+    from (select distinct source from documents where source is not null), steps),
+d as (select doc_id, lang, d.source, coalesce('v' || dom, 'n') as domain, coalesce('v' || lang, 'n') as lg, coalesce('v' || d.source, 'n') as so,
+    cast(len({WORDS_SQL}) as bigint) as n_tokens from documents d left join src using (source)),
+leaf as (select domain, lg, so, sum(n_tokens) as tokens, 2 * sum(n_tokens) as cap,
+    case domain when 'vweb' then 3 when 'vcode' then 2 when 'vbooks' then 2 else 1 end as w_domain,
+    case lg when 'ven' then 4 when 'vde' then 2 when 'vfr' then 2 when 'ves' then 2 else 1 end as w_lg, 1 as w_so from d group by all),
+root as (select cast(floor(sum(tokens) * 5e-1) as bigint) as budget from leaf),
+{_fill_sql("by_domain", "leaf", "", "domain", "root")},
+{_fill_sql("by_lang", "leaf", "domain", "lg", "by_domain")},
+{_fill_sql("by_source", "leaf", "domain, lg", "so", "by_lang")},
+plan as (select domain, lg, so, budget, budget // tokens as whole, budget % tokens as rest from leaf join by_source using (domain, lg, so)
+    where tokens > 0 and budget > 0),
+u as (select * from d join plan using (domain, lg, so)),
+part as (select *, sum(n_tokens) over (partition by domain, lg, so order by md5('mix:' || cast(cast(whole as int) as varchar) || ':' || coalesce(cast(doc_id as varchar), '')), n_tokens
+    rows unbounded preceding) as upto from u where rest > 0)
+select doc_id, lang, source, cast(unnest(range(cast(whole as bigint))) as int) as epoch, n_tokens, budget as leaf_budget from u
+union all select doc_id, lang, source, cast(whole as int), n_tokens, budget from part where upto <= rest"""
+
+
+@query("op7_source_mix", MIX_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "lang", "source", "text")
     picked = mixing.mix_sources(docs, domain_of(), WEIGHTS, share=0.5, max_epochs=2)
