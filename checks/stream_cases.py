@@ -85,7 +85,7 @@ def _(spark, d):
     agg = s.groupBy(F.window("vehicle_timestamp", "5 minutes")).agg(F.count("*").alias("rows")).select(F.col("window.start").alias("t"), "rows")
     path = shared_dir(spark, "late")
     _run(jobs.keep_table(agg, path, shared_dir(spark, "cp")))
-    return rounded(jobs.read_latest(spark, path))
+    return rounded(jobs.read_latest(spark, path, ["t"]))
 
 
 @case("st07_stream_dedup", "select distinct trip_id, start_date, dt_s as datetime from v_vp")
@@ -101,7 +101,7 @@ def _(spark, d):
     path = shared_dir(spark, "latest")
     vp = fx.vehicle_positions(spark, d).select("vehicle_id", "id", "fetched_at", "route_id")
     _run(jobs.keep_table(jobs.live_latest_state(land(vp, "vp")), path, shared_dir(spark, "cp")))
-    return rounded(jobs.read_latest(spark, path).select("vehicle_id", "id", "fetched_at"))
+    return rounded(jobs.read_latest(spark, path, ["vehicle_id"]).select("vehicle_id", "id", "fetched_at"))
 
 
 @case("st09_rolling_feed_health", f"""select k.k * 1800 as until, feed_name, count(*) as fetches, count(*) filter (where success) as successes, {rs('count(*) filter (where success) / count(*)')} as success_rate
@@ -110,7 +110,7 @@ def _(spark, d):
     path = shared_dir(spark, "health")
     logs = fx.fetch_logs(spark, d).select("fetched_at", "feed_name", "success")
     _run(jobs.keep_table(jobs.rolling_feed_health(land(logs, "logs"), "1 hour", "30 minutes", "60 days"), path, shared_dir(spark, "cp")))
-    return rounded(jobs.read_latest(spark, path))
+    return rounded(jobs.read_latest(spark, path, ["until", "feed_name"]))
 
 
 @case("st09_per_minute_stream", "select us // 60000000 * 60 as minute, success, count(*) as rows from v_log group by 1, 2")
@@ -118,7 +118,7 @@ def _(spark, d):
     path = shared_dir(spark, "minutes")
     logs = fx.fetch_logs(spark, d).select("fetched_at", "success")
     _run(jobs.keep_table(jobs.per_minute_stream(land(logs, "logs"), "60 days"), path, shared_dir(spark, "cp")))
-    return rounded(jobs.read_latest(spark, path))
+    return rounded(jobs.read_latest(spark, path, ["minute", "success"]))
 
 
 @case("st10_vehicle_sessions", """select vehicle_id, min(veh_s) as first_seen, max(veh_s) + 60 as closed_at, count(*) as pings from (
@@ -127,7 +127,7 @@ def _(spark, d):
 def _(spark, d):
     path = shared_dir(spark, "sessions")
     vp = fx.vehicle_positions(spark, d).select("vehicle_id", "vehicle_timestamp")
-    _run(jobs.keep_table(jobs.vehicle_sessions(land(vp, "vp"), "60 seconds", "2 days"), path, shared_dir(spark, "cp")))
+    _run(jobs.keep_table(jobs.vehicle_sessions(land(vp, "vp"), "60 seconds", "2 days"), path, shared_dir(spark, "cp"), "complete"))
     return rounded(jobs.read_latest(spark, path))
 
 

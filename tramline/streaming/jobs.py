@@ -28,9 +28,10 @@ def _batch_path(root: str, table: str, batch_id: int) -> str:
 
 
 def ingest_batch(polls: DataFrame, batch_id: int, root: str, routes: Sequence[str] | None = None) -> None:
-    """One micro-batch of polls into the append tables."""
+    """One micro-batch of polls into the append tables, each batch in its own folder (a replay
+    overwrites it), split by ``fetched_date`` for the readers' partition filters."""
     polls.persist()
-    ents = feeds.entities(polls)
+    ents = feeds.entities(polls).persist()  # payloads are parsed once
     tables = {
         "fetch_logs": feeds.fetch_log_rows(polls),
         "snapshots": feeds.snapshot_rows(polls),
@@ -38,9 +39,13 @@ def ingest_batch(polls: DataFrame, batch_id: int, root: str, routes: Sequence[st
         "trip_updates": feeds.trip_update_rows(ents, routes),
         "trip_modifications": feeds.trip_modification_rows(ents),
     }
-    for name, rows in tables.items():
-        rows.write.mode("overwrite").parquet(_batch_path(root, name, batch_id))
-    polls.unpersist()
+    try:
+        for name, rows in tables.items():
+            dated = rows.withColumn("fetched_date", F.to_date("fetched_at"))
+            dated.write.mode("overwrite").partitionBy("fetched_date").parquet(_batch_path(root, name, batch_id))
+    finally:
+        ents.unpersist()
+        polls.unpersist()
 
 
 def _start(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append",
@@ -138,16 +143,22 @@ def vehicle_sessions(stream: DataFrame, gap: str = "20 minutes", slack: str = "6
         "vehicle_id", F.col("session_window.start").alias("first_seen"), F.col("session_window.end").alias("closed_at"), "pings")
 
 
-def keep_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Keep an aggregate as a table: each trigger writes its result to the batch's own folder;
-    with ``complete`` the newest folder is the whole answer."""
+def keep_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
+    """Keep an aggregate as a table: each trigger writes the rows that changed to the batch's own
+    folder. ``update`` lets the watermark free closed windows; ``complete`` rewrites everything and
+    is only for aggregates that have no other mode (session windows)."""
     return _start(stream, lambda df, i: df.write.mode("overwrite").parquet(f"{path}/batch={i}"), checkpoint, mode)
 
 
-def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """The newest complete result of ``keep_table``."""
+def read_latest(spark: SparkSession, path: str, keys: Sequence[str] = ()) -> DataFrame:
+    """The table that ``keep_table`` holds: per key the row of the newest batch that changed it;
+    without keys the newest batch, which is the whole answer in ``complete`` mode."""
     every = spark.read.option("basePath", path).parquet(path)
-    return every.filter(F.col("batch") == every.agg(F.max("batch")).scalar()).drop("batch")
+    if not keys:
+        return every.filter(F.col("batch") == every.agg(F.max("batch")).scalar()).drop("batch")
+    rest = [c for c in every.columns if c not in (*keys, "batch")]
+    newest = every.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
+    return newest.select(*keys, "_row.*")
 
 
 def score_stream(point_stream: DataFrame, read_points: Callable[[DataFrame], DataFrame], model: forecasting.Forecaster, path: str,
