@@ -251,7 +251,7 @@ def test_language_held_out(spark):
     rows = [(i, " ".join("".join(rng.choice(parts[g]) for _ in range(2)) for _ in range(30)), g) for i in range(80) for g in [rng.choice(["aa", "bb"])]]
     rows += [(900, None, "aa"), (901, "123 456", "bb"), (902, "", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = {r.doc_id: r for r in language.identify(docs, language.fit(docs)).collect()}
+    got = {r.row.doc_id: r for r in language.identify(docs, language.fit(docs)).collect()}
     assert all(got[i].lang_pred == g for i, _, g in rows[:80]) and all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902))
     assert {r.lang_pred for r in language.identify(docs, None).collect()} == {"und"}
 
@@ -354,13 +354,16 @@ def test_empty_tables(spark, empty):
 
 
 def test_stages_keep_the_columns(spark, docs, tmp_path):
+    """The stages on documents with columns of clashing names."""
     spark.createDataFrame([(1, corpus()[20][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    counts = [docs.count()]
-    now = docs.drop("shard", "row")
+    now = docs.withColumns({"score": F.lit(0.5), "nth": F.lit(7), "epoch": F.lit("e")})
+    counts = [now.count()]
     for name, stage in corpus_pipeline.STAGES:
         columns = now.columns
-        now = spark.createDataFrame(stage(spark, now, str(tmp_path)).collect(), now.schema if name != "shards" else None)
-        assert now.columns[: len(columns)] == columns
+        out = stage(spark, now, str(tmp_path))
+        want = [c for c in columns if c != "shard"] + ["shard", "slot"] if name == "shards" else columns
+        assert out.columns == want
+        now = spark.createDataFrame(out.collect(), out.schema)
         counts.append(now.count())
     assert counts[1] < counts[0] and counts[2] < counts[1] and counts[3] <= counts[2] and counts[5] == counts[4]
     assert stages.MIN_SCORE < 0.5

@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from .common import held_out
 from .words import Texts, batch_of, slices
@@ -176,22 +178,18 @@ def fit(docs: DataFrame, modulus: int = 4, fit_bytes: int = FIT_BYTES) -> Contex
 
 
 def identify(docs: DataFrame, trees: ContextTrees | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, lang_pred, score and bits_per_byte for every row of ``docs``.
+    """``row`` (a struct of the ``keep`` columns), lang_pred, score and bits_per_byte for every row of ``docs``.
 
     ``score`` is the share of the best language when the average advantage per byte counts ``TEMPER`` bytes.
     """
-    fields = [f for f in docs.select(*keep).schema.fields]
     text = F.col("text").cast("string")
-    rows = docs.select(F.struct(*keep).alias("_row"), F.when(text.rlike(r"\p{L}"), text).alias("_text"))
-    from pyspark.sql.types import DoubleType, StringType, StructType
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    out = StructType().add("_row", StructType(fields)).add("lang_pred", StringType()).add("score", DoubleType()).add("bits_per_byte", DoubleType())
+    rows = docs.select(F.struct(*keep).alias("row"), F.when(text.rlike(r"\p{L}"), text).alias("text"))
+    out = StructType().add("row", docs.select(*keep).schema).add("lang_pred", StringType()).add("score", DoubleType()).add("bits_per_byte", DoubleType())
     schema = to_arrow_schema(out)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_text"):
-            column = part.column("_text")
+        for part in slices(batches):
+            column = part.column("text")
             names = ["und"] * part.num_rows
             sure = np.zeros(part.num_rows)
             rate = np.zeros(part.num_rows)
@@ -207,7 +205,7 @@ def identify(docs: DataFrame, trees: ContextTrees | None, keep: tuple[str, ...]
                 given = column.is_valid().to_numpy(zero_copy_only=False)
                 names = [trees.langs[b] if g else "und" for b, g in zip(best, given, strict=True)]
                 sure, rate = np.where(given, sure, 0.0), np.where(given, rate, 0.0)
-            row = part.column("_row")
-            yield batch_of(schema, [row.cast(schema.field("_row").type), names, sure, rate])
+            row = part.column("row")
+            yield batch_of(schema, [row.cast(schema.field("row").type), names, sure, rate])
 
-    return rows.mapInArrow(score, out).select("_row.*", "lang_pred", "score", "bits_per_byte")
+    return rows.mapInArrow(score, out)

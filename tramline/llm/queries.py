@@ -176,7 +176,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     named = language.identify(docs, language.fit(docs, modulus=4))
-    return named.select("doc_id", held_out("doc_id", 4).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+    return named.select("row.doc_id", held_out("row.doc_id", 4).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
 @query("op4_cgk_decontamination")

@@ -34,7 +34,7 @@ def suffix_array(keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     order = np.argsort(keys, kind="stable")
     rank = np.empty(n, np.int64)
     rank[order] = _first_slots(keys[order], np.arange(n))
-    levels, step = [rank], 1
+    levels, step = [rank.astype(np.int32)], 1
     while True:
         held = rank[order]
         tied = np.zeros(n, bool)
@@ -51,7 +51,7 @@ def suffix_array(keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         order[slots] = at
         rank = rank.copy()
         rank[at] = _first_slots(pair, slots)
-        levels.append(rank)
+        levels.append(rank.astype(np.int32))
         step *= 2
 
 

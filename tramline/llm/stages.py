@@ -15,7 +15,7 @@ MIN_SCORE = 0.4  # share of the best language below which a document has none
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language; those without a letter, or with no language ahead of the others, go."""
     named = language.identify(docs, language.fit(docs), keep=tuple(docs.columns))
-    return named.where((F.col("lang_pred") != "und") & (named["score"] >= MIN_SCORE)).select(*docs.columns)
+    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("row.*")
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     groups = near_dup.near_duplicate_components(docs)
     gone = groups.where("not kept").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    return kept.withColumn("_nth", F.row_number().over(first)).where("_nth = 1 or doc_id is null").select(*docs.columns)
+    numbered = kept.select(F.struct("*").alias("row"), F.row_number().over(Window.partitionBy("doc_id").orderBy("text")).alias("nth"))
+    return numbered.where("nth = 1 or row.doc_id is null").select("row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +36,10 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by target weights; one used in two epochs is two rows."""
-    return mixing.mix_sources(docs, domain_of(), WEIGHTS, share=0.5, max_epochs=2).select("row.*").select(*docs.columns)
+    return mixing.mix_sources(docs, domain_of(), WEIGHTS, share=0.5, max_epochs=2).select("row.*")
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its shard and slot."""
-    return sharding.interleaved_shards(docs, SHARDS).select("row.*", "shard", "slot")
+    """Every row with its shard and slot; columns of these names that ``docs`` brings give way."""
+    own = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return sharding.interleaved_shards(docs, SHARDS).select(*own, "shard", "slot")
