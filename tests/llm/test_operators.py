@@ -367,3 +367,29 @@ def test_stages_keep_the_columns(spark, docs, tmp_path):
         counts.append(now.count())
     assert counts[1] < counts[0] and counts[2] < counts[1] and counts[3] <= counts[2] and counts[5] == counts[4]
     assert stages.MIN_SCORE < 0.5
+
+
+def test_stages_without_ids(spark, tmp_path):
+    """Rows without ``doc_id`` stand alone in near dedup and go by their text in decontamination."""
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choice("abcdefgh") + rng.choice("klmnop") for _ in range(40))
+    leak, clean, other = text(), text(), text()
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, leak), (None, clean), (None, clean), (None, None), (1, f"{leak} tail"), (2, clean), (2, clean), (2, other), (3, clean)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    near = stages.near_dup_stage(spark, d, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in near if r.doc_id is not None) == [1, 2]
+    assert sorted(r.text or "" for r in near if r.doc_id is None) == sorted(["", leak, clean, clean])
+    left = stages.decontamination_stage(spark, d, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in left) == sorted((i or 0, t or "") for i, t in rows if leak not in (t or ""))
+
+
+def test_fits_take_repeated_rows_once(spark):
+    rows = [(i, f"the thing and the other {i} idiot" if i % 2 else f"der Schein und die Zeit {i}", "bb" if i % 2 else "aa") for i in range(40)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    hot = plain.unionByName(spark.createDataFrame([rows[1]] * 50, plain.schema))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    one, many = (toxicity.fit(d, labels) for d in (plain, hot))
+    assert all(np.allclose(a, b) for a, b in zip(one.models, many.models, strict=True))
+    big = 1 << 30  # everything is drawn
+    assert all(np.array_equal(a, b) for a, b in zip(language.fit(plain, fit_bytes=big).costs, language.fit(hot, fit_bytes=big).costs, strict=True))

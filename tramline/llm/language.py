@@ -9,7 +9,7 @@ The trees of all languages share one hash table per order, whose rows hold the r
 language, so a byte takes one lookup where its longest context is known.
 
 Fitting uses a bounded sample: documents drawn by a seeded hash, about ``fit_bytes`` in all, shared evenly by the
-languages; single texts over ``FIT_ROW_BYTES`` are not drawn.  All documents are scored over all their bytes.
+languages; single texts over ``FIT_ROW_BYTES`` are not drawn, and repeated rows count once.  All documents are scored over all their bytes.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; so is everything if nothing can be learned; ties
 go to the first language by name; rows are scored one by one, so repeated rows agree.
@@ -170,9 +170,10 @@ def fit(docs: DataFrame, modulus: int = 4, fit_bytes: int = FIT_BYTES) -> Contex
     if not there:
         return None
     rate = F.create_map(*[F.lit(x) for lang, b in there.items() for x in (lang, min(1.0, fit_bytes / len(there) / b))])
-    drawn = rows.where(F.pmod(F.xxhash64(F.lit("fit"), F.col("doc_id")), F.lit(1_000_000)) < rate[F.col("lang")] * 1_000_000)
+    drawn = rows.where(F.pmod(F.xxhash64(F.lit("fit"), F.col("doc_id"), F.col("text")), F.lit(1_000_000)) < rate[F.col("lang")] * 1_000_000)
+    drawn = drawn.select("lang", "doc_id", F.col("text").cast("string").alias("text")).distinct()  # a row repeated often is drawn as one
     samples: dict[str, list[str]] = {}
-    for r in drawn.select("lang", F.col("text").cast("string").alias("text")).orderBy("lang", "doc_id", "text").collect():
+    for r in drawn.orderBy("lang", "doc_id", "text").collect():
         samples.setdefault(r.lang, []).append(r.text)
     return ContextTrees(samples) if samples else None
 

@@ -22,16 +22,18 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """One document of each near-duplicate group; of rows with one ``doc_id``, one."""
     groups = near_dup.near_duplicate_components(docs)
     gone = groups.where("not kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    numbered = kept.select(F.struct("*").alias("row"), F.row_number().over(Window.partitionBy("doc_id").orderBy("text")).alias("nth"))
-    return numbered.where("nth = 1 or row.doc_id is null").select("row.*")
+    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
+    numbered = kept.withColumn("row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select(
+        "row", F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.text")).alias("nth"))
+    return numbered.where("nth = 1").select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item stands."""
+    """Documents in which no benchmark item stands; a row without ``doc_id`` goes by its text."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = decontaminate.contaminations(docs, benchmark).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    hit = decontaminate.contaminations(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("hit_key")).distinct()
+    return docs.join(hit, key == hit["hit_key"], "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

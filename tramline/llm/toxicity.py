@@ -8,8 +8,8 @@ Fitting uses a bounded sample of labelled documents (``fit_rows``, drawn by a se
 that best tell labelled toxic documents from the others; everything is scored over whole texts.
 
 Defined cases: null or empty text has no features and gets the intercepts; a category without both outcomes in the
-sample is its base rate; labels of unknown documents are ignored, and a document labelled twice counts as toxic if any
-label says so.
+sample is its base rate; labels of unknown documents are ignored, a document labelled twice counts as toxic if any
+label says so, and rows of one ``doc_id`` are fitted once, by the smallest text.
 """
 
 from __future__ import annotations
@@ -123,8 +123,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Mapping[str, tuple[str,
             lists = [np.unique(x).view(np.int64) for x in np.split(hashed, np.searchsorted(row, np.arange(1, part.num_rows)))]
             yield batch_of(schema, [part.column("doc_id"), part.column("toxic"), lists])
 
-    sample = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(drawn, "doc_id").mapInArrow(
-        bag, "doc_id long, toxic long, words array<long>").persist()
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(drawn, "doc_id")
+    one = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = one.mapInArrow(bag, "doc_id long, toxic long, words array<long>").persist()
     counts = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).first()
     n, pos = counts.n or 0, counts.pos or 0
     names = [*categories, "toxic"]
