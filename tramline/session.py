@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
 
+_WORKSPACE: ContextVar[str | None] = ContextVar("workspace", default=None)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and the benchmark; a cluster brings its own."""
     return (
@@ -28,12 +34,28 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
     Where that is unset the warehouse is used, which executors share as well; never a folder of one machine's own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = _WORKSPACE.get() or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[str]:
+    """Frames materialised inside the block go to one folder, which is deleted at its end.
+
+    For work that ends in a write; a frame read after the block has lost its files.
+    """
+    path = shared_dir(spark, "run")
+    outer = _WORKSPACE.set(path)
+    try:
+        yield path
+    finally:
+        _WORKSPACE.reset(outer)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialise(df, name: str):
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives executor loss."""
     spark = df.sparkSession

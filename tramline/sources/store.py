@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, workspace
 
 
 def _even(df: DataFrame, *cols: str) -> DataFrame:
@@ -35,6 +35,11 @@ def write_trajectories_replace(rows: DataFrame, path: str, keys: DataFrame | Non
     gives no rows loses its old ones. Rows of the touched dates are merged into a staging
     table, then only those partitions are swapped in. Running it again gives the same table.
     """
+    with workspace(rows.sparkSession):
+        _replace(rows, path, keys)
+
+
+def _replace(rows: DataFrame, path: str, keys: DataFrame | None) -> None:
     spark = rows.sparkSession
     inst = ["trip_id", "start_date"]
     replaced = (keys if keys is not None else rows).select(*inst).distinct()
@@ -42,7 +47,7 @@ def write_trajectories_replace(rows: DataFrame, path: str, keys: DataFrame | Non
     if table_exists(spark, path):
         old = spark.read.parquet(path)
         # an instance's rows lie in the partition of its start date: only those dates are read
-        days = F.to_date("start_date", "yyyyMMdd")
+        days = F.try_to_date(F.col("start_date"), "yyyyMMdd")
         dates = replaced.select(days.alias("service_date")).union(rows.select("service_date")).distinct()
         touched = [r[0] for r in dates.collect()]  # calendar days
         day = F.col("service_date")

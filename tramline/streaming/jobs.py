@@ -6,7 +6,8 @@ batch's own folder, or replaces by key.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from ..functions import times
 from ..operators import scoring
 from ..operators import trajectory as tr
 from ..plans import forecasting, trajectories
-from ..session import materialise
+from ..session import materialise, workspace
 from ..sources import feeds, store
 
 # Seconds between polls of each feed.
@@ -81,19 +82,32 @@ def cold_start_cutoff(now: Column, interval_s: int) -> Column:
 def refresh_batch(batch: DataFrame, history: DataFrame, trips: DataFrame, shape_points: DataFrame, path: str, **options) -> None:
     """Recompute the whole of every instance the batch touches and replace its stored rows.
 
-    The history is first cut to the fetch window of the touched service dates, two literals
-    that prune its partitions.
+    The history is first cut to the fetch windows of the touched service dates, literals that
+    prune its partitions. An instance whose date is no date has no trajectory and reads nothing.
     """
-    keys = materialise(changed_instances(batch), "keys")
-    day = F.try_to_date(F.col("start_date"), "yyyyMMdd")
-    first, last, odd = keys.agg(F.min(day), F.max(day), F.count_if(day.isNull())).first()
-    if first is not None and odd == 0:
+    with workspace(batch.sparkSession):
+        keys = materialise(changed_instances(batch), "keys")
+        day = F.try_to_date(F.col("start_date"), "yyyyMMdd")
+        days = [r.day for r in keys.select(day.alias("day")).distinct().collect() if r.day is not None]  # calendar days
+        keyed = tr.with_instance(fetched_for(history, days)).join(keys, ["trip_id", "start_date"], "left_semi")
+        rows = keyed.withColumn("start_date", F.col("feed_start_date")).select(*history.columns)
+        built = trajectories.build_trajectories(rows, trips, shape_points, **options)
+        store.write_trajectories_replace(built, path, keys)
+
+
+def fetched_for(history: DataFrame, days: Iterable[date]) -> DataFrame:
+    """Rows fetched in the window of one of ``days``; neighbouring days share one range."""
+    spans: list[list[date]] = []
+    for d in sorted(days):
+        if spans and (d - spans[-1][1]).days <= 1:
+            spans[-1][1] = d
+        else:
+            spans.append([d, d])
+    wanted = F.lit(False)
+    for first, last in spans:
         lo, hi = times.fetch_window(first)[0], times.fetch_window(last)[1]
-        history = history.filter((F.col("fetched_at") >= lo) & (F.col("fetched_at") < hi))
-    keyed = tr.with_instance(history).join(keys, ["trip_id", "start_date"], "left_semi")
-    rows = keyed.withColumn("start_date", F.col("feed_start_date")).select(*history.columns)
-    built = trajectories.build_trajectories(rows, trips, shape_points, **options)
-    store.write_trajectories_replace(built, path, keys)
+        wanted = wanted | ((F.col("fetched_at") >= lo) & (F.col("fetched_at") < hi))
+    return history.filter(wanted)
 
 
 def incremental_refresh(vp_stream: DataFrame, read_history: Callable[[], DataFrame], trips: DataFrame, shape_points: DataFrame,
