@@ -393,3 +393,25 @@ def test_fits_take_repeated_rows_once(spark):
     assert all(np.allclose(a, b) for a, b in zip(one.models, many.models, strict=True))
     big = 1 << 30  # everything is drawn
     assert all(np.array_equal(a, b) for a, b in zip(language.fit(plain, fit_bytes=big).costs, language.fit(hot, fit_bytes=big).costs, strict=True))
+
+
+def test_every_language_is_learned(spark):
+    """Documents larger than a language's share, and over 1 MiB, are cut for the fit; no language goes without one."""
+    rows = [(i, f"{lang}{lang[::-1]} " * 12000, lang) for i in range(12) for lang in ("ab", "cd", "ef", "gh")] + [(99, "xyzzy " * 250_000, "xy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    trees = language.fit(docs, fit_bytes=40_000)
+    assert trees.langs == ["ab", "cd", "ef", "gh", "xy"]
+    got = language.identify(docs.select("doc_id", F.substring("text", 1, 60).alias("text"), "lang"), trees, keep=("lang",)).collect()
+    assert len(got) == 49 and all(r.lang_pred == r.row.lang for r in got)
+
+
+def test_sample_is_full_in_hash_order(spark, monkeypatch):
+    """Shares are full to the byte where a language has the text, and whole where it has less."""
+    met = {}
+    monkeypatch.setattr(language, "ContextTrees", lambda samples: met.update(samples))
+    rows = [(i, f"word{i} " * 50, "aa") for i in range(400)] + [(i, "kurz", "bb") for i in range(3)]
+    rows += [rows[7]] * 500
+    language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), modulus=1 << 30)
+    assert (len(met["aa"]), len(met["bb"])) == (400, 3)
+    language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), modulus=1 << 30, fit_bytes=0)
+    assert sum(map(len, met["aa"])) == language.LEAST_BYTES and len(met["bb"]) == 3

@@ -8,8 +8,9 @@ shortest exact code of the whole text is predicted.
 The trees of all languages share one hash table per order, whose rows hold the resolved cost of a string in every
 language, so a byte takes one lookup where its longest context is known.
 
-Fitting uses a bounded sample: documents drawn by a seeded hash, about ``fit_bytes`` in all, shared evenly by the
-languages; single texts over ``FIT_ROW_BYTES`` are not drawn, and repeated rows count once.  All documents are scored over all their bytes.
+Fitting uses a bounded sample: each language of the training rows gives its documents in the order of a seeded hash until
+its share is full, the last one cut there, so every language is learned from one document at least.  A share is ``fit_bytes`` by the number
+of languages, but no less than ``LEAST_BYTES``; repeated rows count once.  All documents are scored over all their bytes.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; so is everything if nothing can be learned; ties
 go to the first language by name; rows are scored one by one, so repeated rows agree.
@@ -30,7 +31,7 @@ from .common import held_out
 from .words import Texts, batch_of, slices
 
 ORDER = 4
-FIT_BYTES, FIT_ROW_BYTES = 1 << 20, 1 << 20
+FIT_BYTES, LEAST_BYTES = 1 << 20, 1 << 14
 STEP = 1 << 17  # bytes scored at once
 TEMPER = 20.0
 
@@ -164,18 +165,32 @@ class ContextTrees:
 
 def fit(docs: DataFrame, modulus: int = 4, fit_bytes: int = FIT_BYTES) -> ContextTrees | None:
     """Context trees from a bounded sample of the documents that are not held out."""
-    size = F.octet_length(F.col("text").cast("string"))
-    rows = docs.where(~held_out("doc_id", modulus) & F.col("lang").isNotNull() & (size > 0) & (size <= FIT_ROW_BYTES))
-    there = {r.lang: r.bytes for r in rows.groupBy("lang").agg(F.sum(size).alias("bytes")).collect()}
+    text = F.col("text").cast("string")
+    turn = F.shiftrightunsigned(F.xxhash64(F.lit("fit"), F.col("doc_id"), F.col("text")), 1)
+    level = F.length(F.bin("turn"))  # levels are ranges of turns, each twice as wide as the one before
+    rows = docs.where(~held_out("doc_id", modulus) & F.col("lang").isNotNull() & (F.octet_length(text) > 0)).select("lang", turn.alias("turn"), text.cast("binary").alias("body"))
+    once = rows.groupBy("lang", "turn").agg(F.max(F.octet_length("body")).alias("bytes"))  # a row repeated often is drawn as one
+    there: dict[str, list] = {}
+    for r in once.groupBy("lang", level.alias("level")).agg(F.sum("bytes").alias("bytes")).orderBy("lang", "level").collect():
+        there.setdefault(r.lang, []).append((r.level, r.bytes))
     if not there:
         return None
-    rate = F.create_map(*[F.lit(x) for lang, b in there.items() for x in (lang, min(1.0, fit_bytes / len(there) / b))])
-    drawn = rows.where(F.pmod(F.xxhash64(F.lit("fit"), F.col("doc_id"), F.col("text")), F.lit(1_000_000)) < rate[F.col("lang")] * 1_000_000)
-    drawn = drawn.select("lang", "doc_id", F.col("text").cast("string").alias("text")).distinct()  # a row repeated often is drawn as one
+    share = min(max(fit_bytes // len(there), LEAST_BYTES), (1 << 31) - 1)
+    last = {}
+    for lang, levels in there.items():
+        total = 0
+        for step, size in levels:
+            if total < share:
+                last[lang], total = step, total + size
+    stop = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
+    drawn = rows.where(level <= stop[F.col("lang")]).select("lang", "turn", F.substring("body", 1, share).alias("body")).distinct()
     samples: dict[str, list[str]] = {}
-    for r in drawn.orderBy("lang", "doc_id", "text").collect():
-        samples.setdefault(r.lang, []).append(r.text)
-    return ContextTrees(samples) if samples else None
+    left = dict.fromkeys(there, share)
+    for r in drawn.orderBy("lang", "turn").collect():
+        if left[r.lang] > 0:
+            samples.setdefault(r.lang, []).append(bytes(r.body[: left[r.lang]]).decode("utf-8", "ignore"))
+            left[r.lang] -= len(r.body)
+    return ContextTrees(samples)
 
 
 def identify(docs: DataFrame, trees: ContextTrees | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
