@@ -415,3 +415,55 @@ def test_sample_is_full_in_hash_order(spark, monkeypatch):
     assert (len(met["aa"]), len(met["bb"])) == (400, 3)
     language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), modulus=1 << 30, fit_bytes=0)
     assert sum(map(len, met["aa"])) == language.LEAST_BYTES and len(met["bb"]) == 3
+
+
+def common(a, b):
+    """Longest common subsequence, by the whole table."""
+    line = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(line[j] + 1 if x == y else max(line[j + 1], new[-1]))
+        line = new
+    return line[-1]
+
+
+def test_license_with_any_number_of_words_put_in(spark):
+    far = " ".join(w + " filler" * 40 for w in "Licensed under the Apache License Version 2 0".split())
+    rows = [(1, "Licensed under the terms and conditions of the Apache License, Version 2.0"), (2, far),
+            (3, "Licensed under CC BY-NC 4. x Licensed under CC BY-NC 4.0. y " + far)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [
+        (1, "Apache-2.0", 1.0, 0, 13), (2, "Apache-2.0", 1.0, 0, 288), (3, "Apache-2.0", 1.0, 15, 288),
+        (3, "CC-BY-NC-4.0", 6 / 7, 0, 6), (3, "CC-BY-NC-4.0", 1.0, 7, 7)]
+
+
+def test_license_scan_by_whole_alignment(spark):
+    """Rows and coverages against the table of whole texts, no windows; every place holds what it says."""
+    rng = random.Random(11)
+    given = {"one": "a b c d e", "two": "b a b d f g a h", "three": "h g f e d c b a a b"}
+    rows = [(i, " ".join(rng.choice("abcdefghxyz") for _ in range(rng.randint(0, 40)))) for i in range(250)]
+    got = collections.defaultdict(list)
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), given, 80).collect():
+        got[r.doc_id, r.license].append(r)
+    hits = 0
+    for (i, text), (name, template) in itertools.product(rows, given.items()):
+        w, t = text.split(), template.split()
+        found = sorted(got[i, name], key=lambda r: r.first_word)
+        assert bool(found) == (100 * common(w, t) >= 80 * len(t))
+        if len(found) == 1:
+            assert found[0].coverage == common(w, t) / len(t)
+        end = 0
+        for r in found:
+            assert r.first_word >= end
+            end = r.first_word + r.n_words
+            assert r.coverage >= 0.8 and common(w[r.first_word:end], t) == round(r.coverage * len(t))
+            assert common(w[r.first_word + 1:end], t) < r.coverage * len(t)
+        # as many places as fit side by side, by trying every end
+        most, lo = 0, 0
+        for hi in range(len(w) + 1):
+            if 100 * common(w[lo:hi], t) >= 80 * len(t):
+                most, lo = most + 1, hi
+        assert len(found) == most
+        hits += most
+    assert hits > 50

@@ -1,22 +1,23 @@
-"""License scans by patience alignment.
+"""License scans by patience sorting.
 
-A window of the text and a template are aligned on the words that occur once in each: the longest increasing subsequence of
-their places anchors the alignment, and the gaps between anchors are aligned in the same way; equal words at
-the ends of a gap count as aligned.  Coverage is the share of the template's words that are aligned.
+Coverage is the share of a template's words that occur in a stretch of text in the template's order: the longest common
+subsequence, found by patience sorting of the template places of the text's words.  Any number of other words may stand between.
 
-Only windows that can reach the wanted coverage are aligned: those that hold enough words of the template's vocabulary.
-A window is a template long, plus a quarter for what was put in; a text may hold any number of licenses, each found in its own window.
+A text is read from the left; a place ends at the first word that completes the wanted coverage since the place before, and starts
+as late as that allows.  Each place is then widened into the free text up to its neighbours as long as that covers more of the
+template, and is reported as the stretch that ends first, and starts last, with that coverage.  ``n_words`` tells how far it spreads.
+
+Only rows that hold enough words of the template, each counted as often as the template has it, are aligned: no other row can reach the coverage.
 
 Defined cases: words are runs of ASCII letters and digits or other UTF-8 bytes, A-Z lower-cased, so punctuation and line
-breaks do not matter; null or empty text has no rows; a window that fits several templates gives a row for each; repeated
+breaks do not matter; null or empty text has no rows; a text that fits several templates gives a row for each; repeated
 documents each give theirs.
 """
 
 from __future__ import annotations
 
 import bisect
-from collections import Counter
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,36 @@ TEMPLATES = {
         "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
         "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
         "substantial portions of the Software."),
+    "AGPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    "BSD-notice": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution."),
+    "BSL-1.0-header": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+    "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "GPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    "ISC-notice": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies."),
+    "LGPL-2.1-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    "MPL-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. "
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    "Unlicense-notice": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute "
+        "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    "Zlib-notice": (
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, "
+        "subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software."),
 }
 
 
@@ -75,69 +106,80 @@ def increasing(places: Sequence[int]) -> list[int]:
     return out[::-1]
 
 
-def align(text: Sequence[int], template: Sequence[int]) -> list[tuple[int, int]]:
-    """Aligned (text, template) places, in order."""
-    out: list[tuple[int, int]] = []
-    gaps = [(0, len(text), 0, len(template))]
-    while gaps:
-        a, b, c, d = gaps.pop()
-        while a < b and c < d and text[a] == template[c]:
-            out.append((a, c))
-            a, c = a + 1, c + 1
-        while a < b and c < d and text[b - 1] == template[d - 1]:
-            b, d = b - 1, d - 1
-            out.append((b, d))
-        if a >= b or c >= d:
-            continue
-        here, there = Counter(text[a:b]), Counter(template[c:d])
-        place = {template[j]: j for j in range(c, d) if there[template[j]] == 1}
-        single = [(i, place[text[i]]) for i in range(a, b) if here[text[i]] == 1 and text[i] in place]
-        anchors = [single[k] for k in increasing([j for _, j in single])]
-        if not anchors:
-            continue
-        out += anchors
-        for (i, j), (k, m) in zip([(a - 1, c - 1), *anchors], [*anchors, (b, d)], strict=True):
-            gaps.append((i + 1, k, j + 1, m))
-    return sorted(out)
+def grown(steps: Iterable[Sequence[int]], want: int | None = None) -> tuple[int, int]:
+    """(length, step that completes it) of a longest increasing run of places, one of each step at most; ends at ``want``.
+
+    The places of a step are in descending order, so no two of them make a run.
+    """
+    tops: list[int] = []
+    at = -1
+    for i, places in enumerate(steps):
+        for p in places:
+            k = bisect.bisect_left(tops, p)
+            if k == len(tops):
+                tops.append(p)
+                at = i
+            else:
+                tops[k] = p
+        if len(tops) == want:
+            break
+    return len(tops), at
+
+
+def start_of(steps: Sequence[Sequence[int]], lo: int, end: int, want: int) -> int:
+    """The last step from which a run of ``want`` places ends at step ``end``."""
+    return end - grown(([-p for p in reversed(steps[i])] for i in range(end, lo - 1, -1)), want)[1]
+
+
+def stretches(steps: Sequence[Sequence[int]], need: int) -> list[tuple[int, int, int]]:
+    """(words aligned, first step, last step) of each place that aligns ``need`` words or more; places do not overlap."""
+    tight, lo = [], 0
+    while True:
+        n, at = grown((steps[i] for i in range(lo, len(steps))), need)
+        if n < need:
+            break
+        end = lo + at
+        tight.append((start_of(steps, lo, end, need), end))
+        lo = end + 1
+    out, lo = [], 0
+    for k in range(len(tight)):
+        hi = tight[k + 1][0] if k + 1 < len(tight) else len(steps)
+        n, at = grown(steps[i] for i in range(lo, hi))
+        end = lo + at
+        out.append((n, start_of(steps, lo, end, n), end))
+        lo = end + 1
+    return out
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, coverage_pct: int = 80) -> DataFrame:
     """(doc_id, license, coverage, first_word, n_words): each place where a template is covered to ``coverage_pct`` percent."""
     known = []
     for name, text in templates.items():
-        words, _ = tokens(pa.array([text], pa.string()))
-        vocab = np.unique(words)
+        words = tokens(pa.array([text], pa.string()))[0].tolist()
+        vocab = np.array(sorted(set(words)), np.uint64)
         seen = np.zeros(1 << 16, bool)
         seen[vocab >> np.uint64(48)] = True
-        known.append((name, words, vocab, seen))
+        places = [[j for j in range(len(words) - 1, -1, -1) if words[j] == w] for w in vocab.tolist()]
+        known.append((name, len(words), vocab, seen, places))
     schema = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("n_words", pa.int64())])
 
-    def found_in(hashed, first, words, vocab, seen):
-        """(row, coverage, first word, words) of one template; windows of one row do not overlap."""
-        need = -(-coverage_pct * len(words) // 100)
-        reach = len(words) + len(words) // 4 + 1
+    def found_in(hashed, first, size, vocab, seen, places):
+        """(row, coverage, first word, words) of one template."""
+        need = max(1, -(-coverage_pct * size // 100))
         at = np.flatnonzero(seen[hashed >> np.uint64(48)])
-        at = at[vocab[np.minimum(np.searchsorted(vocab, hashed[at]), len(vocab) - 1)] == hashed[at]]
+        word = np.minimum(np.searchsorted(vocab, hashed[at]), len(vocab) - 1)
+        own = vocab[word] == hashed[at]
+        at, word = at[own], word[own]
         row = np.searchsorted(first, at, "right") - 1
-        stop = np.minimum(at + reach, first[row + 1])
-        enough = np.flatnonzero(np.searchsorted(at, stop) - np.arange(len(at)) >= need)
-        best: list[tuple[int, float, int, int]] = []
-        template = words.tolist()
-        allowed = Counter(template)
-        for x in enough:
-            a, b, r = int(at[x]), int(stop[x]), int(row[x])
-            window = hashed[a:b].tolist()
-            if sum((Counter(window) & allowed).values()) < need:
-                continue
-            pairs = align(window, template)
-            if len(pairs) >= need:
-                hit = (r, len(pairs) / len(template), a + pairs[0][0], pairs[-1][0] - pairs[0][0] + 1)
-                if best and best[-1][0] == r and hit[2] < best[-1][2] + best[-1][3]:  # overlaps the one before: the better stays
-                    if hit[1] > best[-1][1]:
-                        best[-1] = hit
-                else:
-                    best.append(hit)
-        return best
+        many = np.bincount(row * len(vocab) + word, minlength=(len(first) - 1) * len(vocab)).reshape(-1, len(vocab))
+        enough = np.minimum(many, [len(p) for p in places]).sum(1) >= need
+        found: list[tuple[int, float, int, int]] = []
+        for r in np.flatnonzero(enough):
+            lo, hi = np.searchsorted(row, r, "left"), np.searchsorted(row, r, "right")
+            here = at[lo:hi]
+            for covered, a, b in stretches([places[w] for w in word[lo:hi].tolist()], need):
+                found.append((int(r), covered / size, int(here[a]), int(here[b] - here[a]) + 1))
+        return found
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
