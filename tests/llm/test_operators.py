@@ -467,3 +467,43 @@ def test_license_scan_by_whole_alignment(spark):
         assert len(found) == most
         hits += most
     assert hits > 50
+
+
+def test_one_row_of_each_near_duplicate_group_stays(spark, docs, tmp_path):
+    """Unlike texts of one ``doc_id`` stay, and so does one copy of every text, with and without ids."""
+    rng = random.Random(8)
+    a, b, c = (" ".join(rng.choice("abcdefgh") + rng.choice("klmnop") for _ in range(40)) for _ in range(3))
+    a, b = max(a, b), min(a, b)
+    rows = [(2, a), (2, b), (3, a), (None, c), (None, c), (None, f"{c} tail"), (None, b), (7, None), (8, "")]
+    near = stages.near_dup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in near if r.text not in (c, f"{c} tail")) == sorted([(2, a), (2, b), (7, ""), (8, "")])
+    assert len(near) == 5
+
+
+def test_near_dup_stage_by_all_pairs(spark, docs, tmp_path):
+    rows = sorted({(r[0], r[1]) for r in corpus()}, key=str)
+    sets = []
+    for _, text in rows:
+        w = words((text or "").translate(LOWER))
+        sets.append({tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    root = list(range(len(rows)))
+    for x, y in itertools.combinations(root[:], 2):
+        if sets[x] and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+            old, new = root[y], root[x]
+            root = [new if k == old else k for k in root]
+    best = {}
+    for k, r in enumerate(rows):
+        best.setdefault(root[k], []).append(r[0])
+    want = sorted((min(i for i in v if i is not None) if any(i is not None for i in v) else -1) for v in best.values())
+    got = stages.near_dup_stage(spark, docs, str(tmp_path)).collect()
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in got) == want
+    assert len(want) < len(rows) - 5
+
+
+def test_decontamination_by_row(spark, tmp_path):
+    """A clean text stays though another of its ``doc_id`` holds an item."""
+    leak, clean = (" ".join(f"{x}{k}" for k in range(20)) for x in "lc")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d = spark.createDataFrame([(2, leak), (2, clean), (None, leak), (None, clean), (3, None)], "doc_id long, text string")
+    left = stages.decontamination_stage(spark, d, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in left) == [(0, clean), (2, clean), (3, "")]

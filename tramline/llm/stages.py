@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import decontaminate, language, mixing, near_dup, sharding
+from .common import stored
 from .queries import SHARDS, WEIGHTS, domain_of
 
 MIN_SCORE = 0.4  # share of the best language below which a document has none
@@ -19,19 +19,26 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group; of rows with one ``doc_id``, one."""
-    groups = near_dup.near_duplicate_components(docs)
-    gone = groups.where("not kept").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
-    numbered = kept.withColumn("row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select(
-        "row", F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.text")).alias("nth"))
-    return numbered.where("nth = 1").select("row.*").unionByName(docs.where("doc_id is null"))
+    """One row of each near-duplicate group, that of the lowest ``doc_id`` (null last).
+
+    A document is a (doc_id, text): rows that agree in both are one, rows of one ``doc_id`` with other texts stand for
+    themselves, and so do rows without ``doc_id``.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = stored(docs.select(F.xxhash64("doc_id", "text").alias("key"), row.alias("row")).dropDuplicates(["key"]), "near-rows", codec="zstd")
+    groups = near_dup.near_duplicate_components(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")))
+    member = groups.select(F.col("doc_id").alias("key"), F.col("component_id").alias("group")).join(
+        rows.select("key", F.col("row.doc_id").alias("doc_id")), "key")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key").alias("best"))).getField("best")
+    several = member.groupBy("group").agg(first.alias("best"), F.count("*").alias("n")).where("n > 1")
+    gone = member.join(several, "group").where("key <> best").select("key")
+    return rows.join(gone, "key", "left_anti").select("row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item stands; a row without ``doc_id`` goes by its text."""
+    """Documents in which no benchmark item stands; rows of one ``doc_id`` go each by its own text."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    key = F.xxhash64("doc_id", "text")
     hit = decontaminate.contaminations(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("hit_key")).distinct()
     return docs.join(hit, key == hit["hit_key"], "left_anti")
 
