@@ -13,8 +13,10 @@ within k words around the window.
 The benchmark is taken in blocks of at most ``BLOCK`` items (about; split by a hash), each sent to the tasks by itself: what is
 broadcast has a bound, and the documents are read once per block.
 
-Defined cases: words are compared with A-Z lower-cased; null or empty text has no matches; items of fewer than
-``MIN_WORDS`` words are skipped; equal items each give a row; repeated documents each give theirs.
+Items too short for an edit (up to four words at 80 percent) are matched as exact word windows in the same pass, without embedding.
+
+Defined cases: words are compared with A-Z lower-cased; null text, or text without a word, has no matches; equal items each
+give a row; repeated documents each give theirs.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .words import Texts, batch_of, mix, slices, windows
 
 WALKS, DRAWS, SAMPLED = 8, 8, 2
-MIN_WORDS, BLOCK = 5, 5000
+BLOCK = 5000
 
 
 def edits_allowed(n: int, similarity_pct: int) -> int:
@@ -98,9 +100,14 @@ class Items:
         self.similarity_pct = similarity_pct
         blocks: dict[int, list] = {}
         keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for n in sorted({int(x) for x in self.n if x >= MIN_WORDS}):
+        self.exact: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # words: (fingerprints, items), where no edit is allowed
+        for n in sorted({int(x) for x in self.n if x}):
             mine = np.flatnonzero(self.n == n)
             k = edits_allowed(n, similarity_pct)
+            if not k:
+                gram = windows(np.concatenate([self.words[i] for i in mine]), np.arange(0, n * len(mine) + 1, n), n)[1]
+                self.exact[n] = np.sort(gram), mine[np.argsort(gram)]
+                continue
             size = n // (k + 1)
             for i in mine:
                 for b in range(k + 1):
@@ -139,6 +146,12 @@ class Items:
         hashed = texts.hashes(starts, ends)
         start, size, row = self.candidates(hashed, first)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for n, (grams, owner) in self.exact.items():
+            at, gram = windows(hashed, first, n)
+            at, which = _spread(at, np.searchsorted(grams, gram, "left"), np.searchsorted(grams, gram, "right"))
+            found, once = np.unique(np.stack((np.searchsorted(first, at, "right") - 1, owner[which]), 1), axis=0, return_index=True)
+            for (r, item), x in zip(found.tolist(), once, strict=True):
+                best[r, item] = (0, int(at[x] - first[r]), n)
         for part in np.array_split(np.arange(len(start)), len(start) // 4096 + 1):
             if not len(part):
                 continue
