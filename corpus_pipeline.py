@@ -14,7 +14,7 @@ STAGES = [
     ("mixture", stages.mixing_stage),
     ("shards", stages.sharding_stage),
 ]
-ORACLE_SQL = None  # language models and LSH are not SQL; tests compare each stage with a brute-force version
+ORACLE_SQL = None  # language models and LSH are not SQL; tests compare each stage but mixing with a brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
