@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, line_dedup, mixing, near_dup, repetition, sharding, toxicity, trie_lm
+from . import (
+    decontaminate,
+    divergence,
+    hard_negatives,
+    language,
+    licenses,
+    line_dedup,
+    mixing,
+    near_dup,
+    packing,
+    repetition,
+    sharding,
+    toxicity,
+    trie_lm,
+)
 from .common import documents, held_out
 
 QUERIES: dict = {}
@@ -198,3 +212,52 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_license_scan")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
+
+
+@query("op11_source_divergence", rf"""
+with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ws, row_number() over () as doc from documents),
+t as (select lang, source, doc, unnest(ws) as term from d),
+k as (select lang, term, count(*) as lang_n from t group by all having count(distinct doc) >= 10),
+v as (select lang, count(*) as v, sum(lang_n) as lang_total from k group by lang),
+g as (select distinct lang, source from d),
+c as (select g.lang, g.source, k.term, coalesce(n, 0) as n, lang_n from g join k using (lang)
+      left join (select lang, source, term, count(*) as n from t group by all) using (lang, source, term)),
+p as (select lang, source, term, n, 1 + (1000000000 * (n + 2)::hugeint) // (sum(n) over (partition by lang, source) + 2 * v)::hugeint as p,
+      1 + (1000000000 * (lang_n + 2)::hugeint) // (lang_total + 2 * v)::hugeint as q from c join v using (lang)),
+f as (select a.lang, a.source, b.source as item, cast(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as bigint) as value
+      from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pair as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+         from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source),
+term as (select lang, source, 'term' as part, term as item, cast((p - q) * (p - q) // (p + q) as bigint) as value from p where n > 0 and p > q),
+rows_ as (select * from pair union all select * from term)
+select lang, source, part, item, value, cast(rank as int) as rank
+from (select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank from rows_) where part = 'pair' or rank <= 10""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(documents(spark, sf_dir), min_docs=10, top_terms=10)
+
+
+@query("op12_hard_negatives", """
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+       list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+       where vec_id is not null and label is not null and embedding is not null
+         and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+s as (select a.vec_id as anchor_id, b.vec_id as vec_id, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score
+      from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select * from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, p.vec_id as positive_id, cast(row_number() over w as int) as rank, n.vec_id as negative_id,
+  p.score as positive_score, n.score as negative_score
+from p join s n on n.anchor_id = p.anchor_id and not n.same and 80 * p.score <= 100 * n.score and n.score <= p.score
+window w as (partition by p.anchor_id, p.vec_id order by n.score desc, n.vec_id)
+qualify row_number() over w <= 5""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(hard_negatives.usable_rows(vectors, label=label), F.col("vec_id") % 100 == 0)
+
+
+@query("op13_best_fit_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    packed = packing.pack_documents(documents(spark, sf_dir), path("byte_bpe_50k.json"), length=1024, end_id=2)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
