@@ -15,11 +15,8 @@ def _q(col, *ps):
     return ", ".join(f"{rs(f'quantile_cont({col}, {p})')} as {n}" for n, p in ps)
 
 
-_V = "floor(speed / 1e-2 + 5e-1) * 1e-2"
-
-
 @case("a32_speed_bands", f"""select count(*) as n, count(*) filter (where speed < 0) as negative, count(*) filter (where speed > 30 and speed <= 35) as band_30_35,
- count(*) filter (where speed > 35) as over_35, {_q(_V, ('p50', .5), ('p90', .9), ('p99', .99))} from v_spd""")
+ count(*) filter (where speed > 35) as over_35, {_q('speed', ('p50', .5), ('p90', .9), ('p99', .99))} from v_spd""")
 def _(spark, d):
     return rounded(audit.speed_bands(tr.moving_speed(tr.dedup_instance_times(fx.instances(spark, d)))))
 

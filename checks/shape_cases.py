@@ -265,14 +265,14 @@ from (select (select count(*) from v_inst) as n, (select count(*) from v_inst jo
 @case("a29_orthogonal_profile", f"""
 select {', '.join(f"{rs(f'quantile_cont(o, {p})', 2)} as p{n}" for n, p in ((50, .5), (90, .9), (95, .95), (99, .99)))},
  {rs('max(o)', 2)} as max_m, {rs('100e0 * count(*) filter (where orth > 200) / count(*)')} as beyond_pct
-from (select orth, floor(orth / 1e-2 + 5e-1) * 1e-2 as o from v_inst join v_proj using (id))""")
+from (select orth, orth as o from v_inst join v_proj using (id))""")
 def _(spark, d):
     out = audit.orthogonal_profile(shapes.projection_audit(_audit_points(spark, d), _segments(spark, d)))
     return rounded(out.withColumn("beyond_pct", r("beyond_pct")), 2, skip=("beyond_pct",))
 
 
 @case("a45_wrong_shape_distance", f"""
-select i.trip_id, i.start_date, {rs('quantile_cont(floor(orth / 1e-2 + 5e-1) * 1e-2, 0.5)', 2)} as median_m, count(*) as points, count(*) filter (where orth <= 200) as kept
+select i.trip_id, i.start_date, {rs('quantile_cont(orth, 0.5)', 2)} as median_m, count(*) as points, count(*) filter (where orth <= 200) as kept
 from v_inst i join v_proj using (id) join v_trips t using (trip_id) where t.route_id <> i.route_id group by 1, 2""")
 def _(spark, d):
     return rounded(audit.wrong_shape_distance(fx.instances(spark, d).drop("travel_distance_m"), fx.trips(spark, d), _segments(spark, d)), 2)

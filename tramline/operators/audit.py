@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..defaults import DEFAULTS
 from ..functions import values
+from ..session import materialise
 from . import shapes
 from . import trajectory as tr
+from .order_stats import exact_quantiles
 from .sequence import previous_in_chunks
 
 PROFILE = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -48,13 +50,11 @@ def filter_drop_rates(keyed: DataFrame, trips: DataFrame, segments: DataFrame,
 
 
 def orthogonal_profile(projected: DataFrame) -> DataFrame:
-    """Quantiles (to the centimetre) of the distance to the shape before any cutoff."""
-    o = F.floor(F.col("orthogonal_distance_m") / 0.01 + 0.5) * 0.01
-    return projected.agg(
-        F.percentile(o, F.array(*[F.lit(p) for p in PROFILE.values()])).alias("q"),
-        F.max(o).alias("max_m"),
-        (100 * F.avg(F.col("off_route").cast("int"))).alias("beyond_pct"),
-    ).select(*[F.col("q")[i].alias(n) for i, n in enumerate(PROFILE)], "max_m", "beyond_pct")
+    """Quantiles of the distance to the shape before any cutoff."""
+    d = materialise(projected.select("orthogonal_distance_m", "off_route"), "distances")
+    q = exact_quantiles(d, (), "orthogonal_distance_m", PROFILE)
+    whole = d.agg(F.max("orthogonal_distance_m").alias("max_m"), (100 * F.avg(F.col("off_route").cast("int"))).alias("beyond_pct"))
+    return whole.select(*[q.select(n).scalar().alias(n) for n in PROFILE], "max_m", "beyond_pct")
 
 
 def wrong_shape_distance(keyed: DataFrame, trips: DataFrame, segments: DataFrame,
@@ -63,27 +63,28 @@ def wrong_shape_distance(keyed: DataFrame, trips: DataFrame, segments: DataFrame
     they would be projected on, and how many points would survive the cutoff."""
     bad = tr.resolve_trip_kind(keyed, trips).filter("kind = 'mismatch'").select("trip_id", "start_date")
     rows = tr.dedup_instance_times(tr.drop_null_positions(keyed)).join(bad, ["trip_id", "start_date"], "left_semi")
-    p = shapes.projection_audit(tr.attach_static_trip(rows, trips), segments, max_orth_m)
-    o = F.floor(F.col("orthogonal_distance_m") / 0.01 + 0.5) * 0.01
-    return p.groupBy("trip_id", "start_date").agg(
-        F.percentile(o, F.lit(0.5)).alias("median_m"),
-        F.count("*").alias("points"),
-        F.count_if(~F.col("off_route")).alias("kept"),
-    )
+    key = ["trip_id", "start_date"]
+    p = materialise(shapes.projection_audit(tr.attach_static_trip(rows, trips), segments, max_orth_m).select(*key, "orthogonal_distance_m", "off_route"), "distances")
+    counts = p.groupBy(*key).agg(F.count("*").alias("points"), F.count_if(~F.col("off_route")).alias("kept"))
+    return counts.join(exact_quantiles(p, key, "orthogonal_distance_m", {"median_m": 0.5}), key, "left").select(*key, "median_m", "points", "kept")
 
 
 def speed_bands(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Counts of negative, borderline and impossible speeds with quantiles (to the cm/s)."""
+    """Counts of negative, borderline and impossible speeds, with quantiles."""
     v = F.col("moving_speed_m_s")
-    q = F.floor(v / 0.01 + 0.5) * 0.01
-    return points.groupBy(*by).agg(
+    rows = materialise(points.select(*by, "moving_speed_m_s"), "speeds")
+    counts = rows.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.count_if(v < 0).alias("negative"),
         F.count_if((v > 30) & (v <= 35)).alias("band_30_35"),
         F.count_if(v > 35).alias("over_35"),
-        F.percentile(q, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))).alias("_q"),
-    ).select(*by, "n", "negative", "band_30_35", "over_35",
-             F.col("_q")[0].alias("p50"), F.col("_q")[1].alias("p90"), F.col("_q")[2].alias("p99"))
+    )
+    names = ("p50", "p90", "p99")
+    q = exact_quantiles(rows, by, "moving_speed_m_s", {n: PROFILE[n] for n in names})
+    if not by:
+        return counts.select("*", *[q.select(n).scalar().alias(n) for n in names])
+    same = [counts[k].eqNullSafe(q[k]) for k in by]
+    return counts.join(q, same, "left").select(*[counts[c] for c in counts.columns], *names)
 
 
 def synthetic_in_gaps(points: DataFrame, resolution_s: int = DEFAULTS.resolution_s, hole_s: float = 120.0) -> DataFrame:

@@ -8,16 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+import numpy as np
+import pandas as pd
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
-
+from ..session import materialise, shared_dir
 from .lookup import interval_lookup
 from .scoring import average_precision, pick_threshold, to_long
 
@@ -138,41 +139,86 @@ def predict_bag(examples: DataFrame, bags: Sequence[HorizonModels]) -> DataFrame
 # --- calibration --------------------------------------------------------------------------
 
 
-def fit_isotonic(scores: DataFrame, horizon: int, grid: float = 1e-4) -> DataFrame:
-    """Breakpoints ``h, x, y`` of a monotone calibration per horizon; the identity where one
-    class is missing.
+RANGE_ROWS = 250_000  # distinct scores that one value range holds, about
+
 
-    Scores are first pooled to a grid with weights, which bounds what the fit sees and what
-    the breakpoint table can hold, whatever the number of scores.
+def _pool_violators(keys: Sequence[str], schema: str):
+    """Streams rows sorted by keys and value; blocks whose mean does not rise above the one before are pooled with it.
+
+    Sums and weights are whole numbers, compared crosswise, so pooling is exact.
     """
-    spark = scores.sparkSession
-    pooled = scores.filter("y is not null").groupBy("h", (F.rint(F.col("p") / grid) * grid).alias("x")).agg(
-        F.avg("y").alias("y"), F.count("*").cast("double").alias("w"))
-    pooled = materialise(pooled, "pooled")  # read once per horizon
-    both = {r["h"] for r in pooled.groupBy("h").agg(F.max("y").alias("hi"), F.min("y").alias("lo"), F.avg("y").alias("m"))
-            .filter("hi > 0 and lo < 1 and m > 0 and m < 1").select("h").collect()}  # one row per horizon
-    rows = []
-    for h in range(1, horizon + 1):
-        if h not in both:
-            rows += [(h, 0.0, 0.0), (h, 1.0, 1.0)]
-            continue
-        model = IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w").fit(pooled.filter(F.col("h") == h))
-        rows += [(h, float(x), min(1.0, max(0.0, float(y)))) for x, y in zip(model.boundaries, model.predictions)]
-    return spark.createDataFrame(rows, "h int, x double, y double")
+    names = [*keys, "lo", "hi", "s", "w"]
+
+    def pool(batches):
+        key, stack = None, []
+
+        def blocks():
+            return pd.DataFrame([(*key, *b) for b in stack], columns=names)
+
+        for rows in batches:
+            for row in zip(*[rows[c].tolist() for c in names], strict=True):
+                if row[:-4] != key:
+                    if stack:
+                        yield blocks()
+                    key, stack = row[:-4], []
+                block = row[-4:]
+                while stack and stack[-1][2] * block[3] >= block[2] * stack[-1][3]:
+                    last = stack.pop()
+                    block = (last[0], block[1], last[2] + block[2], last[3] + block[3])
+                stack.append(block)
+        if stack:
+            yield blocks()
 
+    return lambda df: df.mapInPandas(pool, schema)
 
-def apply_isotonic(scores: DataFrame, breakpoints: DataFrame, width: float = 0.01) -> DataFrame:
+
+def isotonic_blocks(pooled: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Blocks ``keys, lo, hi, s, w`` of the weighted monotone fit, by pool-adjacent-violators.
+
+    ``pooled``: one row per distinct value, ``keys, x, s, w`` (sum of labels, rows; keys not null). Violators are pooled
+    inside value ranges, then the ranges' block stacks in fewer and fewer ranges, until one holds them all.
+    """
+    blocks = pooled.select(*keys, F.col("x").alias("lo"), F.col("x").alias("hi"), F.col("s").cast("bigint").alias("s"), F.col("w").cast("bigint").alias("w"))
+    pool = _pool_violators(keys, blocks.schema.simpleString().removeprefix("struct<").removesuffix(">"))
+    left = pooled.count()
+    while True:
+        ranges = -(-left // RANGE_ROWS)
+        spread = blocks.repartitionByRange(max(1, ranges), *keys, "lo") if ranges > 1 else blocks.coalesce(1)
+        blocks = materialise(pool(spread.sortWithinPartitions(*keys, "lo")), "blocks")
+        if ranges <= 1:
+            return blocks
+        left = min(blocks.count(), (ranges // 2) * RANGE_ROWS)
+
+
+def fit_isotonic(scores: DataFrame, horizon: int, by: Sequence[str] = ()) -> DataFrame:
+    """Breakpoints ``by, h, x, y`` of a monotone calibration per horizon (and per ``by``, in one pass); the identity
+    where one class is missing."""
+    spark = scores.sparkSession
+    keys = [*by, "h"]
+    pooled = materialise(
+        scores.filter("y is not null and p is not null and h is not null").groupBy(*by, F.col("h").cast("int").alias("h"), F.col("p").alias("x"))
+        .agg(F.sum("y").alias("s"), F.count("*").alias("w")), "pooled")
+    both = pooled.groupBy(*keys).agg(F.sum("s").alias("s"), F.sum("w").alias("w")).filter("s > 0 and s < w").select(*keys)
+    blocks = isotonic_blocks(pooled.join(both, keys, "left_semi"), keys)
+    curve = blocks.select(*keys, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("x"), (F.col("s") / F.col("w")).alias("y"))
+    every = (scores.select(*by).distinct() if by else spark.range(1).select()).select(*by, F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"))
+    same = every.join(both, keys, "left_anti").select(*keys, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("x")).withColumn("y", F.col("x"))
+    return curve.unionByName(same)
+
+
+def apply_isotonic(scores: DataFrame, breakpoints: DataFrame, width: float = 0.01, by: Sequence[str] = ()) -> DataFrame:
     """Piecewise-linear calibration, clipped at the ends: a lookup of the interval around each
     score among its horizon's breakpoints."""
-    w = Window.partitionBy("h").orderBy("x")
+    keys = [*by, "h"]
+    w = Window.partitionBy(*keys).orderBy("x")
     spans = breakpoints.select(
-        "h", F.col("x").alias("lo"), F.lead("x").over(w).alias("hi"), F.col("y").alias("y0"), F.lead("y").over(w).alias("y1")
+        *keys, F.col("x").alias("lo"), F.lead("x").over(w).alias("hi"), F.col("y").alias("y0"), F.lead("y").over(w).alias("y1")
     ).filter("hi > lo")
-    ends = breakpoints.groupBy("h").agg(
+    ends = breakpoints.groupBy(*keys).agg(
         F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min_by("y", "x").alias("_y0"), F.max_by("y", "x").alias("_y1")
     )
     p = F.col("p")
-    j = interval_lookup(scores, spans, ["h"], "p", ["y0", "y1"], width).join(ends, "h", "left")
+    j = interval_lookup(scores, spans, keys, "p", ["y0", "y1"], width).join(ends, keys, "left")
     inner = F.col("y0") + (p - F.col("lo")) / (F.col("hi") - F.col("lo")) * (F.col("y1") - F.col("y0"))
     cal = F.when(p <= F.col("_x0"), F.col("_y0")).when(p >= F.col("_x1"), F.col("_y1")).otherwise(inner)
     return j.withColumn("p_cal", F.coalesce(cal, p)).select(*scores.columns, "p_cal")
@@ -187,27 +233,69 @@ def wide_by_model(scores: DataFrame, models: Sequence[str]) -> DataFrame:
     return scores.groupBy("example_id", "h").agg(F.array(*cols).alias("ps"), F.max("y").alias("y"))
 
 
+def _dot(beta, xs):
+    return F.aggregate(F.zip_with(beta, xs, lambda b, x: b * x), F.lit(0.0), lambda a, v: a + v)
+
+
+def logistic_by_key(rows: DataFrame, key: str, width: int, ridge: str = "ridge", rounds: int = 50, tol: float = 1e-9) -> DataFrame:
+    """``key, beta`` (intercept first): a logistic regression per key, all keys in one pass per Newton round.
+
+    ``rows``: key, ``xs`` (array of ``width``), ``y`` 0 or 1, and the key's ``ridge``, the weight of half the squared
+    slopes against the sum of log losses. Each round sums the normal equations per key, (width + 1) * (width + 4) / 2
+    numbers; the driver solves one small system per key, and halves a step that does not lower the loss.
+    """
+    spark, n = rows.sparkSession, width + 1
+    tri = [(i, j) for i in range(n) for j in range(i, n)]
+    data = materialise(rows.select(key, F.array_insert("xs", 1, F.lit(1.0)).alias("z"), F.col("y").cast("double").alias("y"), ridge), "stack")
+    beta = {r[key]: np.zeros(n) for r in data.select(key).distinct().collect()}  # one entry per key
+    step, loss, live = {k: np.zeros(n) for k in beta}, {}, set(beta)
+    for _ in range(rounds):
+        table = spark.createDataFrame([(k, (beta[k] + step[k]).tolist()) for k in sorted(live)], f"{key} {data.schema[key].dataType.simpleString()}, beta array<double>")
+        eta = _dot(F.col("beta"), F.col("z"))
+        fit = data.join(table, key).withColumn("eta", eta).withColumn("m", 1 / (1 + F.exp(-F.col("eta"))))
+        z, v = (lambda i: F.get("z", F.lit(i))), F.col("m") * (1 - F.col("m"))
+        hinge = F.greatest(F.col("eta"), F.lit(0.0)) - F.col("eta") * F.col("y") + F.log1p(F.exp(-F.abs("eta")))
+        sums = fit.groupBy(key).agg(
+            F.max(ridge).alias("ridge"), F.sum(hinge).alias("loss"), F.array(*[F.sum((F.col("m") - F.col("y")) * z(i)) for i in range(n)]).alias("_grad"),
+            F.array(*[F.sum(v * z(i) * z(j)) for i, j in tri]).alias("_hess")).collect()  # one small system per key
+        for r in sums:
+            k = r[key]
+            at = beta[k] + step[k]
+            pull = np.array([0.0] + [r.ridge] * width)
+            now = r.loss + 0.5 * float(pull @ at**2)
+            if k in loss and now > loss[k] + 1e-12 * abs(loss[k]):
+                step[k] = step[k] / 2
+                continue
+            hessian = np.diag(pull)
+            for (i, j), x in zip(tri, r["_hess"], strict=True):
+                hessian[i, j] += x
+                hessian[j, i] += x if i != j else 0.0
+            move = -np.linalg.lstsq(hessian, np.array(r["_grad"]) + pull * at, rcond=None)[0]
+            beta[k], loss[k], step[k] = at, now, move
+            if np.abs(move).max() < tol:
+                live.discard(k)
+        live = {k for k in live if np.abs(step[k]).max() >= tol}
+        if not live:
+            break
+    return spark.createDataFrame([(k, b.tolist()) for k, b in sorted(beta.items())], f"{key} {data.schema[key].dataType.simpleString()}, beta array<double>")
+
+
 def ensemble_stack(val: DataFrame, test: DataFrame, models: Sequence[str], horizon: int) -> DataFrame:
     """Logistic regression over the models' validation outputs per horizon, applied to test;
-    the plain mean where validation has one class. Output ``example_id, h, p, y``."""
-    wv, wt = wide_by_model(val, models), wide_by_model(test, models)
-    known = wv.filter("y is not null").withColumn("fv", array_to_vector("ps"))
-    seen = {r["h"]: r["m"] for r in known.groupBy("h").agg(F.avg("y").alias("m")).collect()}  # one row per horizon
-    out = None
-    for h in range(1, horizon + 1):
-        rows = wt.filter(F.col("h") == h)
-        m = seen.get(h)
-        if m is None or m <= 0 or m >= 1:
-            mean = F.aggregate("ps", F.lit(0.0), lambda a, x: a + x) / F.size("ps")
-            part = rows.select("example_id", "h", mean.alias("p"), "y")
-        else:
-            n = known.filter(F.col("h") == h).count()
-            lr = LogisticRegression(featuresCol="fv", labelCol="y", maxIter=200, regParam=1.0 / max(1, n), standardization=False)
-            model = lr.fit(known.filter(F.col("h") == h))
-            part = model.transform(rows.withColumn("fv", array_to_vector("ps"))).select(
-                "example_id", "h", vector_to_array("probability")[1].alias("p"), "y")
-        out = part if out is None else out.unionByName(part)
-    return out
+    the plain mean where validation has one class. Output ``example_id, h, p, y``.
+
+    All horizons are fitted together; an example that lacks a model's output teaches nothing and is stacked as null."""
+    wv = wide_by_model(val, models).filter(F.col("h").between(1, horizon))
+    wt = wide_by_model(test, models).filter(F.col("h").between(1, horizon))
+    known = materialise(wv.filter("y is not null and not exists(ps, x -> x is null)"), "known")
+    both = known.groupBy("h").agg(F.avg("y").alias("m")).filter("m > 0 and m < 1").select("h", F.lit(1.0).alias("ridge"))
+    fitted = logistic_by_key(known.join(both, "h").withColumnRenamed("ps", "xs"), "h", len(models))
+    # arithmetic spelled out: no lambda travels with the rows
+    lacks = reduce(lambda a, b: a | b, [F.col("ps")[i].isNull() for i in range(len(models))])
+    mean = sum((F.col("ps")[i] for i in range(len(models))), F.lit(0.0)) / len(models)
+    eta = sum((F.col("beta")[i + 1] * F.col("ps")[i] for i in range(len(models))), F.col("beta")[0])
+    p = F.when(lacks, F.lit(None)).when(F.col("beta").isNull(), mean).otherwise(1 / (1 + F.exp(-eta)))
+    return wt.join(fitted, "h", "left").select("example_id", "h", p.alias("p"), "y")
 
 
 def tune_and_score(val: DataFrame, test: DataFrame, strategy: str = "f2") -> DataFrame:
@@ -219,22 +307,20 @@ def tune_and_score(val: DataFrame, test: DataFrame, strategy: str = "f2") -> Dat
     return score_metrics(test, thr, keys).join(average_precision(test, keys), list(keys), "left").fillna(0.0, ["pr_auc"])
 
 
-def calibrated_twins(val: DataFrame, scores: DataFrame, horizon: int) -> DataFrame:
-    """Every model's scores again under ``<model>_cal``, calibrated on its validation scores."""
-    names = [r["model"] for r in val.select("model").distinct().collect()]  # the model registry
-    out = scores.select("model", "example_id", "h", "p", "y")
-    for name in sorted(names):
-        bp = fit_isotonic(val.filter(F.col("model") == name), horizon)
-        cal = apply_isotonic(scores.filter(F.col("model") == name), bp)
-        out = out.unionByName(cal.select(F.lit(f"{name}_cal").alias("model"), "example_id", "h", F.col("p_cal").alias("p"), "y"))
-    return out
+def calibrated_twins(scores: DataFrame, breakpoints: DataFrame) -> DataFrame:
+    """Every model's scores, and again under ``<model>_cal`` by the breakpoints of that model."""
+    cols = ["model", "example_id", "h", "p", "y"]
+    cal = apply_isotonic(scores.select(*cols), breakpoints, by=["model"])
+    return scores.select(*cols).unionByName(
+        cal.select(F.concat("model", F.lit("_cal")).alias("model"), "example_id", "h", F.col("p_cal").alias("p"), "y"))
 
 
 def model_compare(val: DataFrame, test: DataFrame, horizon: int, step_s: int = 60) -> DataFrame:
     """Every model and its calibrated twin: tuned on validation, scored on test, best first."""
     from .scoring import headline_rollup
 
-    metrics = tune_and_score(calibrated_twins(val, val, horizon), calibrated_twins(val, test, horizon))
+    breakpoints = materialise(fit_isotonic(val, horizon, by=["model"]), "breakpoints")  # all models in one pass
+    metrics = tune_and_score(calibrated_twins(val, breakpoints), calibrated_twins(test, breakpoints))
     return headline_rollup(metrics, step_s, ("model",)).orderBy(F.desc("mean_f2_5_30"), F.desc("mean_pr_auc"), "model")
 
 
@@ -276,15 +362,37 @@ def permutation_importance(val: DataFrame, fitted: HorizonModels, channel_names:
     return shuffled.withColumn("importance", base.scalar() - F.col("area")).select("channel", "importance")
 
 
-def gain_importance(spark, fitted: Sequence[HorizonModels], channel_names: Sequence[str], ticks: int) -> DataFrame:
-    """Percent of split gain per channel and tick, summed over bags and horizons."""
-    n = len(channel_names)
-    totals: dict[tuple[int, int], float] = {(c, t): 0.0 for c in range(n) for t in range(ticks)}
-    for bag in fitted:
-        for model in bag.models:
+def node_tables(spark, fitted: Sequence[HorizonModels]) -> DataFrame:
+    """``bag, h, tree, node, feature, gain, rows, left, right``: every node of every tree of all bags and horizons.
+
+    The fitted models are saved to the shared folder and their node tables read back as one frame. ``gain`` is the
+    impurity a split takes from a row on average, ``rows`` the weight that reaches the node; a leaf has no feature.
+    """
+    root = shared_dir(spark, "trees")
+    some = False
+    for b, bag in enumerate(fitted):
+        for h, model in enumerate(bag.models):
             if model is not None:
-                for i, v in zip(*[model.featureImportances.indices, model.featureImportances.values]):
-                    totals[(int(i) % n, int(i) // n)] += float(v)
-    all_gain = sum(totals.values()) or 1.0
-    return spark.createDataFrame(
-        [(channel_names[c], t, 100.0 * v / all_gain) for (c, t), v in sorted(totals.items())], "channel string, tick int, gain_pct double")
+                model.write().save(f"{root}/bag={b}/h={h + 1}")
+                some = True
+    if not some:
+        return spark.createDataFrame([], "bag int, h int, tree int, node int, feature int, gain double, rows double, left int, right int")
+    n = "nodeData."
+    read = spark.read.option("basePath", root).parquet(f"{root}/bag=*/h=*/data")
+    split = F.col(f"{n}leftChild") >= 0
+    return read.select(
+        "bag", "h", F.col("treeID").alias("tree"), F.col(f"{n}id").alias("node"), F.when(split, F.col(f"{n}split.featureIndex")).alias("feature"),
+        F.when(split, F.col(f"{n}gain")).alias("gain"), F.col(f"{n}impurityStats")[0].alias("rows"), F.col(f"{n}leftChild").alias("left"), F.col(f"{n}rightChild").alias("right"))
+
+
+def gain_importance(spark, fitted: Sequence[HorizonModels], channel_names: Sequence[str], ticks: int) -> DataFrame:
+    """``channel, tick, gain, gain_pct``: raw split gain summed over all trees, bags and horizons.
+
+    A split's raw gain is the impurity it takes from all rows that reach it. Features are laid out tick by tick.
+    """
+    names = [(c, t) for t in range(ticks) for c in channel_names]
+    every = spark.createDataFrame([(i, c, t) for i, (c, t) in enumerate(names)], "feature int, channel string, tick int")
+    gains = node_tables(spark, fitted).filter("feature is not null").groupBy("feature").agg(F.sum(F.col("gain") * F.col("rows")).alias("gain"))
+    out = every.join(gains, "feature", "left").select("channel", "tick", F.coalesce("gain", F.lit(0.0)).alias("gain"))
+    whole = out.agg(F.sum("gain"))
+    return out.withColumn("gain_pct", F.coalesce(F.try_divide(100.0 * F.col("gain"), whole.scalar()), F.lit(0.0)))

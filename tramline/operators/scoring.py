@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..defaults import DEFAULTS, NO_LEADER_GAP_M
+from ..session import materialise
+from .order_stats import exact_quantiles
 from .sequence import cumulative_by_value
 
 # Speed and gap channel positions of the two history layouts.
@@ -308,13 +310,13 @@ def ensemble_mean_median(scores: DataFrame) -> DataFrame:
 
 
 def channel_drift(features: DataFrame, column: str = "features", by: Sequence[str] = ()) -> DataFrame:
-    """Mean, spread and tails (to 0.01) per feature position of a scoring batch."""
-    each = features.select(*by, F.posexplode(column).alias("feature_idx", "v"))
-    q = F.floor(F.col("v") / 0.01 + 0.5) * 0.01
-    return each.groupBy(*by, "feature_idx").agg(
-        F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"),
-        F.percentile(q, F.array(F.lit(0.01), F.lit(0.99))).alias("_q"),
-    ).select(*by, "feature_idx", "mean", "std", F.col("_q")[0].alias("p01"), F.col("_q")[1].alias("p99"))
+    """Mean, spread and tails per feature position of a scoring batch."""
+    key = [*by, "feature_idx"]
+    each = materialise(features.select(*by, F.posexplode(column).alias("feature_idx", "v")), "channels")
+    shape = each.groupBy(*key).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    tails = exact_quantiles(each, key, "v", {"p01": 0.01, "p99": 0.99})
+    same = [shape[k].eqNullSafe(tails[k]) for k in key]
+    return shape.join(tails, same, "left").select(*[shape[k] for k in key], "mean", "std", "p01", "p99")
 
 
 def spearman(df: DataFrame, x: str, y: str, sentinel: float | None = NO_LEADER_GAP_M) -> DataFrame:
