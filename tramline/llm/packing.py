@@ -25,6 +25,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 from array import array
 from collections import ChainMap, defaultdict
 from collections.abc import Iterable, Iterator
@@ -120,6 +122,14 @@ class Encoder:
         return [first + b"".join(map(known.__getitem__, stretches[1:])) for first, stretches in zip(self._ids([x[0] for x in cut]), cut, strict=True)]
 
 
+def worker_encoder(model: str) -> Encoder:
+    """The encoder of this worker process, kept for its next tasks with what it has learned."""
+    kept = sys.modules.setdefault("_tramline_worker_encoder", types.ModuleType("_tramline_worker_encoder")).__dict__
+    if kept.get("model") != model:
+        kept.update(model=model, encoder=Encoder(model))
+    return kept["encoder"]
+
+
 def best_fit(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bin, offset) of every item and the fill of every bin: by falling size into the fullest bin with room."""
     bins, offsets = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
@@ -172,7 +182,7 @@ def cut_and_pack(docs: DataFrame, model: str, length: int, end_id: int, items: i
                 held, held_bytes = [], 0
 
         for part in slices(batches, limit=1 << 20):
-            encoder = encoder or Encoder(model)
+            encoder = encoder or worker_encoder(model)
             whole = []
             for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(x or "" for x in part.column("text").to_pylist()), strict=True):
                 n = len(ids) // 4 + 1
