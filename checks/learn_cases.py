@@ -302,23 +302,30 @@ VIEWS["v_live"] = f"""
 select b.service_date, b.route_id, b.direction_id, b.bus_index, b.t_ref, age, ref_stop, coalesce(n, 0) as n, coalesce(lead, false) as has_lead from (
  select service_date, route_id, direction_id, bus_index, t_ref, t_ref - max(case when t <= t_ref then t end) as age,
   arg_min(stop_index, case when abs(t - t_ref) <= 30 then abs(t - t_ref) * 1000000000::hugeint * 100 + t end) as ref_stop from v_bus join v_tref using ({_SL}) group by service_date, route_id, direction_id, bus_index, t_ref) b
-left join (select service_date, route_id, direction_id, bus_index, count(*) as n, bool_or(dist < top) as lead from (
-  select *, max(dist) over (partition by service_date, route_id, direction_id, j) as top from v_near) group by all) using ({_SL}, bus_index)"""
+left join (select service_date, route_id, direction_id, bus_index, t_ref, count(*) as n, bool_or(dist < top) as lead from (
+  select *, max(dist) over (partition by service_date, route_id, direction_id, t_ref, j) as top from v_near) group by all) using ({_SL}, bus_index, t_ref)"""
+# the same at every half hour of the service day
+VIEWS["v_scan"] = f"""select {_SL}, epoch(strptime(service_date, '%Y%m%d'))::bigint + 18000 + 60 * m as t_ref
+from (select distinct {_SL} from v_bus), (select unnest(generate_series(0, 1440, 30)) as m)"""
+VIEWS["v_near_scan"] = VIEWS["v_near"].replace("v_tref", "v_scan")
+VIEWS["v_live_scan"] = VIEWS["v_live"].replace("v_tref", "v_scan").replace("v_near", "v_near_scan")
+_WHY = """case when age is null or age > 90 then 'stale' when ref_stop is null then 'no_ref_sample'
+ when round_even(ref_stop, 0) < 2 or round_even(ref_stop, 0) >= 29 then 'edge_band' when n < 5 then 'missing_history' when not has_lead then 'no_leader' end"""
 
 
 def _refs(points):
     return points.groupBy(*buses.SLICE).agg((F.min(F.unix_seconds("datetime")) + 905).alias("t_ref"))
 
 
-@case("w32_freshness_and_eligibility", """select service_date, route_id, direction_id, bus_index, case when age is null or age > 90 then 'stale' when ref_stop is null then 'no_ref_sample'
- when round_even(ref_stop, 0) < 2 or round_even(ref_stop, 0) >= 29 then 'edge_band' when n < 5 then 'missing_history' when not has_lead then 'no_leader' end as reason from v_live""")
+@case("w32_freshness_and_eligibility", f"select service_date, route_id, direction_id, bus_index, {_WHY} as reason from v_live")
 def _(spark, d):
     pts = fx.bus_points(spark, d)
     out = fc.eligibility(pts, _refs(pts), L)
     return rounded(buses.number_buses(out, pts).select(*buses.SLICE, "bus_index", "reason"))
 
 
-@case("m26_forecast_time_scan")
+@case("m26_forecast_time_scan", f"""select {_SL}, t_ref, eligible from (select {_SL}, t_ref, count(*) filter (({_WHY}) is null) as eligible from v_live_scan group by all)
+qualify row_number() over (partition by {_SL} order by eligible desc, t_ref) = 1""")
 def _(spark, d):
     pts = fx.bus_points(spark, d)
     mid = pts.select(*buses.SLICE).distinct().withColumn("midnight", F.unix_seconds(F.to_utc_timestamp(F.col("service_date").cast("timestamp"), "America/Toronto")))

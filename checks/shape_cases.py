@@ -6,6 +6,8 @@ from tramline.functions import geo
 from tramline.operators import audit, shapes
 from tramline.operators import trajectory as tr
 from tramline.plans import trajectories as plan
+from tramline.session import materialise, shared_dir
+from tramline.sources import store
 
 from . import fixtures as fx
 from .registry import ORACLES, case, r, rounded, rs, with_views
@@ -244,6 +246,21 @@ select trip_id, start_date, start_date as service_date, shape_id, g as datetime,
  {rs('round_even(vv * 100, 0)::double / 100', 1)} as moving_speed_m_s, case when feed_date is not null then g - (1704067200 + 18000 + (6 + user_id % 20) * 3600 + 900) end as time_offset_seconds from fin""")
 
 
+@case("c01_run_service_dates")
+def _(spark, d):
+    """All service dates run into the stored table under a ledger, then one of them again; the answer is the table's."""
+    vp, trips, points = (materialise(x, "input") for x in (fx.vehicle_positions(spark, d), fx.trips(spark, d), fx.shape_points(spark, d)))
+    path, ledger = shared_dir(spark, "trajectories"), shared_dir(spark, "ledger")
+    days = [f"{x[:4]}-{x[4:6]}-{x[6:]}" for x in sorted(r[0] for r in tr.with_instance(vp).select("start_date").distinct().collect())]
+    plan.run_service_dates(vp, trips, points, path, ledger, days)
+    plan.run_service_dates(vp, trips, points, path, ledger, days[:1])
+    return rounded(store.read_trajectories(spark, path).select("trip_id", "start_date", "service_date", "shape_id", "datetime", "travel_distance_m",
+                                                               "moving_speed_m_s", "time_offset_seconds"), 1)
+
+
+ORACLES["c01_run_service_dates"] = ORACLES["c01_build_trajectories"]
+
+
 def _audit_points(spark, d):
     unique = tr.dedup_instance_times(fx.instances(spark, d).drop("travel_distance_m"))
     return tr.attach_static_trip(unique, fx.trips(spark, d))

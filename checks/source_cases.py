@@ -132,13 +132,13 @@ def _(spark, d):
     path = shared_dir(spark, "trajectories")
     t = fx.trajectories(spark, d)
     store.write_trajectories_replace(t, path)
-    again = spark.read.parquet(path).filter("route_id = 'R1'").withColumn("travel_distance_m", F.col("travel_distance_m") + 1)
+    again = store.read_trajectories(spark, path).filter("route_id = 'R1'").withColumn("travel_distance_m", F.col("travel_distance_m") + 1)
     from tramline.session import materialise
 
     again = materialise(again, "again")
     store.write_trajectories_replace(again, path)
     store.write_trajectories_replace(again, path)
-    return rounded(spark.read.parquet(path).groupBy("trip_id", "start_date").agg(F.count("*").alias("rows"), F.sum("travel_distance_m").alias("dist")), 1)
+    return rounded(store.read_trajectories(spark, path).groupBy("trip_id", "start_date").agg(F.count("*").alias("rows"), F.sum("travel_distance_m").alias("dist")), 1)
 
 
 @case("s12_run_ledger", """select o_orderkey::varchar as run_id, t as started_at, case when o_orderstatus <> 'O' then t + o_custkey % 600 end as finished_at,

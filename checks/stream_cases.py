@@ -1,11 +1,13 @@
 """Streaming jobs fed in several micro-batches; results must equal the batch answer."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tramline.functions import times
 from tramline.operators import buses, examples as ex, scoring as sc
 from tramline.plans import forecasting as fc
 from tramline.session import materialise, shared_dir
+from tramline.sources import store
 from tramline.streaming import jobs
 
 from . import fixtures as fx
@@ -27,6 +29,16 @@ def land(df, name, parts=PARTS):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def land_in_order(df, column, name, parts=PARTS):
+    """As ``land``, the files in order of a time column: no row is later than the watermark allows."""
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    rows = materialise(df.withColumn("_part", F.ntile(parts).over(Window.orderBy(column))), "ordered")  # the fixture's rows, once
+    for k in range(parts):
+        rows.filter(F.col("_part") == k + 1).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _run(q):
     q.awaitTermination()
     if q.exception() is not None:
@@ -58,7 +70,7 @@ def _(spark, d):
     trips, shape_points = materialise(fx.trips(spark, d), "trips"), materialise(fx.shape_points(spark, d), "shapes")
     path = shared_dir(spark, "trajectories")
     _run(jobs.incremental_refresh(land(vp, "vp", 2), lambda: vp, trips, shape_points, path, shared_dir(spark, "cp")))
-    return rounded(spark.read.parquet(path).groupBy("trip_id", "start_date").agg(F.count("*").alias("rows"), F.min("datetime").alias("first_t"), F.max("datetime").alias("last_t")))
+    return rounded(store.read_trajectories(spark, path).groupBy("trip_id", "start_date").agg(F.count("*").alias("rows"), F.min("datetime").alias("first_t"), F.max("datetime").alias("last_t")))
 
 
 ORACLES["st03_incremental_refresh"] = _chain("select trip_id, start_date, count(*) as rows, min(g) as first_t, max(g) as last_t from fin group by 1, 2")
@@ -123,11 +135,14 @@ def _(spark, d):
 
 @case("st10_vehicle_sessions", """select vehicle_id, min(veh_s) as first_seen, max(veh_s) + 60 as closed_at, count(*) as pings from (
  select *, sum(brk) over (partition by vehicle_id order by veh_s, id) as s from (
-  select *, (coalesce(veh_s - lag(veh_s) over (partition by vehicle_id order by veh_s, id), 61) > 60)::int as brk from v_vp where veh_s is not null)) group by vehicle_id, s""")
+  select *, (coalesce(veh_s - lag(veh_s) over (partition by vehicle_id order by veh_s, id), 61) > 60)::int as brk from v_vp where veh_s is not null))
+ group by vehicle_id, s having max(veh_s) + 60 <= (select max(veh_s) - 600 from v_vp)""")
 def _(spark, d):
+    """Sessions that the watermark has passed; those still open have not been emitted."""
     path = shared_dir(spark, "sessions")
     vp = fx.vehicle_positions(spark, d).select("vehicle_id", "vehicle_timestamp")
-    _run(jobs.keep_table(jobs.vehicle_sessions(land(vp, "vp"), "60 seconds", "2 days"), path, shared_dir(spark, "cp"), "complete"))
+    stream = land_in_order(vp, "vehicle_timestamp", "vp")
+    _run(jobs.keep_table(jobs.vehicle_sessions(stream, "60 seconds", "10 minutes"), path, shared_dir(spark, "cp"), "append"))
     return rounded(jobs.read_latest(spark, path))
 
 
@@ -142,8 +157,10 @@ def _(spark, d):
     return rounded(out.groupBy(*buses.SLICE).agg(F.count("*").alias("scored_rows"), F.count_if("eligible").alias("eligible")))
 
 
-@case("st12_drift_snapshots", "select h - 1 as feature_idx, 3 as batches from (select distinct h from v_score)")
+@case("st12_drift_snapshots", f"""select b.b as batch, h - 1 as feature_idx, {rs('avg(p)')} as mean, {rs('stddev_pop(p)')} as std, {rs('quantile_cont(p, 0.01)')} as p01, {rs('quantile_cont(p, 0.99)')} as p99
+from v_score join (select example_id, (row_number() over (order by example_id) - 1) * 3 // count(*) over () as b from (select distinct example_id from v_score)) b using (example_id) group by 1, 2""")
 def _(spark, d):
     path = shared_dir(spark, "drift")
-    _run(jobs.drift_stream(land(_wide(spark, d), "features"), path, shared_dir(spark, "cp"), "probs"))
-    return rounded(spark.read.parquet(path).groupBy("feature_idx").agg(F.countDistinct("batch").alias("batches")))
+    wide = _wide(spark, d)
+    _run(jobs.drift_stream(land_in_order(wide, "example_id", "features"), path, shared_dir(spark, "cp"), "probs"))
+    return rounded(spark.read.option("basePath", path).parquet(path))

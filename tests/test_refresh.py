@@ -4,9 +4,9 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from tramline.operators import fleet
 from tramline.session import materialise, workspace
 from tramline.sources import store
-from tramline.streaming import jobs
 
 
 def _there(spark, path):
@@ -24,9 +24,9 @@ def test_workspace_leaves_nothing(spark):
 def test_history_of_distant_days_skips_the_days_between(spark):
     fetched = ["2026-01-05 12:00:00", "2026-01-06 12:00:00", "2026-02-10 12:00:00", "2026-03-01 12:00:00", "2026-03-04 12:00:00"]
     history = spark.createDataFrame([(t,) for t in fetched], "t string").select(F.to_timestamp("t").alias("fetched_at"))
-    got = jobs.fetched_for(history, [date(2026, 3, 1), date(2026, 1, 5), date(2026, 1, 6)])
+    got = fleet.fetched_for(history, [date(2026, 3, 1), date(2026, 1, 5), date(2026, 1, 6)])
     assert sorted(str(r.fetched_at) for r in got.collect()) == [fetched[0], fetched[1], fetched[3]]
-    assert jobs.fetched_for(history, []).count() == 0
+    assert fleet.fetched_for(history, []).count() == 0
 
 
 def test_replace_takes_keys_without_a_date(spark, tmp_path):
@@ -36,4 +36,4 @@ def test_replace_takes_keys_without_a_date(spark, tmp_path):
         [("a", "20260105", day(5), 1), ("b", "20260105", day(5), 2), ("c", "20260106", day(6), 3)], schema), path)
     keys = spark.createDataFrame([("a", "20260105"), ("c", "20260106"), ("z", "no date")], "trip_id string, start_date string")
     store.write_trajectories_replace(spark.createDataFrame([("a", "20260105", day(5), 9)], schema), path, keys)
-    assert sorted((r.trip_id, r.n) for r in spark.read.parquet(path).collect()) == [("a", 9), ("b", 2)]
+    assert sorted((r.trip_id, r.n) for r in store.read_trajectories(spark, path).collect()) == [("a", 9), ("b", 2)]

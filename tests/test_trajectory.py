@@ -148,7 +148,7 @@ def test_replace_is_idempotent_and_clears_emptied_instances(spark):
     keys = spark.createDataFrame([("A", "20240101"), ("C", "20240102")], "trip_id string, start_date string")
     for _ in range(2):
         store.write_trajectories_replace(new, path, keys)
-        got = sorted((r["trip_id"], r["travel_distance_m"]) for r in spark.read.parquet(path).collect())
+        got = sorted((r["trip_id"], r["travel_distance_m"]) for r in store.read_trajectories(spark, path).collect())
         assert got == [("A", 9.0), ("B", 2.0)]
 
 

@@ -7,7 +7,8 @@ higher id.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +67,21 @@ def fetched_in_window(vp: DataFrame, service_date, slack_hours: int = 6) -> Data
     return vp.filter(between_half_open(F.col("fetched_at"), *times.fetch_window(service_date, slack_hours)))
 
 
+def fetched_for(history: DataFrame, days: Iterable[date]) -> DataFrame:
+    """Rows fetched in the window of one of ``days``; neighbouring days share one range."""
+    spans: list[list[date]] = []
+    for d in sorted(days):
+        if spans and (d - spans[-1][1]).days <= 1:
+            spans[-1][1] = d
+        else:
+            spans.append([d, d])
+    wanted = F.lit(False)
+    for first, last in spans:
+        lo, hi = times.fetch_window(first)[0], times.fetch_window(last)[1]
+        wanted = wanted | ((F.col("fetched_at") >= lo) & (F.col("fetched_at") < hi))
+    return history.filter(wanted)
+
+
 def trip_trajectory(traj: DataFrame, trip_id: str, start_date: str) -> DataFrame:
     return traj.filter((F.col("trip_id") == trip_id) & (F.col("start_date") == start_date)).orderBy("datetime")
 

@@ -91,24 +91,44 @@ def evaluate(scored: DataFrame, model: Forecaster) -> DataFrame:
 # --- live slices --------------------------------------------------------------------------
 
 
+def within_reach(points: DataFrame, refs: DataFrame, back_s: float, ahead_s: float) -> DataFrame:
+    """Points with each reference time of their slice from which they are at most ``back_s`` before or ``ahead_s`` after.
+
+    Time is cut into cells as long as that reach; a point lies in one, a reference is listed under the two or three
+    cells it can need. So a point meets the references around it, not all of its slice's.
+    """
+    width = float(back_s + ahead_s)
+    t = F.unix_micros("datetime") / 1e6
+    cell = lambda x: F.floor(x / width)
+    asked = refs.select(*buses.SLICE, "t_ref").distinct().withColumn(
+        "_cell", F.explode(F.sequence(cell(F.col("t_ref") - back_s), cell(F.col("t_ref") + ahead_s))))
+    return (
+        points.withColumn("_cell", cell(t)).join(asked, [*buses.SLICE, "_cell"])
+        .filter(t.between(F.col("t_ref") - back_s, F.col("t_ref") + ahead_s)).drop("_cell")
+    )
+
+
 def eligibility(points: DataFrame, refs: DataFrame, length: int, step_s: int = 60, freshness_s: float = 90.0, edge: int = 2) -> DataFrame:
     """For every bus of every slice with a reference time: can it be scored, and if not why.
 
     ``refs``: slice columns and ``t_ref`` (epoch seconds), any number per slice. The first
     reason that holds wins, in the order stale, no sample at the reference, stop band, missing
-    history, no leader. Adds the neighbours' window where there is one.
+    history, no leader. Adds the neighbours' window where there is one. ``age_s`` is null where
+    nothing was seen within the time that any reason looks back.
     """
     match_s = max(5.0, step_s / 2.0)
     keys = [*detect.BUS, "t_ref"]
-    rows = points.join(refs.select(*buses.SLICE, "t_ref"), buses.SLICE)
+    rows = within_reach(points, refs, back_s=max(freshness_s, (length + 1) * step_s), ahead_s=max(match_s, 2.0 * step_s))
     t = F.unix_micros("datetime") / 1e6
     off = F.abs(t - F.col("t_ref"))
     near = F.when(off <= match_s, F.struct(off, t))
-    state = rows.groupBy(*keys, *examples.IDENTITY, "num_stops").agg(
+    who = points.select(*detect.BUS, *examples.IDENTITY, "num_stops").distinct().join(refs.select(*buses.SLICE, "t_ref"), buses.SLICE)
+    seen = rows.groupBy(*keys).agg(
         (F.col("t_ref") - F.max(F.when(t <= F.col("t_ref"), t))).alias("age_s"),
         F.min_by(F.struct("stop_index", "travel_distance_m"), near).alias("ref"),
         F.min(near).isNotNull().alias("has_ref"),
     )
+    state = who.join(seen, keys, "left")
     state = state.select(*keys, *examples.IDENTITY, "num_stops", "age_s",
                          F.when(F.col("has_ref"), F.col("ref.stop_index")).alias("ref_stop"),
                          F.when(F.col("has_ref"), F.col("ref.travel_distance_m")).alias("ref_dist"))

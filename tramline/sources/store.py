@@ -12,70 +12,37 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise, workspace
+from . import versioned
 
 
 def _even(df: DataFrame, *cols: str) -> DataFrame:
     return df.hint("rebalance", *[F.col(c) for c in cols])
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    from pyspark.errors import AnalysisException
-
-    try:
-        spark.read.parquet(path).schema
-        return True
-    except AnalysisException:
-        return False
-
-
-def write_trajectories_replace(rows: DataFrame, path: str, keys: DataFrame | None = None) -> None:
-    """Delete-then-insert per trip instance on a table partitioned by service date.
+def write_trajectories_replace(rows: DataFrame, path: str, keys: DataFrame | None = None) -> int:
+    """Delete-then-insert per trip instance on a versioned table partitioned by service date.
 
     ``keys`` are the recomputed instances (default: those in ``rows``); an instance that now
-    gives no rows loses its old ones. Rows of the touched dates are merged into a staging
-    table, then only those partitions are swapped in. Running it again gives the same table.
+    gives no rows loses its old ones. Only the touched dates are read and written, and all of
+    them change in one step: a reader sees the version before or the one after. Running it
+    again gives the same rows. Returns the version's number.
     """
-    with workspace(rows.sparkSession):
-        _replace(rows, path, keys)
-
-
-def _replace(rows: DataFrame, path: str, keys: DataFrame | None) -> None:
     spark = rows.sparkSession
     inst = ["trip_id", "start_date"]
-    replaced = (keys if keys is not None else rows).select(*inst).distinct()
-    emptied: list = []
-    if table_exists(spark, path):
-        old = spark.read.parquet(path)
+    with workspace(spark):
+        rows = materialise(rows, "rows")
+        replaced = materialise((keys if keys is not None else rows).select(*inst).distinct(), "keys")
         # an instance's rows lie in the partition of its start date: only those dates are read
         days = F.try_to_date(F.col("start_date"), "yyyyMMdd")
         dates = replaced.select(days.alias("service_date")).union(rows.select("service_date")).distinct()
         touched = [r[0] for r in dates.collect()]  # calendar days
-        day = F.col("service_date")
-        pruned = old.filter(day.isin([d for d in touched if d is not None]) | (day.isNull() if None in touched else F.lit(False)))
-        kept = pruned.join(replaced, inst, "left_anti")
-        staged = materialise(kept.unionByName(rows.select(*old.columns)), "staged")
-        left = staged.select("service_date").distinct()
-        emptied = [r[0] for r in dates.join(left, dates.service_date.eqNullSafe(left.service_date), "left_anti").collect()]  # a few dates
-    else:
-        staged = materialise(rows, "staged")
-    (
-        _even(staged, "service_date")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("service_date")
-        .parquet(path)
-    )
-    _drop_partitions(spark, path, emptied)
+        return versioned.change_days(spark, path, rows.schema, touched,
+                                     lambda old: old.join(replaced, inst, "left_anti").unionByName(rows.select(*old.columns)))
 
 
-def _drop_partitions(spark: SparkSession, path: str, dates: list) -> None:
-    """Remove partitions that a replacement leaves without rows (an overwrite cannot)."""
-    jvm = spark._jvm
-    for day in dates:
-        p = jvm.org.apache.hadoop.fs.Path(f"{path}/service_date={day or '__HIVE_DEFAULT_PARTITION__'}")
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    if dates:
-        spark.catalog.refreshByPath(path)
+def read_trajectories(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The stored trajectories, of the newest version or of a given one."""
+    return versioned.read_table(spark, path, version)
 
 
 def append_run(spark: SparkSession, path: str, run_id: str, status: str, at: Column | None = None,

@@ -6,15 +6,13 @@ batch's own folder, or replaces by key.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
-from datetime import date
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import times
-from ..operators import scoring
+from ..operators import fleet, scoring
 from ..operators import trajectory as tr
 from ..plans import forecasting, trajectories
 from ..session import materialise, workspace
@@ -89,27 +87,12 @@ def refresh_batch(batch: DataFrame, history: DataFrame, trips: DataFrame, shape_
         keys = materialise(changed_instances(batch), "keys")
         day = F.try_to_date(F.col("start_date"), "yyyyMMdd")
         days = [r.day for r in keys.select(day.alias("day")).distinct().collect() if r.day is not None]  # calendar days
-        keyed = tr.with_instance(fetched_for(history, days)).join(keys, ["trip_id", "start_date"], "left_semi")
+        keyed = tr.with_instance(fleet.fetched_for(history, days)).join(keys, ["trip_id", "start_date"], "left_semi")
         rows = keyed.withColumn("start_date", F.col("feed_start_date")).select(*history.columns)
         built = trajectories.build_trajectories(rows, trips, shape_points, **options)
         store.write_trajectories_replace(built, path, keys)
 
 
-def fetched_for(history: DataFrame, days: Iterable[date]) -> DataFrame:
-    """Rows fetched in the window of one of ``days``; neighbouring days share one range."""
-    spans: list[list[date]] = []
-    for d in sorted(days):
-        if spans and (d - spans[-1][1]).days <= 1:
-            spans[-1][1] = d
-        else:
-            spans.append([d, d])
-    wanted = F.lit(False)
-    for first, last in spans:
-        lo, hi = times.fetch_window(first)[0], times.fetch_window(last)[1]
-        wanted = wanted | ((F.col("fetched_at") >= lo) & (F.col("fetched_at") < hi))
-    return history.filter(wanted)
-
-
 def incremental_refresh(vp_stream: DataFrame, read_history: Callable[[], DataFrame], trips: DataFrame, shape_points: DataFrame,
                         path: str, checkpoint: str, seconds: int | None = None, **options) -> StreamingQuery:
     """Refresh stored trajectories as positions arrive; ``read_history`` reads the append table."""
@@ -151,7 +134,11 @@ def per_minute_stream(log_stream: DataFrame, slack: str = "10 minutes") -> DataF
 
 
 def vehicle_sessions(stream: DataFrame, gap: str = "20 minutes", slack: str = "6 hours") -> DataFrame:
-    """Runs of a vehicle's pings separated by silence."""
+    """Runs of a vehicle's pings separated by silence.
+
+    In ``append`` mode a session is emitted once, when the watermark (newest ping less ``slack``) passes its end, and its
+    state is freed then: the state holds the open sessions only, however long the stream runs.
+    """
     rows = stream.filter("vehicle_timestamp is not null").withWatermark("vehicle_timestamp", slack)
     return rows.groupBy(F.session_window("vehicle_timestamp", gap), "vehicle_id").agg(F.count("*").alias("pings")).select(
         "vehicle_id", F.col("session_window.start").alias("first_seen"), F.col("session_window.end").alias("closed_at"), "pings")
@@ -159,17 +146,16 @@ def vehicle_sessions(stream: DataFrame, gap: str = "20 minutes", slack: str = "6
 
 def keep_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
     """Keep an aggregate as a table: each trigger writes the rows that changed to the batch's own
-    folder. ``update`` lets the watermark free closed windows; ``complete`` rewrites everything and
-    is only for aggregates that have no other mode (session windows)."""
+    folder. ``update`` lets the watermark free closed windows; ``append`` writes each row once, when it is final (sessions)."""
     return _start(stream, lambda df, i: df.write.mode("overwrite").parquet(f"{path}/batch={i}"), checkpoint, mode)
 
 
 def read_latest(spark: SparkSession, path: str, keys: Sequence[str] = ()) -> DataFrame:
     """The table that ``keep_table`` holds: per key the row of the newest batch that changed it;
-    without keys the newest batch, which is the whole answer in ``complete`` mode."""
+    without keys every row, which is the answer in ``append`` mode."""
     every = spark.read.option("basePath", path).parquet(path)
     if not keys:
-        return every.filter(F.col("batch") == every.agg(F.max("batch")).scalar()).drop("batch")
+        return every.drop("batch")
     rest = [c for c in every.columns if c not in (*keys, "batch")]
     newest = every.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
     return newest.select(*keys, "_row.*")
@@ -184,9 +170,10 @@ def score_stream(point_stream: DataFrame, read_points: Callable[[DataFrame], Dat
     """
 
     def write(df: DataFrame, batch_id: int) -> None:
-        refs = df.groupBy("service_date", "route_id", "direction_id").agg(F.max(F.unix_seconds("datetime")).alias("t_ref"))
-        scored = forecasting.score_slices(read_points(refs), refs, model)
-        scored.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        with workspace(df.sparkSession):
+            refs = df.groupBy("service_date", "route_id", "direction_id").agg(F.max(F.unix_seconds("datetime")).alias("t_ref"))
+            scored = forecasting.score_slices(read_points(refs), refs, model)
+            scored.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return _start(point_stream, write, checkpoint)
 
@@ -195,6 +182,7 @@ def drift_stream(feature_stream: DataFrame, path: str, checkpoint: str, column:
     """Distribution of every feature per micro-batch."""
 
     def write(df: DataFrame, batch_id: int) -> None:
-        scoring.channel_drift(df, column).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        with workspace(df.sparkSession):
+            scoring.channel_drift(df, column).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return _start(feature_stream, write, checkpoint)
