@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,21 +35,44 @@ def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+FEW_LINKS = 100_000  # links that one task may hold: some megabytes
+
+
+def _joined_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, component) of all links of one partition, by union-find towards the smaller node."""
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent.setdefault(up, up)
+            x = up
+        return x
+
+    for links in batches:
+        for u, v in zip(links["u"].tolist(), links["v"].tolist(), strict=True):
+            u, v = root(u), root(v)
+            parent[max(u, v)] = min(u, v)
+    yield pd.DataFrame({"node": list(parent), "component": [root(x) for x in parent]}, dtype="int64")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node of ``edges``: the smallest node reachable.
+    """(node, component) for every node of ``edges`` (whole numbers): the smallest node reachable.
 
-    Alternating large-star and small-star rounds: each round is two grouped minima and two joins, so a node
-    with very many links is split like any skewed join, and no component meets in one task.
+    Up to ``FEW_LINKS`` different links, counted first, are joined up in one task.  More go through alternating large-star
+    and small-star rounds: each is two grouped minima and two hash joins whose built side has one row a node, so a node with
+    very many links is split like any skewed join, and no component meets in one task.
     """
     links = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
+    if links.count() <= FEW_LINKS:
+        return links.coalesce(1).mapInPandas(_joined_up, "node long, component long")
     mark = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least.hint("shuffle_hash"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large.join(low.hint("shuffle_hash"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         )
         seen = Observation()

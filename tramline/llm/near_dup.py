@@ -190,8 +190,7 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, percent: int = 80)
     same = ["set_a", "set_b", "n_shingles"]
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = stored(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("full").alias("full")), "classes")
-    member = full.join(classes.drop("bands", "full"), same).select("doc_id", "rep")
-    lowest = member.groupBy("doc_id").agg(F.min("rep").alias("low"))
+    several = full.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     reps = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "bands")
     bands = (
         classes.select(F.col("rep").alias("doc_id"), F.posexplode("full").alias("band", "four"))
@@ -204,10 +203,13 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, percent: int = 80)
     many = met.where(F.col("n") > SMALL).select("doc_id", "hub").distinct()
 
     # rows of one doc_id with different sets belong together
+    member = stored(full.select("doc_id", *same).join(several, "doc_id").join(classes.drop("bands", "full"), same).select("doc_id", "rep"), "several")
+    lowest = member.groupBy("doc_id").agg(F.min("rep").alias("low"))
     links = member.join(lowest, "doc_id").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    pairs = _ordered(few.alias("l").join(few.alias("r"), "key").where("l.doc_id < r.doc_id"), "l.doc_id", "r.doc_id").unionByName(
-        _ordered(many.where("doc_id <> hub"), "doc_id", "hub")).distinct()
-    links = stored(links.unionByName(_confirmed(_plausible(pairs, reps, percent / 100), sets, percent)), "confirmed")
+    pairs = stored(_ordered(few.alias("l").join(few.alias("r"), "key").where("l.doc_id < r.doc_id"), "l.doc_id", "r.doc_id").unionByName(
+        _ordered(many.where("doc_id <> hub"), "doc_id", "hub")).distinct(), "pairs")  # narrow steps, each a small plan
+    pairs = stored(_plausible(pairs, reps, percent / 100), "plausible")
+    links = stored(links.unionByName(_confirmed(pairs, sets, percent)), "confirmed")
     found = stored(components(links), "components")
     rest = stored(_families(many, found), "families")
     if not rest.isEmpty():

@@ -18,6 +18,12 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return named.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("row.*")
 
 
+def row_key():
+    """128 bits that name a (doc_id, text): two hashes of different seeds, so unlike rows do not share one by chance."""
+    parts = [F.col("doc_id"), F.col("text")]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(0x5EED), F.length("text"), *reversed(parts)).alias("b"))
+
+
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group, that of the lowest ``doc_id`` (null last).
 
@@ -25,22 +31,24 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     themselves, and so do rows without ``doc_id``.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = stored(docs.select(F.xxhash64("doc_id", "text").alias("key"), row.alias("row")).dropDuplicates(["key"]), "near-rows", codec="zstd")
-    groups = near_dup.near_duplicate_components(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")))
-    member = groups.select(F.col("doc_id").alias("key"), F.col("component_id").alias("group")).join(
-        rows.select("key", F.col("row.doc_id").alias("doc_id")), "key")
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key").alias("best"))).getField("best")
-    several = member.groupBy("group").agg(first.alias("best"), F.count("*").alias("n")).where("n > 1")
-    gone = member.join(several, "group").where("key <> best").select("key")
-    return rows.join(gone, "key", "left_anti").select("row.*")
+    rows = stored(docs.select(row_key().alias("key"), row.alias("row")).dropDuplicates(["key"]).withColumn("number", F.monotonically_increasing_id()),
+                  "near-rows", codec="zstd")
+    groups = near_dup.near_duplicate_components(rows.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")))
+    groups = stored(groups.where("component_id is not null").select(F.col("doc_id").alias("number"), F.col("component_id").alias("group")), "groups")
+    several = stored(groups.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group"), "several")
+    member = stored(groups.join(several, "group").join(rows.select("number", F.col("row.doc_id").alias("doc_id")), "number"), "member")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("number").alias("best"))).getField("best")
+    gone = member.join(member.groupBy("group").agg(first.alias("best")), "group").where("number <> best").select("number")
+    return rows.join(gone, "number", "left_anti").select("row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item stands; rows of one ``doc_id`` go each by its own text."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    key = F.xxhash64("doc_id", "text")
-    hit = decontaminate.contaminations(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("hit_key")).distinct()
-    return docs.join(hit, key == hit["hit_key"], "left_anti")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = stored(docs.select(row.alias("row"), F.monotonically_increasing_id().alias("number")), "leak-rows", codec="zstd")  # a row's number is stored with it
+    hit = decontaminate.contaminations(rows.select(F.col("number").alias("doc_id"), "row.text"), benchmark)
+    return rows.join(hit.select(F.col("doc_id").alias("number")).distinct(), "number", "left_anti").select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
