@@ -99,7 +99,7 @@ def _(spark, d):
 @case("j05_nearest_among_shapes", f"""
 select id, {rs('min(o)', 2)} as shortest_distance_m from (select p.id, {orth()} as o from v_xy p, v_polyseg s) group by id""")
 def _(spark, d):
-    out = shapes.nearest_of_network(fx.vehicle_positions(spark, d), _segments(spark, d), 20.0)
+    out = shapes.nearest_of_network(fx.vehicle_positions(spark, d), _segments(spark, d))
     return rounded(out.select("id", "shortest_distance_m"), 2)
 
 

@@ -2,7 +2,8 @@
 
 A polyline is a table of segments. Points never meet a whole network: segments are filed under
 square cells, a point joins the one row of its own cell, and the minimum over that short list
-is taken in the same row. One output row per point, no pair rows, no range join.
+is taken in the same row. One output row per point, no pair rows, no range join. Cells have one size where a
+cutoff is given, and split where they are busy (``quadtree``) where the answer holds at any distance.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..defaults import DEFAULTS
 from ..functions import geo
-from ..session import materialise
+from . import quadtree
 from .lookup import interval_lookup
 
 SEGMENT = ["seg_no", "x0", "y0", "x1", "y1", "cum_m", "len_m"]
@@ -112,18 +113,22 @@ def nearest_on_shape(
 
 
 def nearest_on_shape_unpruned(points: DataFrame, segments: DataFrame) -> DataFrame:
-    """As ``nearest_on_shape`` at any distance, for audits: each point scans its own polyline."""
-    whole = segments.groupBy("shape_id").agg(F.collect_list(F.struct(*SEGMENT)).alias("segs"))
-    return _placed(with_xy(points).join(whole, "shape_id"))
+    """As ``nearest_on_shape`` at any distance, for audits. A point looks through the short list of its cell, not its
+    whole polyline; points without a position or a polyline go."""
+    here = quadtree.located(with_xy(points))
+    lists = quadtree.segment_lists(here, segments, ["shape_id"])
+    return _placed(here.join(lists, ["shape_id", "_fx", "_fy"])).drop("_fx", "_fy")
 
 
-def nearest_among_shapes(points: DataFrame, segments: DataFrame, within_m: float) -> DataFrame:
-    """Nearest polyline of the network within a corridor: ``nearest_shape_id``, its distance
-    and the foot point. Ties go to the lower shape id. Points outside every corridor get null; see
-    ``nearest_of_network`` for an answer at any distance."""
-    cells = segment_cells(segments, within_m, keys=())
-    size = float(within_m)
-    located = with_xy(points).withColumns({"cx": _cell(F.col("x"), size), "cy": _cell(F.col("y"), size)})
+def nearest_of_network(points: DataFrame, segments: DataFrame, within_m: float | None = None) -> DataFrame:
+    """Nearest polyline of the network: ``nearest_shape_id``, its distance and the foot point.
+
+    Exact at any distance, or null beyond ``within_m``. Ties go to the lower shape id. Points without a position, or a
+    network without lines, get null.
+    """
+    where = with_xy(points)
+    here = quadtree.located(where)
+    lists = quadtree.segment_lists(here, segments)
 
     def candidate(s):
         p = geo.project_on_segment(F.col("x"), F.col("y"), s)
@@ -133,8 +138,10 @@ def nearest_among_shapes(points: DataFrame, segments: DataFrame, within_m: float
             (s["x0"] + f * (s["x1"] - s["x0"])).alias("fx"), (s["y0"] + f * (s["y1"] - s["y0"])).alias("fy"),
         )
 
-    hit = located.join(cells, ["cx", "cy"], "left").withColumn("_hit", F.array_min(F.transform("segs", candidate)))
-    near = F.col("_hit.orth_m") <= within_m
+    cell = {"_fx": F.when(F.isnan("x") | F.isnan("y"), None).otherwise(quadtree._cell(F.col("x"), quadtree.SIDES[-1])),
+            "_fy": F.when(F.isnan("x") | F.isnan("y"), None).otherwise(quadtree._cell(F.col("y"), quadtree.SIDES[-1]))}
+    hit = where.withColumns(cell).join(lists, ["_fx", "_fy"], "left").withColumn("_hit", F.array_min(F.transform("segs", candidate)))
+    near = F.lit(True) if within_m is None else F.col("_hit.orth_m") <= within_m
     pick = lambda f: F.when(near, F.col(f"_hit.{f}"))
     return hit.withColumns(
         {
@@ -143,25 +150,12 @@ def nearest_among_shapes(points: DataFrame, segments: DataFrame, within_m: float
             "foot_x": pick("fx"),
             "foot_y": pick("fy"),
         }
-    ).drop("_hit", "segs", "cx", "cy", "x", "y")
+    ).drop("_hit", "segs", "_fx", "_fy", "x", "y")
 
 
-def nearest_of_network(points: DataFrame, segments: DataFrame, start_m: float = 300.0, grow: float = 8.0) -> DataFrame:
-    """Nearest polyline at any distance: corridors grow around the points that have no answer yet.
-
-    Few points are far from every line, so the wide corridors, whose cells list much of the network, meet few
-    rows. Points without a position, or a network without lines, get null.
-    """
-    rest, reach, found = points, start_m, None
-    while True:
-        near = materialise(nearest_among_shapes(rest, segments, reach), "nearest")
-        rest = near.filter("shortest_distance_m is null").select(*points.columns)
-        last = reach > 5e7 or rest.isEmpty()  # beyond any two places on earth
-        part = near if last else near.filter("shortest_distance_m is not null")
-        found = part if found is None else found.unionByName(part)
-        if last:
-            return found
-        reach *= grow
+def nearest_among_shapes(points: DataFrame, segments: DataFrame, within_m: float) -> DataFrame:
+    """``nearest_of_network`` within a corridor; points outside every corridor get null."""
+    return nearest_of_network(points, segments, within_m)
 
 
 def within_corridor(points: DataFrame, segments: DataFrame, radius_m: float) -> DataFrame:
@@ -172,14 +166,12 @@ def within_corridor(points: DataFrame, segments: DataFrame, radius_m: float) ->
 
 def distance_of_foot(points: DataFrame, segments: DataFrame, shape_id: str) -> DataFrame:
     """Distance along one chosen polyline of the foot points found before."""
-    chosen = segments.filter(F.col("shape_id") == shape_id).groupBy("shape_id").agg(
-        F.collect_list(F.struct(*SEGMENT)).alias("segs")
-    )
-    keyed = points.withColumn("_shape", F.lit(shape_id))
-    joined = keyed.join(chosen.withColumnRenamed("shape_id", "_shape"), "_shape")
-    return joined.withColumn(
+    chosen = segments.filter(F.col("shape_id") == shape_id)
+    here = quadtree.located(points, "foot_x", "foot_y")
+    lists = quadtree.segment_lists(here, chosen)
+    return here.join(lists, ["_fx", "_fy"]).withColumn(
         "travel_distance_m", _best(F.col("foot_x"), F.col("foot_y"), "segs")["along_m"]
-    ).drop("segs", "_shape")
+    ).drop("segs", "_fx", "_fy")
 
 
 def lonlat_at_distance(traj: DataFrame, segments: DataFrame, width_m: float = 250.0) -> DataFrame:
