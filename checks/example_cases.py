@@ -141,6 +141,22 @@ def _(spark, d):
     return rounded(_num(x, pts).select(*buses.SLICE, "bus_index", "k", "tick", *[r(F.col("x")[i], digits.get(n, 3)).alias(n) for i, n in enumerate(names)]), skip=names)
 
 
+@case("w29_context_layout_1", f"""
+select service_date, route_id, direction_id, bus_index, k, tick, {rs('stop')} as stop_index, {rs('stop / 31')} as stop_norm,
+ {rs('case when lb > 0 and gp < 20000 and gap < 20000 then (gp - gap) / (lb * 60) else 0e0 end', 4)} as closing, {rs('d1v')} as leader_speed, {rs('slow * 60e0')} as dwell,
+ {rs('sin(2 * pi() * m / 1440)')} as tod_sin, {rs('cos(2 * pi() * m / 1440)')} as tod_cos
+from (select r.service_date, r.route_id, r.direction_id, r.bus_index, r.k, h.k - r.k + 4 as tick, h.stop, h.gap, h.speed, h.d1v, {_MIN} as m, least(3, h.k - r.k + 4) as lb,
+  (select g.gap from v_chain g where g.service_date = r.service_date and g.route_id = r.route_id and g.direction_id = r.direction_id and g.bus_index = r.bus_index and g.k = h.k - least(3, h.k - r.k + 4)) as gp,
+  (select count(*) from v_chain g where g.service_date = r.service_date and g.route_id = r.route_id and g.direction_id = r.direction_id and g.bus_index = r.bus_index and g.k between r.k - 4 and h.k and g.speed < 5e-1) as slow
+ from v_ref r join v_chain h on {_NEAR} and h.k between r.k - 4 and r.k)""")
+def _(spark, d):
+    pts, c = _chain(spark, d)
+    rows = ex.history_window(c, L, layout=1)
+    x = rows.select(*buses.SLICE, "bus_id", "k", F.posexplode(ex.context_features(1, L)).alias("tick", "x"))
+    names = ("stop_index", "stop_norm", "closing", "leader_speed", "dwell", "tod_sin", "tod_cos")
+    return rounded(_num(x, pts).select(*buses.SLICE, "bus_index", "k", "tick", *[r(F.col("x")[i], 4 if n == "closing" else 3).alias(n) for i, n in enumerate(names)]), skip=names)
+
+
 VIEWS["v_lab"] = f"""
 select r.service_date, r.route_id, r.direction_id, r.bus_index, r.k, o.o as h, f.gap, f.hw, f.stop, f.stop >= 2 and f.stop < 29 as band,
  (select count(*) from v_chain x where x.service_date = r.service_date and x.route_id = r.route_id and x.direction_id = r.direction_id and x.bus_index = r.bus_index and x.k between r.k + 1 and r.k + o.o) = o.o as walk,

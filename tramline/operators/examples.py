@@ -177,15 +177,67 @@ CONTEXT = {
 }
 
 
-def _tick_struct(chain: DataFrame, step_s: int, anchor: str | None) -> Column:
+def with_ticks(chain: DataFrame, length: int = DEFAULTS.history_ticks, step_s: int = DEFAULTS.step_s, layout: int = 4,
+               anchor: str | None = None) -> DataFrame:
+    """``chain`` with ``_tick``, all that a window shows of a tick, worked out once per tick.
+
+    What looks back depends on the tick's place in its window only through how far it may look, a few steps. So a tick
+    carries one value for each reach: gap closure by lags, dwell by differences of a running count, the median speed over
+    its last few readings. A window then picks by place; nothing is computed anew for each window that shows the tick.
+    """
+    w = Window.partitionBy(*BUS, *([anchor] if anchor else [])).orderBy("k")
     at = F.col("k") * step_s + (F.col(anchor).cast("bigint") if anchor else F.lit(0))
     minute = times.local_minute(F.timestamp_seconds(at))
+    wanted = CONTEXT[layout]
+    back, dwell_ticks = _reaches(length, step_s)
+    line = F.col("shape_length_m") if layout in (2, 3) and "shape_length_m" in chain.columns else F.lit(None).cast("double")
+    has_line = line.isNotNull() & (line > 0)
+    left = F.greatest(F.lit(0.0), line - F.col("dist_m"))
+    lagged = {f"_g{i}": F.lag("fwd_gap_m", i).over(w) for i in range(1, back + 1)}
+    if "target_accel_3tick" in wanted:
+        lagged["_v3"] = F.lag("_v", 3).over(w)
+    if "dwell_recent_s" in wanted:
+        lagged["_slow"] = F.sum((F.coalesce(F.col("speed") < 0.5, F.lit(False))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    if "time_to_terminus_min" in wanted:
+        lagged |= {f"_r{i}": F.lag("speed", i).over(w) for i in range(1, dwell_ticks)}
+    rows = chain.withColumn("_v", F.coalesce("speed", F.lit(0.0))).withColumns(lagged)
+    if "_slow" in lagged:
+        rows = rows.withColumns({f"_s{i}": F.coalesce(F.lag("_slow", i).over(w), F.lit(0)) for i in range(1, dwell_ticks + 1)})
+
+    def closing(i: int) -> Column:
+        known = (F.col(f"_g{i}") < NO_LEADER_GAP_M) & (F.col("fwd_gap_m") < NO_LEADER_GAP_M)
+        return F.when(known, (F.col(f"_g{i}") - F.col("fwd_gap_m")) / (i * step_s)).otherwise(0.0)
+
+    def terminus(n: int) -> Column:
+        recent = F.filter(F.array("speed", *[f"_r{i}" for i in range(1, n)]), lambda v: v.isNotNull())
+        moving = F.filter(recent, lambda v: v >= 0.5)
+        base = F.array_sort(F.when(F.size(moving) > 0, moving).otherwise(recent))
+        m = F.size(base)
+        median = F.when(m > 0, (F.get(base, ((m - 1) / 2).cast("int")) + F.get(base, (m / 2).cast("int"))) / 2).otherwise(0.0)
+        return F.when(has_line, left / F.greatest(median, F.lit(1.0)) / 60.0).otherwise(0.0)
+
+    context = {
+        "stop_index": lambda: F.col("stop_index"),
+        "stop_index_norm": lambda: F.when(F.col("num_stops") > 0, F.col("stop_index") / F.col("num_stops")).otherwise(0.0),
+        "gap_closure_m_per_s": lambda: F.array(*[closing(i) for i in range(1, back + 1)]),
+        "dwell_recent_s": lambda: F.array(*[(F.col("_slow") - F.col(f"_s{n}")) * float(step_s) for n in range(1, dwell_ticks + 1)]),
+        "tod_sin": lambda: times.tod_sin(minute), "tod_cos": lambda: times.tod_cos(minute),
+        "dist_to_terminus_m": lambda: F.when(has_line, left).otherwise(0.0),
+        "dist_to_terminus_norm": lambda: F.when(has_line, left / line).otherwise(0.0),
+        "time_to_terminus_min": lambda: F.array(*[terminus(n) for n in range(1, dwell_ticks + 1)]),
+        "rel_speed_to_d1": lambda: F.when(F.col("d1_speed") != 0, F.col("_v") - F.col("d1_speed")).otherwise(0.0),
+        "target_accel_3tick": lambda: F.coalesce((F.col("_v") - F.col("_v3")) / (3.0 * step_s), F.lit(0.0)),
+    }
     ups = [F.col(f"u{i}_{f}") for i in (1, 2) for f in ("speed", "gap_m")] if "u1_speed" in chain.columns else []
-    return F.struct(
-        F.col("k").alias("k"), F.col("speed").alias("raw_v"), F.coalesce("speed", F.lit(0.0)).alias("v"), F.col("fwd_gap_m").alias("gap"),
-        F.col("d1_speed").alias("d1v"), F.col("d1_gap_m").alias("d1g"), F.col("d2_speed").alias("d2v"), F.col("d2_gap_m").alias("d2g"),
-        F.col("dist_m").alias("d"), F.col("stop_index").alias("s"), times.tod_sin(minute).alias("sin"), times.tod_cos(minute).alias("cos"), *ups,
-    )
+    tick = F.struct(
+        F.col("k").alias("k"), F.col("_v").alias("v"), F.col("fwd_gap_m").alias("gap"), F.col("d1_speed").alias("d1v"), F.col("d1_gap_m").alias("d1g"),
+        F.col("d2_speed").alias("d2v"), F.col("d2_gap_m").alias("d2g"), *[context[n]().alias(n) for n in wanted if n in context], *ups)
+    return rows.select(*chain.columns, tick.alias("_tick"))
+
+
+def _reaches(length: int, step_s: int) -> tuple[int, int]:
+    """Ticks that gap closure looks back, and that dwell and the median speed take in."""
+    return max(1, min(3, length - 1)), max(1, round(300 / step_s))
 
 
 def history_window(
@@ -196,16 +248,18 @@ def history_window(
     channels: int = 2,
     band: str = "exact",
     anchor: str | None = None,
+    layout: int = 4,
 ) -> DataFrame:
     """Ticks with a full, unbroken history inside the stop band and at least one neighbour in
-    it (a leader for layout 2, a follower for layout 1). Adds ``hist``, the ordered ticks."""
+    it (a leader for layout 2, a follower for layout 1). Adds ``hist``, the ordered ticks with
+    what context ``layout`` needs of them."""
     w = Window.partitionBy(*BUS, *([anchor] if anchor else [])).orderBy("k").rangeBetween(-(length - 1), 0)
     stop = F.col("stop_index") if band == "exact" else F.rint("stop_index")
     inside = (stop >= edge) & (stop < F.col("num_stops") - edge)
-    rows = chain.withColumn("_n", F.count("*").over(w)).withColumn("hist", F.collect_list(_tick_struct(chain, step_s, anchor)).over(w))
-    near = (lambda x: x["gap"] < NO_LEADER_GAP_M) if channels == 2 else (
-        lambda x: (x["u1_gap_m"] < NO_LEADER_GAP_M) | (x["u2_gap_m"] < NO_LEADER_GAP_M))
-    return rows.filter((F.col("_n") == length) & inside & F.exists("hist", near)).drop("_n")
+    near = F.col("fwd_gap_m") < NO_LEADER_GAP_M if channels == 2 else (F.col("u1_gap_m") < NO_LEADER_GAP_M) | (F.col("u2_gap_m") < NO_LEADER_GAP_M)
+    rows = with_ticks(chain, length, step_s, layout, anchor).withColumn("_near", near)
+    rows = rows.withColumns({"_n": F.count("*").over(w), "_some": F.max("_near").over(w), "hist": F.collect_list("_tick").over(w)})
+    return rows.filter((F.col("_n") == length) & inside & F.col("_some")).drop("_n", "_near", "_some", "_tick")
 
 
 def window_channels(hist: Column, layout: int = 2) -> Column:
@@ -217,39 +271,22 @@ def window_channels(hist: Column, layout: int = 2) -> Column:
 
 
 def context_features(layout: int = 4, length: int = DEFAULTS.history_ticks, step_s: int = DEFAULTS.step_s) -> Column:
-    """Context channels per tick of ``hist``. Looking back stops at the start of the window."""
-    back = max(1, min(3, length - 1))
-    dwell_ticks = max(1, round(300 / step_s))
-    hist = F.col("hist")
+    """Context channels per tick of ``hist``. Looking back stops at the start of the window: a tick's place there picks
+    the value of that reach."""
+    back, dwell_ticks = _reaches(length, step_s)
 
     def each(x: Column, i: Column) -> Column:
-        lb = F.least(F.lit(back), i)
-        before = F.get(hist, i - lb)
-        closing = F.when(
-            (lb > 0) & (before["gap"] < NO_LEADER_GAP_M) & (x["gap"] < NO_LEADER_GAP_M), (before["gap"] - x["gap"]) / (lb * step_s)
-        ).otherwise(0.0)
-        lo = F.greatest(F.lit(0), i - (dwell_ticks - 1))
-        recent = F.filter(F.transform(F.slice(hist, lo + 1, i - lo + 1), lambda y: y["raw_v"]), lambda v: v.isNotNull())
-        dwell = F.size(F.filter(recent, lambda v: v < 0.5)) * float(step_s)
-        moving = F.filter(recent, lambda v: v >= 0.5)
-        base = F.array_sort(F.when(F.size(moving) > 0, moving).otherwise(recent))
-        n = F.size(base)
-        median = F.when(n > 0, (F.get(base, ((n - 1) / 2).cast("int")) + F.get(base, (n / 2).cast("int"))) / 2).otherwise(0.0)
-        length_m = F.col("shape_length_m") if layout in (2, 3) else F.lit(None).cast("double")
-        remaining = F.greatest(F.lit(0.0), length_m - x["d"])
-        has_line = length_m.isNotNull() & (length_m > 0)
-        accel = F.when(i >= 3, (x["v"] - F.get(hist, i - 3)["v"]) / (3.0 * step_s)).otherwise(0.0)
-        values = {
-            "stop_index": x["s"], "stop_index_norm": F.when(F.col("num_stops") > 0, x["s"] / F.col("num_stops")).otherwise(0.0),
-            "gap_closure_m_per_s": closing, "leader_speed": x["d1v"], "dwell_recent_s": dwell, "tod_sin": x["sin"], "tod_cos": x["cos"],
-            "dist_to_terminus_m": F.when(has_line, remaining).otherwise(0.0),
-            "dist_to_terminus_norm": F.when(has_line, remaining / length_m).otherwise(0.0),
-            "time_to_terminus_min": F.when(has_line, remaining / F.greatest(median, F.lit(1.0)) / 60.0).otherwise(0.0),
-            "rel_speed_to_d1": F.when(x["d1v"] != 0, x["v"] - x["d1v"]).otherwise(0.0), "target_accel_3tick": accel,
+        recent = F.least(i, F.lit(dwell_ticks - 1))
+        picked = {
+            "gap_closure_m_per_s": F.when(i > 0, F.get(x["gap_closure_m_per_s"], F.least(F.lit(back), i) - 1)).otherwise(0.0),
+            "leader_speed": x["d1v"],
+            "dwell_recent_s": F.get(x["dwell_recent_s"], recent),
+            "time_to_terminus_min": F.get(x["time_to_terminus_min"], recent),
+            "target_accel_3tick": F.when(i >= 3, x["target_accel_3tick"]).otherwise(0.0),
         }
-        return F.array(*[values[name].cast("double") for name in CONTEXT[layout]])
+        return F.array(*[picked.get(name, x[name]).cast("double") for name in CONTEXT[layout]])
 
-    return F.transform(hist, each)
+    return F.transform("hist", each)
 
 
 def horizon_labels(
@@ -305,7 +342,7 @@ def labelled_examples(
     if channels == 1:
         chain = follower_pair(chain)
     labelled = horizon_labels(passage_headway(chain, step_s), horizon, **label_options)
-    rows = history_window(labelled, length, step_s, channels=channels)
+    rows = history_window(labelled, length, step_s, channels=channels, layout=layout)
     out = rows.select(
         *BUS, *IDENTITY, "k",
         times.local_minute(F.timestamp_seconds(F.col("k") * step_s)).alias("t_ref_min"),

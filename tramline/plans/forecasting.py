@@ -133,10 +133,10 @@ def eligibility(points: DataFrame, refs: DataFrame, length: int, step_s: int = 6
                          F.when(F.col("has_ref"), F.col("ref.stop_index")).alias("ref_stop"),
                          F.when(F.col("has_ref"), F.col("ref.travel_distance_m")).alias("ref_dist"))
     grid = examples.grid_track(rows, step_s, 2.0 * step_s, "nearest", "t_ref").filter(F.col("k").between(-(length - 1), 0))
-    chain = examples.leader_chain(grid, ("t_ref",))
+    chain = examples.with_ticks(examples.leader_chain(grid, ("t_ref",)), length, step_s, anchor="t_ref")
     hist = chain.groupBy(*keys).agg(
         F.count("*").alias("ticks"), F.min("fwd_gap_m").alias("closest"),
-        F.array_sort(F.collect_list(examples._tick_struct(chain, step_s, "t_ref"))).alias("hist"))  # length entries
+        F.array_sort(F.collect_list("_tick")).alias("hist"))  # length entries
     j = state.join(hist, keys, "left")
     si = F.rint("ref_stop")
     why = (
