@@ -4,6 +4,9 @@ from pyspark.sql import functions as F
 
 from tramline.functions import times, values
 from tramline.operators import fleet
+from tramline.plans import catalog
+from tramline.session import materialise, shared_dir
+from tramline.sources import store
 
 from . import fixtures as fx
 from .registry import case, r, rounded, rs
@@ -273,6 +276,22 @@ def _(spark, d):
     return rounded(out.withColumn("service_dates", dates))
 
 
+@case("a11_route_catalog_stored", """
+select route_id, direction_id, string_agg(service_date, ',' order by service_date desc) as service_dates, sum(n)::bigint as trip_instance_count
+from (select route_id, direction_id, service_date, count(*) as n from (select distinct route_id, direction_id, service_date, trip_id, start_date from v_traj) group by 1, 2, 3) group by 1, 2""")
+def _(spark, d):
+    """The catalog kept beside the stored table: counted, then recounted for the dates of one route's rewritten instances."""
+    path, rollup = shared_dir(spark, "trajectories"), shared_dir(spark, "catalog")
+    t = materialise(fx.trajectories(spark, d), "trajectories")
+    store.write_trajectories_replace(t, path)
+    catalog.refresh_route_catalog(spark, path, rollup)
+    store.write_trajectories_replace(t.filter("route_id = 'R1'"), path)
+    catalog.refresh_route_catalog(spark, path, rollup)
+    out = catalog.route_catalog(spark, rollup)
+    dates = F.array_join(F.transform("service_dates", lambda x: F.date_format(x, "yyyyMMdd")), ",")
+    return rounded(out.withColumn("service_dates", dates))
+
+
 @case("a12_service_dates", "select distinct service_date from v_traj order by 1 desc")
 def _(spark, d):
     return rounded(fleet.service_dates(fx.trajectories(spark, d)))

@@ -6,7 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from tramline.plans import trajectories
+from tramline.plans import catalog, trajectories
 from tramline.session import local_session  # noqa: F401
 from tramline.sources import store, versioned
 from tramline.streaming import jobs
@@ -107,6 +107,30 @@ def test_emptied_days_and_rows_of_other_days(spark, tmp_path):
     assert versioned.versions(spark, path) == [1, 2]
 
 
+# --- catalog ------------------------------------------------------------------------------
+
+
+def test_catalog_reads_changed_dates_only(spark, tmp_path, monkeypatch):
+    path, rollup = f"{tmp_path}/t", f"{tmp_path}/r"
+    schema = "trip_id string, start_date string, service_date date, route_id string, direction_id int"
+    make = lambda *items: spark.createDataFrame([(t, f"202601{d:02d}", date(2026, 1, d), r, 0) for t, d, r in items], schema)
+    assert catalog.refresh_route_catalog(spark, path, rollup) == [] and catalog.route_catalog(spark, rollup).count() == 0
+    store.write_trajectories_replace(make(("a", 5, "R1"), ("a", 5, "R1"), ("b", 5, "R1"), ("c", 6, "R1"), ("d", 6, "R2")), path)
+    reads = []
+    monkeypatch.setattr(versioned, "read_days", lambda s, p, state, days, keep=versioned.read_days: (reads.append(list(days)), keep(s, p, state, days))[1])
+    assert catalog.refresh_route_catalog(spark, path, rollup) == ["2026-01-05", "2026-01-06"]
+    assert catalog.refresh_route_catalog(spark, path, rollup) == []
+    store.write_trajectories_replace(make(("e", 6, "R2")), path)
+    assert catalog.refresh_route_catalog(spark, path, rollup) == ["2026-01-06"]
+    assert reads == [["2026-01-05", "2026-01-06"], ["2026-01-06"]]
+    got = {(r.route_id, tuple(r.service_dates), r.trip_instance_count) for r in catalog.route_catalog(spark, rollup).collect()}
+    assert got == {("R1", (date(2026, 1, 6), date(2026, 1, 5)), 3), ("R2", (date(2026, 1, 6),), 2)}
+    keys = spark.createDataFrame([("a", "20260105"), ("b", "20260105")], "trip_id string, start_date string")
+    store.write_trajectories_replace(make(("a", 5, "R1")).limit(0), path, keys)
+    assert catalog.refresh_route_catalog(spark, path, rollup) == ["2026-01-05"]
+    assert {(r.route_id, r.trip_instance_count) for r in catalog.route_catalog(spark, rollup).collect()} == {("R1", 1), ("R2", 2)}
+
+
 # --- runs --------------------------------------------------------------------------------
 
 

@@ -348,23 +348,31 @@ def trip_detail_summary(traj: DataFrame) -> DataFrame:
     )
 
 
-def route_catalog(traj: DataFrame) -> DataFrame:
-    """Distinct instances first, then counts per route, direction and date, then one row per
-    route and direction. Each level combines before it shuffles; no ``count(distinct row)``."""
+def instances_by_route_and_date(traj: DataFrame) -> DataFrame:
+    """Distinct instances first, then a count per route, direction and date; no ``count(distinct row)``."""
     keys = ["route_id", "direction_id"]
-    per_date = (
+    return (
         traj.filter("route_id is not null and direction_id is not null")
         .select(*keys, "service_date", "trip_id", "start_date")
         .distinct()
         .groupBy(*keys, "service_date")
         .agg(F.count("*").alias("n"))
     )
-    return per_date.groupBy(*keys).agg(
+
+
+def catalog_of_counts(per_date: DataFrame) -> DataFrame:
+    """One row per route and direction: its service dates, newest first, and its instances."""
+    return per_date.groupBy("route_id", "direction_id").agg(
         F.sort_array(F.collect_list("service_date"), asc=False).alias("service_dates"),
         F.sum("n").alias("trip_instance_count"),
     )
 
 
+def route_catalog(traj: DataFrame) -> DataFrame:
+    """The catalog of routes from trajectory rows; ``plans.catalog`` keeps it up to date beside a stored table."""
+    return catalog_of_counts(instances_by_route_and_date(traj))
+
+
 def service_dates(traj: DataFrame, limit: int | None = None) -> DataFrame:
     return page_cap(traj.select("service_date").distinct().orderBy(F.desc("service_date")), limit)
 

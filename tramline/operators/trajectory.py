@@ -120,17 +120,27 @@ def with_start_offset(pings: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
 def teleport_filter(points: DataFrame, max_speed_m_s: float | None = DEFAULTS.max_speed_m_s) -> DataFrame:
     """Greedy forward filter: keep a point if the speed from the last kept one is plausible.
 
-    The anchor makes it a fold, so it runs in Python, but as a stream: rows are partitioned by
-    instance and sorted by Spark, and each task walks its Arrow batches with the last anchor
-    in hand. No instance is ever held whole. Null means the default, zero or less disables.
+    Up to an instance's first implausible step every point is kept and is the next one's anchor, so a window settles
+    those, and instances without such a step never leave the JVM. From that step on the anchor makes it a fold: the
+    doubtful rest is partitioned by instance and sorted by Spark, and each task walks its Arrow batches with the last
+    anchor in hand, starting from the point before the step. No instance is held whole. Null means the default, zero
+    or less disables.
     """
     limit = DEFAULTS.max_speed_m_s if max_speed_m_s is None else float(max_speed_m_s)
     if limit <= 0:
         return points
-    ordered = (
-        points.withColumn("_us", F.unix_micros("datetime"))
-        .repartition(*[F.col(c) for c in INSTANCE])
-        .sortWithinPartitions(*INSTANCE, "_us")
+    w = Window.partitionBy(*INSTANCE).orderBy("_us")
+    t, d = F.col("_us") / 1e6, F.col("travel_distance_m")
+    gap, moved = t - F.lag(t).over(w), F.abs(d - F.lag(d).over(w))
+    odd = F.lag("_us").over(w).isNotNull() & ~F.coalesce((gap > 0) & (moved <= limit * gap), F.lit(False))
+    marked = points.withColumn("_us", F.unix_micros("datetime")).withColumn("_odd", odd)
+    marked = marked.withColumn("_doubt", F.max("_odd").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    anchor = F.struct(t.alias("t"), d.cast("double").alias("d"))
+    marked = marked.withColumn("_anchor", F.last(F.when(~F.col("_doubt"), anchor), ignorenulls=True).over(w))
+    sure = marked.filter("not _doubt").select(*points.columns)
+    doubtful = (
+        marked.filter("_doubt").select(*points.columns, "_us", F.col("_anchor.t").alias("_t"), F.col("_anchor.d").alias("_d"))
+        .repartition(*[F.col(c) for c in INSTANCE]).sortWithinPartitions(*INSTANCE, "_us")
     )
 
     def walk(batches: Iterator) -> Iterator:
@@ -141,17 +151,19 @@ def teleport_filter(points: DataFrame, max_speed_m_s: float | None = DEFAULTS.ma
         for batch in batches:
             trips = batch.column("trip_id").to_pylist()
             dates = batch.column("start_date").to_pylist()
+            first_t, first_d = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_t", "_d"))
             t = batch.column("_us").to_numpy(zero_copy_only=False) / 1e6
             d = batch.column("travel_distance_m").to_numpy(zero_copy_only=False)
             keep = np.zeros(len(t), dtype=bool)
             for i, here in enumerate(zip(trips, dates)):
-                fresh = here != key
+                if here != key:
+                    key, anchor_t, anchor_d = here, first_t[i], first_d[i]
                 gap = t[i] - anchor_t
-                if fresh or (gap > 0 and abs(d[i] - anchor_d) <= limit * gap):
-                    keep[i], key, anchor_t, anchor_d = True, here, t[i], d[i]
+                if gap > 0 and abs(d[i] - anchor_d) <= limit * gap:
+                    keep[i], anchor_t, anchor_d = True, t[i], d[i]
             yield batch.filter(pa.array(keep))
 
-    return ordered.mapInArrow(walk, ordered.schema).drop("_us")
+    return sure.unionByName(doubtful.mapInArrow(walk, doubtful.schema).select(*points.columns))
 
 
 def moving_speed(points: DataFrame) -> DataFrame:

@@ -90,10 +90,15 @@ def read_table(spark: SparkSession, path: str, version: int | None = None) -> Da
     return _frame(spark, path, state)
 
 
-def change_days(spark: SparkSession, path: str, schema: StructType, touched: list, merge: Callable[[DataFrame], DataFrame]) -> int:
+def read_days(spark: SparkSession, path: str, state: dict, days) -> DataFrame:
+    """The rows of some days (as the manifest names them) of the version that ``state`` is the manifest of."""
+    return _frame(spark, path, state, set(days))
+
+
+def change_days(spark: SparkSession, path: str, schema: StructType, touched: list, merge: Callable[[DataFrame], DataFrame], notes: dict | None = None) -> int:
     """Replaces the rows of the ``touched`` days by ``merge`` of their old rows; returns the new version's number.
 
-    A day that ``merge`` leaves without rows leaves the table.
+    A day that ``merge`` leaves without rows leaves the table. ``notes`` are kept in the new manifest.
     """
     days = {NO_DAY if d is None else str(d) for d in touched}
     for _ in range(ATTEMPTS):
@@ -110,7 +115,7 @@ def change_days(spark: SparkSession, path: str, schema: StructType, touched: lis
             raise ValueError(f"rows of days that were not named: {sorted(outside)}")
         kept = {d: w for d, w in old["days"].items() if d not in days}
         number = old["version"] + 1
-        if _publish(spark, path, number, {"schema": old["schema"], "days": {**kept, **dict.fromkeys(found, write)}}):
+        if _publish(spark, path, number, {"schema": old["schema"], "days": {**kept, **dict.fromkeys(found, write)}, "notes": notes or {}}):
             return number
         fs.delete(p, True)
     raise Conflict(f"no version of {path} could be published in {ATTEMPTS} attempts")
