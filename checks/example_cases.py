@@ -257,3 +257,22 @@ def _(spark, d):
     pts = fx.bus_points(spark, d)
     e = forecasting.build_examples(fx.trajectories(spark, d), fx.route_stops(spark, d), length=L, horizon=H, stale_s=330.0)
     return rounded(_num(e, pts).select(*buses.SLICE, "bus_index", "k", r("headway_at_ref_s", 2).alias("headway_at_ref_s"), "forward_gap_at_ref", "stop_idx_at_ref"), skip=("headway_at_ref_s",))
+
+
+@case("c04_build_dataset", """
+with dates as (select service_date, count(*) as n_examples from v_ref group by 1), sized as (select count(*) as n from dates),
+cut as (select greatest(1, round_even(n * 7e-1, 0))::int as a, case when n - greatest(1, round_even(n * 7e-1, 0)) > 1 then greatest(1, round_even(n * 15e-2, 0))::int else 0 end as b from sized)
+select service_date, n_examples, case when i < a then 'train' when i < a + b then 'val' else 'test' end as split, n_examples as scanned
+from (select *, row_number() over (order by service_date) - 1 as i from dates), cut""")
+def _(spark, d):
+    """Shards, manifest and split on disk; each split is read back by its own scan."""
+    from tramline.plans import forecasting
+    from tramline.session import shared_dir
+
+    folder = shared_dir(spark, "dataset")
+    split = forecasting.build_dataset(fx.trajectories(spark, d), fx.route_stops(spark, d), folder, length=L, horizon=H, stale_s=330.0)
+    scans = None
+    for name in ("train", "val", "test"):
+        part = store.scan_example_split(spark, folder, name).groupBy("service_date").agg(F.count("*").alias("scanned")).withColumn("split", F.lit(name))
+        scans = part if scans is None else scans.unionByName(part)
+    return rounded(split.join(scans, ["service_date", "split"], "left").select("service_date", "n_examples", "split", "scanned"))

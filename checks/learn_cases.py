@@ -160,6 +160,80 @@ def _(spark, d):
     return back.select(F.col("bin").cast("bigint").alias("bin"), F.col("n").cast("bigint").alias("n")).filter("n > 0")
 
 
+_RECALLS = [f"recall_at_{t}" for t in (20, 30, 40, 50, 60)]
+VIEWS["v_report_h"] = f"""
+select v_met.*, {_F2} as f2, a as pr_auc, {', '.join(f'recall_at_{t}' for t in (20, 30, 40, 50, 60))} from v_met join (
+ select h, sum(tp / pos * (ct / cn)) as a, {', '.join(f'max(case when ct / cn >= {t}e-2 then ct / pos end) as recall_at_{t}' for t in (20, 30, 40, 50, 60))} from v_cum group by h) using (h)"""
+VIEWS["v_period"] = """select example_id, any_value(case when t_ref_min >= 420 and t_ref_min < 570 then 'am_peak' when t_ref_min >= 570 and t_ref_min < 900 then 'midday'
+ when t_ref_min >= 900 and t_ref_min < 1110 then 'pm_peak' when t_ref_min >= 1110 and t_ref_min < 1380 then 'evening' else 'other' end) as period from v_score group by 1"""
+
+
+def _unpivoted(df, part, measures):
+    """(part, measure, value) rows of a small table."""
+    return df.select(part.alias("part"), F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])))
+
+
+def _unpivoted_sql(table, part, measures):
+    return " union all ".join(f"select {part} as part, '{m}' as measure, {rs(m, 5)} as value from {table}" for m in measures)
+
+
+_H_MEASURES = ["n", "pos_rate", "threshold", "precision", "recall", "alerts_per_100", "brier", "f2", "pr_auc", *_RECALLS]
+_P_MEASURES = ["examples", "alerts_per_bus_hour", "mean_precision", "mean_recall", "labels"]
+_R_MEASURES = ["n", "mean_pred", "obs_rate"]
+_L_MEASURES = ["mean_precision", "mean_recall", "mean_pr_auc", "mean_brier", "mean_f2_5_30", *[f"mean_{c}" for c in _RECALLS], "alerts_per_bus_hour", "band_min", "examples"]
+
+
+@case("c05_evaluation_report", f"""
+with head as (select avg(precision) as mean_precision, avg(recall) as mean_recall, avg(pr_auc) as mean_pr_auc, avg(brier) as mean_brier,
+  coalesce(avg(case when h * 2 >= 5 then f2 end), 0) as mean_f2_5_30, {', '.join(f'avg({c}) as mean_{c}' for c in _RECALLS)},
+  (select avg((fa is not null)::int) * 30 from v_wide) as alerts_per_bus_hour, 10 as band_min, (select count(*) from v_wide) as examples from v_report_h),
+per as (select period, count(*) as examples, avg((fa is not null)::int) * 30 as alerts_per_bus_hour, any_value(mp) as mean_precision, any_value(mr) as mean_recall, any_value(labels) as labels
+ from v_period join v_wide using (example_id) join (select period, avg(tp / greatest(1, tp + fp)) as mp, avg(tp / greatest(1, tp + fn)) as mr, sum(n) as labels from (
+  select period, h, count(*) as n, count(*) filter (where p >= threshold and y = 1) as tp, count(*) filter (where p >= threshold and y = 0) as fp, count(*) filter (where p < threshold and y = 1) as fn
+  from v_score join v_period using (example_id) join v_thr using (h) where y is not null group by 1, 2) group by 1) using (period) group by 1),
+bins as (select least(9, floor(p * 10))::bigint as bin, count(*) as n, avg(p) as mean_pred, avg(y) as obs_rate from v_score where y is not null group by 1)
+{_unpivoted_sql("v_report_h", "'h' || h", _H_MEASURES)} union all {_unpivoted_sql("head", "'headline'", _L_MEASURES)}
+union all {_unpivoted_sql("per", "period", _P_MEASURES)} union all {_unpivoted_sql("bins", "'bin' || bin", _R_MEASURES)}""")
+def _(spark, d):
+    """The whole report, written and read again."""
+    s = scores(spark, d)
+    g = s.groupBy("example_id").agg(F.array_sort(F.collect_list(F.struct("h", "p", "y"))).alias("a"), F.first("t_ref_min").alias("t_ref_min"))
+    wide = g.select("example_id", "t_ref_min", F.transform("a", lambda x: x["p"]).alias("probs"), F.transform("a", lambda x: x["y"]).alias("labels"))
+    report = fc.evaluation_report(wide, materialise(thresholds(spark, d), "thresholds"), 5, 120)
+    folder = shared_dir(spark, "report")
+    store.write_report_tables(report.per_horizon, report.reliability, folder, report.headline, report.per_period)
+    back = lambda name: spark.read.json(f"{folder}/{name}")
+    bins = spark.read.option("header", True).csv(f"{folder}/reliability").filter("n > 0")
+    out = (
+        _unpivoted(back("metrics"), F.concat(F.lit("h"), F.col("h").cast("string")), _H_MEASURES)
+        .unionByName(_unpivoted(back("headline"), F.lit("headline"), _L_MEASURES))
+        .unionByName(_unpivoted(back("periods"), F.col("period"), _P_MEASURES))
+        .unionByName(_unpivoted(bins, F.concat(F.lit("bin"), F.col("bin")), _R_MEASURES))
+    )
+    return rounded(out, 5)
+
+
+@case("s16_score_log_record", f"""
+select 'bundle' as bundle, 'R' || (example_id % 3) as route_id, 0 as direction_id, '20240101' as service_date, {rs('((1704067200 + example_id - 18000) % 86400) / 60e0')} as t_ref_min, 'b' || example_id as bus_id,
+ 'v' || (example_id % 7) as vehicle_id, 't' || example_id as trip_id, {rs('max_prob')} as max_prob, max_prob_step, first_alert_step, 3 as useful, 3 as truncated, 5 as raw, 16 as hash_length
+from (select example_id, max(p) as max_prob, arg_min(h, -p * 1000 + h * 1e-9) - 1 as max_prob_step, min(case when p >= threshold then h end) - 1 as first_alert_step
+ from v_score join v_thr using (h) where h <= 3 group by 1) where example_id % 5 <> 0""")
+def _(spark, d):
+    """Alert states over three useful horizons, logged in two appends and read back by the record's schema."""
+    e = F.col("example_id")
+    ids = {"route_id": F.concat(F.lit("R"), (e % 3).cast("string")), "direction_id": F.lit(0), "service_date": F.lit("20240101"), "t_ref": F.lit(1704067200) + e,
+           "bus_id": F.concat(F.lit("b"), e.cast("string")), "vehicle_id": F.concat(F.lit("v"), (e % 7).cast("string")), "trip_id": F.concat(F.lit("t"), e.cast("string")),
+           "stop_idx": F.lit(1.5), "forward_gap_m": F.lit(100.0), "gap_closure_m_s": F.lit(0.5), "useful_horizon_steps": F.lit(3), "eligible": e % 5 != 0, "features": F.col("probs")}
+    scored = materialise(sc.alert_summary(_wide(spark, d), _thr(), F.lit(3)).withColumns(ids), "scored")
+    folder = shared_dir(spark, "scorelog")
+    for part in _halves(scored):
+        store.append_score_log(store.score_log_rows(part, "bundle"), folder)
+    back = store.read_score_log(spark, folder)
+    return rounded(back.select("bundle", "route_id", "direction_id", "service_date", "t_ref_min", "bus_id", "vehicle_id", "trip_id", "max_prob", "max_prob_step", "first_alert_step",
+                               F.col("useful_horizon_steps").alias("useful"), F.size("per_horizon_truncated").alias("truncated"), F.size("per_horizon_raw").alias("raw"),
+                               F.length("feature_hash").alias("hash_length")))
+
+
 def _models(spark, d):
     s = scores(spark, d).drop("t_ref_min")
     kinds = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(a).alias("a")) for m, a in (("a", 1.0), ("b", 0.7), ("c", 0.4))]))
@@ -392,8 +466,7 @@ def _(spark, d):
     model = _forecaster(spark, d)
     scored = materialise(fc.score_slices(pts, _refs(pts), model), "scored")
     folder = shared_dir(spark, "scorelog")
-    store.append_score_log(scored.filter("eligible").select("service_date", "bus_id", "t_ref", "probs", "per_horizon",
-                                                            store.feature_hash(F.col("features")).alias("feature_hash")), folder)
+    store.append_score_log(store.score_log_rows(scored, "fixture"), folder)
     return rounded(fc.horizon_summary(scored, model))
 
 

@@ -150,8 +150,8 @@ def alert_summary(scored: DataFrame, thresholds: Column, useful: Column | None =
 
 def alerts_per_bus_hour(scored: DataFrame, thresholds: Column, step_s: int = DEFAULTS.step_s, by: Sequence[str] = ()) -> DataFrame:
     """Share of rows with any alert, per hour of reference ticks."""
-    fired = F.exists(F.zip_with("probs", thresholds, lambda p, t: p >= t), lambda x: x)
-    return scored.groupBy(*by).agg((F.avg(fired.cast("int")) * 3600.0 / max(1, step_s)).alias("alerts_per_bus_hour"))
+    fired = F.exists(F.zip_with("probs", "_limits", lambda p, t: p >= t), lambda x: x)
+    return scored.withColumn("_limits", thresholds).groupBy(*by).agg((F.avg(fired.cast("int")) * 3600.0 / max(1, step_s)).alias("alerts_per_bus_hour"))
 
 
 def to_long(scored: DataFrame, probs: str = "probs", labels: str = "labels", keep: Sequence[str] = ("example_id",)) -> DataFrame:
@@ -281,6 +281,15 @@ def period_breakdown(scores: DataFrame, thresholds: DataFrame, step_s: int = DEF
         F.avg("precision").alias("mean_precision"), F.avg("recall").alias("mean_recall"), F.sum("n").alias("labels"))
 
 
+def period_report(scored: DataFrame, long: DataFrame, thresholds: DataFrame, limits: Column, step_s: int = DEFAULTS.step_s) -> DataFrame:
+    """``period_breakdown`` with the examples of each period and their alerts per bus-hour. ``scored`` is wide, ``long``
+    the same scores by horizon; ``limits`` the thresholds as an array."""
+    timed = scored.withColumn("period", period_of(F.col("t_ref_min")))
+    n = timed.groupBy("period").agg(F.count("*").alias("examples"))
+    fires = alerts_per_bus_hour(timed, limits, step_s, ["period"])
+    return n.join(fires, "period").join(period_breakdown(long, thresholds, step_s), "period", "left")
+
+
 def _per_period(thresholds: DataFrame) -> DataFrame:
     names = [p[0] for p in PERIODS] + ["other"]
     return thresholds.select(F.explode(F.array(*[F.lit(n) for n in names])).alias("period"), "h", "threshold")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..defaults import NO_LEADER_GAP_M
 from ..operators import buses, detect, examples, learn, scoring
 from ..session import materialise
+from ..sources import store
 
 
 def build_examples(
@@ -88,6 +89,55 @@ def evaluate(scored: DataFrame, model: Forecaster) -> DataFrame:
     return scoring.score_metrics(long, model.thresholds).join(scoring.average_precision(long), "h", "left").fillna(0.0, ["pr_auc"])
 
 
+@dataclass
+class EvaluationReport:
+    """Small tables: one row per horizon, one in all, one per period of the day, one per reliability bin."""
+
+    per_horizon: DataFrame
+    headline: DataFrame
+    per_period: DataFrame
+    reliability: DataFrame
+
+
+def evaluation_report(scored: DataFrame, thresholds: DataFrame, horizon: int, step_s: int = 60) -> EvaluationReport:
+    """Everything an operator is judged by, from scored examples (``example_id, probs, labels, t_ref_min``).
+
+    Per horizon: counts, precision, recall, F2 and Brier at the threshold, area, and recall at each precision target.
+    The headline, the periods and the reliability bins take the horizons of 1 to 30 minutes; alerts per bus-hour count
+    examples that fire at any horizon.
+    """
+    rows = materialise(scored.select("example_id", "probs", F.slice("labels", 1, horizon).alias("labels"), "t_ref_min"), "report-rows")
+    long = materialise(scoring.to_long(rows, keep=("example_id", "t_ref_min")), "report-scores")
+    per_horizon = materialise(
+        scoring.score_metrics(long, thresholds).join(scoring.average_precision(long), "h", "left").fillna(0.0, ["pr_auc"])
+        .join(scoring.recall_at_precision(long), "h", "left"), "report-horizons")
+    limits = threshold_array(thresholds)
+    band = scoring.in_band(per_horizon, step_s)
+    reach = [c for c in per_horizon.columns if c.startswith("recall_at_")]
+    fires = scoring.alerts_per_bus_hour(rows, limits, step_s)
+    means = band.agg(*[F.avg(c).alias(f"mean_{c}") for c in reach])
+    headline = scoring.headline_rollup(per_horizon, step_s).select(
+        "*", *[means.select(f"mean_{c}").scalar().alias(f"mean_{c}") for c in reach], fires.scalar().alias("alerts_per_bus_hour"),
+        F.lit(min(30.0, horizon * step_s / 60.0)).alias("band_min"), rows.agg(F.count("*")).scalar().alias("examples"))
+    return EvaluationReport(per_horizon, headline, scoring.period_report(rows, long, thresholds, limits, step_s),
+                            scoring.reliability_bins(scoring.in_band(long, step_s)))
+
+
+def build_dataset(traj: DataFrame, route_stops: DataFrame, folder: str, train: float = 0.70, val: float = 0.15, **options) -> DataFrame:
+    """Labelled examples as shards per date and direction, with a manifest, the settings and the chronological split.
+
+    Returns the split as written to ``<folder>/split``: date, split, examples. ``store.scan_example_split`` reads a part.
+    """
+    spark = traj.sparkSession
+    settings = {k: str(v) for k, v in options.items() if isinstance(v, (int, float, str, bool))}
+    store.write_example_shards(build_examples(traj, route_stops, **options), folder,
+                               spark.createDataFrame([(settings, train, val)], "settings map<string,string>, train double, val double"))
+    counts = store.read_manifest(spark, folder)
+    split = counts.groupBy("service_date").agg(F.sum("n_examples").alias("n_examples")).join(store.date_split(counts, train, val), "service_date")
+    split.coalesce(1).write.mode("overwrite").parquet(f"{folder}/split")
+    return spark.read.parquet(f"{folder}/split")
+
+
 # --- live slices --------------------------------------------------------------------------
 
 

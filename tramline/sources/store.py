@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import times
 from ..session import materialise, workspace
 from . import versioned
 
@@ -102,8 +103,13 @@ def date_split(dates: DataFrame, train: float = 0.70, val: float = 0.15) -> Data
 def scan_example_split(spark: SparkSession, folder: str, split: str, train: float = 0.70, val: float = 0.15) -> DataFrame:
     """Examples of one split; the join on the partition column prunes the other dates' files."""
     shards = spark.read.parquet(f"{folder}/shards")
-    wanted = date_split(spark.read.schema("service_date date, direction_id int, n_examples bigint").json(f"{folder}/manifest"), train, val)
-    return shards.join(F.broadcast(wanted.filter(F.col("split") == split).select("service_date")), "service_date")  # one row per date
+    wanted = date_split(read_manifest(spark, folder), train, val)
+    return shards.join(wanted.filter(F.col("split") == split).select("service_date"), "service_date")
+
+
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Examples per shard."""
+    return spark.read.schema("service_date date, direction_id int, n_examples bigint").json(f"{folder}/manifest")
 
 
 def feature_hash(window: Column) -> Column:
@@ -111,6 +117,30 @@ def feature_hash(window: Column) -> Column:
     return F.lower(F.lpad(F.hex(F.xxhash64(window)), 16, "0"))
 
 
+# the record of one scored bus
+SCORE_LOG = (
+    "ts timestamp, bundle string, route_id string, direction_id int, service_date string, t_ref_min double, bus_id string, vehicle_id string, trip_id string, "
+    "stop_idx double, forward_gap_m double, gap_closure_m_s double, max_prob double, max_prob_step int, first_alert_step int, useful_horizon_steps int, "
+    "per_horizon_truncated array<double>, per_horizon_raw array<double>, feature_hash string"
+)
+
+
+def score_log_rows(scored: DataFrame, bundle: str, at: Column | None = None) -> DataFrame:
+    """The log record of every eligible bus in ``scored`` (as by ``score_slices``): who and where, the state shown, both
+    vectors (cut to the useful horizon, and as scored), and a hash of the features."""
+    rows = scored.filter("eligible").withColumns({
+        "ts": at if at is not None else F.current_timestamp(), "bundle": F.lit(bundle),
+        "t_ref_min": times.local_minute(F.timestamp_seconds("t_ref")), "per_horizon_truncated": F.col("per_horizon"), "per_horizon_raw": F.col("probs"),
+        "feature_hash": feature_hash(F.col("features")),
+    })
+    fields = [f.strip().split(" ") for f in SCORE_LOG.split(", ")]
+    return rows.select(*[F.col(name).cast(kind).alias(name) for name, kind in fields])
+
+
+def read_score_log(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(SCORE_LOG).json(folder)
+
+
 def append_score_log(scored: DataFrame, folder: str) -> None:
     """JSON lines per service date; appending never rewrites earlier scores."""
     _even(scored, "service_date").write.mode("append").partitionBy("service_date").json(folder)
@@ -135,9 +165,12 @@ def write_direction_csv(df: DataFrame, folder: str) -> None:
     _even(df, *cols).write.mode("overwrite").option("header", True).partitionBy(*cols).csv(folder)
 
 
-def write_report_tables(metrics: DataFrame, bins: DataFrame, folder: str) -> None:
-    """Evaluation summary as JSON and reliability bins as CSV (already small aggregates)."""
-    metrics.coalesce(1).write.mode("overwrite").json(f"{folder}/metrics")
+def write_report_tables(metrics: DataFrame, bins: DataFrame, folder: str, headline: DataFrame | None = None, periods: DataFrame | None = None) -> None:
+    """Evaluation summary as JSON and reliability bins as CSV (already small aggregates); the headline and the periods
+    beside them where given."""
+    for name, table in (("metrics", metrics), ("headline", headline), ("periods", periods)):
+        if table is not None:
+            table.coalesce(1).write.mode("overwrite").json(f"{folder}/{name}")
     bins.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/reliability")
 
 
