@@ -42,7 +42,7 @@ from .common import stored
 from .words import batch_of, slices
 
 ITEMS = 1 << 17  # pieces or bins that one best-fit round holds
-MEMO = 600_000  # stretches remembered by a task
+MEMO = 1_200_000  # stretches remembered by a worker, some 200 bytes each
 STRETCH = 64  # characters of the longest stretch that is remembered
 CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 ENDS = re.compile(r"\A[!-~\w](?:.*[!-~\w])?\Z", re.DOTALL)
@@ -63,6 +63,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[str, bytes] = {}  # ids of a stretch with a space before it; its ends are printable
         self.marks: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {}  # ids of what begins a text, without a space
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -119,7 +120,13 @@ class Encoder:
         known = self._learn(new)
         self.memo.update((s, ids) for s, ids in known.items() if len(s) <= STRETCH)
         known = ChainMap(known, self.memo) if any(len(s) > STRETCH for s in known) else self.memo
-        return [first + b"".join(map(known.__getitem__, stretches[1:])) for first, stretches in zip(self._ids([x[0] for x in cut]), cut, strict=True)]
+        if len(self.firsts) > MEMO // 10:
+            self.firsts = {}
+        new = list({x[0] for x in cut}.difference(self.firsts))
+        firsts = dict(zip(new, self._ids(new), strict=True))
+        self.firsts.update((s, ids) for s, ids in firsts.items() if len(s) <= STRETCH)
+        firsts = ChainMap(firsts, self.firsts)
+        return [firsts[stretches[0]] + b"".join(map(known.__getitem__, stretches[1:])) for stretches in cut]
 
 
 def worker_encoder(model: str) -> Encoder:
