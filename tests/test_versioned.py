@@ -7,8 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tramline.plans import catalog, trajectories
-from tramline.session import local_session  # noqa: F401
-from tramline.sources import store, versioned
+from tramline.sources import store, timetable, versioned
 from tramline.streaming import jobs
 
 SCHEMA = "trip_id string, start_date string, service_date date, n int"
@@ -181,3 +180,14 @@ def test_closed_sessions_are_emitted_once_and_freed(spark, tmp_path):
     assert held[0] == 2 and held[-1] == 1  # at the end only the newest run is open
     got = sorted((r.vehicle_id, (r.first_seen.timestamp() - 1_700_000_000) / 60, r.pings) for r in jobs.read_latest(spark, out).collect())
     assert got == [("a", 0.0, 3), ("a", 40.0, 2), ("b", 0.0, 2), ("c", 42.0, 1)]
+
+
+# --- scans -------------------------------------------------------------------------------
+
+
+def test_first_row_in_file_order_wins_whatever_is_read_first(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("trip_id,route_id\nt1,first\nt2,first\nt1,second\n")
+    (tmp_path / "b.csv").write_text("trip_id,route_id\n" + "t1,third\nt3,first\n" + "t9,pad\n" * 5000)  # larger, so read first
+    scan = spark.read.option("header", True).csv(str(tmp_path))
+    got = {r.trip_id: r.route_id for r in timetable.dedup_trips_keep_first(scan).collect()}
+    assert got == {"t1": "first", "t2": "first", "t3": "first", "t9": "pad"}

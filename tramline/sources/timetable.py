@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The columns used of each file of the public timetable format.
@@ -62,11 +62,21 @@ def scan_feed_info(spark: SparkSession, folder: str) -> DataFrame:
     return one.join(info.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
 
 
+def _scan_position(df: DataFrame) -> Column:
+    line = F.monotonically_increasing_id().alias("line")
+    try:
+        df.select("_metadata.file_path")
+    except AnalysisException:
+        return F.struct(line)
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), line)
+
+
 def dedup_trips_keep_first(trips: DataFrame, order: str | None = None) -> DataFrame:
-    """Unique trip_id, first row in file order wins. With no order column given, position in
-    the scan is used: it follows file and line order within one read."""
+    """Unique trip_id, first row in file order wins. With no order column given, a row's place is its file, by path, its
+    part of the file and its line; Spark itself reads large files first. A frame that is not a scan of files is taken
+    in the order of its partitions."""
     rest = [c for c in trips.columns if c not in ("trip_id", order)]
-    ranked = trips.withColumn("_pos", F.col(order) if order else F.monotonically_increasing_id())
+    ranked = trips.withColumn("_pos", F.col(order) if order else _scan_position(trips))
     return ranked.groupBy("trip_id").agg(F.min_by(F.struct(*rest), "_pos").alias("r")).select("trip_id", "r.*")
 
 
