@@ -6,7 +6,7 @@ from tramline.operators import buses, detect, rollups
 from tramline.plans import slices
 
 from . import fixtures as fx
-from .registry import case, rounded, rs
+from .registry import PLAIN, case, rounded, rs
 from .sql_views import local_minute
 
 _SL = "service_date, route_id, direction_id"
@@ -184,20 +184,35 @@ def _(spark, d):
 @case("c02_slice_view", f"""
 select {_SL}, bunch, idle, crowd, bunch_time, bunch_dist from (select {_SL}, count(*) filter (where type = 'bunch') as bunch, count(*) filter (where type = 'idle') as idle,
  count(*) filter (where type = 'crowd') as crowd, count(*) filter (where method = 'time') as bunch_time, count(*) filter (where method = 'distance') as bunch_dist
- from v_event where route_id = 'R0' group by {_SL})""")
+ from v_event group by {_SL})""")
 def _(spark, d):
-    view = slices.slice_view(fx.trajectories(spark, d), fx.route_stops(spark, d), route_id="R0", stale_s=330.0, method="both")
+    view = slices.slice_view(fx.trajectories(spark, d), fx.route_stops(spark, d), stale_s=330.0, method="both")
     return rounded(view.totals.select(*buses.SLICE, "bunch", "idle", "crowd", "bunch_time", "bunch_dist"))
 
 
-@case("c03_slice_analytics", f"""
-select {_SL}, h.hour, count(*) filter (where type = 'bunch') as bunch, count(*) filter (where type = 'idle') as idle,
- count(*) filter (where type = 'crowd') as crowd
-from {_AXIS} s cross join (select unnest(generate_series(0, 23)) as hour) h
-left join (select *, {_HOUR} as hour from v_event) e using ({_SL}, hour) group by {_SL}, h.hour""")
+# table, its slot column, its measures and the case that states it alone
+_ANALYTICS = {
+    "hourly_counts": ("hour", ("bunch", "idle", "crowd"), "a14_hourly_anomaly_counts"),
+    "stop_counts": ("stop", ("bunch", "idle", "crowd", "total"), "a15_stop_anomaly_counts"),
+    "hourly_speed": ("hour", ("speed_kph",), "a16_hourly_moving_speed"),
+    "hourly_allocation": ("hour", ("normal_pct", "idle_pct", "bunch_pct", "crowd_pct"), "a17_hourly_time_allocation"),
+}
+
+
+@case("c03_slice_analytics", " union all ".join(
+    f"select '{name}' as part, {_SL}, {slot} as slot, '{m}' as measure, {m}::double as value from ({PLAIN[alone]})"
+    for name, (slot, measures, alone) in _ANALYTICS.items() for m in measures))
 def _(spark, d):
+    """All four tables of every slice, a measure to a row."""
     view = slices.slice_view(fx.trajectories(spark, d), fx.route_stops(spark, d), stale_s=330.0, method="both")
-    return rounded(slices.slice_analytics(view, fx.route_stops(spark, d))["hourly_counts"])
+    tables, out = slices.slice_analytics(view, fx.route_stops(spark, d)), None
+    for name, (_, measures, _) in _ANALYTICS.items():
+        table = rounded(tables[name])
+        slot = next(c for c in table.columns if c not in (*buses.SLICE, *measures))
+        part = table.select(F.lit(name).alias("part"), *buses.SLICE, F.col(slot).cast("bigint").alias("slot"), F.inline(F.array(*[
+            F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @case("flagship_bunching_by_route_hour", f"""

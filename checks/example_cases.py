@@ -241,12 +241,22 @@ def _(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+_CHANNELS = (*ex.CHANNELS[2], *ex.CONTEXT[4])
+VIEWS["v_channels"] = f"""
+select row_number() over () as id, tick, [speed, gap, d1v, d1g, d2v, d2g, stop / 31, case when lb > 0 and gp < 20000 and gap < 20000 then (gp - gap) / (lb * 60) else 0e0 end,
+ sin(2 * pi() * m / 1440), cos(2 * pi() * m / 1440), case when d1v <> 0 then speed - d1v else 0e0 end, case when tick >= 3 then (speed - v3) / 180e0 else 0e0 end] as x
+from (select r.k, h.k - r.k + 4 as tick, h.stop, h.gap, h.speed, h.d1v, h.d1g, h.d2v, h.d2g, {_MIN} as m, least(3, h.k - r.k + 4) as lb,
+  (select g.gap from v_chain g where g.service_date = r.service_date and g.route_id = r.route_id and g.direction_id = r.direction_id and g.bus_index = r.bus_index and g.k = h.k - least(3, h.k - r.k + 4)) as gp,
+  (select g.speed from v_chain g where g.service_date = r.service_date and g.route_id = r.route_id and g.direction_id = r.direction_id and g.bus_index = r.bus_index and g.k = h.k - 3) as v3
+ from v_ref r join v_chain h on {_NEAR} and h.k between r.k - 4 and r.k)"""
+
+
 @case("a42_channel_correlation", f"""
-select {rs('avg(coalesce(c, 0))')} as corr from (select tick, corr(v, gap) as c from (
- select h.k - r.k + 4 as tick, h.speed as v, h.gap from v_ref r join v_chain h on {_NEAR} and h.k between r.k - 4 and r.k) group by tick)""")
+select names[i] as a, names[j] as b, {rs('mean')} as corr, abs(mean) >= 8e-1 as strong from (select {list(_CHANNELS)} as names), (
+ select i, j, avg(case when c is null or isnan(c) then 0e0 else c end) as mean from (
+  select tick, i, j, corr(x[i], x[j]) as c from v_channels, (select unnest(range(1, 13)) as i) i, (select unnest(range(1, 13)) as j) j where i < j group by all) group by i, j)""")
 def _(spark, d):
-    out = ex.window_pairs_correlation(_examples(spark, d)[1], (*ex.CHANNELS[2], *ex.CONTEXT[4]))
-    return rounded(out.filter("a = 'target_speed' and b = 'target_fwd_gap'").select("corr"))
+    return rounded(ex.window_pairs_correlation(_examples(spark, d)[1], _CHANNELS))
 
 
 @case("c04_build_examples", f"""

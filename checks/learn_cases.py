@@ -282,12 +282,28 @@ def _(spark, d):
     return rounded(learn.apply_isotonic(s, learn.fit_isotonic(s, 5)).select("example_id", "h", "p", "p_cal"))
 
 
+_PAD_W = "v_ref r join v_chain h on h.service_date = r.service_date and h.route_id = r.route_id and h.direction_id = r.direction_id and h.bus_index = r.bus_index and h.k between r.k - 4 and r.k"
+
+
 @case("m23_horizon_remap", f"select example_id, o.o as h, {rs('p')} as p from v_score s join (select unnest(generate_series(1, 8)) as o) o on s.h = least(5, greatest(1, floor(o.o * 30 / 20))) ")
 def _(spark, d):
     out = _wide(spark, d).select("example_id", F.posexplode(sc.horizon_remap(F.col("probs"), 20, 30, 8)).alias("h", "p"))
     return rounded(out.withColumn("h", F.col("h") + 1))
 
 
+@case("m23_pad_history", f"""
+select r.service_date, r.route_id, r.direction_id, r.bus_index, r.k, o.length, o.tick, {rs('h.speed')} as v, {rs('h.gap')} as gap
+from {_PAD_W} join (select 8 as length, unnest(range(8)) as tick union all select 3, unnest(range(3))) o on h.k - r.k + 4 = case when o.length = 8 then greatest(o.tick - 3, 0) else o.tick + 2 end""")
+def _(spark, d):
+    """Histories of five ticks led in to eight, and cut to their last three."""
+    pts, e = _examples(spark, d)
+    out = None
+    for length in (8, 3):
+        x = e.select(*buses.SLICE, "bus_id", "k", F.lit(length).alias("length"), F.posexplode(sc.pad_history(F.col("window"), length)).alias("tick", "x"))
+        out = x if out is None else out.unionByName(x)
+    return rounded(buses.number_buses(out, pts).select(*buses.SLICE, "bus_index", "k", "length", "tick", F.col("x")[0].alias("v"), F.col("x")[1].alias("gap")))
+
+
 @case("a43_spearman", f"""select count(*) as n, {rs('corr(rx, ry)', 5)} as spearman from (
  select rank() over (order by x) + (count(*) over (partition by x) - 1) / 2e0 as rx, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2e0 as ry
  from (select floor(dist_m / 10) * 10 as x, value as y from v_ping) where x < 9000)""")
@@ -433,12 +449,14 @@ def _(spark, d):
     return rounded(learn.predict_bag(fc.with_features(val, s), bags).select("example_id", *[F.col("probs")[h].alias(f"p{h + 1}") for h in range(H)]))
 
 
-@case("m07_predict_horizons", "select count(*) as examples, 1e0 as constant_p from v_ref")
+@case("m07_predict_horizons", f"select {_SL}, bus_index, k, o.h, o.h / 10e0 as p from v_ref, (select unnest(generate_series(1, 5)) as h) o")
 def _(spark, d):
     """A model list of constants: every example gets each horizon's constant."""
-    e = _examples(spark, d)[1].withColumn("features", sc.flat_features(F.col("window")))
-    out = learn.predict_horizons(e, learn.HorizonModels([None, None], [0.25, 1.0]))
-    return out.agg(F.count("*").alias("examples"), F.max(F.col("probs")[1]).alias("constant_p"))
+    pts, e = _examples(spark, d)
+    fitted = learn.HorizonModels([None] * H, [(h + 1) / 10 for h in range(H)])
+    out = learn.predict_horizons(e.withColumn("features", sc.flat_features(F.col("window"))), fitted)
+    x = out.select(*buses.SLICE, "bus_id", "k", F.posexplode("probs").alias("h", "p"))
+    return rounded(buses.number_buses(x, pts).select(*buses.SLICE, "bus_index", "k", (F.col("h") + 1).alias("h"), "p"))
 
 
 @case("c05_train_calibrate_evaluate")

@@ -165,3 +165,21 @@ def test_gain_equals_a_plain_walk(spark):
     assert {(r["bag"], r["h"]) for r in nodes} == {(0, 1), (0, 2), (1, 1), (1, 2)}  # horizon 3 is a constant
     constant = learn.gain_importance(spark, [learn.HorizonModels([None], [0.5])], ["u"], 1).first()
     assert constant["gain"] == 0.0 and constant["gain_pct"] == 0.0
+
+
+# --- another grid ------------------------------------------------------------------------
+
+
+def test_a_model_of_another_grid_is_read_at_the_same_lead_time(spark):
+    from tramline.plans import forecasting
+
+    scaler = spark.createDataFrame([(0.0, 1.0, 0.0, 1.0)], "speed_mean double, speed_std double, gap_mean double, gap_std double")
+    same = spark.createDataFrame([(h, x, x) for h in (1, 2, 3) for x in (0.0, 1.0)], "h int, x double, y double")
+    model = forecasting.Forecaster(scaler, [learn.HorizonModels([None] * 3, [0.1, 0.2, 0.3])], same, None, 3, 4, 20)
+    tick = [1.0, 100.0, 2.0, 200.0, 3.0, 300.0]
+    rows = [("short", [tick] * 2, [[0.5]] * 2), ("long", [tick] * 6, [[0.5]] * 6)]
+    df = spark.createDataFrame(rows, "example_id string, window array<array<double>>, extras array<array<double>>")
+    got = {r["example_id"]: r for r in forecasting.score_on_grid(df, model, 30, 4).collect()}
+    for r in got.values():
+        assert r["probs"] == pytest.approx([0.1, 0.3, 0.3, 0.3])  # 30 s is the model's +20 s, 60 s its +60 s
+        assert len(r["features"]) == 4 * 7

@@ -78,6 +78,19 @@ def score(examples: DataFrame, model: Forecaster) -> DataFrame:
     return scored.join(cal, "example_id").withColumn("probs", F.col("cal")).drop("cal")
 
 
+def score_on_grid(examples: DataFrame, model: Forecaster, step_s: int, horizon: int) -> DataFrame:
+    """Probabilities of a model that was trained on another history length and step, on the grid of ``step_s`` and ``horizon``.
+
+    Windows (and their context) shorter than the model's are led in by their first tick, longer ones give their last
+    ticks; entry +k of the answer is the model's entry at the same lead time, held at its ends.
+    """
+    cut = {"window": scoring.pad_history(F.col("window"), model.length)}
+    if "extras" in examples.columns:
+        cut["extras"] = scoring.pad_history(F.col("extras"), model.length)
+    scored = score(examples.withColumns(cut), model)
+    return scored.withColumn("probs", scoring.horizon_remap(F.col("probs"), model.step_s, step_s, horizon))
+
+
 def threshold_array(thresholds: DataFrame):
     """Thresholds as one array value, in horizon order."""
     return thresholds.agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "threshold"))), lambda x: x["threshold"])).scalar()
