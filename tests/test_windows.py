@@ -74,3 +74,13 @@ def test_context_equals_a_walk_of_each_window(spark, layout):
         for got, expected in zip(r["x"], plain(window, layout), strict=True):
             assert got == pytest.approx(expected, abs=1e-9)
         assert [w[0] for w in r["w"]] == [y["speed"] or 0.0 for y in window] and [w[1] for w in r["w"]] == [y["fwd_gap_m"] for y in window]
+
+
+def test_a_tick_at_a_sample_takes_its_value(spark):
+    """-0.08 + 1 * (0.5 + 0.08) is below 0.5 in doubles, and would count as dwell."""
+    rows = [("d", "R", 0, "b1", "t", "20240101", "v", t, x, v, x / 500) for t, x, v in ((50, 0.0, -0.08), (60, 88.4, 0.5), (130, 123.4, 0.7))]
+    df = spark.createDataFrame(rows, "service_date string, route_id string, direction_id int, bus_id string, trip_id string, start_date string, vehicle_id string, t long, "
+                                     "travel_distance_m double, moving_speed_m_s double, stop_index double").withColumn("datetime", F.timestamp_seconds("t"))
+    got = {r["k"]: r for r in ex.grid_track(df, 60).collect()}
+    assert got[1]["speed"] == 0.5 and got[1]["dist_m"] == 88.4
+    assert got[2]["speed"] == pytest.approx(0.5 + 60 / 70 * 0.2)

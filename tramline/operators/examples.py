@@ -72,7 +72,8 @@ def grid_track(
     from_a, to_b = F.col("tk") - F.col("a.t"), F.col("b.t") - F.col("tk")
     alone = F.col("a").isNull()
     frac = from_a / (F.col("b.t") - F.col("a.t"))
-    line = lambda f: F.when(alone, F.col(f"b.{f}")).otherwise(
+    # a tick at a sample takes the sample's own value: a + 1 * (b - a) can miss b by its last bit
+    line = lambda f: F.when(alone | (to_b == 0), F.col(f"b.{f}")).otherwise(
         F.col(f"a.{f}") + frac * (F.col(f"b.{f}") - F.col(f"a.{f}")))
     nearer_v = F.when(from_a <= to_b, F.col("a.v")).otherwise(F.col("b.v"))
     both = F.col("a.v").isNotNull() & F.col("b.v").isNotNull()
