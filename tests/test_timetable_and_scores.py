@@ -195,3 +195,13 @@ def test_cumulative_by_value(spark):
         vals = [v for k, v in rows if k == g]
         for v in set(vals):
             assert got[(g, v)] == sum(1 for x in vals if x >= v)
+
+
+def test_score_log_query_keeps_the_clock_of_its_statement_in_summer_time(spark, tmp_path):
+    """Event 5,990,000 is past 10 March 2024, 07:00 UTC; the statement's clock stays five hours behind UTC."""
+    from checks import QUERIES
+
+    ids = [4, 5_986_799, 5_986_801, 5_990_001]
+    frame(spark, [(i, "view") for i in ids], "event_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {int(r["bus_id"][1:]): r["t_ref_min"] for r in QUERIES["s16_score_log_record"](spark, str(tmp_path)).collect()}
+    assert got == {i: pytest.approx(((1_704_067_200 + i - 18_000) % 86_400) / 60, abs=1e-3) for i in ids}

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..defaults import LOCAL_ZONE
 from ..functions import times
 from ..session import materialise, workspace
 from . import versioned
@@ -125,12 +126,12 @@ SCORE_LOG = (
 )
 
 
-def score_log_rows(scored: DataFrame, bundle: str, at: Column | None = None) -> DataFrame:
+def score_log_rows(scored: DataFrame, bundle: str, at: Column | None = None, zone: str = LOCAL_ZONE) -> DataFrame:
     """The log record of every eligible bus in ``scored`` (as by ``score_slices``): who and where, the state shown, both
-    vectors (cut to the useful horizon, and as scored), and a hash of the features."""
+    vectors (cut to the useful horizon, and as scored), and a hash of the features. ``t_ref_min`` is the minute of the day in ``zone``."""
     rows = scored.filter("eligible").withColumns({
         "ts": at if at is not None else F.current_timestamp(), "bundle": F.lit(bundle),
-        "t_ref_min": times.local_minute(F.timestamp_seconds("t_ref")), "per_horizon_truncated": F.col("per_horizon"), "per_horizon_raw": F.col("probs"),
+        "t_ref_min": times.local_minute(F.timestamp_seconds("t_ref"), zone), "per_horizon_truncated": F.col("per_horizon"), "per_horizon_raw": F.col("probs"),
         "feature_hash": feature_hash(F.col("features")),
     })
     fields = [f.strip().split(" ") for f in SCORE_LOG.split(", ")]
