@@ -182,6 +182,18 @@ def test_closed_sessions_are_emitted_once_and_freed(spark, tmp_path):
     assert got == [("a", 0.0, 3), ("a", 40.0, 2), ("b", 0.0, 2), ("c", 42.0, 1)]
 
 
+def test_a_mark_at_the_end_of_the_feed_closes_the_last_sessions(spark, tmp_path):
+    """The newest sessions of every vehicle are in the answer: pings are counted in full."""
+    from checks import QUERIES
+
+    start = 1_704_067_200
+    rows_ = [(i + 1, start + 1440 * i, 1 + i % 3, "view", 10.0) for i in range(30)] + [(50, start, 1, "view", 1.0)]  # id 50 has no vehicle time
+    spark.createDataFrame(rows_, "event_id long, s long, user_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds("s")).drop("s").write.parquet(
+        f"{tmp_path}/events.parquet")
+    got = QUERIES["st10_vehicle_sessions"](spark, str(tmp_path)).collect()
+    assert sorted((r.vehicle_id, r.pings) for r in got) == [("V1", 10), ("V2", 10), ("V3", 10)]
+
+
 # --- scans -------------------------------------------------------------------------------
 
 

@@ -144,6 +144,13 @@ def vehicle_sessions(stream: DataFrame, gap: str = "20 minutes", slack: str = "6
         "vehicle_id", F.col("session_window.start").alias("first_seen"), F.col("session_window.end").alias("closed_at"), "pings")
 
 
+def session_end_mark(pings: DataFrame, gap: str = "20 minutes", slack: str = "6 hours") -> DataFrame:
+    """One ping of no vehicle that closes a feed that has ended: so late that the watermark passes the end of every session of
+    ``pings``. Its own session stays open and is never emitted."""
+    late = F.expr(f"max(vehicle_timestamp) + interval {gap} + interval {slack} + interval 1 second")
+    return pings.agg(late.alias("vehicle_timestamp")).select(F.lit(None).cast("string").alias("vehicle_id"), "vehicle_timestamp")
+
+
 def keep_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
     """Keep an aggregate as a table: each trigger writes the rows that changed to the batch's own
     folder. ``update`` lets the watermark free closed windows; ``append`` writes each row once, when it is final (sessions)."""
