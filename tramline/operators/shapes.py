@@ -140,17 +140,18 @@ def nearest_of_network(points: DataFrame, segments: DataFrame, within_m: float |
 
     cell = {"_fx": F.when(F.isnan("x") | F.isnan("y"), None).otherwise(quadtree._cell(F.col("x"), quadtree.SIDES[-1])),
             "_fy": F.when(F.isnan("x") | F.isnan("y"), None).otherwise(quadtree._cell(F.col("y"), quadtree.SIDES[-1]))}
-    hit = where.withColumns(cell).join(lists, ["_fx", "_fy"], "left").withColumn("_hit", F.array_min(F.transform("segs", candidate)))
-    near = F.lit(True) if within_m is None else F.col("_hit.orth_m") <= within_m
-    pick = lambda f: F.when(near, F.col(f"_hit.{f}"))
+    # unnested as in ``_placed``: the search runs once per row, whatever uses its result
+    best = F.inline(F.array(F.array_min(F.transform("segs", candidate)))).alias("_orth", "_shape", "_seg_no", "_foot_x", "_foot_y")
+    hit = where.withColumns(cell).join(lists, ["_fx", "_fy"], "left").select(*[c for c in where.columns if c not in ("x", "y")], best)
+    near = F.lit(True) if within_m is None else F.col("_orth") <= within_m
     return hit.withColumns(
         {
-            "nearest_shape_id": pick("shape_id"),
-            "shortest_distance_m": pick("orth_m"),
-            "foot_x": pick("fx"),
-            "foot_y": pick("fy"),
+            "nearest_shape_id": F.when(near, F.col("_shape")),
+            "shortest_distance_m": F.when(near, F.col("_orth")),
+            "foot_x": F.when(near, F.col("_foot_x")),
+            "foot_y": F.when(near, F.col("_foot_y")),
         }
-    ).drop("_hit", "segs", "_fx", "_fy", "x", "y")
+    ).drop("_orth", "_shape", "_seg_no", "_foot_x", "_foot_y")
 
 
 def nearest_among_shapes(points: DataFrame, segments: DataFrame, within_m: float) -> DataFrame:
@@ -169,9 +170,8 @@ def distance_of_foot(points: DataFrame, segments: DataFrame, shape_id: str) -> D
     chosen = segments.filter(F.col("shape_id") == shape_id)
     here = quadtree.located(points, "foot_x", "foot_y")
     lists = quadtree.segment_lists(here, chosen)
-    return here.join(lists, ["_fx", "_fy"]).withColumn(
-        "travel_distance_m", _best(F.col("foot_x"), F.col("foot_y"), "segs")["along_m"]
-    ).drop("segs", "_fx", "_fy")
+    hit = F.inline(F.array(_best(F.col("foot_x"), F.col("foot_y"), "segs"))).alias("_orth", "_seg_no", "travel_distance_m")
+    return here.join(lists, ["_fx", "_fy"]).select(*points.columns, hit).drop("_orth", "_seg_no")
 
 
 def lonlat_at_distance(traj: DataFrame, segments: DataFrame, width_m: float = 250.0) -> DataFrame:

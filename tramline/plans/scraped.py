@@ -9,6 +9,7 @@ from ..functions import values
 from ..operators import fleet, scraped, shapes
 from ..operators import trajectory as tr
 from ..operators.sequence import earliest_by
+from ..session import materialise
 
 
 def clean_trips(raw: DataFrame, segments: DataFrame, shape_id: str, corridor_m: float = 100.0,
@@ -16,8 +17,8 @@ def clean_trips(raw: DataFrame, segments: DataFrame, shape_id: str, corridor_m:
     """``raw`` as read by ``scan_trip_path_files`` with ``time_val, distance, speed,
     time_offset, longitude, latitude``. Rows outside the corridor go, distances run along the
     chosen shape from the nearest network point, trips are cut at their first reversal."""
-    timed = scraped.reformat_time_column(raw)
-    near = shapes.nearest_among_shapes(timed, segments, corridor_m).filter("nearest_shape_id is not null")
+    timed = materialise(scraped.reformat_time_column(raw), "scraped")  # many small files, opened once
+    near = materialise(shapes.nearest_among_shapes(timed, segments, corridor_m).filter("nearest_shape_id is not null"), "near")
     placed = shapes.distance_of_foot(near, segments, shape_id).withColumns(
         {
             "datetime": values.date_and_clock(F.col("route_date"), F.col("time_val")),
