@@ -19,3 +19,14 @@ def test_the_nearest_line_is_searched_once_per_row(spark):
     found = shapes.nearest_of_network(here, network(spark), 200.0).filter("nearest_shape_id is not null")
     assert plan(found.select("nearest_shape_id", "foot_x", "foot_y")).count("array_min") == 1
     assert [r.id for r in found.collect()] == [1]
+
+
+def test_drop_rates_project_once(spark):
+    rows = [("t", "20240101", 43.655 + 0.0001 * i, -79.38, i) for i in range(5)]
+    vp = spark.createDataFrame(rows, "trip_id string, start_date string, latitude double, longitude double, id long").withColumns(
+        {"datetime": F.timestamp_seconds(F.lit(1_704_100_000) + 60 * F.col("id")), "route_id": F.lit("R"), "direction_id": F.lit(0)})
+    trips = spark.createDataFrame([("t", "S0", "R", 0)], "trip_id string, shape_id string, route_id string, direction_id int")
+    out = audit.filter_drop_rates(vp, trips, network(spark))
+    assert "array_min" not in plan(out)  # counted from stored rows
+    row = out.first()
+    assert (row.projected, row.dropped_off_route, row.dropped_teleport, row.dropped_dedup) == (5, 0, 0, 0)

@@ -26,8 +26,9 @@ def filter_drop_rates(keyed: DataFrame, trips: DataFrame, segments: DataFrame,
                       max_speed_m_s: float = DEFAULTS.max_speed_m_s) -> DataFrame:
     """One row: rows lost at dedup, off route and to teleports, with shares of the projected."""
     clean = tr.drop_null_positions(keyed)
-    unique = tr.attach_static_trip(tr.dedup_instance_times(clean), trips)
-    projected = shapes.projection_audit(unique, segments, max_orth_m)
+    need = [*tr.INSTANCE, "datetime", "longitude", "latitude", "shape_id"]
+    unique = materialise(tr.attach_static_trip(tr.dedup_instance_times(clean), trips).select(*need), "unique")
+    projected = materialise(shapes.projection_audit(unique, segments, max_orth_m).select(*tr.INSTANCE, "datetime", "travel_distance_m", "off_route"), "projected")
     kept = tr.teleport_filter(projected.filter(~F.col("off_route")), max_speed_m_s)
     one = projected.agg(
         F.count("*").alias("projected"), F.count_if("off_route").alias("dropped_off_route")
