@@ -30,3 +30,12 @@ def test_drop_rates_project_once(spark):
     assert "array_min" not in plan(out)  # counted from stored rows
     row = out.first()
     assert (row.projected, row.dropped_off_route, row.dropped_teleport, row.dropped_dedup) == (5, 0, 0, 0)
+
+
+def test_resampled_rows_are_cut_anew_before_the_runs_are_sorted(spark):
+    ddl = "service_date string, route_id string, direction_id int, trip_id string, start_date string, vehicle_id string, t long, travel_distance_m double, moving_speed_m_s double"
+    df = spark.createDataFrame([("d", "R", 0, "t", "20240101", "v", 10 * i, 60.0 * i, 6.0) for i in range(20)], ddl).withColumn("datetime", F.timestamp_seconds("t"))
+    cut = buses.segment_vehicle_points(df.repartition("trip_id", "start_date").withColumn("z", F.explode(F.array(F.lit(1)))))
+    physical = cut._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(service_date" in physical
+    assert cut.count() == 20

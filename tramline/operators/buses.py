@@ -48,9 +48,10 @@ def segment_vehicle_points(
 ) -> DataFrame:
     """Cut each run at long stale stretches and drop ghost segments; adds ``segment``.
 
-    One exchange: every window is keyed by the run or a finer key of it.
+    One exchange: every window is keyed by the run or a finer key of it. It is asked for, so that tasks are cut by the
+    size of these rows: those that come partitioned by instance may have been resampled to many times the size they were cut by.
     """
-    flagged = flag_segments(points, stale_s, min_displacement_m, speed_limit)
+    flagged = flag_segments(points.repartition(*[F.col(c) for c in RUN]), stale_s, min_displacement_m, speed_limit)
     return flagged.filter("kept").drop("kept", "stale", "group_points")
 
 
