@@ -39,3 +39,16 @@ def test_resampled_rows_are_cut_anew_before_the_runs_are_sorted(spark):
     physical = cut._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(service_date" in physical
     assert cut.count() == 20
+
+
+def test_metrics_do_not_shuffle_scores_by_horizon(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        s = spark.createDataFrame([(i, h, float(i % 2), i / 10) for i in range(10) for h in (1, 2)], "example_id long, h int, y double, p double")
+        t = s.select("h").distinct().withColumn("threshold", F.lit(0.5))
+        out = scoring.score_metrics(s, t)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.n for r in out.collect()) == [10, 10]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
