@@ -1,5 +1,7 @@
 """Streaming jobs fed in several micro-batches; results must equal the batch answer."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from tramline.functions import times
@@ -21,12 +23,13 @@ from .sql_views import VIEWS
 PARTS = 3
 
 
-def land(df, name, parts=PARTS):
-    """Write a frame as a few files and read them back as a stream, one file per trigger."""
+def land(df, name, parts=PARTS, rows_a_file=200_000):
+    """Write a frame as files and read them back as a stream, in ``parts`` triggers. More rows make more files, not larger ones."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.repartition(parts).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    each = max(1, math.ceil(df.count() / parts / rows_a_file))  # files of a trigger
+    df.repartition(parts * each).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 def land_in_order(df, column, name, parts=PARTS, last=None):
@@ -58,7 +61,7 @@ def _run(q):
  union all select 'trip_modifications', count(*) from v_ent where event_type = 'purchase'""")
 def _(spark, d):
     root = shared_dir(spark, "ingest")
-    _run(jobs.ingest_stream(land(polls(spark, d), "polls"), root, shared_dir(spark, "cp")))
+    _run(jobs.ingest_stream(land(polls(spark, d), "polls", rows_a_file=20_000), root, shared_dir(spark, "cp")))
     parts = [spark.read.parquet(f"{root}/{t}").agg(F.count("*").alias("rows")).select(F.lit(t).alias("table_name"), "rows")
              for t in ("fetch_logs", "snapshots", "vehicle_positions", "trip_updates", "trip_modifications")]
     out = parts[0]

@@ -37,3 +37,14 @@ def test_replace_takes_keys_without_a_date(spark, tmp_path):
     keys = spark.createDataFrame([("a", "20260105"), ("c", "20260106"), ("z", "no date")], "trip_id string, start_date string")
     store.write_trajectories_replace(spark.createDataFrame([("a", "20260105", day(5), 9)], schema), path, keys)
     assert sorted((r.trip_id, r.n) for r in store.read_trajectories(spark, path).collect()) == [("a", 9), ("b", 2)]
+
+
+def test_landed_files_grow_in_number_not_in_size(spark):
+    from checks.stream_cases import land
+
+    files = lambda df: len(df.inputFiles())
+    df = spark.range(1000)
+    stream = land(df, "many", 2, rows_a_file=100)
+    path = stream._jdf.queryExecution().analyzed().toString().split("FileSource[")[1].split("]")[0]
+    landed = spark.read.parquet(path)
+    assert files(landed) == 10 and landed.count() == 1000
