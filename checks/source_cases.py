@@ -293,9 +293,10 @@ def _scraped_folder(spark, d):
     folder = shared_dir(spark, "scraped")
     rows = scraped_rows(spark, d)
     cols = ["id", "time_val", "distance", "speed", "time_offset", "longitude", "latitude"]
-    # one folder level per route, date and trip as the scraper leaves them
+    # one folder level per route, date and trip as the scraper leaves them; a route's trips come to one task, so that
+    # its folder is made and moved once, not by every task
     plain = rows.select(F.col("route_folder").alias("r"), F.col("route_date").alias("t"), F.col("trip_folder").alias("u"), *cols)
-    plain.hint("rebalance", "r", "t", "u").write.option("header", True).partitionBy("r", "t", "u").csv(folder)
+    plain.hint("rebalance", "r", "t").write.option("header", True).partitionBy("r", "t", "u").csv(folder)
     return folder
 
 

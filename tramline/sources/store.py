@@ -149,15 +149,10 @@ def append_score_log(scored: DataFrame, folder: str) -> None:
 
 def scan_trip_path_files(spark: SparkSession, glob: str, schema: str) -> DataFrame:
     """Scraped trip files of a route/date/trip folder tree; route and date come from the path."""
-    path = F.col("_metadata.file_path")
-    parts = r"([^/]+)/([^/]+)/([^/]+)/[^/]+$"
+    # counted from the end: a pattern that is only tied to the end is tried at every place of every row's path
+    part = lambda n: F.url_decode(F.split_part(F.col("_metadata.file_path"), F.lit("/"), F.lit(n)))
     raw = spark.read.option("header", True).schema(schema).csv(glob, recursiveFileLookup=True)
-    return raw.select(
-        "*",
-        F.url_decode(F.regexp_extract(path, parts, 1)).alias("route_folder"),
-        F.url_decode(F.regexp_extract(path, parts, 2)).alias("route_date"),
-        F.url_decode(F.regexp_extract(path, parts, 3)).alias("trip_folder"),
-    )
+    return raw.select("*", part(-4).alias("route_folder"), part(-3).alias("route_date"), part(-2).alias("trip_folder"))
 
 
 def write_direction_csv(df: DataFrame, folder: str) -> None:
