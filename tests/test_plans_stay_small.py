@@ -52,3 +52,35 @@ def test_metrics_do_not_shuffle_scores_by_horizon(spark):
         assert sorted(r.n for r in out.collect()) == [10, 10]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_tasks_follow_the_number_of_stored_rows(spark):
+    """Tasks were cut by stored bytes, and never finer than one per core: sorted rows grew with the input."""
+    from tramline import session
+
+    stored = session.materialise(spark.range(1000), "t")
+    assert session.tasks_for(stored) is None  # few rows: Spark's own sizes
+    n = session.tasks_for(stored, rows=50)
+    assert n == 20
+    assert session.cut(stored, n, "id").rdd.getNumPartitions() == 20
+
+
+def _run(spark):
+    ddl = "service_date string, route_id string, direction_id int, trip_id string, start_date string, vehicle_id string, t long, travel_distance_m double, moving_speed_m_s double, stop_index double"
+    rows = [("d", "R", 0, f"t{b}", "20240101", "v", 10 * i, 60.0 * i + 30 * b, 6.0, i / 10) for i in range(20) for b in range(2)]
+    return spark.createDataFrame(rows, ddl).withColumn("datetime", F.timestamp_seconds("t"))
+
+
+def test_runs_and_ticks_are_cut_by_their_rows(spark, monkeypatch):
+    from tramline import session
+    from tramline.operators import detect
+
+    whole = buses.with_bus_id(buses.segment_vehicle_points(_run(spark)))
+    want_points, want_runs = sorted(map(str, whole.collect())), sorted(map(str, detect.bunch_distance_runs(detect.interpolate_on_ticks(whole)).collect()))
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 3)
+    pts = buses.with_bus_id(buses.segment_vehicle_points(_run(spark)))
+    assert "hashpartitioning(service_date" in (text := pts._jdf.queryExecution().executedPlan().toString()) and ", 14)" in text
+    assert sorted(map(str, pts.collect())) == want_points and want_points
+    runs = detect.bunch_distance_runs(detect.interpolate_on_ticks(pts))
+    assert "REPARTITION_BY_NUM" in runs._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, runs.collect())) == want_runs and want_runs

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..defaults import DEFAULTS
+from ..session import cut, materialise, tasks_for
 from .lookup import interval_lookup
 
 SLICE = ["service_date", "route_id", "direction_id"]
@@ -48,10 +49,11 @@ def segment_vehicle_points(
 ) -> DataFrame:
     """Cut each run at long stale stretches and drop ghost segments; adds ``segment``.
 
-    One exchange: every window is keyed by the run or a finer key of it. It is asked for, so that tasks are cut by the
-    size of these rows: those that come partitioned by instance may have been resampled to many times the size they were cut by.
+    One exchange: every window is keyed by the run or a finer key of it. The rows are stored and counted first, so that
+    each of its tasks sorts the same number of rows however many there are.
     """
-    flagged = flag_segments(points.repartition(*[F.col(c) for c in RUN]), stale_s, min_displacement_m, speed_limit)
+    stored = materialise(points, "resampled")
+    flagged = flag_segments(cut(stored, tasks_for(stored), *RUN), stale_s, min_displacement_m, speed_limit)
     return flagged.filter("kept").drop("kept", "stale", "group_points")
 
 
@@ -104,9 +106,9 @@ def with_bus_id(points: DataFrame) -> DataFrame:
     )
 
 
-def group_into_buses(traj: DataFrame, route_stops: DataFrame, **cut) -> DataFrame:
+def group_into_buses(traj: DataFrame, route_stops: DataFrame, **limits) -> DataFrame:
     """Points of every surviving bus of every slice, with ``bus_id`` and ``stop_index``."""
-    return with_bus_id(segment_vehicle_points(distance_to_stop_index(traj, route_stops), **cut))
+    return with_bus_id(segment_vehicle_points(distance_to_stop_index(traj, route_stops), **limits))
 
 
 def bus_numbers(points: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..defaults import DEFAULTS
 from ..functions import times, values
+from ..session import cut, materialise, tasks_for
 from .buses import SLICE
 
 BUS = [*SLICE, "bus_id"]
@@ -161,9 +162,11 @@ def interpolate_on_ticks(
 
 
 def adjacent_pairs(ticks: DataFrame) -> DataFrame:
-    """At each tick, every bus with the next one ahead by distance (one window per tick)."""
+    """At each tick, every bus with the next one ahead by distance (one window per tick). The ticks are many times the
+    points they lie between, so they are stored, counted and cut by their own number."""
+    stored = materialise(ticks, "ticks")
     w = Window.partitionBy(*SLICE, "tick").orderBy("dist_m", "bus_id")
-    return ticks.withColumns(
+    return cut(stored, tasks_for(stored), *SLICE, "tick").withColumns(
         {"leader_id": F.lead("bus_id").over(w), "gap_m": F.lead("dist_m").over(w) - F.col("dist_m")}
     ).filter("leader_id is not null")
 

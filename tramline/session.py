@@ -7,8 +7,10 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+ROWS_PER_TASK = 250_000  # rows that one task sorts, about
 
 _WORKSPACE: ContextVar[str | None] = ContextVar("workspace", default=None)
 
@@ -62,3 +64,22 @@ def materialise(df, name: str):
     path = shared_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def tasks_for(stored: DataFrame, rows: int | None = None) -> int | None:
+    """Tasks that take about ``rows`` rows each of a stored frame, whose count costs no pass over it.
+
+    None where that is no more than the cores: Spark's own sizes will do there.
+    """
+    n = -(-stored.count() // (rows or ROWS_PER_TASK))
+    return n if n > stored.sparkSession.sparkContext.defaultParallelism else None
+
+
+def cut(df: DataFrame, n: int | None, *cols: str) -> DataFrame:
+    """``df`` exchanged by ``cols`` into ``n`` tasks, or as many as Spark finds fit.
+
+    Spark fits tasks by their stored bytes and only as finely as there are cores; rows that compress well grow
+    many times over when they are sorted. Given ``n`` of ``tasks_for``, a task's rows stay the same for any input.
+    """
+    keys = [F.col(c) for c in cols]
+    return df.repartition(*keys) if n is None else df.repartition(n, *keys)
