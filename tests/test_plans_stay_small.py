@@ -84,3 +84,20 @@ def test_runs_and_ticks_are_cut_by_their_rows(spark, monkeypatch):
     runs = detect.bunch_distance_runs(detect.interpolate_on_ticks(pts))
     assert "REPARTITION_BY_NUM" in runs._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(str, runs.collect())) == want_runs and want_runs
+
+
+def test_examples_are_cut_by_their_rows(spark, monkeypatch):
+    from tramline.operators import examples
+
+    ddl = "service_date string, route_id string, direction_id int, trip_id string, start_date string, vehicle_id string, bus_id string, t long, travel_distance_m double, moving_speed_m_s double, stop_index double, num_stops int"
+    rows = [("d", "R", 0, f"t{b}", "d", "v", f"t{b}", 60 * i, 300.0 * i + 400 * b, 5.0, 3 + i / 2, 31) for i in range(16) for b in range(2)]
+    points = spark.createDataFrame(rows, ddl).withColumn("datetime", F.timestamp_seconds("t"))
+
+    def found():
+        return examples.labelled_examples(points, length=5, horizon=5)
+
+    want = sorted(map(str, found().collect()))
+    monkeypatch.setattr(examples, "GRID_ROWS_PER_TASK", 4)
+    out = found()
+    assert out._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 4
+    assert sorted(map(str, out.collect())) == want and want

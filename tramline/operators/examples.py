@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from ..defaults import DEFAULTS, NO_LEADER_GAP_M
 from ..functions import times
+from ..session import cut, materialise, tasks_for
 from .buses import SLICE
 from .detect import BUS
 
 IDENTITY = ["trip_id", "start_date", "vehicle_id"]
 TICK = [*SLICE, "k"]
+GRID_ROWS_PER_TASK = 50_000  # rows with their windows and labels, about
 
 
 def _anchored(points: DataFrame, anchor: str | None) -> Column:
@@ -131,12 +133,12 @@ def follower_pair(grid: DataFrame, extra_keys: tuple[str, ...] = ()) -> DataFram
     return g.withColumns(out).drop("_p1", "_p2", "_b")
 
 
-def passage_headway(chain: DataFrame, step_s: int = DEFAULTS.step_s) -> DataFrame:
+def passage_headway(chain: DataFrame, step_s: int = DEFAULTS.step_s, tasks: int | None = None) -> DataFrame:
     """Realised headway at each tick: time since the leader first reached my distance.
 
     A bus's track (running maximum of distance) and the questions its followers ask of it are
     put on one line of distances; the track points on either side of a question come from two
-    running ``last`` values. Null where the leader's track does not span the distance.
+    running ``last`` values. Null where the leader's track does not span the distance. ``tasks``: how many take the line.
     """
     by_time = Window.partitionBy(*BUS).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     rows = chain.withColumns(
@@ -152,6 +154,7 @@ def passage_headway(chain: DataFrame, step_s: int = DEFAULTS.step_s) -> DataFram
     line = rows.select(*SLICE, "k", F.explode(F.array(track, ask)).alias("z")).select(
         *[F.col(c).alias(f"_{c}") for c in SLICE], F.col("k").alias("_k"), "z.*")
     keys = [f"_{c}" for c in SLICE] + ["on_bus"]
+    line = line if tasks is None else cut(line, tasks, *keys)
     up = Window.partitionBy(*keys).orderBy("d", F.desc("ask"), "_k").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*keys).orderBy(F.desc("d"), "ask", F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
     placed = line.withColumns(
@@ -337,12 +340,16 @@ def labelled_examples(
     headways: DataFrame | None = None,
     **label_options,
 ) -> DataFrame:
-    """Windows, context and labels for every bus and valid reference tick of every slice."""
-    grid = grid_track(points, step_s, sampling=sampling)
-    chain = leader_chain(grid)
+    """Windows, context and labels for every bus and valid reference tick of every slice. The grid is stored and counted, so
+    that a task of any later step holds the same number of its rows however many there are."""
+    grid = materialise(grid_track(points, step_s, sampling=sampling), "grid")
+    n = tasks_for(grid, GRID_ROWS_PER_TASK)
+    chain = leader_chain(cut(grid, n, *TICK))
     if channels == 1:
         chain = follower_pair(chain)
-    labelled = horizon_labels(passage_headway(chain, step_s), horizon, **label_options)
+    # each row goes out twice to be timed
+    timed = passage_headway(cut(chain, n, *BUS), step_s, None if n is None else 2 * n)
+    labelled = horizon_labels(cut(timed, n, *BUS), horizon, **label_options)
     rows = history_window(labelled, length, step_s, channels=channels, layout=layout)
     out = rows.select(
         *BUS, *IDENTITY, "k",
