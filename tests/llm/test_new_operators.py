@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,3 +209,18 @@ def test_best_fit_takes_the_fullest_bin_with_room():
             else:
                 room.append(32 - sizes[k])
         assert sorted(32 - fills) == sorted(room) and all(fills[b] == sizes[bins == b].sum() for b in range(len(fills)))
+
+
+def test_encoder_keeps_the_words_met_first(monkeypatch):
+    with open(MODEL, encoding="utf-8") as f:
+        encoder = packing.Encoder(f.read())
+    monkeypatch.setattr(packing, "MEMO", 20)
+    texts = ["the of the, and\nthe of", None, "", "  two  spaces \n\n end ", "naïve été!\nvoilà 12,5 €", "x" * 70 + " " + "y" * 70 + " the",
+             *(f"the of w{'abcdefghij'[k % 10] * (k // 10 + 1)} the," for k in range(40))]
+    plain = encoder.tokenizer
+    for _ in range(2):
+        got = encoder.encode(pa.array(texts, pa.string()))
+        assert got == [np.array(plain.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert {"of", "the,"} <= encoder.memo.keys()
+    encoder.encode(pa.array(["nothing known"]))
+    assert len(encoder.memo) <= 12 and "of" in encoder.memo

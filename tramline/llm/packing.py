@@ -30,10 +30,12 @@ import types
 from array import array
 from collections import ChainMap, defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +63,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = True
+        self.tokenize = self.tokenizer.model.tokenize
         self.memo: dict[str, bytes] = {}  # ids of a stretch with a space before it; its ends are printable
         self.marks: dict[str, bytes] = {}
         self.firsts: dict[str, bytes] = {}  # ids of what begins a text, without a space
@@ -69,7 +72,16 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _word(self, chars: str) -> bytes:
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(chars)]).tobytes()
+        return array("I", [t.id for t in self.tokenize(chars)]).tobytes()
+
+    def _body(self, body: str) -> bytes:
+        """The ids of letters with a space before them, from the memo or the model."""
+        ids = self.memo.get(body)
+        if ids is None:
+            ids = self._word(AS_CHARS[32] + (body if body.isascii() else body.encode().decode("latin-1").translate(AS_CHARS)))
+            if len(body) <= STRETCH:
+                self.memo[body] = ids
+        return ids
 
     def _lines(self, stretch: str) -> bytes | None:
         """The ids of words with marks after them, one to a line; None for anything else.
@@ -83,13 +95,9 @@ class Encoder:
             body, marks = word.groups()
             if k:
                 out.append(self._mark(AS_CHARS[10]))
-            ids = None if k else self.memo.get(body)
-            if ids is None:
-                chars = body if body.isascii() else body.encode().decode("latin-1").translate(AS_CHARS)
-                ids = self._word(chars if k else AS_CHARS[32] + chars)
-                if not k and len(body) <= STRETCH:
-                    self.memo[body] = ids
-            out.append(ids)
+                out.append(self._word(body if body.isascii() else body.encode().decode("latin-1").translate(AS_CHARS)))
+            else:
+                out.append(self._body(body))
             if marks:
                 out.append(self._mark(marks))
         return b"".join(out)
@@ -99,34 +107,75 @@ class Encoder:
             self.marks = {**(self.marks if len(self.marks) < 1000 else {}), chars: self._word(chars)}
         return self.marks[chars]
 
-    def _learn(self, stretches: set[str]) -> dict[str, bytes]:
-        known = {s: self._lines(s) for s in stretches}
-        rest = [s for s, ids in known.items() if ids is None]
-        known.update(zip(rest, self._ids([f" {s}" for s in rest]), strict=True))
+    def _learn(self, stretches: Iterable[str]) -> dict[str, bytes]:
+        """The ids of stretches that are not in the memo, which then has them but for the long ones."""
+        known, rest = {}, []
+        for s in stretches:
+            if s.isalpha() and s.isascii():
+                known[s] = self._body(s)
+            elif (ids := self._lines(s)) is None:
+                rest.append(s)
+            else:
+                known[s] = ids
+                if len(s) <= STRETCH:
+                    self.memo[s] = ids
+        for s, ids in zip(rest, self._ids([f" {s}" for s in rest]), strict=True):
+            known[s] = ids
+            if len(s) <= STRETCH:
+                self.memo[s] = ids
         return known
 
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        cut, new = [], set()
-        for text in texts:
-            stretches = text.split(" ")
-            fresh = set(stretches).difference(self.memo)
-            if not all(map(ENDS.search, fresh)):
-                stretches = CUT.split(text)
-                fresh = set(stretches).difference(self.memo)
-            cut.append(stretches)
-            new |= fresh
-        known = self._learn(new)
-        self.memo.update((s, ids) for s, ids in known.items() if len(s) <= STRETCH)
-        known = ChainMap(known, self.memo) if any(len(s) > STRETCH for s in known) else self.memo
+    def _starts(self, stretches: list[str]) -> list[bytes]:
+        """The ids of what begins each text."""
         if len(self.firsts) > MEMO // 10:
             self.firsts = {}
-        new = list({x[0] for x in cut}.difference(self.firsts))
+        new = list(set(stretches).difference(self.firsts))
         firsts = dict(zip(new, self._ids(new), strict=True))
         self.firsts.update((s, ids) for s, ids in firsts.items() if len(s) <= STRETCH)
         firsts = ChainMap(firsts, self.firsts)
-        return [firsts[stretches[0]] + b"".join(map(known.__getitem__, stretches[1:])) for stretches in cut]
+        return [firsts[s] for s in stretches]
+
+    def _encode_cut(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts with stretches that do not begin and end in print: cut by the pattern."""
+        cut = [CUT.split(text) for text in texts]
+        known = self._learn({s for x in cut for s in x[1:]}.difference(self.memo))
+        known = ChainMap(known, self.memo)
+        return [first + b"".join(map(known.__getitem__, x[1:])) for first, x in zip(self._starts([x[0] for x in cut]), cut, strict=True)]
+
+    def encode(self, texts: pa.Array | Iterable[str]) -> list[bytes]:
+        """The ids of every text (null: none). Each different stretch of the texts is looked up once, and its ids are laid out by Arrow."""
+        texts = pc.fill_null((texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string()), "")
+        if len(texts) == 0:
+            return []
+        if len(self.memo) > MEMO:  # frequent stretches were met first
+            self.memo = dict(islice(self.memo.items(), MEMO // 2))
+        cut = pc.split_pattern(texts, " ")
+        bounds, coded = np.array(cut.offsets), cut.values.dictionary_encode()
+        starts, at, names = bounds[:-1], np.array(coded.indices), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.memo.get, names))
+        new = [k for k, x in enumerate(ids) if x is None]
+        odd, used = np.zeros(len(names), bool), np.zeros(len(names), bool)
+        odd[[k for k in new if not ENDS.search(names[k])]] = True
+        odd_rows = np.logical_or.reduceat(odd[at], starts)
+        inner = np.repeat(~odd_rows, np.diff(bounds))
+        inner[starts] = False
+        used[at[inner]] = True
+        new = np.array(new, np.int64)
+        new = new[used[new]].tolist()
+        known = self._learn([names[k] for k in new])
+        for k in new:
+            ids[k] = known[names[k]]
+        plain = np.flatnonzero(~odd_rows)
+        ids += self._starts([names[k] for k in at[starts[plain]].tolist()])
+        at[starts[plain]] = len(names) + np.arange(len(plain))
+        laid = pa.array(ids, pa.large_binary()).take(pa.array(at))
+        edges = np.frombuffer(laid.buffers()[1], np.int64)[laid.offset + bounds].tolist()
+        data = memoryview(laid.buffers()[2] or b"")
+        out = [bytes(data[a:b]) for a, b in zip(edges, edges[1:])]
+        rows = np.flatnonzero(odd_rows).tolist()
+        for k, x in zip(rows, self._encode_cut(texts.take(pa.array(rows, pa.int64())).to_pylist()), strict=True):
+            out[k] = x
+        return out
 
 
 def worker_encoder(model: str) -> Encoder:
@@ -188,10 +237,10 @@ def cut_and_pack(docs: DataFrame, model: str, length: int, end_id: int, items: i
                 spot += len(fills)
                 held, held_bytes = [], 0
 
-        for part in slices(batches, limit=1 << 20):
+        for part in slices(batches):
             encoder = encoder or worker_encoder(model)
             whole = []
-            for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(x or "" for x in part.column("text").to_pylist()), strict=True):
+            for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text")), strict=True):
                 n = len(ids) // 4 + 1
                 first = (n - 1) % length + 1
                 for piece in range(-(-n // length)):
