@@ -76,6 +76,15 @@ def test_the_tokenizer_cuts_as_the_pattern():
         assert divergence.term_counts(text.encode()) == collections.Counter(t.encode() for t in TERM.findall(text.translate(LOWER)))
 
 
+def test_terms_are_numbered_within_a_slice_and_dealt_once(spark):
+    texts = pa.array([b"left out", b"", b" One, two\x00one ", "\u00e9t\u00e9 two \u00c9".encode(), b"12 34", b"also left out"])[1:5]
+    row, number, terms = divergence.term_numbers(texts)
+    found = list(zip(row.tolist(), terms.take(pa.array(number)).to_pylist(), strict=True))
+    assert found == [(1, b"one"), (1, b"two"), (1, b"one"), (2, "\u00e9t\u00e9".encode()), (2, b"two"), (2, "\u00c9".encode())]
+    kept = divergence.kept_terms(spark.createDataFrame([(1, "a b", "en", "s")], "doc_id long, text string, lang string, source string"), 1)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 # --- hard negatives ------------------------------------------------------------------------------------------------------
 
 VECTORS = "vec_id long, embedding array<float>, label int, v string, shard string"

@@ -1,8 +1,8 @@
 """How far the sources of a language differ in their words: term frequencies by a translate-table tokenizer.
 
-``bytes.translate`` lowers A-Z and turns every separator into a blank in one pass, ``bytes.split`` cuts the terms and a
-``Counter`` per document gives its frequencies; the counts of a slice of documents are summed before they leave the
-task, and Spark sums the rest.  Terms are runs of ASCII letters and of bytes from 0x80, so cutting bytes cuts text.
+``bytes.translate`` lowers A-Z and turns every separator into a blank in one pass over a slice of documents; Arrow cuts
+the terms at blanks and numbers them, and sorted numbers give the frequencies of the slice's groups, which leave the
+task.  Spark sums the rest, dealt by term.  Terms are runs of ASCII letters and of bytes from 0x80, so cutting bytes cuts text.
 
 A language keeps the terms found in ``min_docs`` of its documents.  A group is a (lang, source); with ``V`` kept terms
 and ``N`` occurrences of them in the group, a term's weight is ``1 + floor(SCALE * (count + 2) / (N + 2 * V))``, and two
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +41,24 @@ BLOCK_ROWS = 200_000  # (term, source) rows that one block of terms holds, about
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+def term_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(row, number) of every occurrence of a term in binary texts without nulls, and the terms by number."""
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset: texts.offset + len(texts) + 1]
+    data = memoryview(texts.buffers()[2] or b"")[offsets[0]: offsets[-1]]
+    lowered = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer((offsets - offsets[0]).tobytes()), pa.py_buffer(bytes(data).translate(TABLE))])
+    cut = pc.split_pattern(lowered, " ")
+    coded = cut.values.dictionary_encode()
+    number = np.array(coded.indices, np.int64)
+    row = np.repeat(np.arange(len(texts)), np.diff(np.array(cut.offsets)))
+    full = (np.array(pc.binary_length(coded.dictionary)) > 0)[number]
+    return row[full], number[full], coded.dictionary
+
+
 def term_counts(text: bytes) -> Counter:
-    """The terms of one document and how often each occurs."""
-    return Counter(text.translate(TABLE).split())
+    """The terms of one document and how often each occurs, for small inputs and tests."""
+    _, number, terms = term_numbers(pa.array([text], pa.binary()))
+    return Counter(terms.take(pa.array(number)).to_pylist())
 
 
 def _texts_as_empty(docs: DataFrame, *columns: str) -> list:
@@ -55,24 +71,20 @@ def group_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=SLICE):
+            row, number, terms = term_numbers(part.column("text"))
             groups: dict = {}
-            codes, sizes, terms, counts = [], [], [], []
-            for text, lang, source in zip(part.column("text"), part.column("lang").to_pylist(), part.column("source").to_pylist(), strict=True):
-                seen = term_counts(text.as_buffer().to_pybytes())
-                codes.append(groups.setdefault((lang, source), len(groups)))
-                sizes.append(len(seen))
-                terms.extend(seen)
-                counts.extend(seen.values())
-            if not terms:
-                continue
-            table = pa.table({"g": pa.array(np.repeat(np.array(codes, np.int32), sizes)), "term": pa.array(terms, pa.large_binary()), "n": pa.array(counts, pa.int64())})
-            summed = table.group_by(["g", "term"], use_threads=False).aggregate([("n", "sum"), ("n", "count")]).combine_chunks()
-            names = list(groups)
-            for rows in summed.to_batches(max_chunksize=100_000):
-                g = rows.column("g").to_pylist()
+            keys = zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), strict=True)
+            group = np.array([groups.setdefault(key, len(groups)) for key in keys], np.int64)
+            v = len(terms)
+            spots, n = np.unique(group[row] * v + number, return_counts=True)
+            once = np.unique(row * v + number)  # a term of a document counts once
+            found = np.unique(group[once // v] * v + once % v, return_counts=True)[1]
+            lang, source = (pa.array(names, pa.string()) for names in zip(*groups, strict=True))
+            for a in range(0, len(spots), 100_000):
+                g, t = (pa.array(x) for x in np.divmod(spots[a: a + 100_000], v))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[x][0] for x in g], pa.string()), pa.array([names[x][1] for x in g], pa.string()),
-                     rows.column("term").cast(pa.binary()), rows.column("n_sum"), rows.column("n_count")], schema=schema)
+                    [lang.take(g), source.take(g), terms.take(t).cast(pa.binary()), pa.array(n[a: a + 100_000], pa.int64()),
+                     pa.array(found[a: a + 100_000], pa.int64())], schema=schema)
 
     rows = docs.select(*_texts_as_empty(docs, "lang", "source"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     return rows.mapInArrow(count, "lang string, source string, term binary, n long, docs long").select(
@@ -80,8 +92,11 @@ def group_counts(docs: DataFrame) -> DataFrame:
 
 
 def kept_terms(docs: DataFrame, min_docs: int) -> DataFrame:
-    """(lang, term, n, found): one row per kept term, ``found`` lists (source, n) of the sources it occurs in."""
-    by_group = group_counts(docs).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    """(lang, term, n, found): one row per kept term, ``found`` lists (source, n) of the sources it occurs in.
+
+    Slices are summed already, so rows are dealt once, by term, for both sums.
+    """
+    by_group = group_counts(docs).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     return (
         by_group.groupBy("lang", "term")
         .agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("found"))
