@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.operators import buses, trajectory
-from tramline.session import materialise
+from tramline.session import materialise, spread
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -118,10 +118,10 @@ def stops(spark: SparkSession, d: str) -> DataFrame:
 
 def trajectories(spark: SparkSession, d: str) -> DataFrame:
     """Dedup, speed, 10 s grid and rounding on the 1-D distance."""
-    pts = trajectory.dedup_instance_times(instances(spark, d))
-    up = trajectory.upsample_grid(trajectory.moving_speed(
-        pts.select("trip_id", "start_date", "datetime", "travel_distance_m", "route_id", "direction_id",
-                   "vehicle_id", "occupancy_status", F.col("id").alias("source_vehicle_position_id"))))
+    keyed = instances(spark, d).select(
+        "trip_id", "start_date", "datetime", "travel_distance_m", "route_id", "direction_id", "vehicle_id", "occupancy_status", "id")
+    pts = trajectory.dedup_instance_times(spread(keyed, "id"))
+    up = trajectory.upsample_grid(trajectory.moving_speed(pts.withColumnRenamed("id", "source_vehicle_position_id")))
     return trajectory.canonical_columns(
         up.withColumn("service_date", F.to_date("start_date", "yyyyMMdd")))
 

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tramline.operators import audit, buses, scoring, shapes
+from tramline import session
+from tramline.operators import audit, buses, scoring, shapes, trajectory
 
 
 def plan(df):
@@ -101,3 +102,19 @@ def test_examples_are_cut_by_their_rows(spark, monkeypatch):
     out = found()
     assert out._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 4
     assert sorted(map(str, out.collect())) == want and want
+
+
+def test_pings_are_dealt_by_rows_before_they_are_grouped(spark, monkeypatch):
+    from checks import fixtures as fx
+
+    d = "/root/testdata/sf0.001"
+    rows = lambda df: sorted(map(str, df.collect()))
+    few = fx.trajectories(spark, d)
+    assert "RepartitionByExpression" not in plan(few)
+    keyed = fx.instances(spark, d)
+    monkeypatch.setattr(session, "ROWS_PER_TASK", keyed.count() // (spark.sparkContext.defaultParallelism + 3))
+    many = fx.trajectories(spark, d)
+    assert "RepartitionByExpression [id" in plan(many)
+    assert "entity_id" not in plan(many)  # whole rows are not carried through the grouped maximum
+    assert rows(many) == rows(few)
+    assert trajectory.dedup_instance_times(session.spread(keyed, "id")).count() == trajectory.dedup_instance_times(keyed).count()

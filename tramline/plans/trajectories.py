@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..defaults import DEFAULTS
 from ..operators import fleet, shapes
 from ..operators import trajectory as tr
-from ..session import materialise, workspace
+from ..session import materialise, spread, workspace
 from ..sources import store
 
 
@@ -30,6 +30,7 @@ def project_instances(
 ) -> DataFrame:
     """Guarded, deduplicated pings with shape, start offset and distance along the shape."""
     keyed = tr.within_fetch_slack(tr.with_instance(vp)).select(*PING)  # the grouped maximum carries whole rows: keep them narrow
+    keyed = spread(keyed, "id")
     unique = tr.dedup_instance_times(tr.drop_null_positions(keyed), per_vehicle)
     guarded = tr.route_mismatch_guard(unique, trips, seen=keyed)
     placed = tr.with_start_offset(tr.attach_static_trip(guarded, trips)).withColumn(

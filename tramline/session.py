@@ -83,3 +83,13 @@ def cut(df: DataFrame, n: int | None, *cols: str) -> DataFrame:
     """
     keys = [F.col(c) for c in cols]
     return df.repartition(*keys) if n is None else df.repartition(n, *keys)
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Rows of a table dealt by ``cols``, which differ from row to row, into tasks of about as many rows; few rows stay as read.
+
+    A task that reads takes a share of the files, and that share grows with the table. What sorts or groups rows before their
+    first exchange would hold all of it.
+    """
+    n = tasks_for(df)
+    return df if n is None else df.repartition(n, *[F.col(c) for c in cols])
