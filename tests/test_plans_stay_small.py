@@ -118,3 +118,11 @@ def test_pings_are_dealt_by_rows_before_they_are_grouped(spark, monkeypatch):
     assert "entity_id" not in plan(many)  # whole rows are not carried through the grouped maximum
     assert rows(many) == rows(few)
     assert trajectory.dedup_instance_times(session.spread(keyed, "id")).count() == trajectory.dedup_instance_times(keyed).count()
+
+
+def test_the_teleport_filter_runs_its_input_once(spark):
+    rows = [("t", "20240101", 10 * i, 9000.0 if i == 3 else 50.0 * i) for i in range(6)]
+    points = spark.createDataFrame(rows, "trip_id string, start_date string, s long, travel_distance_m double").withColumn("datetime", F.timestamp_seconds("s"))
+    kept = trajectory.teleport_filter(points.withColumn("costly", F.xxhash64("s")))
+    assert "xxhash64" not in plan(kept)  # both parts read the marked points from the shared folder
+    assert sorted(r.s for r in kept.collect()) == [0, 10, 20, 40, 50]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..defaults import DEFAULTS, LOCAL_ZONE
 from ..functions import times, values
+from ..session import materialise
 from .sequence import earliest_by, latest_by
 
 INSTANCE = ["trip_id", "start_date"]
@@ -137,6 +138,7 @@ def teleport_filter(points: DataFrame, max_speed_m_s: float | None = DEFAULTS.ma
     marked = marked.withColumn("_doubt", F.max("_odd").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     anchor = F.struct(t.alias("t"), d.cast("double").alias("d"))
     marked = marked.withColumn("_anchor", F.last(F.when(~F.col("_doubt"), anchor), ignorenulls=True).over(w))
+    marked = materialise(marked.drop("_odd"), "marked")  # both parts read it; what made the points runs once
     sure = marked.filter("not _doubt").select(*points.columns)
     doubtful = (
         marked.filter("_doubt").select(*points.columns, "_us", F.col("_anchor.t").alias("_t"), F.col("_anchor.d").alias("_d"))
