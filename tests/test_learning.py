@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -183,3 +184,33 @@ def test_a_model_of_another_grid_is_read_at_the_same_lead_time(spark):
     for r in got.values():
         assert r["probs"] == pytest.approx([0.1, 0.3, 0.3, 0.3])  # 30 s is the model's +20 s, 60 s its +60 s
         assert len(r["features"]) == 4 * 7
+
+
+def test_a_fit_computes_its_rows_once_and_fits_at_once_change_nothing(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"e{k}", [float(v) for v in rng.random(4)]) for k in range(300)]
+    rows = [(e, x, [float(x[0] > 0.6), 0.0]) for e, x in rows]
+    df = frame(spark, rows, "example_id string, features array<double>, labels array<double>").coalesce(1)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    params = dict(trees=2, depth=2, min_leaf=2)
+    learn.train_horizons(df.mapInPandas(counted, df.schema), None, 2, **params)
+    assert seen.value <= 300 * 2  # the label counts and the fit
+    stored = learn.stored_rows(df, "rows")
+    assert stored.columns == ["example_id", "fv", "labels"]
+    # labels are summed in the order of the rows' tasks: the last bits are left open
+    text = lambda m: re.sub(r"-?\d+\.\d+(E-?\d+)?", lambda x: f"{float(x[0]):.9f}", m.toDebugString.split("\n", 1)[1])
+    trees = lambda bags: [[m and text(m) for m in b.models] + b.constants for b in bags]
+    one = learn.train_bag(df, None, 2, bags=2, parallel=1, **params)
+    many = learn.train_bag(stored, None, 2, bags=2, parallel=4, **params)
+    assert trees(one) == trees(many) and one[0].constants == [None, 0.0]
+    probs = lambda rows, bags: {r["example_id"]: r["probs"] for r in learn.predict_bag(rows, bags).collect()}
+    a, b = probs(df, one), probs(stored, many)
+    assert a.keys() == b.keys() and all(a[e] == pytest.approx(b[e]) for e in a)
+    assert set(learn.predict_bag(df, one).columns) == {*df.columns, "probs"}
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()

@@ -9,19 +9,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise, shared_dir
 from .lookup import interval_lookup
 from .scoring import average_precision, pick_threshold, to_long
 
+PARALLEL_FITS = 3  # fits at a time; each keeps its rows and their bins until it ends
+
 
 @dataclass
 class HorizonModels:
@@ -36,7 +40,12 @@ class HorizonModels:
 
 
 def _vectors(examples: DataFrame) -> DataFrame:
-    return examples.withColumn("fv", array_to_vector("features"))
+    return examples if "fv" in examples.columns else examples.withColumn("fv", array_to_vector("features"))
+
+
+def stored_rows(examples: DataFrame, name: str) -> DataFrame:
+    """What fits read, ``example_id, fv, labels``, stored: the array becomes a vector once, not in each pass of each fit."""
+    return materialise(_vectors(examples).select("example_id", "fv", "labels"), name)
 
 
 def class_counts(examples: DataFrame, horizon: int, weight: str | None = None) -> list[tuple[float, float]]:
@@ -51,14 +60,22 @@ def class_counts(examples: DataFrame, horizon: int, weight: str | None = None) -
 
 
 def train_horizons(train: DataFrame, val: DataFrame | None, horizon: int, weight: str | None = None,
-                   trees: int = 300, depth: int = 6, rate: float = 0.05, min_leaf: int = 50, seed: int = 2026) -> HorizonModels:
+                   trees: int = 300, depth: int = 6, rate: float = 0.05, min_leaf: int = 50, seed: int = 2026,
+                   parallel: int = PARALLEL_FITS) -> HorizonModels:
     """A boosted classifier per horizon on the rows with a known label.
 
     Positives weigh (negatives / positives). With validation rows, boosting stops when they no
-    longer improve. The training frame should be stored or cached by the caller: each horizon
+    longer improve. The training frame should be stored by the caller, best by ``stored_rows``: each horizon
     reads it again.
     """
-    out = HorizonModels()
+    fits = _horizon_fits(train, val, horizon, weight, trees, depth, rate, min_leaf, seed)
+    return _collect_fits(train.sparkSession, [fits], parallel)[0]
+
+
+def _horizon_fits(train: DataFrame, val: DataFrame | None, horizon: int, weight: str | None, trees: int = 300, depth: int = 6,
+                  rate: float = 0.05, min_leaf: int = 50, seed: int = 2026) -> list:
+    """Per horizon a constant, or its classifier and the rows to fit it on."""
+    out = []
     counts = class_counts(train, horizon, weight)
     rows = _vectors(train).withColumn("_val", F.lit(False))
     if val is not None:
@@ -71,8 +88,7 @@ def train_horizons(train: DataFrame, val: DataFrame | None, horizon: int, weight
     for h in range(horizon):
         pos, neg = counts[h]
         if pos == 0 or neg == 0:
-            out.models.append(None)
-            out.constants.append(pos / max(1.0, pos + neg))
+            out.append(pos / max(1.0, pos + neg))
             continue
         y = F.col("labels")[h]
         fit_on = rows.filter(y.isNotNull()).select(
@@ -81,8 +97,32 @@ def train_horizons(train: DataFrame, val: DataFrame | None, horizon: int, weight
                             minInstancesPerNode=min_leaf, seed=seed)
         if val is not None:
             gbt = gbt.setValidationIndicatorCol("_val")
-        out.models.append(gbt.fit(fit_on.filter("w > 0")))
-        out.constants.append(None)
+        out.append((gbt, fit_on.filter("w > 0")))
+    return out
+
+
+def _collect_fits(spark: SparkSession, groups: list[list], parallel: int) -> list[HorizonModels]:
+    """Fits all groups' classifiers, ``parallel`` at a time, and gives a group's models each.
+
+    A fit reads its rows several times before it has binned them and then runs many short jobs: its rows are persisted until
+    it ends, and fits beside it fill the cores that a job's last tasks leave idle. Each model is the one a fit alone gives.
+    """
+
+    def fit(job):
+        gbt, rows = job
+        rows = rows.persist()
+        try:
+            return gbt.fit(rows)
+        finally:
+            rows.unpersist()
+
+    jobs = [x for fits in groups for x in fits if isinstance(x, tuple)]
+    with ThreadPool(max(1, min(parallel, len(jobs)))) as pool:
+        models = iter(pool.map(inheritable_thread_target(spark)(fit), jobs, chunksize=1))
+    out = []
+    for fits in groups:
+        known = [x if isinstance(x, float) else None for x in fits]
+        out.append(HorizonModels([next(models) if c is None else None for c in known], known))
     return out
 
 
@@ -98,7 +138,8 @@ def predict_horizons(examples: DataFrame, fitted: HorizonModels) -> DataFrame:
             m = model.copy().setFeaturesCol("fv").setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"_pv{h}")
             rows = m.transform(rows).withColumn(name, vector_to_array(f"_pv{h}")[1]).drop(f"_pv{h}")
         parts.append(name)
-    return rows.withColumn("probs", F.array(*parts)).drop("fv", *parts)
+    own = [] if "fv" in examples.columns else ["fv"]
+    return rows.withColumn("probs", F.array(*parts)).drop(*own, *parts)
 
 
 def bootstrap_weight(example_id: str, bag: int, seed: int) -> F.Column:
@@ -118,22 +159,25 @@ def bootstrap_weight(example_id: str, bag: int, seed: int) -> F.Column:
     return out
 
 
-def train_bag(train: DataFrame, val: DataFrame | None, horizon: int, bags: int = 8, seed: int = 2026, **params) -> list[HorizonModels]:
-    fitted = []
+def train_bag(train: DataFrame, val: DataFrame | None, horizon: int, bags: int = 8, seed: int = 2026,
+              parallel: int = PARALLEL_FITS, **params) -> list[HorizonModels]:
+    """``train_horizons`` on each bag's draw; the fits of all bags share one queue."""
+    fits = []
     for b in range(bags):
         drawn = train.withColumn("bag_w", bootstrap_weight("example_id", b, seed)).filter("bag_w > 0")
-        fitted.append(train_horizons(drawn, val, horizon, weight="bag_w", seed=seed + b, **params))
-    return fitted
+        fits.append(_horizon_fits(drawn, val, horizon, "bag_w", seed=seed + b, **params))
+    return _collect_fits(train.sparkSession, fits, parallel)
 
 
 def predict_bag(examples: DataFrame, bags: Sequence[HorizonModels]) -> DataFrame:
     """Mean of the bags' vectors."""
-    rows = examples
+    rows = _vectors(examples)  # once for all bags
     for b, fitted in enumerate(bags):
         rows = predict_horizons(rows, fitted).withColumnRenamed("probs", f"_b{b}")
     horizon = bags[0].horizon
     mean = F.array(*[sum((F.col(f"_b{b}")[h] for b in range(len(bags))), F.lit(0.0)) / len(bags) for h in range(horizon)])
-    return rows.withColumn("probs", mean).drop(*[f"_b{b}" for b in range(len(bags))])
+    own = [] if "fv" in examples.columns else ["fv"]
+    return rows.withColumn("probs", mean).drop(*own, *[f"_b{b}" for b in range(len(bags))])
 
 
 # --- calibration --------------------------------------------------------------------------
@@ -343,7 +387,7 @@ def permuted_channel(examples: DataFrame, channel: int, n_channels: int, seed: i
     rows = rows.withColumn("_next", F.lead("features").over(w)).join(heads, "_bucket").withColumn("_other", F.coalesce("_next", "_after"))
     swapped = F.transform(F.arrays_zip(F.col("features").alias("a"), F.col("_other").alias("b")),
                           lambda z, i: F.when(i % n_channels == channel, z["b"]).otherwise(z["a"]))
-    return rows.withColumn("features", swapped).drop("_bucket", "_mix", "_next", "_after", "_other")
+    return rows.withColumn("features", swapped).drop("fv", "_bucket", "_mix", "_next", "_after", "_other")
 
 
 def permutation_importance(val: DataFrame, fitted: HorizonModels, channel_names: Sequence[str], seed: int = 2026) -> DataFrame:

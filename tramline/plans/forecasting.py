@@ -57,9 +57,8 @@ def train_calibrate(train: DataFrame, val: DataFrame, horizon: int, length: int,
     """Scaler, bagged models, calibration and thresholds. Features are written once and read by
     every fit."""
     scaler = materialise(scoring.feature_scaler(train), "scaler")
-    keep = ["example_id", "features", "labels"]
-    tr_rows = materialise(with_features(train, scaler).select(*keep), "train")
-    va_rows = materialise(with_features(val, scaler).select(*keep), "val")
+    tr_rows = learn.stored_rows(with_features(train, scaler), "train")
+    va_rows = learn.stored_rows(with_features(val, scaler), "val")
     fitted = learn.train_bag(tr_rows, va_rows, horizon, bags, seed, **params)
     raw = scoring.to_long(learn.predict_bag(va_rows, fitted).withColumn("labels", F.slice("labels", 1, horizon)))
     raw = materialise(raw, "val-scores")
