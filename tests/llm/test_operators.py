@@ -27,12 +27,23 @@ from tramline.llm import (
     toxicity,
     trie_lm,
 )
+from tramline.session import materialise
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, row string"
 
 
+def shuffle_files(spark):
+    """Bytes by name of the shuffle files on the disk of this machine."""
+    files, found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator(), {}
+    while files.hasNext():
+        f = files.next()
+        if f.getName().startswith("shuffle_"):
+            found[f.getName()] = f.length()
+    return found
+
+
 def words(text):
     return WORD.findall(text or "")
 
@@ -213,6 +224,37 @@ def test_large_family_is_compared_in_tiles(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == root
 
 
+def test_a_family_of_unlike_texts_is_not_copied_for_its_comparison(spark, monkeypatch):
+    """Short texts around one common sentence tie into one family; what it writes stays in proportion to its members."""
+    monkeypatch.setattr(near_dup, "SMALL", 4)
+    monkeypatch.setattr(near_dup, "TILE", (8, 16))
+    rng = random.Random(5)
+    common = [f"c{k}" for k in range(12)]
+    texts = [common + [f"w{i}x{k}" for k in range(rng.randint(3, 6))] for i in range(600)]
+    texts += [t[:-1] + ["end"] for t in texts[::40]]
+    sets = [{tuple(t[k:k + 4]) for k in range(len(t) - 3)} for t in texts]
+    root = list(range(len(texts)))
+    for a, b in itertools.combinations(root[:], 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            old, new = sorted((root[a], root[b]))[::-1]
+            root = [new if k == old else k for k in root]
+    assert 10 <= len(texts) - len(set(root)) <= 15
+
+    steps = []
+
+    def seen(df, name):
+        before = shuffle_files(spark)
+        out = materialise(df, name)
+        steps.append((name, sum(n for f, n in shuffle_files(spark).items() if f not in before)))
+        return out
+
+    monkeypatch.setattr(near_dup, "stored", seen)
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = near_dup.near_duplicate_components(rows, size=4, percent=80).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
+    assert "families" in [name for name, _ in steps] and max(n for _, n in steps) < 1_000_000
+
+
 def test_register_estimate():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 2**64, 3000, np.uint64))

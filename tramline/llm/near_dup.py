@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +33,8 @@ REGISTERS, BAND = 128, 4
 BANDS = REGISTERS // BAND
 MANTISSA_BITS = 10
 SMALL = 16
-TILE = (512, 512)
+TILE = (4096, 4096)
+COMMON_BITS = 18
 _REST_BITS = 64 - REGISTERS.bit_length() + 1
 
 
@@ -198,7 +198,6 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, percent: int = 80)
     )
     sized = bands.groupBy("key").agg(F.count("*").alias("n"), F.min_by("doc_id", F.xxhash64("doc_id", "key")).alias("hub")).where("n > 1")
     met = stored(bands.join(sized, "key"), "bands")
-    sets = _sets(docs, met, size)
     few = met.where(F.col("n") <= SMALL).select("key", "doc_id")
     many = met.where(F.col("n") > SMALL).select("doc_id", "hub").distinct()
 
@@ -209,11 +208,14 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, percent: int = 80)
     pairs = stored(_ordered(few.alias("l").join(few.alias("r"), "key").where("l.doc_id < r.doc_id"), "l.doc_id", "r.doc_id").unionByName(
         _ordered(many.where("doc_id <> hub"), "doc_id", "hub")).distinct(), "pairs")  # narrow steps, each a small plan
     pairs = stored(_plausible(pairs, reps, percent / 100), "plausible")
+    sets = _sets(docs, many.select("doc_id").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))), size)
     links = stored(links.unionByName(_confirmed(pairs, sets, percent)), "confirmed")
     found = stored(components(links), "components")
     rest = stored(_families(many, found), "families")
     if not rest.isEmpty():
-        links = stored(links.unionByName(_tiled(rest, reps, sets, percent)), "confirmed")
+        rest = stored(_sketched(rest.join(sets, "doc_id")), "rest")
+        pairs = stored(_close(_met(rest, percent), rest, percent), "close")
+        links = stored(links.unionByName(_confirmed(pairs, rest, percent)), "confirmed")
         found = stored(components(links), "components")
 
     return (
@@ -241,46 +243,130 @@ def _families(many: DataFrame, found: DataFrame) -> DataFrame:
     return named.join(split.drop("parts"), "family").select("family", "doc_id", "component", (F.col("component") != F.col("main")).alias("minor"))
 
 
-def _tiled(rest: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links between members of different components of one family.
+def _sketched(rest: DataFrame) -> DataFrame:
+    """``rest`` with a parity sketch of each set: bit k tells if an odd number of fingerprints end in k, of four to eight bits a fingerprint."""
+    cols = ["family", "doc_id", "component", "items"]
+    schema = pa.schema([(c, pa.int64()) for c in cols[:3]] + [("items", pa.binary()), ("n", pa.int64()), ("sketch", pa.binary())])
 
-    Blocks of ``TILE[0]`` minor members are held against blocks of ``TILE[1]`` members, each pair of blocks in a group
-    of its own; a minor member gives one link for each other component that it reaches in the block.
+    def sketch(batches):
+        for part in slices(batches, "items"):
+            values, n = _joined(part.column("items"))
+            out = []
+            for s in np.split(values, np.cumsum(n)[:-1]):
+                bits = max(8, 4 << (len(s) - 1).bit_length())
+                odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+                out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+            yield batch_of(schema, [*(part.column(c) for c in cols), n, out])
+
+    return rest.select(*cols).mapInArrow(sketch, "family long, doc_id long, component long, items binary, n long, sketch binary")
+
+
+def _close(pairs: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sketches do not rule the threshold out: two sets differ in as many elements as their sketches in bits, or more."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def keep(batches):
+        for part in batches:
+            n = part.column("n_a").to_numpy() + part.column("n_b").to_numpy()
+            differ = np.zeros(len(n), np.int64)
+            for k, pair in enumerate(zip(part.column("sketch_a").to_pylist(), part.column("sketch_b").to_pylist(), strict=True)):
+                bits = 8 * min(map(len, pair))
+                x, y = (_folded(int.from_bytes(s, "little"), 8 * len(s), bits) for s in pair)
+                differ[k] = (x ^ y).bit_count()
+            ok = pa.array((100 + percent) * differ <= (100 - percent) * n)
+            yield batch_of(schema, [part.column("a").filter(ok), part.column("b").filter(ok)])
+
+    side = lambda x: rest.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(keep, "a long, b long").distinct()
+
+
+def _folded(sketch: int, have: int, bits: int) -> int:
+    """The sketch of ``bits`` bits of the same set."""
+    while have > bits:
+        have //= 2
+        sketch = (sketch ^ sketch >> have) & (1 << have) - 1
+    return sketch
+
+
+def _commonness(rest: DataFrame) -> np.ndarray:
+    """How many fingerprints of the sets in ``rest`` share each value of the top ``COMMON_BITS`` bits: a constant size on the driver."""
+    schema = pa.schema([("part", pa.int32()), ("n", pa.int64())])
+
+    def count(batches):
+        n = np.zeros(1 << COMMON_BITS, np.int64)
+        for part in batches:
+            if part.num_rows:
+                n += np.bincount(_part_of(_joined(part.column("items"))[0]), minlength=len(n))
+        at = np.flatnonzero(n)
+        yield batch_of(schema, [at.astype(np.int32), n[at]])
+
+    found = rest.select("items").mapInArrow(count, "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).toArrow()
+    common = np.zeros(1 << COMMON_BITS, np.int64)
+    common[found.column("part").to_numpy()] = found.column("n").to_numpy()
+    return common
+
+
+def _part_of(values: np.ndarray) -> np.ndarray:
+    return (values >> np.uint64(64 - COMMON_BITS)).astype(np.int64)
+
+
+def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints of all rows in one array, number of each row's) of a column of sets."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset: column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    data = np.frombuffer(data, np.uint8)[ends[0]: ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    return data.view(np.uint64), np.diff(ends) // 8
+
+
+def _prefixes(rest: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
+    """One row per fingerprint, named with its family, of the prefixes of the sets in ``rest``, rare ones first.
+
+    ``place`` is its place in that order.  The longer set of a pair that reaches the threshold shares one of its first
+    ``n - ceil(t n) + 1`` with the first ``n - ceil(2 t n / (1 + t)) + 1`` (``lead``) of the other; the order is the same for all.
     """
-    sized = rest.groupBy("family").agg(
-        F.ceil(F.sum(F.col("minor").cast("int")) / TILE[0]).alias("rows"), F.ceil(F.count("*") / TILE[1]).alias("cols"))
-    turn = F.xxhash64("doc_id")
-    placed = (
-        rest.join(sized, "family").join(reps, "doc_id").join(sets, "doc_id")
-        .select("family", "doc_id", "component", "minor", "n_shingles", "bands", "items",
-                F.pmod(turn, F.col("rows")).alias("row"), F.pmod(turn, F.col("cols")).alias("col"),
-                F.col("rows"), F.col("cols"))
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("place", pa.int64()),
+                        ("lead", pa.bool_())])
+
+    def first(batches):
+        for part in slices(batches, "items"):
+            values, n = _joined(part.column("items"))
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((values, common[_part_of(values)], row))
+            place = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
+            at = place <= (n + -percent * n // 100)[row]
+            row, place, values = row[at], place[at], values[order][at]
+            family, doc, component = (part.column(c).to_numpy()[row] for c in ("family", "doc_id", "component"))
+            key = mix(values, family.astype(np.int64).view(np.uint64)).view(np.int64)
+            yield batch_of(schema, [key, doc, component, n[row], place, place <= (n + -2 * percent * n // (100 + percent))[row]])
+
+    return rest.select("family", "doc_id", "component", "items").mapInArrow(
+        first, "key long, doc_id long, component long, n long, place long, lead boolean")
+
+
+def _met(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one family and different components whose full sets may reach the threshold; no other pair does.
+
+    They share a fingerprint of their prefixes at places that leave enough behind.  In the group of a fingerprint the
+    members outside its largest component are held against all, in tiles of a fixed number of narrow rows.
+    """
+    rows = stored(_prefixes(rest, _commonness(rest), percent), "prefixes")
+    sized = (
+        rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
+        .agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main")).where("n > most")
+        .select("key", "main", F.ceil((F.col("n") - F.col("most")) / TILE[0]).alias("rows"), F.ceil(F.col("n") / TILE[1]).alias("cols"))
     )
-    cols = ["family", "doc_id", "component", "n_shingles", "bands", "items"]
-    left = placed.where("minor").select(*cols, "row", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"), F.lit(True).alias("asks"))
-    right = placed.select(*cols, F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), "col", F.lit(False).alias("asks"))
-    threshold = percent / 100
-
-    def compare(group):
-        ids, comp, n = (group[c].to_numpy() for c in ("doc_id", "component", "n_shingles"))
-        asks = group["asks"].to_numpy().astype(bool)
-        regs = np.stack(group["bands"].to_numpy()).astype(np.int64).view(np.uint16).reshape(-1, REGISTERS)
-        items = [np.frombuffer(x, np.uint64) for x in group["items"]]
-        out = []
-        for i in np.flatnonzero(asks):
-            to = np.flatnonzero(~asks & (comp != comp[i]) & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i])))
-            if not len(to):
-                continue
-            j, filled = estimate(np.broadcast_to(regs[i], (len(to), REGISTERS)), regs[to], np.full(len(to), float(n[i])), n[to].astype(float))
-            to = to[j >= threshold - 6 * np.sqrt(threshold * (1 - threshold) / np.maximum(filled, 1))]
-            if not len(to):
-                continue
-            joined = np.concatenate([items[t] for t in to])
-            at = np.minimum(np.searchsorted(items[i], joined), len(items[i]) - 1)
-            shared = np.add.reduceat((items[i][at] == joined).astype(np.int64), np.concatenate(([0], np.cumsum(n[to])[:-1])))
-            ok = to[100 * shared >= percent * (n[i] + n[to] - shared)]
-            for t in ok[np.unique(comp[ok], return_index=True)[1]]:
-                out.append((int(ids[i]), int(ids[t])))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return left.unionByName(right).groupBy("family", "row", "col").applyInPandas(compare, "a long, b long")
+    turn = F.xxhash64("doc_id")
+    placed = stored(
+        rows.join(sized, "key").select("key", "doc_id", "component", "n", "place", "lead", (F.col("component") != F.col("main")).alias("minor"),
+                                       F.pmod(turn, F.col("rows")).alias("row"), F.pmod(turn, F.col("cols")).alias("col"), "rows", "cols"), "placed")
+    cols = ["key", "doc_id", "component", "n", "place", "lead", "minor"]
+    left = placed.where("minor").select(*cols, "row", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"))
+    right = placed.select(*cols, F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), "col")
+    left, right = (side.select(*[F.col(c).alias(c if c in ("key", "row", "col") else f"{c}_{x}") for c in side.columns]) for x, side in (("x", left), ("y", right)))
+    pairs = left.join(right, ["key", "row", "col"]).where(f"""
+        component_x <> component_y and (not minor_y or doc_id_x < doc_id_y)
+        and if(n_x < n_y or n_x = n_y and doc_id_x < doc_id_y, lead_x, lead_y)
+        and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)
+        and {100 + percent} * least(n_x - place_x, n_y - place_y) >= {percent} * (n_x + n_y)""")
+    return stored(_ordered(pairs, "doc_id_x", "doc_id_y").distinct(), "pairs")
