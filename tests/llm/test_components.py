@@ -1,8 +1,10 @@
 """Components by one task and by star rounds, against a plain search."""
 
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tramline.llm import common
 
@@ -33,3 +35,22 @@ def test_components(spark, monkeypatch, few):
     got = common.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()
     assert {r.node: r.component for r in got} == plain(edges) and len(got) == len(plain(edges))
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_stored_step_leaves_no_shuffle_files(spark):
+    def files():
+        found, names = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator(), set()
+        while found.hasNext():
+            names.add(found.next().getName())
+        return {x for x in names if x.startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get(common.DROP_SHUFFLES)
+    counted = spark.range(20_000).groupBy((F.col("id") % 5_000).alias("key")).agg(F.count("*").alias("n"))
+    kept = [common.stored(counted, "counted", codec) for codec in (None, "zstd")]
+    for _ in range(50):
+        if not (left := {x for x in files() - before if x.endswith(".data")}):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get(common.DROP_SHUFFLES) == setting
+    assert [x.where("n = 4").count() for x in (*kept, counted)] == [5_000] * 3  # the frame can still be run

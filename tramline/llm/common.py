@@ -25,13 +25,25 @@ def held_out(doc_id: str, modulus: int):
     return F.coalesce(crc_part(doc_id, modulus) == 2, F.lit(False))
 
 
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
-    """Written once to the shared folder: cuts lineage and survives lost executors."""
-    if codec is None:
-        return materialise(df, f"llm-{name}")
+    """Written once to the shared folder: cuts lineage and survives lost executors.
+
+    The shuffle files of the write go with its end, where Spark can do so, not when the driver happens to collect its
+    garbage: else those of all steps add up on disk.
+    """
     spark = df.sparkSession
-    path = shared_dir(spark, f"llm-{name}")
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        if codec is None:
+            return materialise(df, f"llm-{name}")
+        path = shared_dir(spark, f"llm-{name}")
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
