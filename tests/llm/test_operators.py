@@ -255,6 +255,27 @@ def test_a_family_of_unlike_texts_is_not_copied_for_its_comparison(spark, monkey
     assert "families" in [name for name, _ in steps] and max(n for _, n in steps) < 1_000_000
 
 
+@pytest.mark.parametrize("n", [7, 40, 500, 3000])
+def test_prefixes_and_sketches_keep_every_pair_at_the_threshold(spark, n):
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 2**64, n, dtype=np.uint64)
+    rows, sets = [], []
+    for i in range(24):
+        left = base[rng.permutation(n)[: n - i * n // 80]]
+        sets.append(np.unique(np.concatenate((left, rng.integers(0, 2**64, i * n // 120, dtype=np.uint64)))))
+        rows.append((1, i, 100 + i, sets[-1].tobytes()))
+    rest = near_dup._sketched(spark.createDataFrame(rows, "family long, doc_id long, component long, items binary").repartition(3)).cache()
+    pairs = near_dup._met(rest, 80)
+    met, close = ({(r.a, r.b) for r in x.collect()} for x in (pairs, near_dup._close(pairs, rest, 80)))
+    rest.unpersist()
+    want = set()
+    for a, b in itertools.combinations(range(24), 2):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            want.add((a, b))
+    assert 0 < len(want) < 276 and want <= close <= met
+
+
 def test_register_estimate():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 2**64, 3000, np.uint64))

@@ -322,11 +322,12 @@ def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _prefixes(rest: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
     """One row per fingerprint, named with its family, of the prefixes of the sets in ``rest``, rare ones first.
 
-    ``place`` is its place in that order.  The longer set of a pair that reaches the threshold shares one of its first
+    ``place`` is its place in that order, ``behind`` how many of it and what follows end in each of eight values of their low bits,
+    a byte each (null where one does not hold it).  The longer set of a pair that reaches the threshold shares one of its first
     ``n - ceil(t n) + 1`` with the first ``n - ceil(2 t n / (1 + t)) + 1`` (``lead``) of the other; the order is the same for all.
     """
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("place", pa.int64()),
-                        ("lead", pa.bool_())])
+                        ("lead", pa.bool_()), ("behind", pa.int64())])
 
     def first(batches):
         for part in slices(batches, "items"):
@@ -335,13 +336,19 @@ def _prefixes(rest: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
             order = np.lexsort((values, common[_part_of(values)], row))
             place = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
             at = place <= (n + -percent * n // 100)[row]
-            row, place, values = row[at], place[at], values[order][at]
+            values = values[order]
+            low = np.zeros((len(values) + 1, 8), np.int64)
+            low[np.arange(1, len(low)), (values & np.uint64(7)).astype(np.int64)] = 1
+            low = np.cumsum(low, axis=0)
+            behind = low[np.cumsum(n)[row[at]]] - low[:-1][at]
+            packed = pa.array((behind << (8 * np.arange(8))).sum(1), mask=(behind > 255).any(1))
+            row, place, values = row[at], place[at], values[at]
             family, doc, component = (part.column(c).to_numpy()[row] for c in ("family", "doc_id", "component"))
             key = mix(values, family.astype(np.int64).view(np.uint64)).view(np.int64)
-            yield batch_of(schema, [key, doc, component, n[row], place, place <= (n + -2 * percent * n // (100 + percent))[row]])
+            yield batch_of(schema, [key, doc, component, n[row], place, place <= (n + -2 * percent * n // (100 + percent))[row], packed])
 
     return rest.select("family", "doc_id", "component", "items").mapInArrow(
-        first, "key long, doc_id long, component long, n long, place long, lead boolean")
+        first, "key long, doc_id long, component long, n long, place long, lead boolean, behind long")
 
 
 def _met(rest: DataFrame, percent: int) -> DataFrame:
@@ -358,15 +365,17 @@ def _met(rest: DataFrame, percent: int) -> DataFrame:
     )
     turn = F.xxhash64("doc_id")
     placed = stored(
-        rows.join(sized, "key").select("key", "doc_id", "component", "n", "place", "lead", (F.col("component") != F.col("main")).alias("minor"),
+        rows.join(sized, "key").select("key", "doc_id", "component", "n", "place", "lead", "behind", (F.col("component") != F.col("main")).alias("minor"),
                                        F.pmod(turn, F.col("rows")).alias("row"), F.pmod(turn, F.col("cols")).alias("col"), "rows", "cols"), "placed")
-    cols = ["key", "doc_id", "component", "n", "place", "lead", "minor"]
+    cols = ["key", "doc_id", "component", "n", "place", "lead", "behind", "minor"]
     left = placed.where("minor").select(*cols, "row", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"))
     right = placed.select(*cols, F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), "col")
     left, right = (side.select(*[F.col(c).alias(c if c in ("key", "row", "col") else f"{c}_{x}") for c in side.columns]) for x, side in (("x", left), ("y", right)))
+    shared = " + ".join(f"least(shiftright(behind_x, {k}) & 255, shiftright(behind_y, {k}) & 255)" for k in range(0, 64, 8))
     pairs = left.join(right, ["key", "row", "col"]).where(f"""
         component_x <> component_y and (not minor_y or doc_id_x < doc_id_y)
         and if(n_x < n_y or n_x = n_y and doc_id_x < doc_id_y, lead_x, lead_y)
         and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)
-        and {100 + percent} * least(n_x - place_x, n_y - place_y) >= {percent} * (n_x + n_y)""")
+        and {100 + percent} * least(n_x - place_x, n_y - place_y) >= {percent} * (n_x + n_y)
+        and coalesce({100 + percent} * ({shared}) >= {percent} * (n_x + n_y), true)""")
     return stored(_ordered(pairs, "doc_id_x", "doc_id_y").distinct(), "pairs")
