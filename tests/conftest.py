@@ -2,6 +2,7 @@ import os
 import sys
 
 import pytest
+from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -14,3 +15,10 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     s.conf.set("spark.sql.session.timeZone", "UTC")
     return s
+
+
+@pytest.fixture(autouse=True)
+def nothing_stays_cached():
+    yield
+    if s := SparkSession.getActiveSession():
+        s.catalog.clearCache()

@@ -130,6 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Mapping[str, tuple[str,
     n, pos = counts.n or 0, counts.pos or 0
     names = [*categories, "toxic"]
     if not n:
+        sample.unpersist()
         return Chain(np.zeros(0, np.uint64), names, np.zeros((1, 0)), np.zeros((1, len(names))))
     by_word = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("p"), F.count("*").alias("d"))
     # squared deviation of the toxic count from what the word's frequency explains
